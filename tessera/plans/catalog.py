@@ -245,3 +245,218 @@ def q_dataset_info(spark, sf_dir):
         "name", "split", "config", "total_samples", F.array_join("columns", ",").alias("columns"),
         feats.alias("features"), "text_column_exists",
         *[F.col("sample_data")[c].alias(f"sample_{c}") for c in docs.columns])
+
+
+# ---------------------------------------------------------------- QA and formats
+from tessera.operators import combine as cb  # noqa: E402
+from tessera.operators import embed as em  # noqa: E402
+from tessera.operators import formats as fm  # noqa: E402
+from tessera.operators import generate as gn  # noqa: E402
+from tessera.operators import search as se  # noqa: E402
+from tessera.operators import stats as stt  # noqa: E402
+from tessera.plans.standins import qa_pairs_from_conversations  # noqa: E402
+from tessera.streaming.incremental import resume_anti  # noqa: E402
+
+
+def _qa(spark, sf_dir, with_types: bool = False) -> DataFrame:
+    conv = load(spark, sf_dir, "conversations")
+    labels = load(spark, sf_dir, "labels") if with_types else None
+    return qa_pairs_from_conversations(conv, labels)
+
+
+def _table_chunks(spark, sf_dir) -> DataFrame:
+    """The table path: documents with row position -> dataset chunks."""
+    return rw.dataset_chunks(rw.with_row_index(documents(spark, sf_dir)))
+
+
+def _doc_chunks(spark, sf_dir) -> DataFrame:
+    return ch.chunk_text(documents(spark, sf_dir, True).select("doc_id", "text"))
+
+
+@query("question_fanout")
+def q_question_fanout(spark, sf_dir):
+    return gn.question_fanout(_doc_chunks(spark, sf_dir), 3).select("doc_id", "chunk_index", "question_index")
+
+
+@query("qa_ids")
+def q_qa_ids(spark, sf_dir):
+    fan = gn.question_fanout(_table_chunks(spark, sf_dir), 3)
+    return fan.select("real_index", "question_index", tx.qa_id("real_index", "question_index").alias("id"))
+
+
+@query("output_names")
+def q_output_names(spark, sf_dir):
+    fan = gn.question_fanout(_table_chunks(spark, sf_dir), 3)
+    return fan.select("real_index", "question_index",
+                      F.format_string(tx.TABLE_CHUNK_FILE_FORMAT, "real_index").alias("chunk_file"),
+                      F.format_string(tx.TABLE_CHUNK_QA_FILE_FORMAT, "real_index", "question_index").alias("qa_file"),
+                      F.format_string(tx.DATASET_CHUNK_FILE_FORMAT, "real_index").alias("named_chunk_file"),
+                      F.format_string(tx.CHUNK_QA_FILE_FORMAT, "real_index", "question_index").alias("doc_qa_file"))
+
+
+@query("question_prompt")
+def q_question_prompt(spark, sf_dir):
+    return _table_chunks(spark, sf_dir).select("real_index", gn.question_prompt("chunk").alias("prompt"))
+
+
+@query("answer_prompt")
+def q_answer_prompt(spark, sf_dir):
+    return _qa(spark, sf_dir).select("id", gn.answer_prompt("context", "question").alias("prompt"))
+
+
+@query("generate_qa")
+def q_generate_qa(spark, sf_dir):
+    chunks = spread(_table_chunks(spark, sf_dir), "real_index")
+    return gn.generate_qa(chunks, gn.FirstSentenceGenerator, n_questions=3)
+
+
+@query("join_chunk_qa")
+def q_join_chunk_qa(spark, sf_dir):
+    chunks = _doc_chunks(spark, sf_dir)
+    fan = gn.question_fanout(chunks.select("doc_id", "chunk_index"), 3)
+    return (chunks.join(fan, ["doc_id", "chunk_index"])
+            .select("doc_id", "chunk_index", "question_index", F.length("chunk").alias("chunk_chars")))
+
+
+@query("resume_anti")
+def q_resume_anti(spark, sf_dir):
+    done = load(spark, sf_dir, "labels").select("doc_id")
+    return resume_anti(documents(spark, sf_dir).select("doc_id", "source"), done, ["doc_id"])
+
+
+@query("union_sources")
+def q_union_sources(spark, sf_dir):
+    docs = documents(spark, sf_dir).select(F.lit("documents").alias("src"), "doc_id", "text")
+    bench = load(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("src"),
+                                                     F.col("item_id").alias("doc_id"), "text")
+    return cb.union_sources([docs, bench])
+
+
+@query("union_missing_cols")
+def q_union_missing_cols(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    bench = load(spark, sf_dir, "benchmark").select("item_id", "text")
+    return cb.union_missing_cols([docs, bench])
+
+
+@query("qa_stats")
+def q_qa_stats(spark, sf_dir):
+    s = stt.qa_stats(_qa(spark, sf_dir))
+    return s.select("total_pairs", *[F.round(c, 6).alias(c) for c in s.columns[1:]])
+
+
+@query("question_type_counts")
+def q_question_type_counts(spark, sf_dir):
+    return stt.question_type_counts(_qa(spark, sf_dir, with_types=True))
+
+
+@query("metadata")
+def q_metadata(spark, sf_dir):
+    m = stt.metadata(_qa(spark, sf_dir, with_types=True), "conversations.parquet")
+    types = F.array_join(F.transform(F.array_sort(F.map_entries("statistics.question_types")),
+                                     lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return m.select(F.col("dataset_info.name").alias("name"), F.col("dataset_info.description").alias("description"),
+                    F.col("dataset_info.source_file").alias("source_file"),
+                    F.col("dataset_info.total_qa_pairs").alias("total_qa_pairs"), types.alias("question_types"),
+                    F.round("statistics.avg_question_length", 6).alias("avg_question_length"),
+                    F.round("statistics.avg_answer_length", 6).alias("avg_answer_length"))
+
+
+@query("fmt_instruction_id")
+def q_fmt_instruction_id(spark, sf_dir):
+    return fm.to_instruction_with_id(_qa(spark, sf_dir))
+
+
+@query("fmt_instruction")
+def q_fmt_instruction(spark, sf_dir):
+    return fm.to_instruction(_qa(spark, sf_dir))
+
+
+@query("fmt_alpaca")
+def q_fmt_alpaca(spark, sf_dir):
+    return fm.to_alpaca(_qa(spark, sf_dir))
+
+
+@query("fmt_chat")
+def q_fmt_chat(spark, sf_dir):
+    chat = fm.to_chat(_qa(spark, sf_dir), keep=["id"])
+    return chat.select("id", F.to_json("messages").alias("messages"))
+
+
+@query("datapoint_json")
+def q_datapoint_json(spark, sf_dir):
+    return fm.alpaca_datapoint_files(_qa(spark, sf_dir))
+
+
+@query("qa_pair_json")
+def q_qa_pair_json(spark, sf_dir):
+    return fm.chunk_qa_files(_qa(spark, sf_dir), tx.TABLE_CHUNK_QA_FILE_FORMAT)
+
+
+@query("chunk_stats_global")
+def q_chunk_stats_global(spark, sf_dir):
+    s = stt.chunk_stats(_doc_chunks(spark, sf_dir))
+    return s.withColumn("avg_chunk_chars", F.round("avg_chunk_chars", 6))
+
+
+@query("dataset_chunk_stats")
+def q_dataset_chunk_stats(spark, sf_dir):
+    s = stt.dataset_chunk_stats(_table_chunks(spark, sf_dir))
+    return s.withColumn("avg_chunk_chars", F.round("avg_chunk_chars", 6))
+
+
+@query("run_summary")
+def q_run_summary(spark, sf_dir):
+    chunks = _doc_chunks(spark, sf_dir)
+    qa = gn.question_fanout(chunks, 3)
+    s = stt.run_summary(chunks, qa, load(spark, sf_dir, "embeddings"))
+    return s.withColumn("qa_per_chunk", F.round("qa_per_chunk", 6))
+
+
+# ---------------------------------------------------------------- vectors
+def _vectors(spark, sf_dir) -> DataFrame:
+    return load(spark, sf_dir, "embeddings")
+
+
+@query("embed_hashing")
+def q_embed_hashing(spark, sf_dir):
+    chunks = spread(_doc_chunks(spark, sf_dir), "doc_id")
+    vec = em.embed(chunks, lambda: em.HashingEncoder(64), text_col="chunk")
+    return (vec.select("doc_id", "chunk_index", F.posexplode("embedding").alias("dim", "value"))
+            .filter(F.col("value") != 0).withColumn("value", F.col("value").cast("double")))
+
+
+@query("mean_pool")
+def q_mean_pool(spark, sf_dir):
+    tokens = _vectors(spark, sf_dir).select(
+        F.col("label").alias("key"), "embedding",
+        F.when(F.col("embedding")[0] >= 0, 1).otherwise(0).alias("mask"))
+    pooled = em.mean_pool(tokens)
+    return pooled.select("key", F.posexplode("embedding").alias("dim", "value")).withColumn(
+        "value", F.round("value", 6))
+
+
+@query("embedding_dim")
+def q_embedding_dim(spark, sf_dir):
+    return em.embedding_dim(_vectors(spark, sf_dir))
+
+
+@query("cosine")
+def q_cosine(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("next_id"),
+                   F.col("embedding").alias("next_embedding"))
+    return v.join(nxt, "vec_id").select("vec_id", "next_id",
+                                        F.round(se.cosine("embedding", "next_embedding"), 6).alias("score"))
+
+
+@query("topk_single")
+def q_topk_single(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return se.top_k_single(v, se.centroid(v), k=5).withColumn("score", F.round("score", 6))
+
+
+@query("topk_batch")
+def q_topk_batch(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return se.top_k(v, v, k=5).withColumn("score", F.round("score", 6))

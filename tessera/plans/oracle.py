@@ -88,3 +88,124 @@ ORACLE["dataset_info"] = f"""SELECT 'documents' AS name, 'train' AS split, CAST(
   {_preview('doc_id')} AS sample_doc_id, {_preview('text')} AS sample_text, {_preview('lang')} AS sample_lang,
   {_preview('source')} AS sample_source, {_preview('n_chars')} AS sample_n_chars
 FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 1)"""
+
+# ---------------------------------------------------------------- QA and formats
+from tessera.functions.text import TERMINATOR_CLASS, WS_CLASS  # noqa: E402
+from tessera.operators.generate import ANSWER_TEMPLATE, QUESTION_MARKER, QUESTION_TEMPLATE_API, TEXT_MARKER  # noqa: E402
+
+QA_CTE = """qa AS (
+  SELECT printf('dataset_%d_question_%d', u.conv_id, u.turn) AS id, u.text AS question, a.text AS answer,
+         u.text AS context, CAST(u.turn AS INTEGER) AS question_index, u.conv_id AS chunk_index
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant')"""
+QAT_CTE = QA_CTE + """, qat AS (SELECT qa.*, CAST(l.quality AS VARCHAR) AS question_type
+  FROM qa LEFT JOIN labels l ON l.doc_id = qa.chunk_index)"""
+TCHUNKS_CTE = f"""tchunks AS (SELECT real_index, {lit(DATASET_CHUNK_HEADER)} || {collapse('text')} || {lit(DATASET_CHUNK_FOOTER)} AS chunk
+  FROM (SELECT {ROW_INDEX} AS real_index, text FROM documents)
+  WHERE text IS NOT NULL AND {trim_ws('text')} <> '' AND length({collapse('text')}) >= 10),
+tfan AS (SELECT real_index, chunk, CAST(q AS INTEGER) AS question_index FROM (SELECT *, unnest(range(3)) AS q FROM tchunks))"""
+DOC_CHUNKS = chunks_cte("documents", 1000, 200)
+
+ORACLE["question_fanout"] = f"""WITH RECURSIVE {DOC_CHUNKS}
+SELECT doc_id, chunk_index, CAST(q AS INTEGER) AS question_index FROM (SELECT *, unnest(range(3)) AS q FROM chunks)"""
+ORACLE["qa_ids"] = f"""WITH {TCHUNKS_CTE}
+SELECT real_index, question_index, printf('dataset_%d_question_%d', real_index, question_index) AS id FROM tfan"""
+ORACLE["output_names"] = f"""WITH {TCHUNKS_CTE}
+SELECT real_index, question_index, printf('file_chunk_%06d.txt', real_index) AS chunk_file,
+       printf('file_chunk_%06d_qa_%02d.json', real_index, question_index) AS qa_file,
+       printf('dataset_chunk_%06d.txt', real_index) AS named_chunk_file,
+       printf('chunk_%04d_qa_%02d.json', real_index, question_index) AS doc_qa_file FROM tfan"""
+ORACLE["question_prompt"] = f"""WITH {TCHUNKS_CTE}
+SELECT real_index, {lit(QUESTION_TEMPLATE_API + TEXT_MARKER)} || chunk AS prompt FROM tchunks"""
+ORACLE["answer_prompt"] = f"""WITH {QA_CTE}
+SELECT id, {lit(ANSWER_TEMPLATE + TEXT_MARKER)} || context || {lit(QUESTION_MARKER)} || question AS prompt FROM qa"""
+
+
+def _first_sentence(x: str) -> str:
+    return (f"coalesce(list_filter(list_transform(string_split_regex({x}, {lit(TERMINATOR_CLASS + '+')}), "
+            f"lambda z: {trim_ws('z')}), lambda z: z <> '')[1], '')")
+
+
+ORACLE["generate_qa"] = f"""WITH {TCHUNKS_CTE}
+SELECT printf('dataset_%d_question_%d', real_index, question_index) AS id, {_first_sentence('chunk')} || '?' AS question,
+       {_first_sentence('chunk')} AS answer, chunk AS context, question_index, real_index AS chunk_index,
+       CAST(NULL AS VARCHAR) AS error FROM tfan"""
+ORACLE["join_chunk_qa"] = f"""WITH RECURSIVE {DOC_CHUNKS}
+SELECT doc_id, chunk_index, CAST(q AS INTEGER) AS question_index, length(chunk) AS chunk_chars
+FROM (SELECT *, unnest(range(3)) AS q FROM chunks)"""
+ORACLE["resume_anti"] = """SELECT doc_id, source FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""
+ORACLE["union_sources"] = """SELECT 'documents' AS src, doc_id, text FROM documents
+UNION ALL SELECT 'benchmark' AS src, item_id AS doc_id, text FROM benchmark"""
+ORACLE["union_missing_cols"] = """SELECT doc_id, item_id, lang, text FROM (
+  SELECT doc_id, text, lang FROM documents UNION ALL BY NAME SELECT item_id, text FROM benchmark)"""
+ORACLE["qa_stats"] = f"""WITH {QA_CTE}
+SELECT count(*) AS total_pairs, round(avg(length(coalesce(question, ''))), 6) AS avg_question_length,
+       round(avg(length(coalesce(answer, ''))), 6) AS avg_answer_length,
+       round(avg(length(coalesce(context, ''))), 6) AS avg_context_length FROM qa"""
+ORACLE["question_type_counts"] = f"""WITH {QAT_CTE}
+SELECT coalesce(question_type, 'unknown') AS question_type, count(*) AS n FROM qat GROUP BY 1"""
+ORACLE["metadata"] = f"""WITH {QAT_CTE}, t AS (SELECT coalesce(question_type, 'unknown') AS t, count(*) AS n,
+  sum(length(coalesce(question, ''))) AS q, sum(length(coalesce(answer, ''))) AS a FROM qat GROUP BY 1)
+SELECT 'Generated from conversations' AS name, 'Instruction dataset generated from PDF document' AS description,
+       'conversations.parquet' AS source_file, sum(n) AS total_qa_pairs,
+       string_agg(t || '=' || n, ',' ORDER BY t) AS question_types,
+       round(sum(q) / sum(n), 6) AS avg_question_length, round(sum(a) / sum(n), 6) AS avg_answer_length FROM t"""
+ORACLE["fmt_instruction_id"] = f"WITH {QA_CTE} SELECT question AS instruction, '' AS input, answer AS output, id FROM qa"
+ORACLE["fmt_instruction"] = f"WITH {QA_CTE} SELECT question AS instruction, '' AS input, answer AS output FROM qa"
+ORACLE["fmt_alpaca"] = ORACLE["fmt_instruction"]
+ORACLE["fmt_chat"] = f"""WITH {QA_CTE}
+SELECT id, CAST(to_json([{{'role': 'user', 'content': question}}, {{'role': 'assistant', 'content': answer}}]) AS VARCHAR) AS messages FROM qa"""
+
+
+def _pretty(fields) -> str:
+    parts = []
+    for i, (name, expr, is_num) in enumerate(fields):
+        sep = "," if i < len(fields) - 1 else ""
+        val = f"CAST({expr} AS VARCHAR)" if is_num else f"CAST(to_json({expr}) AS VARCHAR)"
+        parts.append(f"{lit(NL + '  ' + chr(34) + name + chr(34) + ': ')} || {val} || {lit(sep)}")
+    return "'{' || " + " || ".join(parts) + f" || {lit(NL + '}')}"
+
+
+ORACLE["datapoint_json"] = f"""WITH {QA_CTE}
+SELECT printf('datapoint_%d.json', row_number() OVER (ORDER BY chunk_index, question_index) - 1) AS file_name,
+       {_pretty([('instruction', 'question', False), ('input', "''", False), ('output', 'answer', False)])} AS body FROM qa"""
+ORACLE["qa_pair_json"] = f"""WITH {QA_CTE}
+SELECT printf('file_chunk_%06d_qa_%02d.json', chunk_index, question_index) AS file_name,
+       {_pretty([('id', 'id', False), ('question', 'question', False), ('answer', 'answer', False),
+                 ('context', 'context', False), ('question_index', 'question_index', True),
+                 ('chunk_index', 'chunk_index', True)])} AS body FROM qa"""
+ORACLE["chunk_stats_global"] = f"""WITH RECURSIVE {DOC_CHUNKS}
+SELECT count(*) AS n_chunks, round(avg(length(chunk)), 6) AS avg_chunk_chars, min(length(chunk)) AS min_chunk_chars,
+       max(length(chunk)) AS max_chunk_chars FROM chunks"""
+ORACLE["dataset_chunk_stats"] = f"""WITH {TCHUNKS_CTE}
+SELECT count(*) AS n_chunks, round(avg(length(chunk)), 6) AS avg_chunk_chars FROM tchunks"""
+ORACLE["run_summary"] = f"""WITH RECURSIVE {DOC_CHUNKS}, c AS (SELECT count(*) AS n FROM chunks)
+SELECT c.n AS text_chunks, 3 * c.n AS qa_pairs, (SELECT count(*) FROM embeddings) AS embeddings,
+       round(3 * c.n / c.n, 6) AS qa_per_chunk FROM c"""
+
+# ---------------------------------------------------------------- vectors
+ORACLE["embed_hashing"] = f"""WITH RECURSIVE {DOC_CHUNKS},
+toks AS (SELECT doc_id, chunk_index, unnest(string_split_regex(chunk, {lit(WS_CLASS + '+')})) AS w FROM chunks),
+b AS (SELECT doc_id, chunk_index, CAST(('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS INTEGER) AS dim FROM toks WHERE w <> '')
+SELECT doc_id, chunk_index, dim, CAST(count(*) AS DOUBLE) AS value FROM b GROUP BY doc_id, chunk_index, dim"""
+ORACLE["mean_pool"] = """WITH t AS (SELECT label AS key, CASE WHEN embedding[1] >= 0 THEN 1 ELSE 0 END AS mask,
+  unnest(embedding) AS v, unnest(range(len(embedding))) AS dim FROM embeddings)
+SELECT key, CAST(dim AS INTEGER) AS dim, round(sum(CAST(v AS DOUBLE) * mask) / greatest(sum(mask), 1e-9), 6) AS value
+FROM t GROUP BY key, dim"""
+ORACLE["embedding_dim"] = """SELECT count(embedding) AS n_vectors, min(len(embedding)) AS dim,
+  count(DISTINCT len(embedding)) AS n_widths FROM embeddings"""
+ORACLE["cosine"] = """SELECT a.vec_id, b.vec_id AS next_id,
+  round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
+ORACLE["topk_single"] = """WITH d AS (SELECT unnest(range(len(embedding))) AS dim, unnest(embedding) AS v FROM embeddings),
+c AS (SELECT list(m ORDER BY dim) AS q FROM (SELECT dim, avg(CAST(v AS DOUBLE)) AS m FROM d GROUP BY dim)),
+s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, c
+      WHERE list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+r AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, vec_id DESC) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5"""
+ORACLE["topk_batch"] = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score FROM v q, v c),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id DESC) AS INTEGER) AS rank,
+             vec_id, score FROM s)
+SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5"""
