@@ -84,15 +84,23 @@ def qa_pair_files(qa: DataFrame, order_cols=("chunk_index", "question_index")) -
                       qa_pair_json().alias("body"))
 
 
+def _prefixed(name: Column, prefix_col: str | None) -> Column:
+    """Optionally put the name under a folder named after the source file."""
+    if not prefix_col:
+        return name
+    return F.concat(F.regexp_extract(F.col(prefix_col), r"([^/]+)$", 1), F.lit("/"), name)
+
+
 def chunk_files(chunks: DataFrame, name_format: str, key: str = "chunk_index",
-                text_col: str = "chunk") -> DataFrame:
+                text_col: str = "chunk", prefix_col: str | None = None) -> DataFrame:
     """(file_name, body): one text file per chunk, named from its key."""
-    return chunks.select(F.format_string(name_format, F.col(key)).alias("file_name"),
+    return chunks.select(_prefixed(F.format_string(name_format, F.col(key)), prefix_col).alias("file_name"),
                          F.col(text_col).alias("body"))
 
 
-def chunk_qa_files(qa: DataFrame, name_format: str, key: str = "chunk_index") -> DataFrame:
+def chunk_qa_files(qa: DataFrame, name_format: str, key: str = "chunk_index",
+                   prefix_col: str | None = None) -> DataFrame:
     """(file_name, body): one pretty JSON file per QA pair, named from the chunk
     key and the question index (the incremental layout)."""
-    return qa.select(F.format_string(name_format, F.col(key), F.col("question_index")).alias("file_name"),
-                     qa_pair_json().alias("body"))
+    name = F.format_string(name_format, F.col(key), F.col("question_index"))
+    return qa.select(_prefixed(name, prefix_col).alias("file_name"), qa_pair_json().alias("body"))

@@ -85,17 +85,21 @@ def _call_all(gen, prompts: list[str], options: dict) -> tuple[list[str], list[s
 def generate_qa(chunks: DataFrame, generator_factory: Callable[[], object], text_col: str = "chunk",
                 index_col: str = "real_index", n_questions: int = DEFAULT_QUESTIONS_PER_CHUNK,
                 question_template: str = QUESTION_TEMPLATE_API, answer_template: str = ANSWER_TEMPLATE,
-                question_options: dict | None = None, answer_options: dict | None = None) -> DataFrame:
-    """QA rows (id, question, answer, context, question_index, chunk_index, error).
+                question_options: dict | None = None, answer_options: dict | None = None,
+                keep: list[str] | None = None) -> DataFrame:
+    """QA rows (keep..., id, question, answer, context, question_index, chunk_index, error).
 
     Non-deterministic model calls: materialise the result (write it) before
     using it twice, or each action calls the model again."""
     qo = dict(QUESTION_OPTIONS if question_options is None else question_options)
     ao = dict(ANSWER_OPTIONS if answer_options is None else answer_options)
-    src = question_fanout(chunks.select(F.col(index_col).cast("long").alias("chunk_index"),
+    keep = list(keep or [])
+    src = question_fanout(chunks.select(*keep, F.col(index_col).cast("long").alias("chunk_index"),
                                         F.col(text_col).alias("context")), n_questions)
-    src = src.select("chunk_index", "question_index", "context",
+    src = src.select(*keep, "chunk_index", "question_index", "context",
                      question_prompt("context", question_template).alias("__qp"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keep)
+    schema = (schema + ", " if schema else "") + QA_SCHEMA
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gen = generator_factory()
@@ -107,22 +111,26 @@ def generate_qa(chunks: DataFrame, generator_factory: Callable[[], object], text
                         for c, q in zip(pdf["context"].tolist(), questions)]
             answers, aerr = _call_all(gen, aprompts, ao)
             yield pd.DataFrame({
+                **{k: pdf[k] for k in keep},
                 "id": [QA_ID_FORMAT % (ci, qi) for ci, qi in zip(pdf["chunk_index"], pdf["question_index"])],
                 "question": questions, "answer": answers, "context": pdf["context"],
                 "question_index": pdf["question_index"].astype("int32"),
                 "chunk_index": pdf["chunk_index"].astype("int64"),
                 "error": [q or a for q, a in zip(qerr, aerr)]})
 
-    return src.mapInPandas(run, QA_SCHEMA)
+    return src.mapInPandas(run, schema)
 
 
-_TERMS = re.compile("[" + re.escape(SENTENCE_TERMINATORS) + "]+")
+_PIECES = re.compile("[^" + re.escape(SENTENCE_TERMINATORS) + "]+")
 
 
 def first_sentence(text: str) -> str:
-    for piece in _TERMS.split(text):
-        if piece.strip():
-            return piece.strip()
+    """First non-blank piece between sentence terminators, stripped (scans
+    only as far as needed)."""
+    for m in _PIECES.finditer(text):
+        piece = m.group(0).strip()
+        if piece:
+            return piece
     return ""
 
 

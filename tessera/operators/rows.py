@@ -77,6 +77,10 @@ def dataset_chunks(df: DataFrame, text_col: str = "text", index_col: str = "real
     """The table path's (real_index, chunk) rows: valid text, collapsed, at
     least 10 characters, wrapped in the dataset-chunk banner."""
     valid = filter_valid_text(df, text_col)
-    chunk = wrap_dataset_chunk(text_col)
-    return (valid.select(F.col(index_col).alias("real_index"), chunk.alias("chunk"))
-            .filter(F.col("chunk") != ""))
+    # The empty-result check sits inside an outer generator: a plain filter on
+    # the wrapped text would be pushed below the projection and run the
+    # whitespace regex twice; an inner generator would get an inferred filter
+    # that copies it too. Rows that produce nothing come out as null.
+    kept = F.filter(F.array(wrap_dataset_chunk(text_col)), lambda x: x != "")
+    return (valid.select(F.col(index_col).alias("real_index"), F.explode_outer(kept).alias("chunk"))
+            .filter(F.col("chunk").isNotNull()))

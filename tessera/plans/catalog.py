@@ -93,7 +93,7 @@ def q_ws_trim(spark, sf_dir):
 
 @query("ws_collapse")
 def q_ws_collapse(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", tx.ws_collapse("text").alias("text"))
+    return documents(spark, sf_dir, True).select("doc_id", tx.ws_collapse("text").alias("text"))
 
 
 @query("chunk_clean")
@@ -109,7 +109,7 @@ def q_sentence_boundary(spark, sf_dir):
 
 @query("clean_txt")
 def q_clean_txt(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", tx.clean_txt("text").alias("text"))
+    return documents(spark, sf_dir, True).select("doc_id", tx.clean_txt("text").alias("text"))
 
 
 # ---------------------------------------------------------------- rows
@@ -138,7 +138,7 @@ def q_min_length(spark, sf_dir):
 
 @query("dataset_chunks")
 def q_dataset_chunks(spark, sf_dir):
-    return rw.dataset_chunks(rw.with_row_index(documents(spark, sf_dir)))
+    return rw.dataset_chunks(spread(rw.with_row_index(documents(spark, sf_dir)), "real_index"))
 
 
 # ---------------------------------------------------------------- pages
@@ -266,7 +266,7 @@ def _qa(spark, sf_dir, with_types: bool = False) -> DataFrame:
 
 def _table_chunks(spark, sf_dir) -> DataFrame:
     """The table path: documents with row position -> dataset chunks."""
-    return rw.dataset_chunks(rw.with_row_index(documents(spark, sf_dir)))
+    return rw.dataset_chunks(spread(rw.with_row_index(documents(spark, sf_dir)), "real_index"))
 
 
 def _doc_chunks(spark, sf_dir) -> DataFrame:
