@@ -15,6 +15,9 @@ from tessera.operators.chunk import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE, c
 from tessera.sources.readers import text_files_frame
 
 
+BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
+
 def resume_anti(new: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` whose keys are not in ``done`` (already written). A
     left-anti join: shuffled on the keys, or broadcast by AQE when small."""
@@ -39,7 +42,7 @@ def stream_text_files(spark: SparkSession, in_dir: str, out_dir: str, checkpoint
     ``per_batch(chunks, batch_id)`` may add more sinks (QA generation, files);
     it must be idempotent per batch id, since a batch is replayed after a
     failure. Returns the started query."""
-    files = (spark.readStream.format("binaryFile").option("pathGlobFilter", glob)
+    files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", glob)
              .option("recursiveFileLookup", "true").load(in_dir))
     docs = text_files_frame(files)
     chunks = chunk_text(docs, text_col="text", size=size, overlap=overlap, keep=["path"])
