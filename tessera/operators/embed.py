@@ -47,12 +47,22 @@ class HashingEncoder:
 
     def __init__(self, dim: int = 64):
         self.dim = dim
+        self._bucket: dict[str, int] = {}
+
+    def _b(self, tok: str) -> int:
+        b = self._bucket.get(tok)
+        if b is None:
+            b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % self.dim
+            if len(self._bucket) < 1_000_000:
+                self._bucket[tok] = b
+        return b
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         for r, t in enumerate(texts):
-            for tok in t.split():
-                out[r, int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % self.dim] += 1.0
+            toks = t.split()
+            if toks:
+                np.add.at(out[r], [self._b(tok) for tok in toks], 1.0)
         return out
 
 

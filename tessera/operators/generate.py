@@ -96,8 +96,9 @@ def generate_qa(chunks: DataFrame, generator_factory: Callable[[], object], text
     keep = list(keep or [])
     src = question_fanout(chunks.select(*keep, F.col(index_col).cast("long").alias("chunk_index"),
                                         F.col(text_col).alias("context")), n_questions)
-    src = src.select(*keep, "chunk_index", "question_index", "context",
-                     question_prompt("context", question_template).alias("__qp"))
+    # prompts are built inside the task from the context (the template is a
+    # constant), so each context crosses to Python once
+    src = src.select(*keep, "chunk_index", "question_index", "context")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keep)
     schema = (schema + ", " if schema else "") + QA_SCHEMA
 
@@ -106,7 +107,8 @@ def generate_qa(chunks: DataFrame, generator_factory: Callable[[], object], text
         for pdf in batches:
             if gen is None or len(pdf) == 0:
                 continue
-            questions, qerr = _call_all(gen, pdf["__qp"].tolist(), qo)
+            qprompts = [question_template + TEXT_MARKER + c for c in pdf["context"].tolist()]
+            questions, qerr = _call_all(gen, qprompts, qo)
             aprompts = [answer_template + TEXT_MARKER + c + QUESTION_MARKER + q
                         for c, q in zip(pdf["context"].tolist(), questions)]
             answers, aerr = _call_all(gen, aprompts, ao)

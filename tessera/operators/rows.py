@@ -33,7 +33,8 @@ def with_row_index(df: DataFrame, name: str = "real_index") -> DataFrame:
         counts = meta.groupBy("__f").agg(F.count(F.lit(1)).alias("__n"))
         w = Window.orderBy("__f").rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.select("__f", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__o"))
-        offsets, _ = broadcast_if_bounded(offsets, row_bytes=512)
+        # one row per input file: the file listing proves the size, no count job
+        offsets, _ = broadcast_if_bounded(offsets, row_bytes=512, rows=len(df.inputFiles()))
         return (meta.join(offsets, "__f")
                 .withColumn(name, (F.col("__o") + F.col("__r")).cast("long"))
                 .drop("__f", "__r", "__o"))

@@ -205,15 +205,17 @@ def q_scan_json(spark, sf_dir):
 
 
 def _write_txt_files(spark, sf_dir) -> str:
-    """Each document as its own .txt file (the text writer ends it with a newline)."""
+    """Each document as its own UTF-8 .txt file ``doc_<id>.txt`` in the shared scratch folder."""
+    from tessera.sources.sinks import write_files
     path = scratch_path(spark, "documents-txt")
-    (documents(spark, sf_dir).select("doc_id", "text").write.mode("overwrite")
-     .partitionBy("doc_id").text(path))
+    files = documents(spark, sf_dir, True).select(F.format_string("doc_%d.txt", "doc_id").alias("file_name"),
+                                                  F.col("text").alias("body"))
+    write_files(files, path)
     return path
 
 
 def _doc_id_from_path() -> F.Column:
-    return F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id")
+    return F.regexp_extract("path", r"doc_(\d+)\.txt$", 1).cast("long").alias("doc_id")
 
 
 @query("scan_txt")
@@ -460,3 +462,11 @@ def q_topk_single(spark, sf_dir):
 def q_topk_batch(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     return se.top_k(v, v, k=5).withColumn("score", F.round("score", 6))
+
+
+@query("page_chunks")
+def q_page_chunks(spark, sf_dir):
+    """Document path with pages: non-blank pages joined with their banners,
+    then chunked (the banners' '=' signs are cleaned away, 'PAGE n' stays)."""
+    joined = pg.join_pages(_pages(spark, sf_dir), ["doc_id"])
+    return ch.chunk_text(joined, keep=["doc_id"])

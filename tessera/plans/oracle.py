@@ -74,8 +74,8 @@ ORACLE["scan_parquet"] = DOC_COLS
 ORACLE["scan_csv"] = DOC_COLS
 ORACLE["scan_json"] = DOC_COLS
 ORACLE["scan_named_split"] = DOC_COLS + " WHERE lang = 'en'"
-ORACLE["scan_txt"] = f"SELECT doc_id, {clean_txt('(text || ' + lit(NL) + ')')} AS text FROM documents"
-ORACLE["decode_txt"] = f"SELECT doc_id, text || {lit(NL)} AS text FROM documents"
+ORACLE["scan_txt"] = f"SELECT doc_id, {clean_txt('text')} AS text FROM documents"
+ORACLE["decode_txt"] = "SELECT doc_id, text FROM documents"
 
 
 def _preview(x: str) -> str:
@@ -209,3 +209,6 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id DESC) AS INTEGER) AS rank,
              vec_id, score FROM s)
 SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5"""
+
+ORACLE["page_chunks"] = f"""WITH RECURSIVE {PAGES_CTE}, {JOINED}, {chunks_cte('joined', 1000, 200)}
+SELECT * FROM chunks"""

@@ -54,7 +54,12 @@ def write_embeddings(df: DataFrame, path: str, keys: list[str], vec_col: str = "
 def _file_writer(base: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs as pafs
-        filesystem, root = pafs.FileSystem.from_uri(base) if "://" in base else (pafs.LocalFileSystem(), base)
+        if base.startswith("file:"):
+            filesystem, root = pafs.LocalFileSystem(), "/" + base[len("file:"):].lstrip("/")
+        elif "://" in base:
+            filesystem, root = pafs.FileSystem.from_uri(base)
+        else:
+            filesystem, root = pafs.LocalFileSystem(), base
         filesystem.create_dir(root, recursive=True)
         for pdf in batches:
             sizes = []
