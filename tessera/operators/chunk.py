@@ -27,6 +27,7 @@ DEFAULT_CHUNK_OVERLAP = 200
 DEFAULT_SENTENCES_PER_CHUNK = 5
 BOUNDARY_LOOKBACK = 100
 BOUNDARY_LOOKAHEAD = 50
+SMALL_STEP = 32  # below this smallest advance the native loop is quadratic in practice
 
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
@@ -118,9 +119,13 @@ def chunk_text(df: DataFrame, text_col: str = "text", size: int = DEFAULT_CHUNK_
 
     ``chunk_index`` counts emitted chunks per text from 0. Null or blank texts
     give no rows. ``method``: 'native' (JVM only), 'arrow' (Python loop for all
-    texts) or 'auto' (Python loop only for texts longer than ``long_text_chars``)."""
+    texts) or 'auto' (Python loop only for texts longer than ``long_text_chars``).
+    Settings whose smallest step is tiny (overlap close to or above the size)
+    make the array-append loop quadratic, so they always take the Python loop."""
     if size <= 0:
         raise ValueError("chunk size must be positive")
+    if min_advance(size, overlap) < SMALL_STEP:
+        method = "arrow"
     keep = [c for c in (keep if keep is not None else df.columns) if c != text_col]
     raw = F.col(text_col)
 
