@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.text import DATAPOINT_FILE_FORMAT, QA_PAIR_FILE_FORMAT
 
@@ -61,12 +60,10 @@ def alpaca_json() -> Column:
 
 
 def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx") -> DataFrame:
-    """0-based position in ``order_cols`` order. Distributed: a range-partitioned
-    sort, then ``zipWithIndex`` (per-partition counts, no single task)."""
-    ordered = df.orderBy(*order_cols)
-    schema = T.StructType(ordered.schema.fields + [T.StructField(name, T.LongType(), False)])
-    rdd = ordered.rdd.zipWithIndex().map(lambda p: tuple(p[0]) + (p[1],))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    """0-based position in ``order_cols`` order: a range-partitioned sort and
+    per-partition offsets (see ``rows.zip_index``), never a single task."""
+    from tessera.operators.rows import zip_index
+    return zip_index(df, name, order_cols)
 
 
 def alpaca_datapoint_files(qa: DataFrame, order_cols=("chunk_index", "question_index")) -> DataFrame:

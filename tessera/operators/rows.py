@@ -16,14 +16,42 @@ def require_text_column(df: DataFrame, text_col: str) -> None:
                          f"Available columns: {list(df.columns)}")
 
 
+_LOCAL_BITS = 33  # monotonically_increasing_id = partition id << 33 | position in partition
+
+
+def zip_index(df: DataFrame, name: str = "idx", order_cols: list[str] | None = None) -> DataFrame:
+    """0-based dense position of every row, natively (no Python round trip).
+
+    With ``order_cols`` the frame is range-partitioned into a fixed number of
+    partitions (so adaptive coalescing cannot change them between the two
+    uses below) and sorted inside each; otherwise the current partition order
+    is used. Each row's position inside its partition comes from
+    ``monotonically_increasing_id``; one count per partition is prefix-summed
+    and broadcast (bounded by the partition count, known without a job)."""
+    if order_cols:
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    else:
+        n = df.rdd.getNumPartitions()
+    mid = F.monotonically_increasing_id()
+    s = df.withColumn("__mid", mid).withColumn("__pid", F.shiftright("__mid", _LOCAL_BITS))
+    counts = s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__o"))
+    offsets, _ = broadcast_if_bounded(offsets, row_bytes=32, rows=n)
+    local = F.col("__mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
+    return (s.join(offsets, "__pid").withColumn(name, (F.col("__o") + local).cast("long"))
+            .drop("__mid", "__pid", "__o"))
+
+
 def with_row_index(df: DataFrame, name: str = "real_index") -> DataFrame:
     """Attach each row's position in the loaded table (0-based, long).
 
     For a Parquet scan the position comes from file metadata: the row index
     inside its file plus the row count of all files that sort before it. Only
     one row per *file* is aggregated and broadcast (size checked), so nothing
-    grows with the row count. Other sources fall back to ``zipWithIndex``,
-    which is distributed (one count job per partition, no single task)."""
+    grows with the row count. Other sources use ``zip_index`` over the current
+    partition order (distributed, native)."""
     try:
         meta = df.select("*", F.col("_metadata.file_path").alias("__f"),
                          F.col("_metadata.row_index").alias("__r"))
@@ -38,9 +66,7 @@ def with_row_index(df: DataFrame, name: str = "real_index") -> DataFrame:
         return (meta.join(offsets, "__f")
                 .withColumn(name, (F.col("__o") + F.col("__r")).cast("long"))
                 .drop("__f", "__r", "__o"))
-    schema = T.StructType(df.schema.fields + [T.StructField(name, T.LongType(), False)])
-    rdd = df.rdd.zipWithIndex().map(lambda p: tuple(p[0]) + (p[1],))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    return zip_index(df, name)
 
 
 def slice_rows(df: DataFrame, start: int = 0, max_samples: int | None = None,
