@@ -65,3 +65,32 @@ def running_qa_stats(qa_stream: DataFrame, type_col: str = "question_type") -> D
     return qa_stream.groupBy(t.alias("question_type")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.length("question")).alias("avg_question_length"),
         F.avg(F.length("answer")).alias("avg_answer_length"))
+
+
+def stream_documents_to_qa(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
+                           generator_factory: Callable, n_questions: int = 3,
+                           size: int = DEFAULT_CHUNK_SIZE, overlap: int = DEFAULT_CHUNK_OVERLAP,
+                           save_individual: bool = True, glob: str = "*.txt", available_now: bool = True):
+    """The reference's save-as-you-go run as a stream: every new text file is
+    chunked, its chunks get QA pairs from the plug-in, and each micro-batch
+    writes its chunks, its QA rows and (optionally) one file per chunk and per
+    QA pair. A replayed batch overwrites exactly its own outputs."""
+    from tessera.functions.text import CHUNK_FILE_FORMAT, CHUNK_QA_FILE_FORMAT
+    from tessera.operators.formats import chunk_files, chunk_qa_files
+    from tessera.operators.generate import generate_qa
+    from tessera.sources.sinks import write_files
+
+    root = out_dir.rstrip("/")
+
+    def per_batch(chunks: DataFrame, batch_id: int) -> None:
+        stored = spark.read.parquet(f"{root}/chunks/batch_id={batch_id}")
+        qa = generate_qa(stored, generator_factory, index_col="chunk_index", n_questions=n_questions,
+                         keep=["path"])
+        qa.write.mode("overwrite").parquet(f"{root}/qa/batch_id={batch_id}")
+        if save_individual:
+            qa_stored = spark.read.parquet(f"{root}/qa/batch_id={batch_id}")
+            write_files(chunk_files(stored, CHUNK_FILE_FORMAT, prefix_col="path"), f"{root}/files")
+            write_files(chunk_qa_files(qa_stored, CHUNK_QA_FILE_FORMAT, prefix_col="path"), f"{root}/files")
+
+    return stream_text_files(spark, in_dir, f"{root}/chunks", checkpoint, size, overlap, per_batch, glob,
+                             available_now)

@@ -103,3 +103,11 @@ def test_sentence_chunks_random(spark):
     for i, t in enumerate(texts):
         got = [r.chunk for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.chunk_index)]
         assert got == pyref.sentence_chunks(t, 3)
+
+
+def test_auto_sends_only_long_texts_to_python(spark):
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice("abc .!?\n") for _ in range(n)) for n in (50, 800, 3000, 12000)]
+    out = _run(spark, texts, "auto", size=300, overlap=40, long_text_chars=1000)
+    for i, t in enumerate(texts):
+        assert [r.chunk for r in out[i]] == pyref.chunks(t, 300, 40)

@@ -45,3 +45,21 @@ def test_running_qa_stats_stream(spark, tmp_out):
     q.awaitTermination()
     got = {r.question_type: r.n for r in spark.sql("select * from qa_stats_test").collect()}
     assert got == {"unknown": 1, "x": 1}
+
+
+def test_stream_documents_to_qa(spark, tmp_out):
+    from tessera.operators.generate import FirstSentenceGenerator
+    src, out, ckpt = (os.path.join(tmp_out, d) for d in ("in", "out", "ckpt"))
+    os.makedirs(src)
+    with open(os.path.join(src, "book.txt"), "w") as f:
+        f.write("One sentence here. " * 150)
+    inc.stream_documents_to_qa(spark, src, out, ckpt, FirstSentenceGenerator, n_questions=2).awaitTermination()
+    chunks = spark.read.parquet(f"{out}/chunks").count()
+    qa = spark.read.parquet(f"{out}/qa")
+    assert chunks > 1 and qa.count() == 2 * chunks
+    # the text-file banner leaks into the first chunk, as in the reference
+    first = qa.filter("chunk_index = 0").select("question").distinct().collect()
+    assert [r.question for r in first] == ["TEXT DOCUMENT  One sentence here?"]  # deleted rule leaves two spaces
+    assert qa.filter("question LIKE '%?'").count() == 2 * chunks
+    assert os.path.exists(os.path.join(out, "files", "book.txt", "chunk_0000.txt"))
+    assert os.path.exists(os.path.join(out, "files", "book.txt", "chunk_0000_qa_01.json"))
