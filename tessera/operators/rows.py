@@ -58,11 +58,16 @@ def with_row_index(df: DataFrame, name: str = "real_index") -> DataFrame:
     except Exception:
         meta = None
     if meta is not None:
+        n_files = len(df.inputFiles())
+        if n_files <= 1:
+            # one file: the position is the file's row index, so a range filter
+            # on it is a pushed Parquet filter (row groups are skipped)
+            return df.select("*", F.col("_metadata.row_index").cast("long").alias(name))
         counts = meta.groupBy("__f").agg(F.count(F.lit(1)).alias("__n"))
         w = Window.orderBy("__f").rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.select("__f", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__o"))
         # one row per input file: the file listing proves the size, no count job
-        offsets, _ = broadcast_if_bounded(offsets, row_bytes=512, rows=len(df.inputFiles()))
+        offsets, _ = broadcast_if_bounded(offsets, row_bytes=512, rows=n_files)
         return (meta.join(offsets, "__f")
                 .withColumn(name, (F.col("__o") + F.col("__r")).cast("long"))
                 .drop("__f", "__r", "__o"))
