@@ -123,6 +123,8 @@ def generate_qa(chunks: DataFrame, generator_factory: Callable[[], object], text
     return src.mapInPandas(run, schema)
 
 
+qa_pairs = generate_qa  # the public name used in the survey's API sketch
+
 _PIECES = re.compile("[^" + re.escape(SENTENCE_TERMINATORS) + "]+")
 
 

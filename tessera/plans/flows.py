@@ -66,6 +66,7 @@ def build_from_documents(spark: SparkSession, path: str, out_dir: str,
     """TXT and PDF files under ``path`` -> chunks -> QA -> vectors -> exports.
     Chunks are keyed by (path, chunk_index); ids use the chunk index, as in
     the reference's document path."""
+    rd.check_document_path(spark, path)
     files = rd.read_binary_files(spark, path)
     parts = rd.split_by_extension(files)
     docs = rd.text_files_frame(parts["txt"])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.decode import decode_text
-from tessera.functions.text import clean_txt, preview, ws_trim
+from tessera.functions.text import clean_txt, preview
 
 SUPPORTED_TYPES = ("csv", "json", "jsonl", "parquet")
 
@@ -122,6 +122,24 @@ def read_pdf_pages(spark: SparkSession, path: str, extractor_factory: Callable[[
     return files.mapInPandas(run, schema)
 
 
+DOCUMENT_EXTENSIONS = ("pdf", "txt")
+
+
+def check_document_path(spark: SparkSession, path: str) -> None:
+    """The reference's checks for one input: missing -> FileNotFoundError; a
+    single file with another extension -> ValueError. Folders are routed by
+    ``split_by_extension`` instead."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        raise FileNotFoundError(f"File not found: {path}")
+    if fs.getFileStatus(hpath).isFile():
+        ext = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+        if ext not in DOCUMENT_EXTENSIONS:
+            raise ValueError(f"Unsupported file type: .{ext}. Supported types: .pdf, .txt")
+
+
 def split_by_extension(files: DataFrame) -> dict[str, DataFrame]:
     """Route a binaryFile frame by lower-cased extension: 'pdf', 'txt' and
     'unsupported' (the reference raises on the latter; we keep them aside)."""

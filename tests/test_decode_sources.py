@@ -1,7 +1,6 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.functions.decode import decode_text
 from tessera.sources import readers as rd
@@ -92,3 +91,14 @@ def test_pdf_pages_plugin(spark, tmp_out):
 
     pages = rd.read_pdf_pages(spark, tmp_out, factory, max_pages=3).orderBy("page_num").collect()
     assert [(p.page_num, p.text) for p in pages] == [(1, "page one"), (2, "page two"), (3, "")]
+
+
+def test_document_path_checks(spark, tmp_out):
+    with pytest.raises(FileNotFoundError):
+        rd.check_document_path(spark, f"{tmp_out}/missing.txt")
+    p = os.path.join(tmp_out, "notes.docx")
+    with open(p, "w") as f:
+        f.write("x")
+    with pytest.raises(ValueError, match="Unsupported"):
+        rd.check_document_path(spark, p)
+    rd.check_document_path(spark, tmp_out)  # a folder is fine

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import pages as pg

@@ -3,7 +3,6 @@ import glob
 import json
 import os
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import combine as cb
