@@ -2,14 +2,16 @@
 chunks, sentence groups and paragraphs.
 
 The overlapping chunker is sequential inside one text (each start depends on
-the previous chunk's end) and parallel across texts. The default plan is a
-native ``aggregate`` over a bounded ``sequence`` that carries the next start
-and the collected spans, followed by ``posexplode``; it never leaves the JVM.
-For book-sized texts an Arrow-batched pandas UDF walks the same loop with
-``str.rfind`` (linear per text) -- only texts above ``long_text_chars`` are
-shipped to Python, shorter ones cross as nulls.
-
-The whole array expression is built inside the generator with let-bound inner
+the previous chunk's end) and parallel across texts. Cleaning (the regex
+work) is a JVM expression. The walk itself has two forms:
+* 'arrow' (default): an Arrow-batched pandas UDF walks the cleaned text with
+  ``str.rfind`` and cuts the chunks by index -- linear in the text length;
+* 'native': a bounded ``aggregate`` over ``sequence`` carrying the next start
+  and the spans, then ``posexplode``. It never leaves the JVM, but appending
+  to the span array and ``substring`` on a long variable-width string are both
+  linear per step, so a book-sized text makes it quadratic.
+
+The native array expression is built inside the generator with let-bound inner
 values (``transform(array(x), f)[0]``): building it with ``withColumn`` first
 lets the optimizer copy the cleaning regexes into an inferred size filter."""
 from __future__ import annotations
@@ -98,14 +100,41 @@ def chunk_spans_py(text: str, size: int, overlap: int) -> list:
     return out
 
 
-def _spans_udf(size: int, overlap: int):
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else [list(p) for p in chunk_spans_py(t, size, overlap)])
-    return spans
+_PY_CHUNKS = T.StructType([T.StructField("starts", T.ArrayType(T.IntegerType())),
+                           T.StructField("ends", T.ArrayType(T.IntegerType())),
+                           T.StructField("chunks", T.ArrayType(T.StringType()))])
+
+
+def _py_chunks_udf(size: int, overlap: int):
+    """Arrow-batched walk that also cuts the chunk strings: Python slices by
+    index in O(1), while a JVM ``substring`` on a long variable-width string
+    walks from its start, which makes cutting thousands of chunks quadratic."""
+    @F.pandas_udf(_PY_CHUNKS)
+    def walk(texts: pd.Series) -> pd.DataFrame:
+        starts, ends, chunks = [], [], []
+        for t in texts:
+            if t is None:
+                starts.append(None), ends.append(None), chunks.append(None)
+                continue
+            n = len(t)
+            spans = chunk_spans_py(t, size, overlap)
+            starts.append([a for a, _ in spans])
+            ends.append([min(b, n) for _, b in spans])
+            chunks.append([t[a:b].strip(" ") for a, b in spans])
+        return pd.DataFrame({"starts": starts, "ends": ends, "chunks": chunks})
+    return walk
+
+
+def _py_chunk_items(res: Column) -> Column:
+    zipped = F.arrays_zip(res["starts"], res["ends"], res["chunks"])
+    items = F.transform(zipped, lambda z: F.struct(z["starts"].alias("start"), z["ends"].alias("end"),
+                                                   z["chunks"].alias("chunk")))
+    return F.filter(items, lambda x: x["chunk"] != "")
 
 
 def _chunks_from_spans(t: Column, spans: Column) -> Column:
+    """Cut (start, end, chunk) items natively; fine for ordinary texts, where
+    ``substring`` from the front of the string is cheap."""
     items = F.transform(spans, lambda p: F.struct(
         p["start"].alias("start"), F.least(p["end"], F.length(t)).alias("end"),
         F.trim(F.substring(t, p["start"] + 1, p["end"] - p["start"])).alias("chunk")))
@@ -114,12 +143,15 @@ def _chunks_from_spans(t: Column, spans: Column) -> Column:
 
 def chunk_text(df: DataFrame, text_col: str = "text", size: int = DEFAULT_CHUNK_SIZE,
                overlap: int = DEFAULT_CHUNK_OVERLAP, keep: list[str] | None = None,
-               method: str = "native", long_text_chars: int = 200_000) -> DataFrame:
+               method: str = "arrow", long_text_chars: int = 200_000) -> DataFrame:
     """One row per chunk: ``keep`` columns + chunk_index, chunk_start, chunk_end, chunk.
 
     ``chunk_index`` counts emitted chunks per text from 0. Null or blank texts
-    give no rows. ``method``: 'native' (JVM only), 'arrow' (Python loop for all
-    texts) or 'auto' (Python loop only for texts longer than ``long_text_chars``).
+    give no rows. Cleaning always runs in the JVM. ``method``:
+    'arrow' (default) walks and cuts in an Arrow-batched pandas UDF -- linear in
+    the text length and, measured at sf0.1, slightly faster than the JVM loop;
+    'native' keeps everything in the JVM (fine for texts up to ~200k chars,
+    quadratic beyond); 'auto' uses the JVM loop below ``long_text_chars``.
     Settings whose smallest step is tiny (overlap close to or above the size)
     make the array-append loop quadratic, so they always take the Python loop."""
     if size <= 0:
@@ -135,17 +167,17 @@ def chunk_text(df: DataFrame, text_col: str = "text", size: int = DEFAULT_CHUNK_
         arr = _let(chunk_clean(raw), build)
         src = df
     elif method in ("arrow", "auto"):
-        udf = _spans_udf(size, overlap)
+        udf = _py_chunks_udf(size, overlap)
         cleaned = "__tessera_clean"
-        src = df.withColumn(cleaned, chunk_clean(raw))
+        # only the keys and the cleaned text travel past the Python node
+        src = df.select(*[F.col(c) for c in keep], chunk_clean(raw).alias(cleaned))
         t = F.col(cleaned)
         if method == "arrow":
-            spans = F.transform(udf(t), lambda p: F.struct(p[0].alias("start"), p[1].alias("end")))
+            arr = _py_chunk_items(udf(t))
         else:
             long_ = F.length(t) > F.lit(long_text_chars)
-            py = F.transform(udf(F.when(long_, t)), lambda p: F.struct(p[0].alias("start"), p[1].alias("end")))
-            spans = F.when(long_, py).otherwise(chunk_spans(t, size, overlap))
-        arr = _chunks_from_spans(t, spans)
+            arr = F.when(long_, _py_chunk_items(udf(F.when(long_, t)))).otherwise(
+                _chunks_from_spans(t, chunk_spans(t, size, overlap)))
     else:
         raise ValueError(f"unknown chunk method {method!r}")
 

@@ -63,10 +63,8 @@ def q_chunk_small(spark, sf_dir):
 
 @query("chunk_overlap_ge_size")
 def q_chunk_overlap_ge_size(spark, sf_dir):
-    # one-character steps: quadratic for the array-append loop, so the
-    # Arrow-batched Python walk is used (linear per text)
-    return ch.chunk_text(documents(spark, sf_dir, True).select("doc_id", "text"), size=50, overlap=60,
-                         method="arrow")
+    # one-character steps: the linear Arrow-batched walk (the default)
+    return ch.chunk_text(documents(spark, sf_dir, True).select("doc_id", "text"), size=50, overlap=60)
 
 
 @query("chunk_sentences")
