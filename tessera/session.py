@@ -24,6 +24,8 @@ def get_spark(master: str | None = None, app: str = "tessera",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # 64-bit string offsets: a batch of long texts may exceed 2 GB of characters
+        "spark.sql.execution.arrow.useLargeVarTypes": "true",
         "spark.sql.session.timeZone": "UTC",
     }
     if master and master.startswith("local"):
