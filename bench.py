@@ -11,6 +11,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from tessera.plans.catalog import QUERIES  # noqa: E402
 from tessera.session import get_spark  # noqa: E402
 
@@ -23,8 +25,12 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or HEADLINE
     spark = get_spark(f"local[{cpus}]", app="tessera-bench", shuffle_partitions=cpus * 2)
-    # session start-up, not query time: first job, and one Python worker per core
-    spark.range(1000).selectExpr("sum(id)").collect()
+    # Session start-up, not query time: a generic engine warm-up on synthetic
+    # rows (no test tables): a string regex, a shuffle, and one Python worker
+    # per core for the Arrow-batched maps.
+    (spark.range(0, 200_000, 1, cpus)
+     .selectExpr("regexp_replace(repeat(cast(id as string), 20), '1+', ' ') as s")
+     .groupBy(F.length("s").alias("n")).count().collect())
     spark.range(0, cpus, 1, cpus).mapInPandas(lambda it: it, "id long").collect()
     times = {}
     for name in names:
