@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from tessera.functions.text import clean_page, is_blank, join_cleaned_pages, valid_text, ws_trim
 
 
+def pages_from_text_layer(docs: DataFrame, keys: list[str], text_col: str = "text",
+                          separator: str = "\f") -> DataFrame:
+    """Pages of text-layer inputs whose pages are separated by form feeds:
+    one row per page, numbered from 1 (empty pages kept, so numbers stay true)."""
+    return docs.select(*keys, F.posexplode(F.split(F.col(text_col), separator, -1)).alias("__i", "text")) \
+        .select(*keys, (F.col("__i") + 1).cast("int").alias("page_num"), "text")
+
+
 def page_limit(pages: DataFrame, max_pages: int | None) -> DataFrame:
     """First ``max_pages`` pages of every document; a falsy value means all."""
     return pages.filter(F.col("page_num") <= max_pages) if max_pages else pages

@@ -13,12 +13,19 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.functions.decode import decode_text
 from tessera.operators import chunk as ch
+from tessera.operators import combine as cb
+from tessera.operators import embed as em
+from tessera.operators import formats as fm
+from tessera.operators import generate as gn
 from tessera.operators import pages as pg
 from tessera.operators import rows as rw
+from tessera.operators import search as se
+from tessera.operators import stats as stt
 from tessera.plans.parallel import spread
-from tessera.plans.standins import load, pages_from_documents
+from tessera.plans.standins import load, pages_from_documents, qa_pairs_from_conversations
 from tessera.session import scratch_path
 from tessera.sources import readers as rd
+from tessera.streaming.incremental import resume_anti
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -248,16 +255,6 @@ def q_dataset_info(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- QA and formats
-from tessera.operators import combine as cb  # noqa: E402
-from tessera.operators import embed as em  # noqa: E402
-from tessera.operators import formats as fm  # noqa: E402
-from tessera.operators import generate as gn  # noqa: E402
-from tessera.operators import search as se  # noqa: E402
-from tessera.operators import stats as stt  # noqa: E402
-from tessera.plans.standins import qa_pairs_from_conversations  # noqa: E402
-from tessera.streaming.incremental import resume_anti  # noqa: E402
-
-
 def _qa(spark, sf_dir, with_types: bool = False) -> DataFrame:
     conv = load(spark, sf_dir, "conversations")
     labels = load(spark, sf_dir, "labels") if with_types else None

@@ -5,7 +5,9 @@ benchmark, ... Queries without a SQL form (model plug-ins, streams) are absent
 and get a rows-only check."""
 from __future__ import annotations
 
-from tessera.functions.text import DATASET_CHUNK_FOOTER, DATASET_CHUNK_HEADER, RULE
+from tessera.functions.text import (DATASET_CHUNK_FOOTER, DATASET_CHUNK_HEADER, RULE, TERMINATOR_CLASS,
+                                    WS_CLASS)
+from tessera.operators.generate import ANSWER_TEMPLATE, QUESTION_MARKER, QUESTION_TEMPLATE_API, TEXT_MARKER
 from tessera.plans.sqltext import (chunks_cte, clean, clean_txt, collapse, last_term_len, lit,
                                    split_sentences, trim_ws)
 
@@ -90,8 +92,6 @@ ORACLE["dataset_info"] = f"""SELECT 'documents' AS name, 'train' AS split, CAST(
 FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 1)"""
 
 # ---------------------------------------------------------------- QA and formats
-from tessera.functions.text import TERMINATOR_CLASS, WS_CLASS  # noqa: E402
-from tessera.operators.generate import ANSWER_TEMPLATE, QUESTION_MARKER, QUESTION_TEMPLATE_API, TEXT_MARKER  # noqa: E402
 
 QA_CTE = """qa AS (
   SELECT printf('dataset_%d_question_%d', u.conv_id, u.turn) AS id, u.text AS question, a.text AS answer,

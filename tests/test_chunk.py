@@ -55,9 +55,9 @@ TEXT_ALPHABET = st.sampled_from(list("abc ءبت.!?؟؛,\n\t") + ["xyz. ", "  ",
 
 @settings(max_examples=30, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(texts=st.lists(st.lists(TEXT_ALPHABET, max_size=400).map("".join), min_size=1, max_size=6),
-       size=st.integers(20, 300), overlap=st.integers(0, 320))
-def test_native_matches_python_restatement(spark, texts, size, overlap):
-    out = _run(spark, texts, "native", size=size, overlap=overlap)
+       size=st.integers(20, 300), overlap=st.integers(0, 320), method=st.sampled_from(["native", "arrow"]))
+def test_walks_match_python_restatement(spark, texts, size, overlap, method):
+    out = _run(spark, texts, method, size=size, overlap=overlap)
     for i, t in enumerate(texts):
         assert [r.chunk for r in out[i]] == pyref.chunks(t, size, overlap)
 

@@ -69,3 +69,11 @@ def test_keep_and_drop_blank(spark, pages):
     kept = {(r.doc, r.page_num): r.text for r in pg.pages_keep_blank(pages).collect()}
     assert kept[(1, 2)] == "" and kept[(1, 1)] == "first  page"
     assert pg.pages_drop_blank(pages).count() == 2
+
+
+def test_pages_from_text_layer(spark):
+    df = spark.createDataFrame([(1, "p one\fp two\f\fp four")], "doc long, text string")
+    got = [(r.page_num, r.text) for r in pg.pages_from_text_layer(df, ["doc"]).orderBy("page_num").collect()]
+    assert got == [(1, "p one"), (2, "p two"), (3, ""), (4, "p four")]
+    joined = pg.join_pages(pg.pages_from_text_layer(df, ["doc"]), ["doc"], max_pages=2).first().text
+    assert "=== PAGE 2 ===" in joined and "p four" not in joined
