@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.text import (LAST_TERMINATOR_PREFIX, SENTENCE_TERMINATORS,
                                     chunk_clean, paragraphs, split_sentences)
+from tessera.session import ensure_on_executors
 
 DEFAULT_CHUNK_SIZE = 1000
 DEFAULT_CHUNK_OVERLAP = 200
@@ -167,6 +168,7 @@ def chunk_text(df: DataFrame, text_col: str = "text", size: int = DEFAULT_CHUNK_
         arr = _let(chunk_clean(raw), build)
         src = df
     elif method in ("arrow", "auto"):
+        ensure_on_executors(df.sparkSession)
         udf = _py_chunks_udf(size, overlap)
         cleaned = "__tessera_clean"
         # only the keys and the cleaned text travel past the Python node

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tessera.session import ensure_on_executors
 
 DEFAULT_BATCH_SIZE = 32
 MAX_TOKENS = 512
@@ -25,6 +26,8 @@ def embed(df: DataFrame, encoder_factory: Callable[[], object], text_col: str =
     """Append ``out_col`` (array<float>) computed by the plug-in encoder in
     batches of ``batch_size`` texts. Null text gives a null vector."""
 
+    ensure_on_executors(df.sparkSession)
+
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def enc(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = encoder_factory()

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import QA_ID_FORMAT, SENTENCE_TERMINATORS
+from tessera.session import ensure_on_executors
 
 DEFAULT_QUESTIONS_PER_CHUNK = 3
 
@@ -91,6 +92,7 @@ def generate_qa(chunks: DataFrame, generator_factory: Callable[[], object], text
 
     Non-deterministic model calls: materialise the result (write it) before
     using it twice, or each action calls the model again."""
+    ensure_on_executors(chunks.sparkSession)
     qo = dict(QUESTION_OPTIONS if question_options is None else question_options)
     ao = dict(ANSWER_OPTIONS if answer_options is None else answer_options)
     keep = list(keep or [])

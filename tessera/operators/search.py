@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.parallel import BROADCAST_BYTES_LIMIT
+from tessera.session import ensure_on_executors
 
 DEFAULT_TOP_K = 5
 QUERY_SUBBLOCK = 1024
@@ -129,6 +130,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_TOP_K, id_col:
     bytes, checked from the count and the vector width); each block is one
     pass over the corpus. No query x corpus rows are ever materialised."""
     spark = queries.sparkSession
+    ensure_on_executors(spark)
     qid = query_id_col or id_col
     qs = queries.select(F.col(qid).alias("query_id"), F.col(vec_col).alias("__v"))
     stats = qs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("__v")).alias("d")).first()

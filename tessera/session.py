@@ -65,3 +65,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the shared checkpoint folder."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ensure_on_executors(spark: SparkSession) -> None:
+    """Make the ``tessera`` package importable in the Python workers.
+
+    Arrow-batched maps pickle references to functions of this package; the
+    workers can import them only if the package travels with the job. It is
+    zipped once per SparkContext and shipped with ``addPyFile`` (Spark serves
+    it to every executor), so nothing has to be installed on the cluster."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_shipped", False):
+        return
+    import zipfile
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    staging = tempfile.mkdtemp(prefix="tessera-pyfiles-")  # driver-side staging, served by Spark
+    path = os.path.join(staging, "tessera.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    sc._tessera_shipped = True

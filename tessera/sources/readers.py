@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.decode import decode_text
 from tessera.functions.text import clean_txt, preview
+from tessera.session import ensure_on_executors
 
 SUPPORTED_TYPES = ("csv", "json", "jsonl", "parquet")
 
@@ -105,6 +106,7 @@ def read_pdf_pages(spark: SparkSession, path: str, extractor_factory: Callable[[
     """One row per page: (path, page_num, text). The extractor is built once per
     task by ``extractor_factory`` and maps file bytes to page texts in order.
     Pages past ``max_pages`` are not extracted."""
+    ensure_on_executors(spark)
     files = read_binary_files(spark, path, glob).select("path", "content")
     schema = "path string, page_num int, text string"
 

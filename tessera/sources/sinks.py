@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tessera.operators import formats as fm
 from tessera.operators.stats import metadata
+from tessera.session import ensure_on_executors
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
@@ -79,6 +80,7 @@ def _file_writer(base: str):
 def write_files(files: DataFrame, base: str) -> int:
     """Write each (file_name, body) row as its own UTF-8 file under ``base``
     (any filesystem pyarrow can open). Runs in the executors; returns the count."""
+    ensure_on_executors(files.sparkSession)
     out = files.select("file_name", "body").mapInPandas(_file_writer(base), "file_name string, bytes long")
     return int(out.agg(F.count(F.lit(1))).first()[0])
 
