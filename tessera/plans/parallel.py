@@ -16,9 +16,11 @@ def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = N
     hash-repartition (by ``key`` when given, so retries are deterministic).
     Inputs that already have enough partitions -- every large input -- are left
     alone, so this never adds a shuffle at scale."""
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave partitioning to Spark
+        return df
     if have >= want:
         return df
     return df.repartition(want, key) if key else df.repartition(want)
