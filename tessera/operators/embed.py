@@ -32,11 +32,12 @@ def embed(df: DataFrame, encoder_factory: Callable[[], object], text_col: str =
     def enc(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = encoder_factory()
         for texts in it:
-            out = [None] * len(texts)
-            idx = [i for i, t in enumerate(texts) if t is not None]
+            values = texts.tolist()
+            out = [None] * len(values)
+            idx = [i for i, t in enumerate(values) if t is not None]
             for lo in range(0, len(idx), batch_size):
                 part = idx[lo:lo + batch_size]
-                vecs = np.asarray(model.encode([texts.iloc[i] for i in part]), dtype=np.float32)
+                vecs = np.asarray(model.encode([values[i] for i in part]), dtype=np.float32)
                 for j, i in enumerate(part):
                     out[i] = vecs[j]
             yield pd.Series(out, dtype=object)
@@ -65,7 +66,7 @@ class HashingEncoder:
         for r, t in enumerate(texts):
             toks = t.split()
             if toks:
-                np.add.at(out[r], [self._b(tok) for tok in toks], 1.0)
+                out[r] = np.bincount([self._b(tok) for tok in toks], minlength=self.dim)
         return out
 
 
