@@ -465,3 +465,10 @@ def q_page_chunks(spark, sf_dir):
     then chunked (the banners' '=' signs are cleaned away, 'PAGE n' stays)."""
     joined = pg.join_pages(_pages(spark, sf_dir), ["doc_id"])
     return ch.chunk_text(joined, keep=["doc_id"])
+
+
+@query("chunk_files")
+def q_chunk_files(spark, sf_dir):
+    """One text file per chunk (name and body), in one folder per document."""
+    chunks = _doc_chunks(spark, sf_dir).withColumn("path", F.format_string("doc_%d.txt", "doc_id"))
+    return fm.chunk_files(chunks, tx.CHUNK_FILE_FORMAT, prefix_col="path")

@@ -212,3 +212,6 @@ SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5""
 
 ORACLE["page_chunks"] = f"""WITH RECURSIVE {PAGES_CTE}, {JOINED}, {chunks_cte('joined', 1000, 200)}
 SELECT * FROM chunks"""
+
+ORACLE["chunk_files"] = f"""WITH RECURSIVE {DOC_CHUNKS}
+SELECT printf('doc_%d.txt/chunk_%04d.txt', doc_id, chunk_index) AS file_name, chunk AS body FROM chunks"""
