@@ -26,6 +26,8 @@ def get_spark(master: str | None = None, app: str = "tessera",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # 64-bit string offsets: a batch of long texts may exceed 2 GB of characters
         "spark.sql.execution.arrow.useLargeVarTypes": "true",
+        # batches of long texts are capped by bytes, not only by row count
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
         "spark.sql.session.timeZone": "UTC",
     }
     if master and master.startswith("local"):
