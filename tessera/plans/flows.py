@@ -40,11 +40,13 @@ def _tail(spark: SparkSession, chunks: DataFrame, out_dir: str, index_col: str,
     qa = sk.materialize(qa, f"{root}/{base}_qa_raw.parquet")
     emb = None
     if encoder_factory is not None:
-        emb = sk.materialize(em.embed(spread(chunks, index_col), encoder_factory, text_col="chunk",
-                                      batch_size=batch_size),
-                             f"{root}/{base}_chunk_vectors.parquet")
+        # computed once, written once by the export as the embeddings table
+        emb = em.embed(spread(chunks, index_col), encoder_factory, text_col="chunk", batch_size=batch_size)
     outputs = sk.export_qa(qa.drop("error"), root, base, output_format, embeddings=emb,
-                           embedding_keys=keep + [index_col], source_file=source_file)
+                           embedding_keys=keep + [index_col], source_file=source_file, stored=True)
+    outputs["qa_parquet"] = f"{root}/{base}_qa_raw.parquet"
+    if emb is not None:
+        emb = spark.read.parquet(outputs["embeddings"])
     if save_individual:
         cf = fm.chunk_files(chunks, chunk_name, key=index_col, prefix_col="path" if keep else None)
         qf = fm.chunk_qa_files(qa, qa_name, prefix_col="path" if keep else None)

@@ -98,16 +98,20 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
 
 def export_qa(qa: DataFrame, out_dir: str, base: str | None = None, output_format: str = "all",
               embeddings: DataFrame | None = None, embedding_keys: list[str] | None = None,
-              source_file: str | None = None, datapoint_files: bool = True) -> dict[str, str]:
+              source_file: str | None = None, datapoint_files: bool = True,
+              stored: bool = False) -> dict[str, str]:
     """Write the QA frame in the requested formats: 'json', 'csv' or 'all'
     (raw json + csv, instructions with and without id, alpaca, alpaca data
-    points, chat), plus vectors and metadata when given."""
+    points, chat), plus vectors and metadata when given. ``stored=True`` means
+    ``qa`` already reads a written table, so it is not written again."""
     if output_format not in ("json", "csv", "all"):
         raise ValueError("output_format must be json, csv or all")
     base = base or timestamped_base()
     root = out_dir.rstrip("/")
-    qa = materialize(qa, f"{root}/{base}_qa.parquet")
-    out: dict[str, str] = {"qa_parquet": f"{root}/{base}_qa.parquet"}
+    out: dict[str, str] = {}
+    if not stored:
+        qa = materialize(qa, f"{root}/{base}_qa.parquet")
+        out["qa_parquet"] = f"{root}/{base}_qa.parquet"
     instr_id = fm.to_instruction_with_id(qa)
     if output_format in ("json", "all"):
         out["instructions_json"] = write_json(instr_id, f"{root}/{base}_instructions_id.json")
