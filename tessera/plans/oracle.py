@@ -23,7 +23,7 @@ PAGES_CTE = f"""pages AS (
 
 ORACLE["chunk_stats"] = f"""WITH RECURSIVE {chunks_cte("(SELECT doc_id || '|' || source AS doc_id, text FROM documents WHERE " + trim_ws('text') + " <> '')", 1000, 200)}
 SELECT split_part(doc_id, '|', 2) AS source, count(*) AS n_chunks, round(avg(length(chunk)), 6) AS avg_chunk_chars,
-       min(length(chunk)) AS min_chunk_chars, max(length(chunk)) AS max_chunk_chars
+       CAST(min(length(chunk)) AS INTEGER) AS min_chunk_chars, CAST(max(length(chunk)) AS INTEGER) AS max_chunk_chars
 FROM chunks GROUP BY 1"""
 
 ORACLE["chunk_text"] = f"WITH RECURSIVE {chunks_cte('documents', 1000, 200)} SELECT * FROM chunks"
@@ -45,14 +45,14 @@ SELECT doc_id, CAST(i AS INTEGER) AS para_index, p[i + 1] AS text FROM g"""
 ORACLE["ws_trim"] = f"SELECT doc_id, {trim_ws('text')} AS text FROM documents"
 ORACLE["ws_collapse"] = f"SELECT doc_id, {collapse('text')} AS text FROM documents"
 ORACLE["chunk_clean"] = f"SELECT doc_id, {clean('text')} AS text FROM documents"
-ORACLE["sentence_boundary"] = f"""SELECT doc_id, CASE WHEN {last_term_len(clean('text'))} > 0 THEN {last_term_len(clean('text'))} END AS boundary FROM documents"""
+ORACLE["sentence_boundary"] = f"""SELECT doc_id, CAST(CASE WHEN {last_term_len(clean('text'))} > 0 THEN {last_term_len(clean('text'))} END AS INTEGER) AS boundary FROM documents"""
 ORACLE["clean_txt"] = f"SELECT doc_id, {clean_txt('text')} AS text FROM documents"
 
 ROW_INDEX = "(row_number() OVER (ORDER BY doc_id) - 1)"
 ORACLE["row_index"] = f"SELECT doc_id, {ROW_INDEX} AS real_index FROM documents"
 ORACLE["slice_rows"] = f"SELECT * FROM (SELECT {ROW_INDEX} AS real_index, doc_id FROM documents) WHERE real_index >= 100"
 ORACLE["valid_text"] = f"SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND {trim_ws('text')} <> ''"
-ORACLE["min_length"] = f"""SELECT doc_id, length({collapse('text')}) AS n FROM documents
+ORACLE["min_length"] = f"""SELECT doc_id, CAST(length({collapse('text')}) AS INTEGER) AS n FROM documents
 WHERE text IS NOT NULL AND {trim_ws('text')} <> '' AND length({collapse('text')}) >= 10"""
 ORACLE["dataset_chunks"] = f"""SELECT real_index, {lit(DATASET_CHUNK_HEADER)} || {collapse('text')} || {lit(DATASET_CHUNK_FOOTER)} AS chunk
 FROM (SELECT {ROW_INDEX} AS real_index, text FROM documents)
@@ -131,7 +131,7 @@ SELECT printf('dataset_%d_question_%d', real_index, question_index) AS id, {_fir
        {_first_sentence('chunk')} AS answer, chunk AS context, question_index, real_index AS chunk_index,
        CAST(NULL AS VARCHAR) AS error FROM tfan"""
 ORACLE["join_chunk_qa"] = f"""WITH RECURSIVE {DOC_CHUNKS}
-SELECT doc_id, chunk_index, CAST(q AS INTEGER) AS question_index, length(chunk) AS chunk_chars
+SELECT doc_id, chunk_index, CAST(q AS INTEGER) AS question_index, CAST(length(chunk) AS INTEGER) AS chunk_chars
 FROM (SELECT *, unnest(range(3)) AS q FROM chunks)"""
 ORACLE["resume_anti"] = """SELECT doc_id, source FROM documents d
 WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""
@@ -148,7 +148,7 @@ SELECT coalesce(question_type, 'unknown') AS question_type, count(*) AS n FROM q
 ORACLE["metadata"] = f"""WITH {QAT_CTE}, t AS (SELECT coalesce(question_type, 'unknown') AS t, count(*) AS n,
   sum(length(coalesce(question, ''))) AS q, sum(length(coalesce(answer, ''))) AS a FROM qat GROUP BY 1)
 SELECT 'Generated from conversations' AS name, 'Instruction dataset generated from PDF document' AS description,
-       'conversations.parquet' AS source_file, sum(n) AS total_qa_pairs,
+       'conversations.parquet' AS source_file, CAST(sum(n) AS BIGINT) AS total_qa_pairs,
        string_agg(t || '=' || n, ',' ORDER BY t) AS question_types,
        round(sum(q) / sum(n), 6) AS avg_question_length, round(sum(a) / sum(n), 6) AS avg_answer_length FROM t"""
 ORACLE["fmt_instruction_id"] = f"WITH {QA_CTE} SELECT question AS instruction, '' AS input, answer AS output, id FROM qa"
@@ -176,8 +176,9 @@ SELECT printf('file_chunk_%06d_qa_%02d.json', chunk_index, question_index) AS fi
                  ('context', 'context', False), ('question_index', 'question_index', True),
                  ('chunk_index', 'chunk_index', True)])} AS body FROM qa"""
 ORACLE["chunk_stats_global"] = f"""WITH RECURSIVE {DOC_CHUNKS}
-SELECT count(*) AS n_chunks, round(avg(length(chunk)), 6) AS avg_chunk_chars, min(length(chunk)) AS min_chunk_chars,
-       max(length(chunk)) AS max_chunk_chars FROM chunks"""
+SELECT count(*) AS n_chunks, round(avg(length(chunk)), 6) AS avg_chunk_chars,
+       CAST(min(length(chunk)) AS INTEGER) AS min_chunk_chars, CAST(max(length(chunk)) AS INTEGER) AS max_chunk_chars
+FROM chunks"""
 ORACLE["dataset_chunk_stats"] = f"""WITH {TCHUNKS_CTE}
 SELECT count(*) AS n_chunks, round(avg(length(chunk)), 6) AS avg_chunk_chars FROM tchunks"""
 ORACLE["run_summary"] = f"""WITH RECURSIVE {DOC_CHUNKS}, c AS (SELECT count(*) AS n FROM chunks)
@@ -193,7 +194,7 @@ ORACLE["mean_pool"] = """WITH t AS (SELECT label AS key, CASE WHEN embedding[1]
   unnest(embedding) AS v, unnest(range(len(embedding))) AS dim FROM embeddings)
 SELECT key, CAST(dim AS INTEGER) AS dim, round(sum(CAST(v AS DOUBLE) * mask) / greatest(sum(mask), 1e-9), 6) AS value
 FROM t GROUP BY key, dim"""
-ORACLE["embedding_dim"] = """SELECT count(embedding) AS n_vectors, min(len(embedding)) AS dim,
+ORACLE["embedding_dim"] = """SELECT count(embedding) AS n_vectors, CAST(min(len(embedding)) AS INTEGER) AS dim,
   count(DISTINCT len(embedding)) AS n_widths FROM embeddings"""
 ORACLE["cosine"] = """SELECT a.vec_id, b.vec_id AS next_id,
   round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score

@@ -31,10 +31,19 @@ def test_entry(spark):
     assert df.count() > 0
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query_matches_oracle(spark, con, name):
     df = queries()[name](spark, SF)
     srows = [tuple(r) for r in df.collect()]
+    rel = con.sql(f"SELECT * FROM ({oracle_sql()[name]}) LIMIT 0")
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    assert spark_types == duck_types
     res = con.execute(oracle_sql()[name])
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
