@@ -472,3 +472,9 @@ def q_chunk_files(spark, sf_dir):
     """One text file per chunk (name and body), in one folder per document."""
     chunks = _doc_chunks(spark, sf_dir).withColumn("path", F.format_string("doc_%d.txt", "doc_id"))
     return fm.chunk_files(chunks, tx.CHUNK_FILE_FORMAT, prefix_col="path")
+
+
+@query("qa_pair_files")
+def q_qa_pair_files(spark, sf_dir):
+    """One pretty JSON file per QA pair, numbered densely in QA order."""
+    return fm.qa_pair_files(_qa(spark, sf_dir))

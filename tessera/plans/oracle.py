@@ -216,3 +216,9 @@ SELECT * FROM chunks"""
 
 ORACLE["chunk_files"] = f"""WITH RECURSIVE {DOC_CHUNKS}
 SELECT printf('doc_%d.txt/chunk_%04d.txt', doc_id, chunk_index) AS file_name, chunk AS body FROM chunks"""
+
+ORACLE["qa_pair_files"] = f"""WITH {QA_CTE}
+SELECT printf('qa_pair_%04d.json', row_number() OVER (ORDER BY chunk_index, question_index) - 1) AS file_name,
+       {_pretty([('id', 'id', False), ('question', 'question', False), ('answer', 'answer', False),
+                 ('context', 'context', False), ('question_index', 'question_index', True),
+                 ('chunk_index', 'chunk_index', True)])} AS body FROM qa"""
