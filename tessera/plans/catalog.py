@@ -417,7 +417,7 @@ def _vectors(spark, sf_dir) -> DataFrame:
 
 @query("embed_hashing")
 def q_embed_hashing(spark, sf_dir):
-    chunks = spread(_doc_chunks(spark, sf_dir), "doc_id")
+    chunks = spread(_doc_chunks(spark, sf_dir), ["doc_id", "chunk_index"])
     vec = em.embed(chunks, lambda: em.HashingEncoder(64), text_col="chunk")
     return (vec.select("doc_id", "chunk_index", F.posexplode("embedding").alias("dim", "value"))
             .filter(F.col("value") != 0).withColumn("value", F.col("value").cast("double")))

@@ -35,13 +35,13 @@ def _tail(spark: SparkSession, chunks: DataFrame, out_dir: str, index_col: str,
     base = sk.timestamped_base()
     chunks = sk.materialize(chunks, f"{root}/{base}_chunks.parquet")
     gen = generator_factory or (lambda: None)
-    qa = gn.generate_qa(spread(chunks, index_col), gen, index_col=index_col, n_questions=n_questions,
+    qa = gn.generate_qa(spread(chunks, keep + [index_col]), gen, index_col=index_col, n_questions=n_questions,
                         keep=keep)
     qa = sk.materialize(qa, f"{root}/{base}_qa_raw.parquet")
     emb = None
     if encoder_factory is not None:
         # computed once, written once by the export as the embeddings table
-        emb = em.embed(spread(chunks, index_col), encoder_factory, text_col="chunk", batch_size=batch_size)
+        emb = em.embed(spread(chunks, keep + [index_col]), encoder_factory, text_col="chunk", batch_size=batch_size)
     outputs = sk.export_qa(qa.drop("error"), root, base, output_format, embeddings=emb,
                            embedding_keys=keep + [index_col], source_file=source_file, stored=True)
     outputs["qa_parquet"] = f"{root}/{base}_qa_raw.parquet"

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES_LIMIT = 64 * 1024 * 1024
 
 
-def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, key: str | list[str] | None = None, min_partitions: int | None = None) -> DataFrame:
     """Give CPU-heavy per-row work enough tasks.
 
     A small, unsplittable input (one Parquet row group) arrives as one
     partition; per-row text work on it would use one core. Only then do we
-    hash-repartition (by ``key`` when given, so retries are deterministic).
+    hash-repartition (by ``key`` when given, so retries are deterministic;
+    pass the full unique key -- a column such as a per-document chunk number
+    repeats across documents and would crowd its common values together).
     Inputs that already have enough partitions -- every large input -- are left
     alone, so this never adds a shuffle at scale."""
     try:
@@ -23,7 +25,10 @@ def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = N
         return df
     if have >= want:
         return df
-    return df.repartition(want, key) if key else df.repartition(want)
+    if not key:
+        return df.repartition(want)
+    keys = [key] if isinstance(key, str) else list(key)
+    return df.repartition(want, *keys)
 
 
 def broadcast_if_bounded(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES_LIMIT,
