@@ -127,6 +127,15 @@ def generate_qa(chunks: DataFrame, generator_factory: Callable[[], object], text
 
 qa_pairs = generate_qa  # the public name used in the survey's API sketch
 
+
+def drop_failed(qa: DataFrame) -> DataFrame:
+    """Optional clean-up the reference does not do: drop rows whose generation
+    failed or produced an empty question or answer."""
+    ok = (F.col("question") != "") & (F.col("answer") != "")
+    if "error" in qa.columns:
+        ok = ok & F.col("error").isNull()
+    return qa.filter(ok)
+
 _PIECES = re.compile("[^" + re.escape(SENTENCE_TERMINATORS) + "]+")
 
 

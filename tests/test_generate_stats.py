@@ -77,3 +77,10 @@ def test_stats_and_metadata(spark):
     summ = st.run_summary(qa.select("id"), qa, qa.filter(F.lit(False))).first()
     assert (summ.text_chunks, summ.qa_pairs, summ.embeddings, summ.qa_per_chunk) == (2, 2, 0, 1.0)
     assert st.run_summary(empty, empty, empty).first().qa_per_chunk is None
+
+
+def test_drop_failed(spark):
+    qa = gn.generate_qa(_chunks(spark, ["alpha text.", "boom text."]), FlakyGenerator, n_questions=1)
+    assert qa.count() == 2
+    kept = gn.drop_failed(qa).collect()
+    assert [r.chunk_index for r in kept] == [0]
