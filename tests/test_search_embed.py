@@ -90,3 +90,35 @@ def test_embed_plugin_batches(spark):
 def test_hashing_encoder():
     v = em.HashingEncoder(16).encode(["a b a", ""])
     assert v.shape == (2, 16) and v[0].sum() == 3 and v[1].sum() == 0
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(seed=st.integers(0, 10_000), n=st.integers(1, 60), nq=st.integers(1, 12), k=st.integers(1, 8),
+       parts=st.integers(1, 5), block_bytes=st.sampled_from([100, 1_000, 64 * 1024 * 1024]))
+def test_top_k_property(spark, seed, n, nq, k, parts, block_bytes):
+    rng = np.random.default_rng(seed)
+    # small integer coordinates make exact ties common
+    corpus = [(i, rng.integers(-2, 3, size=4).astype(np.float32).tolist()) for i in range(n)]
+    queries = [(100 + i, rng.integers(-2, 3, size=4).astype(np.float32).tolist()) for i in range(nq)]
+    got = se.top_k(_vecs(spark, queries), _vecs(spark, corpus).repartition(parts), k=k,
+                   block_bytes=block_bytes).collect()
+    res = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        res.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    cc = {i: np.array(v, dtype=np.float64) for i, v in corpus if np.linalg.norm(v) > 0}
+    for qid, qv in queries:
+        q = np.array(qv, dtype=np.float64)
+        if np.linalg.norm(q) == 0 or not cc:
+            assert qid not in res
+            continue
+        true = {i: float(v @ q / (np.linalg.norm(v) * np.linalg.norm(q))) for i, v in cc.items()}
+        expected = sorted(true.values(), reverse=True)[:k]
+        rows = res[qid]
+        assert len({i for i, _ in rows}) == len(rows) == len(expected)
+        # same score profile; every returned id really has the score of its rank (ties within 1e-9)
+        assert np.allclose([sc for _, sc in rows], expected, atol=1e-9)
+        assert all(abs(true[i] - sc) < 1e-9 for i, sc in rows)
