@@ -48,6 +48,8 @@ def build_parser() -> argparse.ArgumentParser:
     p.add_argument("--output-dir", default="output")
     p.add_argument("--output-format", default="all", choices=["json", "csv", "all"])
     p.add_argument("--no-save-individual", action="store_true")
+    p.add_argument("--no-datapoint-files", action="store_true",
+                   help="skip the one-file-per-Alpaca-record folder of the 'all' export")
     p.add_argument("--generator", help="module:factory returning an object with generate(list[str], **opts)")
     p.add_argument("--generator-arg", action="append", default=[], metavar="KEY=VALUE")
     p.add_argument("--encoder", help="module:factory returning an object with encode(list[str])")
@@ -74,7 +76,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     common = dict(generator_factory=gen, encoder_factory=enc, n_questions=args.questions_per_chunk,
                   output_format=args.output_format, save_individual=not args.no_save_individual,
-                  batch_size=args.batch_size)
+                  batch_size=args.batch_size, datapoint_files=not args.no_datapoint_files)
     if args.file:
         out = flows.build_from_documents(spark, args.file, args.output_dir, size=args.chunk_size,
                                          overlap=args.chunk_overlap, max_pages=args.max_pages,

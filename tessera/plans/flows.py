@@ -30,7 +30,7 @@ from tessera.sources import sinks as sk
 def _tail(spark: SparkSession, chunks: DataFrame, out_dir: str, index_col: str, keep: list[str],
           generator_factory, encoder_factory, n_questions: int, output_format: str,
           save_individual: bool, chunk_name: str, qa_name: str, source_file: str,
-          batch_size: int) -> dict:
+          batch_size: int, datapoint_files: bool = True) -> dict:
     root = out_dir.rstrip("/")
     base = sk.timestamped_base()
     chunks = sk.materialize(chunks, f"{root}/{base}_chunks.parquet")
@@ -43,7 +43,8 @@ def _tail(spark: SparkSession, chunks: DataFrame, out_dir: str, index_col: str,
         # computed once, written once by the export as the embeddings table
         emb = em.embed(spread(chunks, keep + [index_col]), encoder_factory, text_col="chunk", batch_size=batch_size)
     outputs = sk.export_qa(qa.drop("error"), root, base, output_format, embeddings=emb,
-                           embedding_keys=keep + [index_col], source_file=source_file, stored=True)
+                           embedding_keys=keep + [index_col], source_file=source_file, stored=True,
+                           datapoint_files=datapoint_files)
     outputs["qa_parquet"] = f"{root}/{base}_qa_raw.parquet"
     if emb is not None:
         emb = spark.read.parquet(outputs["embeddings"])
@@ -64,7 +65,8 @@ def build_from_documents(spark: SparkSession, path: str, out_dir: str,
                          size: int = ch.DEFAULT_CHUNK_SIZE, overlap: int = ch.DEFAULT_CHUNK_OVERLAP,
                          n_questions: int = gn.DEFAULT_QUESTIONS_PER_CHUNK, max_pages: int | None = None,
                          pdf_extractor_factory: Callable | None = None, output_format: str = "all",
-                         save_individual: bool = True, batch_size: int = em.DEFAULT_BATCH_SIZE) -> dict:
+                         save_individual: bool = True, batch_size: int = em.DEFAULT_BATCH_SIZE,
+                         datapoint_files: bool = True) -> dict:
     """TXT and PDF files under ``path`` -> chunks -> QA -> vectors -> exports.
     Chunks are keyed by (path, chunk_index); ids use the chunk index, as in
     the reference's document path."""
@@ -78,7 +80,7 @@ def build_from_documents(spark: SparkSession, path: str, out_dir: str,
     chunks = ch.chunk_text(spread(docs, "path"), text_col="text", size=size, overlap=overlap, keep=["path"])
     return _tail(spark, chunks, out_dir, "chunk_index", ["path"], generator_factory, encoder_factory,
                  n_questions, output_format, save_individual, tx.CHUNK_FILE_FORMAT, tx.CHUNK_QA_FILE_FORMAT,
-                 path, batch_size)
+                 path, batch_size, datapoint_files)
 
 
 def table_chunks(df: DataFrame, text_col: str = "text", start_index: int = 0,
@@ -96,7 +98,8 @@ def build_from_table(spark: SparkSession, source: str, out_dir: str, text_col: s
                      config: str | None = None, start_index: int = 0, max_samples: int | None = None,
                      generator_factory: Callable | None = None, encoder_factory: Callable | None = None,
                      n_questions: int = gn.DEFAULT_QUESTIONS_PER_CHUNK, output_format: str = "all",
-                     save_individual: bool = True, batch_size: int = em.DEFAULT_BATCH_SIZE) -> dict:
+                     save_individual: bool = True, batch_size: int = em.DEFAULT_BATCH_SIZE,
+                     datapoint_files: bool = True) -> dict:
     """A table of text (file or named dataset) -> dataset chunks -> QA -> vectors
     -> exports. Chunks are keyed by the row's position (real_index)."""
     df = (rd.read_named(spark, source, split, config) if named
@@ -105,4 +108,4 @@ def build_from_table(spark: SparkSession, source: str, out_dir: str, text_col: s
     names = ((tx.DATASET_CHUNK_FILE_FORMAT, tx.DATASET_CHUNK_QA_FILE_FORMAT) if named
              else (tx.TABLE_CHUNK_FILE_FORMAT, tx.TABLE_CHUNK_QA_FILE_FORMAT))
     return _tail(spark, chunks, out_dir, "real_index", [], generator_factory, encoder_factory, n_questions,
-                 output_format, save_individual, names[0], names[1], source, batch_size)
+                 output_format, save_individual, names[0], names[1], source, batch_size, datapoint_files)
