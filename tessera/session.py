@@ -8,6 +8,16 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def _local_heap() -> str:
+    """Local mode runs everything in the driver JVM: give it 60 % of the
+    machine's memory, at most 16 GB, so small containers do not overcommit."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    return f"{max(1, min(16, int(total * 0.6 / 2**30)))}g"
+
+
 def get_spark(master: str | None = None, app: str = "tessera",
               shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings every job here relies on.
@@ -34,7 +44,7 @@ def get_spark(master: str | None = None, app: str = "tessera",
         conf.update({
             "spark.driver.host": "127.0.0.1",
             "spark.driver.bindAddress": "127.0.0.1",
-            "spark.driver.memory": os.environ.get("TESSERA_DRIVER_MEMORY", "16g"),
+            "spark.driver.memory": os.environ.get("TESSERA_DRIVER_MEMORY", _local_heap()),
         })
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
