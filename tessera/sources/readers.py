@@ -158,8 +158,17 @@ def dataset_info(df: DataFrame, name: str, split: str | None = "train", config:
                  text_col: str = "text", order_col: str | None = None) -> DataFrame:
     """One row describing a dataset: counts, columns, feature types, whether the
     text column exists and a preview of the first row (each value stringified,
-    cut to 100 characters + '...'). The first row is the smallest ``order_col``."""
-    first = df.orderBy(order_col).limit(1) if order_col else df.limit(1)
+    cut to 100 characters + '...'). The first row is the smallest ``order_col``,
+    else the first row in file order."""
+    if order_col:
+        first = df.orderBy(order_col).limit(1)
+    else:
+        try:  # file sources: the first row in file order (a top-1, not a full sort)
+            first = (df.select("*", F.col("_metadata.file_path").alias("__f"),
+                               F.col("_metadata.row_index").alias("__r"))
+                     .orderBy("__f", "__r").limit(1).drop("__f", "__r"))
+        except Exception:  # noqa: BLE001 - not a file scan (or no row index): any first row
+            first = df.limit(1)
     sample = F.create_map(*[x for c in df.columns for x in (F.lit(c), preview(F.col(c)))])
     stats = df.agg(F.count(F.lit(1)).alias("total_samples"))
     feats = F.create_map(*[x for f in df.schema.fields for x in (F.lit(f.name), F.lit(f.dataType.simpleString()))])

@@ -102,3 +102,12 @@ def test_document_path_checks(spark, tmp_out):
     with pytest.raises(ValueError, match="Unsupported"):
         rd.check_document_path(spark, p)
     rd.check_document_path(spark, tmp_out)  # a folder is fine
+
+
+def test_dataset_info_first_row_in_file_order(spark, tmp_out):
+    spark.range(0, 1000, 1, 4).selectExpr("id", "concat('t', id) as text").coalesce(1) \
+        .write.parquet(f"{tmp_out}/one")
+    df = spark.read.parquet(f"{tmp_out}/one").repartition(7)  # shuffled: limit(1) could pick any row
+    r = rd.dataset_info(spark.read.parquet(f"{tmp_out}/one"), "one").first()
+    assert r.sample_data["id"] == "0"
+    assert rd.dataset_info(df, "shuffled").first().total_samples == 1000
