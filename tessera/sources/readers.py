@@ -43,13 +43,19 @@ def detect_format(path: str, file_type: str = "auto") -> str:
 
 
 def read_table(spark: SparkSession, path: str, file_type: str = "auto",
-               schema: T.StructType | str | None = None, json_array: bool | None = None) -> DataFrame:
+               schema: T.StructType | str | None = None, json_array: bool | None = None,
+               sampling_ratio: float | None = None) -> DataFrame:
     """Read a table of text. CSV: header, quoted multi-line fields; JSON: lines,
-    or one top-level array when ``json_array`` (auto: file starts with '[')."""
+    or one top-level array when ``json_array`` (auto: file starts with '[').
+    Without ``schema``, CSV/JSON types are inferred from all rows (as the
+    reference does); on large inputs pass a schema, or ``sampling_ratio`` to
+    infer from a fraction of the rows instead of a full extra pass."""
     fmt = detect_format(path, file_type)
     r = spark.read
     if schema is not None:
         r = r.schema(schema)
+    elif sampling_ratio is not None:
+        r = r.option("samplingRatio", sampling_ratio)
     if fmt == "csv":
         return r.csv(path, header=True, inferSchema=schema is None, multiLine=True,
                       escape='"', quote='"')

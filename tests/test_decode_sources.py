@@ -111,3 +111,9 @@ def test_dataset_info_first_row_in_file_order(spark, tmp_out):
     r = rd.dataset_info(spark.read.parquet(f"{tmp_out}/one"), "one").first()
     assert r.sample_data["id"] == "0"
     assert rd.dataset_info(df, "shuffled").first().total_samples == 1000
+
+
+def test_read_table_sampling_ratio(spark, tmp_out):
+    spark.range(200).selectExpr("id", "concat('x', id) as text").write.json(f"{tmp_out}/s.jsonl")
+    df = rd.read_table(spark, f"{tmp_out}/s.jsonl", sampling_ratio=0.5)
+    assert df.count() == 200 and set(df.columns) == {"id", "text"}
