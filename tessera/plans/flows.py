@@ -25,6 +25,7 @@ from tessera.operators import stats as st
 from tessera.plans.parallel import spread
 from tessera.sources import readers as rd
 from tessera.sources import sinks as sk
+from tessera.streaming.incremental import with_progress
 
 
 def _tail(spark: SparkSession, chunks: DataFrame, out_dir: str, index_col: str, keep: list[str],
@@ -33,7 +34,8 @@ def _tail(spark: SparkSession, chunks: DataFrame, out_dir: str, index_col: str,
           batch_size: int, datapoint_files: bool = True) -> dict:
     root = out_dir.rstrip("/")
     base = sk.timestamped_base()
-    chunks = sk.materialize(chunks, f"{root}/{base}_chunks.parquet")
+    observed, progress = with_progress(chunks, "chunks", "chunk")  # running totals, reported at the end
+    chunks = sk.materialize(observed, f"{root}/{base}_chunks.parquet")
     gen = generator_factory or (lambda: None)
     qa = gn.generate_qa(spread(chunks, keep + [index_col]), gen, index_col=index_col, n_questions=n_questions,
                         keep=keep)
@@ -56,6 +58,7 @@ def _tail(spark: SparkSession, chunks: DataFrame, out_dir: str, index_col: str,
         outputs["individual"] = f"{root}/{base}_individual"
     summary = st.run_summary(chunks, qa, emb if emb is not None else chunks.filter(F.lit(False))).first()
     outputs["summary"] = summary.asDict()
+    outputs["chunk_progress"] = progress.get
     outputs["errors"] = qa.filter(F.col("error").isNotNull()).count()
     return outputs
 

@@ -66,6 +66,7 @@ def test_document_flow_end_to_end(spark, tmp_out):
     assert out["summary"]["text_chunks"] == expected_chunks
     assert out["summary"]["qa_pairs"] == 2 * expected_chunks
     assert out["summary"]["embeddings"] == expected_chunks
+    assert out["chunk_progress"]["rows"] == expected_chunks
     alpaca = _read_json_dir(out["alpaca"])
     assert len(alpaca) == 2 * expected_chunks and set(alpaca[0]) == {"instruction", "input", "output"}
     assert len(glob.glob(out["alpaca_datapoints"] + "/datapoint_*.json")) == 2 * expected_chunks
