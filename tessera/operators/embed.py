@@ -42,7 +42,8 @@ def embed(df: DataFrame, encoder_factory: Callable[[], object], text_col: str =
                     out[i] = vecs[j]
             yield pd.Series(out, dtype=object)
 
-    return df.withColumn(out_col, enc(F.col(text_col)))
+    # a model call: never duplicated or moved by the optimizer
+    return df.withColumn(out_col, enc.asNondeterministic()(F.col(text_col)))
 
 
 class HashingEncoder:
