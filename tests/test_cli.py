@@ -27,3 +27,10 @@ def test_cli_dataset_info(spark, tmp_out, capsys):
     assert main(["--dataset-info", src]) == 0
     info = json.loads(capsys.readouterr().out)
     assert info["total_samples"] == 1 and info["sample_data"]["text"] == "a" * 100 + "..."
+
+
+def test_api_surface_imports():
+    from tessera import api
+    for name in ("read_table", "chunk_text", "qa_pairs", "embed", "top_k", "to_chat", "qa_stats",
+                 "write_json", "stream_text_files", "build_from_table"):
+        assert callable(getattr(api, name))
