@@ -34,3 +34,8 @@ def test_api_surface_imports():
     for name in ("read_table", "chunk_text", "qa_pairs", "embed", "top_k", "to_chat", "qa_stats",
                  "write_json", "stream_text_files", "build_from_table"):
         assert callable(getattr(api, name))
+
+
+def test_parser_scale_flags():
+    a = build_parser().parse_args(["--file", "docs/", "--no-save-individual", "--no-datapoint-files"])
+    assert a.no_save_individual and a.no_datapoint_files
