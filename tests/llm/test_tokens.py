@@ -1,0 +1,129 @@
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from tessera.llm.packing import best_fit, pack_documents, token_pieces
+from tessera.llm.token_counts import at_limits, context_table, length_histogram, quantile_length
+from tessera.llm.tokens import vocabulary_path, word_ids
+
+from .helpers import docs_frame
+
+ODD = ["a\u0085b c d", "<|endoftext|> x<|startoftext|>y", "  \x1c \x1f a", "Σίσυφος ΣΑΣ", "é ́x", "it's 'S don't123 45　z",
+       "", " \n", "​  q", "a" * 5000, "İstanbul ŉ ß ẞ", "\x00a \x00", "the&&& THE!! a|b | é,"]
+
+
+@pytest.fixture(scope="module")
+def whole():
+    t = Tokenizer.from_file(vocabulary_path())
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_words_encode_as_the_whole_text(whole):
+    encoder = word_ids(vocabulary_path())
+    for text in ODD:
+        assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == whole(text), text[:30]
+    assert encoder.encode(None) == b""
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60))
+def test_any_text_encodes_as_a_whole(text):
+    t = Tokenizer.from_file(vocabulary_path()) if not hasattr(test_any_text_encodes_as_a_whole, "t") else test_any_text_encodes_as_a_whole.t
+    test_any_text_encodes_as_a_whole.t = t
+    assert np.frombuffer(word_ids(vocabulary_path()).encode(text.encode()), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_a_full_memory_changes_nothing(whole):
+    from tessera.llm.tokens import WordIds
+
+    small = WordIds(vocabulary_path(), most=4)
+    for text in [*ODD, "one two three four five six", "one six two"] * 2:
+        assert np.frombuffer(small.encode(text.encode()), "<u4").tolist() == whole(text)
+
+
+def brute_best_fit(lengths, limit):
+    room, out = [], []
+    for n in lengths:
+        fits = [(r, i) for i, r in enumerate(room) if r >= n]
+        if fits:
+            r = min(fits)[0]
+            out.append(r)
+            room[[i for x, i in fits if x == r][0]] -= n
+        else:
+            room.append(limit - n)
+            out.append(limit)
+    return out, len(room)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=60))
+def test_best_fit_takes_the_tightest_bin(lengths):
+    got = list(best_fit(lengths, 20, 1000))
+    rooms = [20 - o for _, o in got]
+    want, bins = brute_best_fit(lengths, 20)
+    assert rooms == want and len({b for b, _ in got}) == bins
+
+
+def test_bounded_bins_close_the_fullest_first():
+    # rooms 1 and 5 open, one allowed: the fuller (room 1) closes, so 1 goes elsewhere
+    assert [b for b, _ in best_fit([9, 6, 1], 10, 1)] == [0, 1, 1]
+
+
+def test_pieces_and_sequences(spark, whole):
+    texts = [None, "", "a b c", "word " * 5000, "Größe, the&&& | x", "a b c"]
+    docs = docs_frame(spark, texts, extra="1 as piece;2 as sequence_id").withColumnRenamed("lang", "ids")
+    packed = [r.asDict() for r in pack_documents(docs).collect()]
+    at = defaultdict(list)
+    for r in packed:
+        at[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans in at.values():
+        end = 0
+        for o, n in sorted(spans):
+            assert o == end
+            end += n
+        assert end <= 2048
+    for i, text in enumerate(texts):
+        ids = whole(text) + [0]
+        mine = sorted((r for r in packed if r["doc_id"] == i), key=lambda r: r["piece"])
+        assert [(r["piece"], r["start"], r["length"]) for r in mine] == [(k, k * 2048, min(2048, len(ids) - k * 2048)) for k in range(-(-len(ids) // 2048))]
+        for r in mine:
+            part = np.asarray(ids[r["start"]:r["start"] + r["length"]], "<u4").tobytes()
+            assert r["ids_crc32"] == zlib.crc32(part)
+    raw = token_pieces(docs, with_ids=True).collect()
+    assert b"".join(r["ids"] for r in sorted((r for r in raw if r["doc_id"] == 3), key=lambda r: r["piece"])) == np.asarray(whole(texts[3]) + [0], "<u4").tobytes()
+
+
+def test_packing_few_sequences_and_repeated_ids(spark):
+    docs = docs_frame(spark, ["x " * (n % 700) for n in range(400)], ids=[None] * 400)
+    out = pack_documents(docs).collect()
+    assert len(out) == 400
+    total = sum(r["length"] for r in out)
+    assert len({r["sequence_id"] for r in out}) <= -(-total // 2048) + 2
+
+
+def test_packing_an_empty_table(spark):
+    assert pack_documents(docs_frame(spark, [])).collect() == []
+
+
+def test_histogram_answers_every_limit(spark, whole):
+    texts = [None, "", "a", "a b", "a b", "x " * 3000, *["y " * n for n in range(60)]]
+    docs = docs_frame(spark, texts, extra="7 as n_tokens;8 as block")
+    table = context_table(length_histogram(docs))
+    got = {r["n_tokens"]: r for r in table.collect()}
+    lengths = [len(whole(t)) for t in texts]
+    assert {k: r["n_docs"] for k, r in got.items()} == dict(Counter(lengths))
+    for limit, r in got.items():
+        assert r["docs_from"] == sum(n >= limit for n in lengths) and r["tokens_from"] == sum(n for n in lengths if n >= limit)
+        assert r["docs_to"] == sum(n <= limit for n in lengths) and r["tokens_to"] == sum(n for n in lengths if n <= limit)
+        assert r["truncated_tokens"] == sum(min(n, limit) for n in lengths)
+    for r in at_limits(table, [0, 17, 2048, 10 ** 6]).collect():
+        limit = r["context_limit"]
+        assert r["truncated_tokens"] == sum(min(n, limit) for n in lengths) and r["docs_over"] == sum(n > limit for n in lengths)
+        assert r["lost_tokens"] == sum(max(0, n - limit) for n in lengths)
+    assert quantile_length(table, 0.5).first()[0] == sorted(lengths)[-(-len(lengths) // 2) - 1]
+    assert context_table(length_histogram(docs_frame(spark, []))).collect() == []
