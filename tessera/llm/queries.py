@@ -5,10 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.chat_format import digest, format_conversations
+from tessera.llm.common import table, words_of
+from tessera.llm.decontamination import leaked_pairs
+from tessera.llm.merkle import fingerprint_edits
 from tessera.llm.packing import pack_documents
+from tessera.llm.sharding import shard_documents
+from tessera.llm.simhash_dedup import hex_fingerprint, near_duplicates
+from tessera.llm.substring_dedup import drop_repeats
 from tessera.llm.token_counts import context_table, length_histogram
+from tessera.llm.url_filter import judge_urls
+
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every url of pages judged by the rules, else by the trees."""
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of nearly equal bytes."""
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document once repeated 50-word windows are cut."""
+    kept = drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(words_of(F.col("text")), " "), 256).alias("kept_sha256"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one made of control strings, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
+    return digest(format_conversations(rows.unionByName(extra)))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with each benchmark item found in it."""
+    return leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash and near-duplicate component of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,12 +61,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_table(length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op8_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of every document and of its edited text."""
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op7_token_counts": op7_token_counts,
-    "op9_best_fit_packing": op9_best_fit_packing,
-}
+    f.__name__: f for f in (
+        op1_url_filter, op2_sharding, op3_substring_dedup, op4_chat_format, op5_decontamination, op6_simhash_dedup,
+        op7_token_counts, op8_merkle_fingerprints, op9_best_fit_packing)}
