@@ -62,15 +62,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     On a cluster this must already be set to storage every executor sees. Only
     when it is unset (local runs, tests) do we create one ourselves."""
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach "
-                               "(a machine-local temporary folder does not survive executor loss)")
-        d = tempfile.mkdtemp(prefix="tessera-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+    if not sc.getCheckpointDir():  # setting it again would nest a new folder in the old one
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach "
+                                   "(a machine-local temporary folder does not survive executor loss)")
+            d = tempfile.mkdtemp(prefix="tessera-ckpt-")
+        sc.setCheckpointDir(d)
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
