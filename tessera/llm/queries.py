@@ -12,6 +12,7 @@ from tessera.llm.common import table, words_of
 from tessera.llm.decontamination import leaked_pairs
 from tessera.llm.merkle import fingerprint_edits
 from tessera.llm.packing import pack_documents
+from tessera.llm.quality import scores
 from tessera.llm.sharding import shard_documents
 from tessera.llm.simhash_dedup import hex_fingerprint, near_duplicates
 from tessera.llm.substring_dedup import drop_repeats
@@ -71,7 +72,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both views' and the combined quality score of every document."""
+    return scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_url_filter, op2_sharding, op3_substring_dedup, op4_chat_format, op5_decontamination, op6_simhash_dedup,
-        op7_token_counts, op8_merkle_fingerprints, op9_best_fit_packing)}
+        op7_token_counts, op8_merkle_fingerprints, op9_best_fit_packing, op10_quality_classifier)}
