@@ -153,12 +153,12 @@ def trie_links(prints: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> Dat
     def prefix(depth: int):
         return F.shiftrightunsigned("fp", 64 - depth) if depth < 64 else F.col("fp")
 
-    spark = prints.sparkSession
-    pairs = spark.range(1).select(F.lit(0).cast("long").alias("u"), F.lit(0).cast("long").alias("v"), F.lit(0).alias("err"))
-    small = []
+    pairs, small = None, []
     for depth in range(STEP, 65, STEP):
         nodes = prints.groupBy(prefix(depth).alias("node")).agg(F.count("*").alias("n"))
-        nodes = nodes.withColumn("parent", F.shiftrightunsigned("node", STEP) if depth > STEP else F.lit(0).cast("long"))
+        nodes = nodes.withColumn("parent", F.shiftrightunsigned("node", STEP))
+        if pairs is None:  # the root with itself
+            pairs = nodes.select(F.col("parent").alias("u"), F.col("parent").alias("v"), F.lit(0).alias("err")).distinct()
         left, right = nodes.toDF("cu", "nu", "u"), nodes.toDF("cv", "nv", "v")
         below = (pairs.join(left, "u").join(right, "v")
                  .withColumn("err", F.col("err") + F.bit_count(F.col("cu").bitwiseXOR(F.col("cv")).bitwiseAND((1 << STEP) - 1)))
