@@ -15,7 +15,7 @@ import sys
 
 from tessera.operators.chunk import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE
 from tessera.operators.embed import DEFAULT_BATCH_SIZE
-from tessera.operators.generate import DEFAULT_QUESTIONS_PER_CHUNK
+from tessera.operators.generate import DEFAULT_QUESTIONS_PER_CHUNK, api_preset, local_preset
 
 
 def _factory(spec: str | None, kv: list[str]):
@@ -47,9 +47,17 @@ def build_parser() -> argparse.ArgumentParser:
     p.add_argument("--batch-size", type=int, default=DEFAULT_BATCH_SIZE)
     p.add_argument("--output-dir", default="output")
     p.add_argument("--output-format", default="all", choices=["json", "csv", "all"])
-    p.add_argument("--no-save-individual", action="store_true")
-    p.add_argument("--no-datapoint-files", action="store_true",
-                   help="skip the one-file-per-Alpaca-record folder of the 'all' export")
+    p.add_argument("--save-individual", action=argparse.BooleanOptionalAction, default=False,
+                   help="also write one file per chunk and per QA pair")
+    p.add_argument("--datapoint-files", action=argparse.BooleanOptionalAction, default=False,
+                   help="also write one file per Alpaca record in the 'all' export")
+    p.add_argument("--run", default=None, help="name of the outputs; the same name again resumes that run")
+    p.add_argument("--preset", default="api", choices=["api", "local"], help="prompt template and call options")
+    p.add_argument("--model", default=None, help="model name passed on to the generator (api preset)")
+    p.add_argument("--temperature", type=float, default=0.7)
+    p.add_argument("--top-p", type=float, default=0.9)
+    p.add_argument("--do-sample", action=argparse.BooleanOptionalAction, default=True)
+    p.add_argument("--model-partitions", type=int, default=None, help="deal rows into so many tasks before model calls")
     p.add_argument("--generator", help="module:factory returning an object with generate(list[str], **opts)")
     p.add_argument("--generator-arg", action="append", default=[], metavar="KEY=VALUE")
     p.add_argument("--encoder", help="module:factory returning an object with encode(list[str])")
@@ -74,9 +82,12 @@ def main(argv: list[str] | None = None) -> int:
                                args.text_column).first().asDict(recursive=True)
         print(json.dumps(info, ensure_ascii=False, indent=2, default=str))
         return 0
+    preset = (api_preset(args.model, args.temperature, args.top_p) if args.preset == "api"
+              else local_preset(args.temperature, args.top_p, args.do_sample))
     common = dict(generator_factory=gen, encoder_factory=enc, n_questions=args.questions_per_chunk,
-                  output_format=args.output_format, save_individual=not args.no_save_individual,
-                  batch_size=args.batch_size, datapoint_files=not args.no_datapoint_files)
+                  output_format=args.output_format, save_individual=args.save_individual,
+                  batch_size=args.batch_size, datapoint_files=args.datapoint_files, run=args.run, preset=preset,
+                  model_partitions=args.model_partitions)
     if args.file:
         out = flows.build_from_documents(spark, args.file, args.output_dir, size=args.chunk_size,
                                          overlap=args.chunk_overlap, max_pages=args.max_pages,

@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 SENTENCE_TERMINATORS = ".!?؟؛"
 KEEP_PUNCTUATION = ".,!?؟؛:،-()[]{}"
-ARABIC_RANGE = ("ء", "ي")  # the letters from hamza to yeh
 DATASET_CHUNK_HEADER = "\n\n=== DATASET CHUNK ===\n\n"
 DATASET_CHUNK_FOOTER = "\n\n=== END CHUNK ===\n\n"
 PAGE_HEADER_FORMAT = "\n\n=== PAGE %d ===\n\n"
 RULE = "=" * 50
+JOINED_HEAD, PAGE_SEPARATOR, JOINED_TAIL = RULE, "\n\n", "\n\n" + RULE
 TXT_TITLE = "TEXT DOCUMENT"
 MIN_DATASET_TEXT = 10
 PREVIEW_CHARS = 100
@@ -63,8 +63,7 @@ WS_CLASS = "[" + _cls_escape(WS_CHARS) + "]"
 WS_CLASS_NO_NL = "[" + _cls_escape(WS_CHARS.replace("\n", "")) + "]"
 TERMINATOR_CLASS = "[" + _cls_escape(SENTENCE_TERMINATORS) + "]"
 # Python's \w is "alphanumeric or underscore"; \p{L}\p{N}_ is its Unicode form.
-DROP_CLASS = ("[^\\p{L}\\p{N}_" + _cls_escape(WS_CHARS) + _cls_escape(KEEP_PUNCTUATION)
-              + "\\x{%x}-\\x{%x}]" % (ord(ARABIC_RANGE[0]), ord(ARABIC_RANGE[1])))
+DROP_CLASS = "[^\\p{L}\\p{N}_" + _cls_escape(WS_CHARS) + _cls_escape(KEEP_PUNCTUATION) + "]"
 LAST_TERMINATOR_PREFIX = "(?s)^.*" + TERMINATOR_CLASS
 
 
@@ -144,7 +143,7 @@ def join_cleaned_pages(parts) -> Column:
     """Join cleaned page texts (array in page order) the way the reference does,
     already stripped: the rule once in front, pages separated by a blank line."""
     return F.when(F.size(_c(parts)) == 0, F.lit("")).otherwise(
-        F.concat(F.lit(RULE), F.array_join(_c(parts), "\n\n"), F.lit("\n\n" + RULE)))
+        F.concat(F.lit(JOINED_HEAD), F.array_join(_c(parts), PAGE_SEPARATOR), F.lit(JOINED_TAIL)))
 
 
 def clean_txt(c, banner: bool = True) -> Column:

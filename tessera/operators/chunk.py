@@ -3,26 +3,26 @@ chunks, sentence groups and paragraphs.
 
 The overlapping chunker is sequential inside one text (each start depends on
 the previous chunk's end) and parallel across texts. Cleaning (the regex
-work) is a JVM expression. The walk itself has two forms:
-* 'arrow' (default): an Arrow-batched pandas UDF walks the cleaned text with
-  ``str.rfind`` and cuts the chunks by index -- linear in the text length;
-* 'native': a bounded ``aggregate`` over ``sequence`` carrying the next start
-  and the spans, then ``posexplode``. It never leaves the JVM, but appending
-  to the span array and ``substring`` on a long variable-width string are both
-  linear per step, so a book-sized text makes it quadratic.
-
-The native array expression is built inside the generator with let-bound inner
-values (``transform(array(x), f)[0]``): building it with ``withColumn`` first
+work) is a JVM expression. The walk is an Arrow-batched pandas UDF: the places
+of all sentence terminators are found once per text, each window looks up
+the last one in its range by bisection, and chunks are cut by index, so a
+text of any length takes linear time. (A JVM loop would append to an array
+and cut from a variable-width string, both linear per step.)
+
+Native array expressions are built inside the generator with let-bound inner
+values (``transform(array(x), f)[0]``): building them with ``withColumn`` first
 lets the optimizer copy the cleaning regexes into an inferred size filter."""
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import (LAST_TERMINATOR_PREFIX, SENTENCE_TERMINATORS,
-                                    chunk_clean, paragraphs, split_sentences)
+from tessera.functions.text import SENTENCE_TERMINATORS, chunk_clean, paragraphs, split_sentences
 from tessera.session import ensure_on_executors
 
 DEFAULT_CHUNK_SIZE = 1000
@@ -30,9 +30,8 @@ DEFAULT_CHUNK_OVERLAP = 200
 DEFAULT_SENTENCES_PER_CHUNK = 5
 BOUNDARY_LOOKBACK = 100
 BOUNDARY_LOOKAHEAD = 50
-SMALL_STEP = 32  # below this smallest advance the native loop is quadratic in practice
 
-_SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+_ENDS = re.compile("[" + re.escape(SENTENCE_TERMINATORS) + "]")
 
 
 def _let(value: Column, body) -> Column:
@@ -40,65 +39,22 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def chunk_end(t: Column, n: Column, s: Column, size: int) -> Column:
-    """Window end for a chunk starting at ``s``: ``s + size`` unless the text
-    goes on and a sentence terminator in ``[s+size-100, s+size+50)`` lies past
-    the window's middle, in which case the chunk ends just after it."""
-    base = s + F.lit(size)
-    lo = F.greatest(s + F.lit(size - BOUNDARY_LOOKBACK), s)
-    hi = F.least(base + F.lit(BOUNDARY_LOOKAHEAD), n)
-    seg = F.substring(t, lo + 1, hi - lo)
-    m = F.length(F.regexp_extract(seg, LAST_TERMINATOR_PREFIX, 0))
-
-    def pick(mm):
-        b = lo + mm
-        return F.when((mm > 0) & (b > s + F.lit(size // 2)), b).otherwise(base)
-
-    return F.when(base < n, _let(m, pick)).otherwise(base)
-
-
-def min_advance(size: int, overlap: int) -> int:
-    """Smallest possible step between two starts (bounds the loop)."""
-    return max(1, max(size // 2 + 1, size - (BOUNDARY_LOOKBACK - 1)) - overlap)
-
-
-def chunk_spans(t: Column, size: int = DEFAULT_CHUNK_SIZE, overlap: int = DEFAULT_CHUNK_OVERLAP) -> Column:
-    """array<struct<start,end>> of chunk windows over an already-cleaned text."""
-    adv = min_advance(size, overlap)
-    n = F.length(t)
-    steps = F.sequence(F.lit(0), F.floor(n / F.lit(adv)).cast("int") + 1)
-    init = F.struct(F.lit(0).alias("s"), F.array().cast(T.ArrayType(_SPAN)).alias("out"))
-
-    def step(acc, _):
-        s = acc["s"]
-
-        def advance(e):
-            nxt = F.greatest(s + 1, e - F.lit(overlap))
-            span = F.struct(s.alias("start"), e.alias("end"))
-            return F.struct(nxt.alias("s"), F.array_append(acc["out"], span).alias("out"))
-
-        return F.when(s < n, _let(chunk_end(t, n, s, size), advance)).otherwise(acc)
-
-    return F.aggregate(steps, init, step, lambda acc: acc["out"])
-
-
-def chunk_spans_py(text: str, size: int, overlap: int) -> list:
-    """The same loop in plain Python over a cleaned text (used by the Arrow path
-    and as an independent restatement in tests)."""
-    n = len(text)
-    out, s = [], 0
-    half = size // 2
-    while s < n:
-        e = s + size
-        if e < n:
-            lo = max(s + size - BOUNDARY_LOOKBACK, s)
-            hi = min(e + BOUNDARY_LOOKAHEAD, n)
-            b = max(text.rfind(ch, lo, hi) for ch in SENTENCE_TERMINATORS) + 1
-            if b > 0 and b > s + half:
-                e = b
-        out.append((s, e))
-        s = max(s + 1, e - overlap)
-    return out
+def chunk_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of the overlapping windows of a cleaned text. A window ends
+    ``size`` characters on, or just after the last sentence terminator around that
+    place (100 before to 50 behind) if the text goes on and that lies past its middle."""
+    after = [m.end() for m in _ENDS.finditer(text)]
+    total, spans, start = len(text), [], 0
+    while start < total:
+        end = start + size
+        if end < total:
+            # the last terminator that ends in (end - 100, end + 50]
+            k = bisect_left(after, min(end + BOUNDARY_LOOKAHEAD, total) + 1) - 1
+            if k >= 0 and after[k] > max(end - BOUNDARY_LOOKBACK, start, start + size // 2):
+                end = after[k]
+        spans.append((start, end))
+        start = max(start + 1, end - overlap)
+    return spans
 
 
 _PY_CHUNKS = T.StructType([T.StructField("starts", T.ArrayType(T.IntegerType())),
@@ -118,7 +74,7 @@ def _py_chunks_udf(size: int, overlap: int):
                 starts.append(None), ends.append(None), chunks.append(None)
                 continue
             n = len(t)
-            spans = chunk_spans_py(t, size, overlap)
+            spans = chunk_spans(t, size, overlap)
             starts.append([a for a, _ in spans])
             ends.append([min(b, n) for _, b in spans])
             chunks.append([t[a:b].strip(" ") for a, b in spans])
@@ -133,56 +89,20 @@ def _py_chunk_items(res: Column) -> Column:
     return F.filter(items, lambda x: x["chunk"] != "")
 
 
-def _chunks_from_spans(t: Column, spans: Column) -> Column:
-    """Cut (start, end, chunk) items natively; fine for ordinary texts, where
-    ``substring`` from the front of the string is cheap."""
-    items = F.transform(spans, lambda p: F.struct(
-        p["start"].alias("start"), F.least(p["end"], F.length(t)).alias("end"),
-        F.trim(F.substring(t, p["start"] + 1, p["end"] - p["start"])).alias("chunk")))
-    return F.filter(items, lambda x: x["chunk"] != "")
-
-
 def chunk_text(df: DataFrame, text_col: str = "text", size: int = DEFAULT_CHUNK_SIZE,
-               overlap: int = DEFAULT_CHUNK_OVERLAP, keep: list[str] | None = None,
-               method: str = "arrow", long_text_chars: int = 200_000) -> DataFrame:
+               overlap: int = DEFAULT_CHUNK_OVERLAP, keep: list[str] | None = None) -> DataFrame:
     """One row per chunk: ``keep`` columns + chunk_index, chunk_start, chunk_end, chunk.
 
     ``chunk_index`` counts emitted chunks per text from 0. Null or blank texts
-    give no rows. Cleaning always runs in the JVM. ``method``:
-    'arrow' (default) walks and cuts in an Arrow-batched pandas UDF -- linear in
-    the text length and, measured at sf0.1, slightly faster than the JVM loop;
-    'native' keeps everything in the JVM (fine for texts up to ~200k chars,
-    quadratic beyond); 'auto' uses the JVM loop below ``long_text_chars``.
-    Settings whose smallest step is tiny (overlap close to or above the size)
-    make the array-append loop quadratic, so they always take the Python loop."""
+    give no rows. Cleaning runs in the JVM, the walk in an Arrow-batched UDF."""
     if size <= 0:
         raise ValueError("chunk size must be positive")
-    if min_advance(size, overlap) < SMALL_STEP:
-        method = "arrow"
     keep = [c for c in (keep if keep is not None else df.columns) if c != text_col]
-    raw = F.col(text_col)
-
-    if method == "native":
-        def build(t):
-            return _chunks_from_spans(t, chunk_spans(t, size, overlap))
-        arr = _let(chunk_clean(raw), build)
-        src = df
-    elif method in ("arrow", "auto"):
-        ensure_on_executors(df.sparkSession)
-        udf = _py_chunks_udf(size, overlap)
-        cleaned = "__tessera_clean"
-        # only the keys and the cleaned text travel past the Python node
-        src = df.select(*[F.col(c) for c in keep], chunk_clean(raw).alias(cleaned))
-        t = F.col(cleaned)
-        if method == "arrow":
-            arr = _py_chunk_items(udf(t))
-        else:
-            long_ = F.length(t) > F.lit(long_text_chars)
-            arr = F.when(long_, _py_chunk_items(udf(F.when(long_, t)))).otherwise(
-                _chunks_from_spans(t, chunk_spans(t, size, overlap)))
-    else:
-        raise ValueError(f"unknown chunk method {method!r}")
-
+    ensure_on_executors(df.sparkSession)
+    cleaned = "__tessera_clean"
+    # only the keys and the cleaned text travel past the Python node
+    src = df.select(*[F.col(c) for c in keep], chunk_clean(F.col(text_col)).alias(cleaned))
+    arr = _py_chunk_items(_py_chunks_udf(size, overlap)(F.col(cleaned)))
     out = src.select(*[F.col(c) for c in keep], F.posexplode(arr).alias("chunk_index", "c"))
     return out.select(*keep, "chunk_index", F.col("c.start").alias("chunk_start"),
                       F.col("c.end").alias("chunk_end"), F.col("c.chunk").alias("chunk"))

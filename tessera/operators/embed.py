@@ -3,10 +3,13 @@ plus mean pooling and dimension checks as native aggregations.
 
 Encoder protocol: ``factory() -> encoder`` (called once per task, so a model
 is loaded once per executor task, not per row) and
-``encoder.encode(list[str]) -> np.ndarray (n, d)``."""
+``encoder.encode(list[str], max_tokens=512) -> np.ndarray (n, d)``; an encoder
+truncates each text to ``max_tokens`` of its own tokens (one whose ``encode`` takes
+no such argument is called without it)."""
 from __future__ import annotations
 
 import hashlib
+import inspect
 from typing import Callable, Iterator
 
 import numpy as np
@@ -22,22 +25,23 @@ POOL_EPS = 1e-9
 
 
 def embed(df: DataFrame, encoder_factory: Callable[[], object], text_col: str = "chunk",
-          out_col: str = "embedding", batch_size: int = DEFAULT_BATCH_SIZE) -> DataFrame:
+          out_col: str = "embedding", batch_size: int = DEFAULT_BATCH_SIZE, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Append ``out_col`` (array<float>) computed by the plug-in encoder in
-    batches of ``batch_size`` texts. Null text gives a null vector."""
+    batches of ``batch_size`` texts of at most ``max_tokens`` tokens each. Null text gives a null vector."""
 
     ensure_on_executors(df.sparkSession)
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def enc(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = encoder_factory()
+        limit = {"max_tokens": max_tokens} if "max_tokens" in inspect.signature(model.encode).parameters else {}
         for texts in it:
             values = texts.tolist()
             out = [None] * len(values)
             idx = [i for i, t in enumerate(values) if t is not None]
             for lo in range(0, len(idx), batch_size):
                 part = idx[lo:lo + batch_size]
-                vecs = np.asarray(model.encode([values[i] for i in part]), dtype=np.float32)
+                vecs = np.asarray(model.encode([values[i] for i in part], **limit), dtype=np.float32)
                 for j, i in enumerate(part):
                     out[i] = vecs[j]
             yield pd.Series(out, dtype=object)

@@ -5,12 +5,14 @@ Generator protocol: ``factory() -> generator or None`` (None = no model
 available: no QA rows), called once per task; ``generator.generate(prompts:
 list[str], **options) -> list[str]``. Each (chunk, question) does two calls:
 question from the question prompt, then answer from the answer prompt with
-that question. A failure falls back to per-row calls; a row that still fails
-keeps '' and records the error, as the reference keeps failed rows."""
+that question. At most ``batch_size`` prompts go into one call; a call that
+fails is halved until the failing prompt stands alone, which keeps '' and records
+the error. A null context is such a failure, not the job's."""
 from __future__ import annotations
 
 import re
-from typing import Callable, Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,9 +37,52 @@ ANSWER_TEMPLATE = ("Based on the following Arabic text, provide a comprehensive
                    "educational and informative\n6. Use proper Arabic grammar and style\n\nFocus on providing "
                    "a complete answer that would satisfy someone asking this question, even if they don't "
                    "have access to the original text.")
-# sampling options: question / answer calls
+QUESTION_TEMPLATE_LOCAL = """Based on the following Arabic text, generate one self-contained question in Arabic that includes all necessary information to answer it without needing the original context. 
+
+The question should:
+1. Be completely self-contained - include all relevant details, names, dates, facts, or context needed to answer it
+2. Be natural and conversational in Arabic
+3. Cover various types: factual, analytical, comparative, causal, hypothetical, opinion-based, evaluative, etc.
+4. Be specific enough that someone who hasn't read the original text could still answer it
+5. Include any necessary background information or context within the question itself
+
+Examples of good self-contained questions:
+- "ما هي العاصمة السياسية والاقتصادية لمصر؟" (What is the political and economic capital of Egypt?)
+- "كيف يؤثر تغير المناخ على الزراعة في منطقة الشرق الأوسط؟" (How does climate change affect agriculture in the Middle East?)
+- "ما هي الفوائد الصحية للتمر على جسم الإنسان؟" (What are the health benefits of dates on the human body?)
+
+The response should be only the question in Arabic — no explanations, translations, or additional commentary."""
+# sampling options of the two kinds of model: question call, answer call
 QUESTION_OPTIONS = {"max_new_tokens": 2048}
 ANSWER_OPTIONS = {"max_new_tokens": 200, "temperature": 0.7, "top_p": 0.9, "do_sample": True}
+API_MAX_TOKENS, API_CHOICES = 2048, 1
+
+
+@dataclass(frozen=True)
+class Preset:
+    """Question template and call options for one kind of model."""
+
+    question_template: str
+    question_options: dict
+    answer_options: dict
+
+
+def local_preset(temperature: float = 0.7, top_p: float = 0.9, do_sample: bool = True) -> Preset:
+    """A model run in the executors: the long question template; sampling
+    options go with the answer call only."""
+    return Preset(QUESTION_TEMPLATE_LOCAL, dict(QUESTION_OPTIONS),
+                  ANSWER_OPTIONS | {"temperature": temperature, "top_p": top_p, "do_sample": do_sample})
+
+
+def api_preset(model: str | None = None, temperature: float = 0.7, top_p: float = 0.9) -> Preset:
+    """A model behind a chat API: the short question template, the same options
+    for both calls."""
+    options = {"max_tokens": API_MAX_TOKENS, "temperature": temperature, "top_p": top_p, "n": API_CHOICES}
+    options |= {"model": model} if model else {}
+    return Preset(QUESTION_TEMPLATE_API, options, dict(options))
+
+
+DEFAULT_PROMPT_BATCH = 32
 
 
 def _c(c) -> Column:
@@ -63,64 +108,67 @@ QA_SCHEMA = ("id string, question string, answer string, context string, questio
              "chunk_index long, error string")
 
 
-def _call_all(gen, prompts: list[str], options: dict) -> tuple[list[str], list[str | None]]:
-    """One batched call; on failure, one call per prompt; '' and the error kept."""
+def _call(gen, prompts: list[str], options: dict) -> list[tuple[str, str | None]]:
+    """(output, error) per prompt of one call; a failing call is halved."""
+    if not prompts:
+        return []
     try:
         out = list(gen.generate(prompts, **options))
         if len(out) != len(prompts):
-            raise ValueError("generator returned a different number of outputs")
-        return [("" if o is None else str(o)).strip() for o in out], [None] * len(prompts)
-    except Exception:  # noqa: BLE001 - isolate the failing rows below
-        res, errs = [], []
-        for p in prompts:
-            try:
-                o = gen.generate([p], **options)[0]
-                res.append(("" if o is None else str(o)).strip())
-                errs.append(None)
-            except Exception as e:  # noqa: BLE001
-                res.append("")
-                errs.append(repr(e))
-        return res, errs
+            raise ValueError(f"{len(prompts)} prompts gave {len(out)} outputs")
+        return [("" if o is None else str(o).strip(), None) for o in out]
+    except Exception as e:  # noqa: BLE001 - kept with the prompt that causes it
+        if len(prompts) == 1:
+            return [("", repr(e))]
+        half = len(prompts) // 2
+        return _call(gen, prompts[:half], options) + _call(gen, prompts[half:], options)
+
+
+def _call_some(gen, prompts: list[str | None], options: dict, batch_size: int) -> tuple[list[str], list[str | None]]:
+    """All prompts, ``batch_size`` a call; a null prompt is not sent."""
+    sent = [p for p in prompts if p is not None]
+    got = iter([r for i in range(0, len(sent), batch_size) for r in _call(gen, sent[i:i + batch_size], options)])
+    each = [next(got) if p is not None else ("", "no context") for p in prompts]
+    return [o for o, _ in each], [e for _, e in each]
 
 
 def generate_qa(chunks: DataFrame, generator_factory: Callable[[], object], text_col: str = "chunk",
                 index_col: str = "real_index", n_questions: int = DEFAULT_QUESTIONS_PER_CHUNK,
                 question_template: str = QUESTION_TEMPLATE_API, answer_template: str = ANSWER_TEMPLATE,
                 question_options: dict | None = None, answer_options: dict | None = None,
-                keep: list[str] | None = None) -> DataFrame:
+                keep: list[str] | None = None, batch_size: int = DEFAULT_PROMPT_BATCH) -> DataFrame:
     """QA rows (keep..., id, question, answer, context, question_index, chunk_index, error).
 
-    Non-deterministic model calls: materialise the result (write it) before
-    using it twice, or each action calls the model again."""
+    Each context goes to Python once; the ``n_questions`` rows per chunk are made
+    there. Non-deterministic model calls: materialise the result (write it)
+    before using it twice, or each action calls the model again."""
     ensure_on_executors(chunks.sparkSession)
     qo = dict(QUESTION_OPTIONS if question_options is None else question_options)
     ao = dict(ANSWER_OPTIONS if answer_options is None else answer_options)
     keep = list(keep or [])
-    src = question_fanout(chunks.select(*keep, F.col(index_col).cast("long").alias("chunk_index"),
-                                        F.col(text_col).alias("context")), n_questions)
-    # prompts are built inside the task from the context (the template is a
-    # constant), so each context crosses to Python once
-    src = src.select(*keep, "chunk_index", "question_index", "context")
+    src = chunks.select(*keep, F.col(index_col).cast("long").alias("chunk_index"), F.col(text_col).alias("context"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keep)
     schema = (schema + ", " if schema else "") + QA_SCHEMA
+    fan = max(0, n_questions)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gen = generator_factory()
+        gen = generator_factory() if fan else None
         for pdf in batches:
             if gen is None or len(pdf) == 0:
                 continue
-            qprompts = [question_template + TEXT_MARKER + c for c in pdf["context"].tolist()]
-            questions, qerr = _call_all(gen, qprompts, qo)
-            aprompts = [answer_template + TEXT_MARKER + c + QUESTION_MARKER + q
-                        for c, q in zip(pdf["context"].tolist(), questions)]
-            answers, aerr = _call_all(gen, aprompts, ao)
+            rows = pdf.loc[pdf.index.repeat(fan)].reset_index(drop=True)
+            index = list(range(fan)) * len(pdf)
+            contexts = [c if isinstance(c, str) else None for c in rows["context"]]
+            questions, qerr = _call_some(gen, [None if c is None else question_template + TEXT_MARKER + c for c in contexts], qo, batch_size)
+            answers, aerr = _call_some(gen, [None if c is None else answer_template + TEXT_MARKER + c + QUESTION_MARKER + q
+                                             for c, q in zip(contexts, questions, strict=True)], ao, batch_size)
             yield pd.DataFrame({
-                **{k: pdf[k] for k in keep},
-                "id": [QA_ID_FORMAT % (ci, qi) for ci, qi in zip(pdf["chunk_index"], pdf["question_index"])],
-                "question": questions, "answer": answers, "context": pdf["context"],
-                "question_index": pdf["question_index"].astype("int32"),
-                "chunk_index": pdf["chunk_index"].astype("int64"),
-                "error": [q or a for q, a in zip(qerr, aerr)]})
+                **{k: rows[k] for k in keep},
+                "id": [QA_ID_FORMAT % (ci, qi) for ci, qi in zip(rows["chunk_index"], index, strict=True)],
+                "question": questions, "answer": answers, "context": contexts,
+                "question_index": pd.array(index, dtype="int32"),
+                "chunk_index": rows["chunk_index"].astype("int64"),
+                "error": [q or a for q, a in zip(qerr, aerr, strict=True)]})
 
     return src.mapInPandas(run, schema)
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import clean_page, is_blank, join_cleaned_pages, valid_text, ws_trim
+from tessera.functions.text import JOINED_HEAD, JOINED_TAIL, PAGE_SEPARATOR, clean_page, is_blank, join_cleaned_pages, valid_text, ws_trim
 
 
 def pages_from_text_layer(docs: DataFrame, keys: list[str], text_col: str = "text",
@@ -37,26 +37,24 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     return pages_drop_blank(pages).withColumn("text", clean_page("text", "page_num"))
 
 
-def _page_agg(pages: DataFrame, keys: list[str], max_pages: int | None):
-    limited = page_limit(pages, max_pages)
-    cleaned = F.when(valid_text("text"), F.struct("page_num", clean_page("text", "page_num").alias("t")))
-    return limited.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("pages_total"),
-        F.count_if(valid_text("text")).alias("pages_with_text"),
-        F.sort_array(F.collect_list(cleaned)).alias("__p"))
-
-
 def join_pages(pages: DataFrame, keys: list[str], max_pages: int | None = None) -> DataFrame:
     """Full-text mode: one row per document with its non-blank pages cleaned
     and joined in page order. Documents whose pages are all blank give ''."""
-    agg = _page_agg(pages, keys, max_pages)
+    cleaned = F.when(valid_text("text"), F.struct("page_num", clean_page("text", "page_num").alias("t")))
+    agg = page_limit(pages, max_pages).groupBy(*keys).agg(F.sort_array(F.collect_list(cleaned)).alias("__p"))
     return agg.select(*keys, join_cleaned_pages(F.transform("__p", lambda x: x["t"])).alias("text"))
 
 
 def page_stats(pages: DataFrame, keys: list[str], max_pages: int | None = None) -> DataFrame:
-    """Per document, in one aggregation: pages processed, pages with text,
-    characters of the joined text and characters per processed page."""
-    agg = _page_agg(pages, keys, max_pages)
-    chars = F.length(join_cleaned_pages(F.transform("__p", lambda x: x["t"])))
-    return agg.select(*keys, "pages_total", "pages_with_text", chars.cast("long").alias("total_chars"),
-                      (chars / F.col("pages_total")).alias("avg_chars_per_page"))
+    """Per document: pages processed, pages with text, characters of the joined
+    text and characters per processed page. The length of the joined text is a
+    sum (page lengths, two line ends between pages, the frame around them), so
+    partial aggregation does it and no text is shuffled."""
+    full = valid_text("text")
+    frame = len(JOINED_HEAD) + len(JOINED_TAIL)
+    agg = page_limit(pages, max_pages).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("pages_total"), F.count_if(full).alias("pages_with_text"),
+        F.sum(F.when(full, F.length(clean_page("text", "page_num")))).alias("__c"))
+    chars = F.when(F.col("pages_with_text") > 0, F.col("__c") + frame + len(PAGE_SEPARATOR) * (F.col("pages_with_text") - 1)).otherwise(0)
+    return agg.withColumn("total_chars", chars.cast("long")).select(
+        *keys, "pages_total", "pages_with_text", "total_chars", (F.col("total_chars") / F.col("pages_total")).alias("avg_chars_per_page"))

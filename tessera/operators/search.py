@@ -2,14 +2,16 @@
 
 * ``cosine``: native expression (double precision).
 * ``top_k_single``: one query vector against a corpus; ``TakeOrderedAndProject``.
-* ``top_k``: many queries against a corpus without materialising pairs. The
-  query set is broadcast in blocks whose byte size is checked; each corpus
-  task scores its rows against the block with one matrix product (numpy,
-  Arrow batches) and keeps only the k best per query. The final ranking runs
-  over k x partitions candidates per query (``WindowGroupLimit``).
-
-Ranking: score descending, then vector id descending. Zero vectors have no
-direction and are left out (the reference would produce NaN scores)."""
+* ``top_k``: many queries against a corpus without materialising pairs. Queries and
+  corpus are packed into blocks of about ``BLOCK_ROWS`` unit vectors; an equi-join
+  brings every query block to every corpus block, and each pair of blocks is one
+  matrix product (numpy, Arrow batches) that keeps the k best per query. The final
+  ranking runs over k candidates per query and corpus block (``WindowGroupLimit``).
+  Nothing goes through the driver, and all sizes take the same way.
+
+Ranking: score descending, then vector id descending (ids of any orderable type).
+Null vectors, zero vectors and vectors with a null or NaN element have no
+direction: they are neither found nor answered."""
 from __future__ import annotations
 
 import numpy as np
@@ -17,11 +19,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.plans.parallel import BROADCAST_BYTES_LIMIT
 from tessera.session import ensure_on_executors
 
 DEFAULT_TOP_K = 5
-QUERY_SUBBLOCK = 1024
+BLOCK_ROWS = 2048
 
 
 def _c(c) -> Column:
@@ -54,8 +55,12 @@ def centroid(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
 def top_k_single(corpus: DataFrame, query: DataFrame, k: int = DEFAULT_TOP_K, id_col: str = "vec_id",
                  vec_col: str = "embedding") -> DataFrame:
     """Top-k of one query (a one-row frame with ``vec_col``): (rank, id, score).
-    The single query row is attached by a join on a constant (one row: bounded)."""
-    q = F.broadcast(query.select(F.col(vec_col).alias("__q")).limit(1).withColumn("__k", F.lit(1)))
+    More than one query row is an error; use ``top_k`` for those. The single row is
+    attached by a join on a constant (one row: bounded)."""
+    one = query.select(F.col(vec_col).alias("__q")).limit(2).withColumn("__k", F.lit(1))
+    if one.count() > 1:
+        raise ValueError("top_k_single answers one query vector; use top_k for several")
+    q = F.broadcast(one)
     scored = (corpus.select(id_col, vec_col).withColumn("__k", F.lit(1)).join(q, "__k")
               .select(id_col, cosine(vec_col, "__q").alias("score"))
               .filter(F.col("score").isNotNull()))
@@ -64,20 +69,6 @@ def top_k_single(corpus: DataFrame, query: DataFrame, k: int = DEFAULT_TOP_K, id
     return top.select(F.row_number().over(w).cast("int").alias("rank"), id_col, "score")
 
 
-def _unit_rows(mat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = np.linalg.norm(mat, axis=1)
-    keep = n > 0
-    return mat[keep] / n[keep, None], keep
-
-
-def _merge_topk(best_s, best_i, s, ids, k):
-    """Per query row, keep the k best of (best, new) by score desc, id desc."""
-    cs = np.concatenate([best_s, s], axis=1)
-    ci = np.concatenate([best_i, np.broadcast_to(ids, s.shape)], axis=1)
-    o = np.lexsort((-ci, -cs), axis=1)[:, :k]
-    return np.take_along_axis(cs, o, axis=1), np.take_along_axis(ci, o, axis=1)
-
-
 def _batch_candidates(s: np.ndarray, ids: np.ndarray, k: int):
     """The k best columns of each row of ``s`` (rows = queries), exact under
     ties: rows with a tie at the k-th score are resolved by id, one by one."""
@@ -96,68 +87,43 @@ def _batch_candidates(s: np.ndarray, ids: np.ndarray, k: int):
     return top_s, top_i
 
 
-def _block_topk_fn(qids: np.ndarray, qmat_bc, k: int, id_col: str, vec_col: str):
-    def run(batches):
-        q = qmat_bc.value
-        nq = q.shape[0]
-        best_s = np.full((nq, k), -np.inf)
-        best_i = np.full((nq, k), np.iinfo(np.int64).min, dtype=np.int64)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            mat = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            unit, keep = _unit_rows(mat)
-            ids = pdf[id_col].to_numpy().astype(np.int64)[keep]
-            if len(ids) == 0:
-                continue
-            for lo in range(0, nq, QUERY_SUBBLOCK):
-                hi = min(nq, lo + QUERY_SUBBLOCK)
-                cs, ci = _batch_candidates(q[lo:hi] @ unit.T, ids, k)
-                best_s[lo:hi], best_i[lo:hi] = _merge_topk(best_s[lo:hi], best_i[lo:hi], cs, ci, k)
-        valid = np.isfinite(best_s)
-        rows_q = np.repeat(qids, k).reshape(nq, k)[valid]
-        yield pd.DataFrame({"query_id": rows_q.astype(np.int64), id_col: best_i[valid],
-                            "score": best_s[valid]})
-    return run
+def _packed(vectors: DataFrame, id_col: str, vec_col: str, block_rows: int, name: str) -> tuple[DataFrame, int]:
+    """({name}_block, {name}_ids, {name}_vectors), about ``block_rows`` a block, and the number of blocks."""
+    usable = vectors.select(F.col(id_col).alias("i"), F.transform(vec_col, lambda x: x.cast("double")).alias("v")).filter(
+        F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("v", lambda x: x != 0))
+    blocks = max(1, -(-usable.count() // block_rows))
+    # the place in its partition deals the rows evenly, whatever the ids are
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    unit = F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y * y)))
+    grouped = usable.select("i", unit.alias("v"), block.alias(f"{name}_block")).groupBy(f"{name}_block").agg(
+        F.sort_array(F.collect_list(F.struct("i", "v")), asc=False).alias("r"))
+    return grouped.select(f"{name}_block", F.col("r.i").alias(f"{name}_ids"), F.col("r.v").alias(f"{name}_vectors")), blocks
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_TOP_K, id_col: str = "vec_id",
-          vec_col: str = "embedding", query_id_col: str | None = None,
-          block_bytes: int = BROADCAST_BYTES_LIMIT) -> DataFrame:
-    """Exact batch top-k: (query_id, rank, id, score) for every query.
-
-    Queries are broadcast in blocks of at most ``block_bytes`` (rows x vector
-    bytes, checked from the count and the vector width); each block is one
-    pass over the corpus. No query x corpus rows are ever materialised."""
-    spark = queries.sparkSession
-    ensure_on_executors(spark)
+          vec_col: str = "embedding", query_id_col: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact batch top-k: (query_id, rank, id, score) for every query."""
+    ensure_on_executors(queries.sparkSession)
     qid = query_id_col or id_col
-    qs = queries.select(F.col(qid).alias("query_id"), F.col(vec_col).alias("__v"))
-    stats = qs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("__v")).alias("d")).first()
-    n, d = int(stats["n"]), int(stats["d"] or 0)
-    if n == 0 or d == 0:
-        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
-    row_bytes = 8 * d + 16
-    blocks = max(1, -(-n * row_bytes // block_bytes))
-    corpus_v = corpus.select(F.col(id_col).cast("long").alias(id_col), vec_col)
-    schema = f"query_id long, {id_col} long, score double"
-    parts = []
-    for b in range(blocks):
-        blk = qs if blocks == 1 else qs.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        # bounded by block_bytes (checked above): safe to ship to every task
-        pdf = blk.toPandas()
-        mat = np.stack(pdf["__v"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, d))
-        unit, keep = _unit_rows(mat)
-        ids = pdf["query_id"].to_numpy().astype(np.int64)[keep]
-        if len(ids) == 0:
-            continue
-        bc = spark.sparkContext.broadcast(unit)
-        parts.append(corpus_v.mapInPandas(_block_topk_fn(ids, bc, k, id_col, vec_col), schema))
-    if not parts:
-        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    qs, q_blocks = _packed(queries, qid, vec_col, block_rows, "q")
+    cs, _ = _packed(corpus, id_col, vec_col, block_rows, "c")
+    sent = cs.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    pairs = qs.join(sent, "q_block").select("q_ids", "q_vectors", "c_ids", "c_vectors")
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, qid), (corpus, id_col))]
+
+    def best(batches):
+        for pdf in batches:
+            for q_ids, q_vec, c_ids, c_vec in zip(pdf["q_ids"], pdf["q_vectors"], pdf["c_ids"], pdf["c_vectors"], strict=True):
+                q, c = np.stack(q_vec), np.stack(c_vec)
+                if q.shape[1] != c.shape[1]:
+                    raise ValueError(f"query vectors have {q.shape[1]} dimensions, corpus vectors {c.shape[1]}")
+                # ids stand in falling order: the place from the end ranks ties
+                score, place = _batch_candidates(q @ c.T, np.arange(len(c))[::-1], min(k, len(c)))
+                width = score.shape[1]
+                yield pd.DataFrame({"query_id": np.repeat(np.asarray(q_ids), width),
+                                    id_col: np.asarray(c_ids)[len(c) - 1 - place.reshape(-1)], "score": score.reshape(-1)})
+
+    found = pairs.mapInPandas(best, f"query_id {kinds[0]}, `{id_col}` {kinds[1]}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(id_col))
-    ranked = cand.withColumn("rank", F.row_number().over(w).cast("int"))
+    ranked = found.withColumn("rank", F.row_number().over(w).cast("int"))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", id_col, "score")

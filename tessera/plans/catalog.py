@@ -25,6 +25,9 @@ from tessera.plans.parallel import spread
 from tessera.plans.standins import load, pages_from_documents, qa_pairs_from_conversations
 from tessera.session import scratch_path
 from tessera.sources import readers as rd
+from tessera.sources import sinks as sk
+from tessera.sources.sinks import materialize
+from tessera.streaming import incremental as inc
 from tessera.streaming.incremental import resume_anti
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +46,11 @@ def documents(spark, sf_dir, spread_rows: bool = False) -> DataFrame:
     return spread(df, "doc_id") if spread_rows else df
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """A frame used twice is computed once: written to the shared scratch folder."""
+    return materialize(df, scratch_path(df.sparkSession, name))
+
+
 # ---------------------------------------------------------------- chunking
 def chunk_stats_frame(chunks: DataFrame, by: list[str]) -> DataFrame:
     n = F.length("chunk")
@@ -120,13 +128,13 @@ def q_clean_txt(spark, sf_dir):
 # ---------------------------------------------------------------- rows
 @query("row_index")
 def q_row_index(spark, sf_dir):
-    return rw.with_row_index(documents(spark, sf_dir)).select("doc_id", "real_index")
+    return rw.with_row_index(documents(spark, sf_dir), bare_scan=True).select("doc_id", "real_index")
 
 
 @query("slice_rows")
 def q_slice_rows(spark, sf_dir):
     # resume from index 100; max_samples = 0 means "all the rest"
-    df = rw.with_row_index(documents(spark, sf_dir))
+    df = rw.with_row_index(documents(spark, sf_dir), bare_scan=True)
     return rw.slice_rows(df, start=100, max_samples=0).select("real_index", "doc_id")
 
 
@@ -143,7 +151,7 @@ def q_min_length(spark, sf_dir):
 
 @query("dataset_chunks")
 def q_dataset_chunks(spark, sf_dir):
-    return rw.dataset_chunks(spread(rw.with_row_index(documents(spark, sf_dir)), "real_index"))
+    return rw.dataset_chunks(spread(rw.with_row_index(documents(spark, sf_dir), bare_scan=True), "real_index"))
 
 
 # ---------------------------------------------------------------- pages
@@ -211,11 +219,10 @@ def q_scan_json(spark, sf_dir):
 
 def _write_txt_files(spark, sf_dir) -> str:
     """Each document as its own UTF-8 .txt file ``doc_<id>.txt`` in the shared scratch folder."""
-    from tessera.sources.sinks import write_files
     path = scratch_path(spark, "documents-txt")
     files = documents(spark, sf_dir, True).select(F.format_string("doc_%d.txt", "doc_id").alias("file_name"),
                                                   F.col("text").alias("body"))
-    write_files(files, path)
+    sk.write_files(files, path)
     return path
 
 
@@ -263,7 +270,7 @@ def _qa(spark, sf_dir, with_types: bool = False) -> DataFrame:
 
 def _table_chunks(spark, sf_dir) -> DataFrame:
     """The table path: documents with row position -> dataset chunks."""
-    return rw.dataset_chunks(spread(rw.with_row_index(documents(spark, sf_dir)), "real_index"))
+    return rw.dataset_chunks(spread(rw.with_row_index(documents(spark, sf_dir), bare_scan=True), "real_index"))
 
 
 def _doc_chunks(spark, sf_dir) -> DataFrame:
@@ -303,13 +310,12 @@ def q_answer_prompt(spark, sf_dir):
 
 @query("generate_qa")
 def q_generate_qa(spark, sf_dir):
-    chunks = spread(_table_chunks(spark, sf_dir), "real_index")
-    return gn.generate_qa(chunks, gn.FirstSentenceGenerator, n_questions=3)
+    return gn.generate_qa(_table_chunks(spark, sf_dir), gn.FirstSentenceGenerator, n_questions=3)
 
 
 @query("join_chunk_qa")
 def q_join_chunk_qa(spark, sf_dir):
-    chunks = _doc_chunks(spark, sf_dir)
+    chunks = _stored(_doc_chunks(spark, sf_dir), "chunks")
     fan = gn.question_fanout(chunks.select("doc_id", "chunk_index"), 3)
     return (chunks.join(fan, ["doc_id", "chunk_index"])
             .select("doc_id", "chunk_index", "question_index", F.length("chunk").alias("chunk_chars")))
@@ -404,7 +410,7 @@ def q_dataset_chunk_stats(spark, sf_dir):
 
 @query("run_summary")
 def q_run_summary(spark, sf_dir):
-    chunks = _doc_chunks(spark, sf_dir)
+    chunks = _stored(_doc_chunks(spark, sf_dir).select("doc_id", "chunk_index"), "chunks")
     qa = gn.question_fanout(chunks, 3)
     s = stt.run_summary(chunks, qa, load(spark, sf_dir, "embeddings"))
     return s.withColumn("qa_per_chunk", F.round("qa_per_chunk", 6))
@@ -417,8 +423,7 @@ def _vectors(spark, sf_dir) -> DataFrame:
 
 @query("embed_hashing")
 def q_embed_hashing(spark, sf_dir):
-    chunks = spread(_doc_chunks(spark, sf_dir), ["doc_id", "chunk_index"])
-    vec = em.embed(chunks, lambda: em.HashingEncoder(64), text_col="chunk")
+    vec = em.embed(_doc_chunks(spark, sf_dir), lambda: em.HashingEncoder(64), text_col="chunk")
     return (vec.select("doc_id", "chunk_index", F.posexplode("embedding").alias("dim", "value"))
             .filter(F.col("value") != 0).withColumn("value", F.col("value").cast("double")))
 
@@ -478,3 +483,174 @@ def q_chunk_files(spark, sf_dir):
 def q_qa_pair_files(spark, sf_dir):
     """One pretty JSON file per QA pair, numbered densely in QA order."""
     return fm.qa_pair_files(_qa(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- row positions over several files
+def _in_files(spark, sf_dir, fmt: str) -> str:
+    """documents as several files whose path order is the order of doc_id."""
+    path = scratch_path(spark, f"documents-{fmt}")
+    docs = documents(spark, sf_dir).repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id")
+    docs.write.format(fmt).save(path)
+    return path
+
+
+@query("row_index_multi_file")
+def q_row_index_multi_file(spark, sf_dir):
+    return rw.with_row_index(spark.read.parquet(_in_files(spark, sf_dir, "parquet"))).select("doc_id", "real_index")
+
+
+@query("row_index_json")
+def q_row_index_json(spark, sf_dir):
+    return rw.with_row_index(rd.read_table(spark, _in_files(spark, sf_dir, "json"), "json")).select("doc_id", "real_index")
+
+
+@query("slice_after_split")
+def q_slice_after_split(spark, sf_dir):
+    """Positions count the rows of the chosen split only."""
+    df = rd.read_named(spark, _in_files(spark, sf_dir, "parquet"), split="en", split_col="lang")
+    return rw.slice_rows(rw.with_row_index(df), start=20).select("real_index", "doc_id")
+
+
+@query("scan_auto_formats")
+def q_scan_auto_formats(spark, sf_dir):
+    """The same table under each suffix, its format found from the path."""
+    root, docs = scratch_path(spark, "formats"), documents(spark, sf_dir)
+    frames = []
+    for suffix in ("csv", "JSONL", "json", "parquet", "unknown"):
+        path = f"{root}/documents.{suffix}"
+        w = docs.write.option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        w.format(rd.detect_format(path)).option("header", True).save(path)
+        frames.append(rd.read_table(spark, path).select(F.lit(suffix).alias("suffix"), "text"))
+    return cb.union_sources(frames).groupBy("suffix").agg(F.count("text").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+# ---------------------------------------------------------------- document sources
+def _form_feeds(spark, sf_dir) -> DataFrame:
+    """documents as text layers: a page per line, form feeds between them."""
+    return documents(spark, sf_dir, True).select("doc_id", F.translate("text", "\n", "\f").alias("text"))
+
+
+@query("pages_text_layer")
+def q_pages_text_layer(spark, sf_dir):
+    return pg.pages_from_text_layer(_form_feeds(spark, sf_dir), ["doc_id"])
+
+
+def _mixed_files(spark, sf_dir) -> str:
+    """One file a document: .pdf, .PDF, .txt or .md by doc_id."""
+    path = scratch_path(spark, "documents-mixed")
+    suffix = F.element_at(F.array(*map(F.lit, ("pdf", "PDF", "txt", "md"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    files = _form_feeds(spark, sf_dir).select(F.concat(F.format_string("sub/doc_%d.", "doc_id"), suffix).alias("file_name"), F.col("text").alias("body"))
+    sk.write_files(files, path)
+    return path
+
+
+def _form_feed_extractor():
+    return lambda content: content.decode("utf-8").split("\f")
+
+
+def _file_id():
+    return F.regexp_extract("path", r"doc_(\d+)\.[A-Za-z]+$", 1).cast("long").alias("doc_id")
+
+
+@query("pdf_pages")
+def q_pdf_pages(spark, sf_dir):
+    pages = rd.read_pdf_pages(spark, _mixed_files(spark, sf_dir), _form_feed_extractor)
+    return pages.select(_file_id(), "page_num", "text")
+
+
+@query("split_by_extension")
+def q_split_by_extension(spark, sf_dir):
+    parts = rd.split_by_extension(rd.read_binary_files(spark, _mixed_files(spark, sf_dir)))
+    return cb.union_sources([df.select(F.lit(kind).alias("kind"), _file_id()) for kind, df in parts.items()])
+
+
+# ---------------------------------------------------------------- sinks, written and read back
+@query("sink_json")
+def q_sink_json(spark, sf_dir):
+    qa = _qa(spark, sf_dir)
+    return spark.read.schema(qa.schema).json(sk.write_json(qa, scratch_path(spark, "qa-json"))).select(qa.columns)
+
+
+@query("sink_csv")
+def q_sink_csv(spark, sf_dir):
+    qa = _qa(spark, sf_dir)
+    back = rd.read_table(spark, sk.write_csv(qa, scratch_path(spark, "qa") + ".csv"))
+    return back.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in qa.schema))
+
+
+@query("sink_embeddings")
+def q_sink_embeddings(spark, sf_dir):
+    path = sk.write_embeddings(_vectors(spark, sf_dir), scratch_path(spark, "vectors"), ["vec_id"])
+    return spark.read.parquet(path).select("vec_id", F.posexplode("embedding").alias("dim", "value")).withColumn(
+        "value", F.round(F.col("value").cast("double"), 6))
+
+
+@query("export_all")
+def q_export_all(spark, sf_dir):
+    """Rows in every output of the multi-format export."""
+    out = sk.export_qa(_qa(spark, sf_dir), scratch_path(spark, "export"), "run", "all", datapoint_files=True)
+    frames = []
+    for name, path in out.items():
+        if name == "alpaca_datapoints":
+            df = rd.read_binary_files(spark, path, "*.json").select("path")
+        else:
+            df = spark.read.parquet(path) if name == "qa_parquet" else rd.read_table(spark, path, "csv" if name.endswith("csv") else "json")
+        frames.append(df.select(F.lit(name).alias("output")))
+    return cb.union_sources(frames).groupBy("output").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("metadata_sink")
+def q_metadata_sink(spark, sf_dir):
+    path = sk.write_json(stt.metadata(_qa(spark, sf_dir), "conversations.parquet"), scratch_path(spark, "metadata"))
+    m = spark.read.json(path)
+    return m.select(F.col("dataset_info.source_file").alias("source_file"), F.col("dataset_info.total_qa_pairs").alias("total_qa_pairs"),
+                    F.round("statistics.avg_question_length", 6).alias("avg_question_length"))
+
+
+# ---------------------------------------------------------------- streams and progress
+@query("stream_chunks")
+def q_stream_chunks(spark, sf_dir):
+    """Every text file chunked by the stream, read back from its output."""
+    out = scratch_path(spark, "stream")
+    inc.stream_text_files(spark, _write_txt_files(spark, sf_dir), f"{out}/chunks", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/chunks").select(_doc_id_from_path(), "chunk_index", "chunk_start", "chunk_end", "chunk")
+
+
+@query("stream_qa_stats")
+def q_stream_qa_stats(spark, sf_dir):
+    """Running statistics over a stream of QA rows, as of its end."""
+    out = scratch_path(spark, "stream-qa")
+    qa = _qa(spark, sf_dir, with_types=True)
+    qa.write.parquet(f"{out}/qa")
+    stream = spark.readStream.schema(qa.schema).parquet(f"{out}/qa")
+
+    def keep(batch, _):
+        batch.write.mode("overwrite").parquet(f"{out}/stats")
+
+    (inc.running_qa_stats(stream).writeStream.outputMode("complete").foreachBatch(keep)
+     .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination())
+    s = spark.read.parquet(f"{out}/stats")
+    return s.select("question_type", "n", *(F.round(c, 6).alias(c) for c in ("avg_question_length", "avg_answer_length")))
+
+
+@query("progress")
+def q_progress(spark, sf_dir):
+    """Running totals observed while the documents are written."""
+    observed, totals = inc.with_progress(documents(spark, sf_dir), "documents", "text")
+    observed.write.parquet(scratch_path(spark, "observed"))
+    got = totals.get
+    return spark.range(1).select(F.lit(got["rows"]).cast("long").alias("rows"), F.lit(got["chars"]).cast("long").alias("chars"))
+
+
+@query("unavailable_model")
+def q_unavailable_model(spark, sf_dir):
+    """Chunks and QA rows per question where no model can be loaded: no QA rows."""
+    chunks = _table_chunks(spark, sf_dir)
+    qa = gn.generate_qa(chunks, lambda: None, n_questions=3)
+    counted = cb.union_sources([chunks.select(F.lit("chunks").alias("kind")), qa.select(F.lit("qa").alias("kind"))])
+    return counted.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("local_question_prompt")
+def q_local_question_prompt(spark, sf_dir):
+    return _table_chunks(spark, sf_dir).select("real_index", gn.question_prompt("chunk", gn.QUESTION_TEMPLATE_LOCAL).alias("prompt"))

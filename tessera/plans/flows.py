@@ -25,34 +25,56 @@ from tessera.operators import stats as st
 from tessera.plans.parallel import spread
 from tessera.sources import readers as rd
 from tessera.sources import sinks as sk
-from tessera.streaming.incremental import with_progress
+from tessera.streaming.incremental import resume_anti, with_progress
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def _generated(spark: SparkSession, chunks: DataFrame, path: str, keys: list[str], keep: list[str], generator_factory,
+               n_questions: int, index_col: str, preset: gn.Preset | None, model_partitions: int | None) -> DataFrame:
+    """The stored QA rows under ``path``. Chunks that already have rows there (an
+    earlier run of the same name) are not sent to the model again."""
+    todo = chunks
+    if _exists(spark, f"{path}/_SUCCESS"):
+        done = spark.read.parquet(path).withColumnRenamed("chunk_index", index_col).select(*keys).distinct()
+        todo = resume_anti(chunks, done, keys)
+    options = {} if preset is None else dict(question_template=preset.question_template, question_options=preset.question_options,
+                                             answer_options=preset.answer_options)
+    new = gn.generate_qa(spread(todo, keys, model_partitions), generator_factory or (lambda: None), index_col=index_col,
+                         n_questions=n_questions, keep=keep, **options)
+    new.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
 
 
 def _tail(spark: SparkSession, chunks: DataFrame, out_dir: str, index_col: str, keep: list[str],
           generator_factory, encoder_factory, n_questions: int, output_format: str,
           save_individual: bool, chunk_name: str, qa_name: str, source_file: str,
-          batch_size: int, datapoint_files: bool = True) -> dict:
+          batch_size: int, datapoint_files: bool, run: str | None, preset: gn.Preset | None,
+          model_partitions: int | None, input_root: str | None = None) -> dict:
     root = out_dir.rstrip("/")
-    base = sk.timestamped_base()
+    base = run or sk.timestamped_base()
+    keys = keep + [index_col]
     observed, progress = with_progress(chunks, "chunks", "chunk")  # running totals, reported at the end
     chunks = sk.materialize(observed, f"{root}/{base}_chunks.parquet")
-    gen = generator_factory or (lambda: None)
-    qa = gn.generate_qa(spread(chunks, keep + [index_col]), gen, index_col=index_col, n_questions=n_questions,
-                        keep=keep)
-    qa = sk.materialize(qa, f"{root}/{base}_qa_raw.parquet")
+    qa = _generated(spark, chunks, f"{root}/{base}_qa_raw.parquet", keys, keep, generator_factory, n_questions,
+                    index_col, preset, model_partitions)
     emb = None
     if encoder_factory is not None:
         # computed once, written once by the export as the embeddings table
-        emb = em.embed(spread(chunks, keep + [index_col]), encoder_factory, text_col="chunk", batch_size=batch_size)
+        emb = em.embed(spread(chunks, keys, model_partitions), encoder_factory, text_col="chunk", batch_size=batch_size)
     outputs = sk.export_qa(qa.drop("error"), root, base, output_format, embeddings=emb,
-                           embedding_keys=keep + [index_col], source_file=source_file, stored=True,
+                           embedding_keys=keys, source_file=source_file, stored=True,
                            datapoint_files=datapoint_files)
     outputs["qa_parquet"] = f"{root}/{base}_qa_raw.parquet"
     if emb is not None:
         emb = spark.read.parquet(outputs["embeddings"])
     if save_individual:
-        cf = fm.chunk_files(chunks, chunk_name, key=index_col, prefix_col="path" if keep else None)
-        qf = fm.chunk_qa_files(qa, qa_name, prefix_col="path" if keep else None)
+        prefix = "path" if keep else None
+        cf = fm.chunk_files(chunks, chunk_name, key=index_col, prefix_col=prefix, root=input_root)
+        qf = fm.chunk_qa_files(qa, qa_name, prefix_col=prefix, root=input_root)
         sk.write_files(cf, f"{root}/{base}_individual")
         sk.write_files(qf, f"{root}/{base}_individual")
         outputs["individual"] = f"{root}/{base}_individual"
@@ -63,35 +85,62 @@ def _tail(spark: SparkSession, chunks: DataFrame, out_dir: str, index_col: str,
     return outputs
 
 
+def document_texts(spark: SparkSession, path: str, out: str, max_pages: int | None = None,
+                   pdf_extractor_factory: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, errors): one row (path, text) per readable file under ``path``,
+    and one row (path, error) for each that is not: another type, a PDF without an
+    extractor, a PDF whose extraction failed. Pages are extracted once and
+    stored at ``out``."""
+    files = rd.read_binary_files(spark, path)
+    parts = rd.split_by_extension(files)
+    docs = rd.text_files_frame(parts["txt"])
+    errors = parts["unsupported"].select("path", F.lit("not a PDF or text file").alias("error"))
+    if pdf_extractor_factory is None:
+        errors = errors.unionByName(parts["pdf"].select("path", F.lit("no PDF extractor given").alias("error")))
+    else:
+        pages = sk.materialize(rd.read_pdf_pages(spark, path, pdf_extractor_factory, max_pages=max_pages, with_errors=True), out)
+        failed = pages.filter("error is not null").select("path", "error")
+        good = pages.filter("error is null").join(failed.select("path"), "path", "left_anti").drop("error")
+        docs = docs.unionByName(pg.join_pages(good, ["path"], max_pages))
+        errors = errors.unionByName(failed)
+    return docs, errors
+
+
 def build_from_documents(spark: SparkSession, path: str, out_dir: str,
                          generator_factory: Callable | None = None, encoder_factory: Callable | None = None,
                          size: int = ch.DEFAULT_CHUNK_SIZE, overlap: int = ch.DEFAULT_CHUNK_OVERLAP,
                          n_questions: int = gn.DEFAULT_QUESTIONS_PER_CHUNK, max_pages: int | None = None,
                          pdf_extractor_factory: Callable | None = None, output_format: str = "all",
-                         save_individual: bool = True, batch_size: int = em.DEFAULT_BATCH_SIZE,
-                         datapoint_files: bool = True) -> dict:
+                         save_individual: bool = False, batch_size: int = em.DEFAULT_BATCH_SIZE,
+                         datapoint_files: bool = False, run: str | None = None, preset: gn.Preset | None = None,
+                         model_partitions: int | None = None) -> dict:
     """TXT and PDF files under ``path`` -> chunks -> QA -> vectors -> exports.
-    Chunks are keyed by (path, chunk_index); ids use the chunk index, as in
-    the reference's document path."""
+    Chunks are keyed by (path, chunk_index); ids use the chunk index, and the QA
+    rows keep the path. Files that cannot be read are listed under ``input_errors``;
+    a single file that cannot be read is an error. ``run`` names the outputs: a
+    second call of the same name resumes, asking the model only for chunks without rows."""
     rd.check_document_path(spark, path)
-    files = rd.read_binary_files(spark, path)
-    parts = rd.split_by_extension(files)
-    docs = rd.text_files_frame(parts["txt"])
-    if pdf_extractor_factory is not None:
-        pages = rd.read_pdf_pages(spark, path, pdf_extractor_factory, max_pages=max_pages)
-        docs = docs.unionByName(pg.join_pages(pages, ["path"], max_pages))
-    chunks = ch.chunk_text(spread(docs, "path"), text_col="text", size=size, overlap=overlap, keep=["path"])
-    return _tail(spark, chunks, out_dir, "chunk_index", ["path"], generator_factory, encoder_factory,
-                 n_questions, output_format, save_individual, tx.CHUNK_FILE_FORMAT, tx.CHUNK_QA_FILE_FORMAT,
-                 path, batch_size, datapoint_files)
+    base = run or sk.timestamped_base()
+    docs, errors = document_texts(spark, path, f"{out_dir.rstrip('/')}/{base}_pages.parquet", max_pages, pdf_extractor_factory)
+    errors = sk.materialize(errors, f"{out_dir.rstrip('/')}/{base}_input_errors.parquet")
+    n_errors = errors.count()
+    if n_errors and docs.isEmpty():
+        first = errors.first()
+        raise ValueError(f"nothing could be read; {first['path']}: {first['error']}")
+    chunks = ch.chunk_text(spread(docs, "path", model_partitions), text_col="text", size=size, overlap=overlap, keep=["path"])
+    out = _tail(spark, chunks, out_dir, "chunk_index", ["path"], generator_factory, encoder_factory,
+                n_questions, output_format, save_individual, tx.CHUNK_FILE_FORMAT, tx.CHUNK_QA_FILE_FORMAT,
+                path, batch_size, datapoint_files, base, preset, model_partitions, sk.qualified(spark, path))
+    return out | {"input_errors": n_errors, "input_errors_parquet": f"{out_dir.rstrip('/')}/{base}_input_errors.parquet"}
 
 
 def table_chunks(df: DataFrame, text_col: str = "text", start_index: int = 0,
-                 max_samples: int | None = None) -> DataFrame:
-    """The table path up to chunks: validate the column, attach row positions,
-    slice, keep valid text of at least 10 characters, wrap in the banner."""
+                 max_samples: int | None = None, bare_scan: bool = False) -> DataFrame:
+    """The table path up to chunks: validate the column, attach row positions
+    (``bare_scan``: df is an unfiltered file scan), slice, keep valid text of at
+    least 10 characters, wrap in the banner."""
     rw.require_text_column(df, text_col)
-    indexed = rw.with_row_index(df)
+    indexed = rw.with_row_index(df, bare_scan=bare_scan)
     sliced = rw.slice_rows(indexed, start_index, max_samples)
     return rw.dataset_chunks(sliced, text_col)
 
@@ -101,14 +150,16 @@ def build_from_table(spark: SparkSession, source: str, out_dir: str, text_col: s
                      config: str | None = None, start_index: int = 0, max_samples: int | None = None,
                      generator_factory: Callable | None = None, encoder_factory: Callable | None = None,
                      n_questions: int = gn.DEFAULT_QUESTIONS_PER_CHUNK, output_format: str = "all",
-                     save_individual: bool = True, batch_size: int = em.DEFAULT_BATCH_SIZE,
-                     datapoint_files: bool = True) -> dict:
+                     save_individual: bool = False, batch_size: int = em.DEFAULT_BATCH_SIZE,
+                     datapoint_files: bool = False, run: str | None = None, preset: gn.Preset | None = None,
+                     model_partitions: int | None = None) -> dict:
     """A table of text (file or named dataset) -> dataset chunks -> QA -> vectors
     -> exports. Chunks are keyed by the row's position (real_index)."""
     df = (rd.read_named(spark, source, split, config) if named
           else rd.read_table(spark, source, file_type))
-    chunks = table_chunks(df, text_col, start_index, max_samples)
+    chunks = table_chunks(df, text_col, start_index, max_samples, bare_scan=not named)
     names = ((tx.DATASET_CHUNK_FILE_FORMAT, tx.DATASET_CHUNK_QA_FILE_FORMAT) if named
              else (tx.TABLE_CHUNK_FILE_FORMAT, tx.TABLE_CHUNK_QA_FILE_FORMAT))
     return _tail(spark, chunks, out_dir, "real_index", [], generator_factory, encoder_factory, n_questions,
-                 output_format, save_individual, names[0], names[1], source, batch_size, datapoint_files)
+                 output_format, save_individual, names[0], names[1], source, batch_size, datapoint_files, run, preset,
+                 model_partitions)

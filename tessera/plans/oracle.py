@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from tessera.functions.text import (DATASET_CHUNK_FOOTER, DATASET_CHUNK_HEADER, RULE, TERMINATOR_CLASS,
                                     WS_CLASS)
-from tessera.operators.generate import ANSWER_TEMPLATE, QUESTION_MARKER, QUESTION_TEMPLATE_API, TEXT_MARKER
+from tessera.operators.generate import ANSWER_TEMPLATE, QUESTION_MARKER, QUESTION_TEMPLATE_API, QUESTION_TEMPLATE_LOCAL, TEXT_MARKER
 from tessera.plans.sqltext import (chunks_cte, clean, clean_txt, collapse, last_term_len, lit,
                                    split_sentences, trim_ws)
 
@@ -16,10 +16,9 @@ ORACLE: dict[str, str] = {}
 
 PAGES_CTE = f"""pages AS (
   SELECT doc_id, source, CAST(p AS INTEGER) AS page_num,
-         CASE WHEN p % 7 = 0 THEN {lit('  ' + NL + chr(9) + ' ')} ELSE substring(text, (p - 1) * 2000 + 1, 2000) END AS text
-  FROM (SELECT doc_id, source, text,
-               unnest(range(1, greatest(CAST(ceil(length(text) / 2000.0) AS BIGINT), 1) + 1)) AS p
-        FROM documents WHERE text IS NOT NULL))"""
+         CASE WHEN p % 7 = 0 THEN {lit('  ' + NL + chr(9) + ' ')} ELSE substring(text, (p - p // 7 - 1) * 2000 + 1, 2000) END AS text
+  FROM (SELECT doc_id, source, text, unnest(range(1, k + k // 6 + 1)) AS p
+        FROM (SELECT *, greatest(CAST(ceil(length(text) / 2000.0) AS BIGINT), 1) AS k FROM documents WHERE text IS NOT NULL)))"""
 
 ORACLE["chunk_stats"] = f"""WITH RECURSIVE {chunks_cte("(SELECT doc_id || '|' || source AS doc_id, text FROM documents WHERE " + trim_ws('text') + " <> '')", 1000, 200)}
 SELECT split_part(doc_id, '|', 2) AS source, count(*) AS n_chunks, round(avg(length(chunk)), 6) AS avg_chunk_chars,
@@ -222,3 +221,31 @@ SELECT printf('qa_pair_%04d.json', row_number() OVER (ORDER BY chunk_index, ques
        {_pretty([('id', 'id', False), ('question', 'question', False), ('answer', 'answer', False),
                  ('context', 'context', False), ('question_index', 'question_index', True),
                  ('chunk_index', 'chunk_index', True)])} AS body FROM qa"""
+
+# ---------------------------------------------------------------- positions, sources, sinks, streams
+ORACLE["row_index_multi_file"] = ORACLE["row_index"]
+ORACLE["row_index_json"] = ORACLE["row_index"]
+ORACLE["slice_after_split"] = f"""SELECT * FROM (SELECT {ROW_INDEX} AS real_index, doc_id FROM documents WHERE lang = 'en') WHERE real_index >= 20"""
+ORACLE["scan_auto_formats"] = """SELECT suffix, count(text) AS n, CAST(sum(length(text)) AS BIGINT) AS chars
+FROM documents JOIN (SELECT unnest(['csv', 'JSONL', 'json', 'parquet', 'unknown']) AS suffix) ON true GROUP BY suffix"""
+LINES = """SELECT doc_id, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS page_num, unnest(l) AS text
+FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL"""
+ORACLE["pages_text_layer"] = LINES + ")"
+ORACLE["pdf_pages"] = LINES + " AND doc_id % 4 < 2)"
+ORACLE["split_by_extension"] = """SELECT ['pdf', 'pdf', 'txt', 'unsupported'][doc_id % 4 + 1] AS kind, doc_id FROM documents"""
+ORACLE["sink_json"] = f"WITH {QA_CTE} SELECT * FROM qa"
+ORACLE["sink_csv"] = ORACLE["sink_json"]
+ORACLE["sink_embeddings"] = """SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS dim,
+  round(CAST(unnest(embedding) AS DOUBLE), 6) AS value FROM embeddings"""
+ORACLE["export_all"] = f"""WITH {QA_CTE} SELECT output, count(*) AS n FROM qa JOIN (SELECT unnest(['qa_parquet', 'instructions_json',
+  'instructions_csv', 'json', 'csv', 'instructions', 'alpaca', 'chat', 'alpaca_datapoints']) AS output) ON true GROUP BY output"""
+ORACLE["metadata_sink"] = f"""WITH {QA_CTE}
+SELECT 'conversations.parquet' AS source_file, count(*) AS total_qa_pairs, round(avg(length(coalesce(question, ''))), 6) AS avg_question_length FROM qa"""
+ORACLE["stream_chunks"] = f"""WITH RECURSIVE {chunks_cte("(SELECT doc_id, " + clean_txt('text') + " AS text FROM documents)", 1000, 200)} SELECT * FROM chunks"""
+ORACLE["stream_qa_stats"] = f"""WITH {QAT_CTE}
+SELECT coalesce(question_type, 'unknown') AS question_type, count(*) AS n, round(avg(length(question)), 6) AS avg_question_length,
+       round(avg(length(answer)), 6) AS avg_answer_length FROM qat GROUP BY 1"""
+ORACLE["progress"] = "SELECT count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents"
+ORACLE["unavailable_model"] = f"WITH {TCHUNKS_CTE} SELECT 'chunks' AS kind, count(*) AS n FROM tchunks"
+ORACLE["local_question_prompt"] = f"""WITH {TCHUNKS_CTE}
+SELECT real_index, {lit(QUESTION_TEMPLATE_LOCAL + TEXT_MARKER)} || chunk AS prompt FROM tchunks"""

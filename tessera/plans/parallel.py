@@ -1,42 +1,24 @@
-"""Partitioning helpers shared by the operators."""
+"""Partitioning helper shared by the operators."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# A broadcast side must stay under this many bytes (estimated from rows x width).
-BROADCAST_BYTES_LIMIT = 64 * 1024 * 1024
+#: Session setting: deal rows into so many partitions before CPU-heavy work per row.
+SPREAD = "spark.tessera.spreadPartitions"
 
 
-def spread(df: DataFrame, key: str | list[str] | None = None, min_partitions: int | None = None) -> DataFrame:
-    """Give CPU-heavy per-row work enough tasks.
+def spread(df: DataFrame, key: str | list[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """Deal rows out for CPU-heavy work, if the caller or the session asks for it.
 
-    A small, unsplittable input (one Parquet row group) arrives as one
-    partition; per-row text work on it would use one core. Only then do we
-    hash-repartition (by ``key`` when given, so retries are deterministic;
-    pass the full unique key -- a column such as a per-document chunk number
-    repeats across documents and would crowd its common values together).
-    Inputs that already have enough partitions -- every large input -- are left
-    alone, so this never adds a shuffle at scale."""
-    try:
-        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave partitioning to Spark
-        return df
-    if have >= want:
+    An input that cannot be split (one Parquet row group) is one task. Whether
+    that matters is known to whoever runs the job, so nothing is guessed from
+    the plan here: ``partitions``, or the session setting ``SPREAD``, says how many
+    partitions to deal into (by ``key`` when given, so retries are deterministic;
+    pass the full unique key). Unset, as on a cluster reading many splits,
+    the frame is returned as it is and no shuffle is added."""
+    n = partitions or int(df.sparkSession.conf.get(SPREAD, "0"))
+    if not n:
         return df
     if not key:
-        return df.repartition(want)
-    keys = [key] if isinstance(key, str) else list(key)
-    return df.repartition(want, *keys)
-
-
-def broadcast_if_bounded(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES_LIMIT,
-                         rows: int | None = None) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only when rows x row_bytes is proven under ``limit``.
-
-    Returns (frame, broadcasted). ``rows`` may be passed when already known."""
-    n = df.count() if rows is None else rows
-    if n * row_bytes <= limit:
-        return F.broadcast(df), True
-    return df, False
+        return df.repartition(n)
+    return df.repartition(n, *([key] if isinstance(key, str) else key))

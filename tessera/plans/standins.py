@@ -3,8 +3,8 @@
 The reference works on PDF pages and model-generated QA pairs; the test tables
 have neither, so Spark derives them from tables that do exist (work grows with
 the tables):
-* pages: each document cut into fixed-width pages; every 7th page replaced by
-  whitespace so blank-page handling is exercised;
+* pages: each document cut into fixed-width pages, and a blank page put in after
+  every six, so blank-page handling is exercised and no text is lost;
 * QA pairs: a ``user`` turn directly followed by an ``assistant`` turn of the
   same conversation. The pairing is an equi-join on (conv_id, turn) -- keys
   are nearly unique, so even one giant conversation spreads over all tasks
@@ -27,11 +27,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pages_from_documents(docs: DataFrame, page_chars: int = PAGE_CHARS,
                          blank_every: int = BLANK_EVERY) -> DataFrame:
-    """(doc_id, source, page_num, text): pages of ``page_chars`` characters."""
-    n_pages = F.greatest(F.ceil(F.length("text") / F.lit(page_chars)), F.lit(1)).cast("int")
+    """(doc_id, source, page_num, text): the whole text as pages of ``page_chars``
+    characters, with a blank page more after every ``blank_every - 1`` of them."""
+    n_text = F.greatest(F.ceil(F.length("text") / F.lit(page_chars)), F.lit(1)).cast("int")
+    n_pages = n_text + F.floor(n_text / F.lit(blank_every - 1)).cast("int")
     exploded = docs.filter(F.col("text").isNotNull()).select(
         "doc_id", "source", "text", F.explode(F.sequence(F.lit(1), n_pages)).alias("page_num"))
-    body = F.substring("text", (F.col("page_num") - 1) * page_chars + 1, page_chars)
+    nth = F.col("page_num") - F.floor(F.col("page_num") / F.lit(blank_every)).cast("int")
+    body = F.substring("text", (nth - 1) * page_chars + 1, page_chars)
     return exploded.select("doc_id", "source", "page_num",
                            F.when(F.col("page_num") % blank_every == 0, F.lit(BLANK_PAGE))
                            .otherwise(body).alias("text"))

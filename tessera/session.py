@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -46,6 +47,9 @@ def get_spark(master: str | None = None, app: str = "tessera",
             "spark.driver.bindAddress": "127.0.0.1",
             "spark.driver.memory": os.environ.get("TESSERA_DRIVER_MEMORY", _local_heap()),
         })
+        cores = re.fullmatch(r"local\[(\d+)\]", master)
+        if cores:  # small local tables are one unsplittable row group: see plans.parallel
+            conf["spark.tessera.spreadPartitions"] = cores[1]
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

@@ -1,7 +1,7 @@
 """Readers for the reference's inputs, all plain Spark scans.
 
 * tables of text: CSV / JSON / JSONL / Parquet (format from the extension,
-  unknown extensions read as CSV, as in the reference);
+  unknown extensions read as CSV);
 * named datasets: a catalog table or a path, one split chosen by an equality
   filter on the split column, so partition pruning applies;
 * text files: ``binaryFile`` scan, native decode cascade, text cleaning;
@@ -12,44 +12,39 @@ from __future__ import annotations
 from typing import Callable, Iterable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.decode import decode_text
 from tessera.functions.text import clean_txt, preview
+from tessera.operators.rows import with_row_index
 from tessera.session import ensure_on_executors
 
-SUPPORTED_TYPES = ("csv", "json", "jsonl", "parquet")
+#: Suffix (or explicit type) -> Spark reader.
+READERS = {"csv": "csv", "json": "json", "jsonl": "json", "parquet": "parquet"}
 
 
 def detect_format(path: str, file_type: str = "auto") -> str:
-    """The reference's dispatch: last dot-suffix, unknown -> csv; an explicit
-    unknown type is an error."""
+    """Reader for a path: by its suffix, CSV where the suffix says nothing; an
+    explicit ``file_type`` must be one we read."""
     if file_type == "auto":
-        ext = path.rstrip("/").lower().split(".")[-1]
-        if ext == "csv":
-            return "csv"
-        if ext in ("json", "jsonl"):
-            return "json"
-        if ext == "parquet":
-            return "parquet"
-        return "csv"
-    if file_type == "jsonl":
-        return "json"
-    if file_type not in SUPPORTED_TYPES:
-        raise ValueError(f"Unsupported file type: {file_type}")
-    return file_type
+        return READERS.get(path.rstrip("/").rpartition(".")[2].lower(), "csv")
+    try:
+        return READERS[file_type]
+    except KeyError:
+        raise ValueError(f"cannot read tables of type {file_type!r}; known types: {', '.join(READERS)}") from None
 
 
 def read_table(spark: SparkSession, path: str, file_type: str = "auto",
-               schema: T.StructType | str | None = None, json_array: bool | None = None,
-               sampling_ratio: float | None = None) -> DataFrame:
-    """Read a table of text. CSV: header, quoted multi-line fields; JSON: lines,
-    or one top-level array when ``json_array`` (auto: file starts with '[').
-    Without ``schema``, CSV/JSON types are inferred from all rows (as the
-    reference does); on large inputs pass a schema, or ``sampling_ratio`` to
-    infer from a fraction of the rows instead of a full extra pass."""
+               schema: T.StructType | str | None = None, json_array: bool = False,
+               sampling_ratio: float | None = None, multi_line: bool = True) -> DataFrame:
+    """Read a table of text. CSV: header, quoted fields; JSON: one object a line, or
+    (``json_array=True``) one top-level array a file. Types are inferred from all rows
+    without ``schema``; on large inputs pass one, or a ``sampling_ratio``. CSV
+    fields may hold line ends, so each CSV file is one task; where they do not,
+    ``multi_line=False`` lets Spark split the files."""
     fmt = detect_format(path, file_type)
     r = spark.read
     if schema is not None:
@@ -57,13 +52,10 @@ def read_table(spark: SparkSession, path: str, file_type: str = "auto",
     elif sampling_ratio is not None:
         r = r.option("samplingRatio", sampling_ratio)
     if fmt == "csv":
-        return r.csv(path, header=True, inferSchema=schema is None, multiLine=True,
+        return r.csv(path, header=True, inferSchema=schema is None, multiLine=multi_line,
                       escape='"', quote='"')
     if fmt == "json":
-        if json_array is None:
-            first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-            json_array = bool(first) and first[0][0].lstrip().startswith("[")
-        return r.json(path, multiLine=bool(json_array))
+        return r.json(path, multiLine=json_array)
     return r.parquet(path)
 
 
@@ -90,7 +82,7 @@ def read_binary_files(spark: SparkSession, path: str, glob: str | None = None,
     return r.load(path)
 
 
-def read_text_files(spark: SparkSession, path: str, glob: str | None = "*.txt",
+def read_text_files(spark: SparkSession, path: str, glob: str | None = "*.[tT][xX][tT]",
                     banner: bool = True) -> DataFrame:
     """One row per text file: (path, text), decoded with the encoding cascade
     and cleaned like the reference's text reader (banner kept by default).
@@ -108,24 +100,38 @@ PageExtractor = Callable[[bytes], Iterable[str]]
 
 
 def read_pdf_pages(spark: SparkSession, path: str, extractor_factory: Callable[[], PageExtractor],
-                   max_pages: int | None = None, glob: str = "*.pdf") -> DataFrame:
+                   max_pages: int | None = None, glob: str = "*.[pP][dD][fF]", with_errors: bool = False) -> DataFrame:
     """One row per page: (path, page_num, text). The extractor is built once per
     task by ``extractor_factory`` and maps file bytes to page texts in order.
-    Pages past ``max_pages`` are not extracted."""
+    Pages past ``max_pages`` are not extracted. A file whose extraction fails
+    ends the job, unless ``with_errors``: then a column ``error`` is added, and
+    the file's last row has a null page and the error instead."""
     ensure_on_executors(spark)
     files = read_binary_files(spark, path, glob).select("path", "content")
-    schema = "path string, page_num int, text string"
+    schema = "path string, page_num int, text string" + ", error string" * with_errors
+    names = ["path", "page_num", "text"] + ["error"] * with_errors
 
     def run(batches):
         extract = extractor_factory()
         for pdf in batches:
-            rows = []
-            for p, content in zip(pdf["path"], pdf["content"]):
-                for i, text in enumerate(extract(bytes(content)), start=1):
-                    if max_pages and i > max_pages:
-                        break
-                    rows.append((p, i, text or ""))
-            yield pd.DataFrame(rows, columns=["path", "page_num", "text"])
+            for p, content in zip(pdf["path"], pdf["content"], strict=True):
+                rows, failure = [], None
+                try:
+                    for i, text in enumerate(extract(bytes(content)), start=1):
+                        if max_pages and i > max_pages:
+                            break
+                        rows.append((p, i, text or "", None))
+                        if len(rows) >= 256:  # a long file leaves in parts
+                            yield pd.DataFrame([r[:len(names)] for r in rows], columns=names)
+                            rows = []
+                except Exception as e:  # noqa: BLE001 - reported with its file
+                    if not with_errors:
+                        raise
+                    failure = repr(e)
+                out = pd.DataFrame([r[:len(names)] for r in rows], columns=names)
+                yield out
+                if failure:
+                    yield pd.DataFrame({"path": [p], "page_num": pd.array([None], dtype="Int32"), "text": [None], "error": [failure]})
 
     return files.mapInPandas(run, schema)
 
@@ -134,23 +140,23 @@ DOCUMENT_EXTENSIONS = ("pdf", "txt")
 
 
 def check_document_path(spark: SparkSession, path: str) -> None:
-    """The reference's checks for one input: missing -> FileNotFoundError; a
-    single file with another extension -> ValueError. Folders are routed by
+    """Checks for one input: missing -> FileNotFoundError; a single file that is
+    neither PDF nor text -> ValueError. Folders are routed by
     ``split_by_extension`` instead."""
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(hpath):
-        raise FileNotFoundError(f"File not found: {path}")
+        raise FileNotFoundError(f"nothing to read at {path}")
     if fs.getFileStatus(hpath).isFile():
         ext = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
         if ext not in DOCUMENT_EXTENSIONS:
-            raise ValueError(f"Unsupported file type: .{ext}. Supported types: .pdf, .txt")
+            raise ValueError(f"documents are {' or '.join(DOCUMENT_EXTENSIONS)} files, not {ext or 'without a suffix'}: {path}")
 
 
 def split_by_extension(files: DataFrame) -> dict[str, DataFrame]:
     """Route a binaryFile frame by lower-cased extension: 'pdf', 'txt' and
-    'unsupported' (the reference raises on the latter; we keep them aside)."""
+    'unsupported' (kept aside for the caller to report)."""
     ext = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
     tagged = files.withColumn("__ext", ext)
     return {
@@ -169,12 +175,12 @@ def dataset_info(df: DataFrame, name: str, split: str | None = "train", config:
     if order_col:
         first = df.orderBy(order_col).limit(1)
     else:
-        try:  # file sources: the first row in file order (a top-1, not a full sort)
+        try:  # Parquet: the first row in file order (a top-1, not a full sort)
             first = (df.select("*", F.col("_metadata.file_path").alias("__f"),
                                F.col("_metadata.row_index").alias("__r"))
                      .orderBy("__f", "__r").limit(1).drop("__f", "__r"))
-        except Exception:  # noqa: BLE001 - not a file scan (or no row index): any first row
-            first = df.limit(1)
+        except AnalysisException:  # no row numbers: the row at position 0
+            first = with_row_index(df, "__r").orderBy("__r").limit(1).drop("__r")
     sample = F.create_map(*[x for c in df.columns for x in (F.lit(c), preview(F.col(c)))])
     stats = df.agg(F.count(F.lit(1)).alias("total_samples"))
     feats = F.create_map(*[x for f in df.schema.fields for x in (F.lit(f.name), F.lit(f.dataType.simpleString()))])

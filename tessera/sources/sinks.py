@@ -10,7 +10,7 @@ import datetime as _dt
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,11 +77,22 @@ def _file_writer(base: str):
     return run
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a full URI on the cluster's default filesystem, the one that
+    Spark's own writers use for a path without a scheme."""
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def write_files(files: DataFrame, base: str) -> int:
     """Write each (file_name, body) row as its own UTF-8 file under ``base``
-    (any filesystem pyarrow can open). Runs in the executors; returns the count."""
-    ensure_on_executors(files.sparkSession)
-    out = files.select("file_name", "body").mapInPandas(_file_writer(base), "file_name string, bytes long")
+    (any filesystem pyarrow can open; a path without a scheme is on the cluster's
+    default one). Runs in the executors; returns the count. File names must be
+    unique: later rows would overwrite earlier ones."""
+    spark = files.sparkSession
+    ensure_on_executors(spark)
+    out = files.select("file_name", "body").mapInPandas(_file_writer(qualified(spark, base)), "file_name string, bytes long")
     return int(out.agg(F.count(F.lit(1))).first()[0])
 
 
@@ -98,11 +109,11 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
 
 def export_qa(qa: DataFrame, out_dir: str, base: str | None = None, output_format: str = "all",
               embeddings: DataFrame | None = None, embedding_keys: list[str] | None = None,
-              source_file: str | None = None, datapoint_files: bool = True,
+              source_file: str | None = None, datapoint_files: bool = False,
               stored: bool = False) -> dict[str, str]:
     """Write the QA frame in the requested formats: 'json', 'csv' or 'all'
     (raw json + csv, instructions with and without id, alpaca, alpaca data
-    points, chat), plus vectors and metadata when given. ``stored=True`` means
+    points if ``datapoint_files``, chat), plus vectors and metadata when given. ``stored=True`` means
     ``qa`` already reads a written table, so it is not written again."""
     if output_format not in ("json", "csv", "all"):
         raise ValueError("output_format must be json, csv or all")

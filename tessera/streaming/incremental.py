@@ -36,7 +36,7 @@ def with_progress(df: DataFrame, name: str = "progress", text_col: str | None =
 def stream_text_files(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
                       size: int = DEFAULT_CHUNK_SIZE, overlap: int = DEFAULT_CHUNK_OVERLAP,
                       per_batch: Callable[[DataFrame, int], None] | None = None,
-                      glob: str = "*.txt", available_now: bool = True):
+                      glob: str = "*.[tT][xX][tT]", available_now: bool = True):
     """Chunk every new text file under ``in_dir`` into Parquet at ``out_dir``.
 
     ``per_batch(chunks, batch_id)`` may add more sinks (QA generation, files);
@@ -70,7 +70,7 @@ def running_qa_stats(qa_stream: DataFrame, type_col: str = "question_type") -> D
 def stream_documents_to_qa(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
                            generator_factory: Callable, n_questions: int = 3,
                            size: int = DEFAULT_CHUNK_SIZE, overlap: int = DEFAULT_CHUNK_OVERLAP,
-                           save_individual: bool = True, glob: str = "*.txt", available_now: bool = True):
+                           save_individual: bool = False, glob: str = "*.[tT][xX][tT]", available_now: bool = True):
     """The reference's save-as-you-go run as a stream: every new text file is
     chunked, its chunks get QA pairs from the plug-in, and each micro-batch
     writes its chunks, its QA rows and (optionally) one file per chunk and per
@@ -78,8 +78,9 @@ def stream_documents_to_qa(spark: SparkSession, in_dir: str, out_dir: str, check
     from tessera.functions.text import CHUNK_FILE_FORMAT, CHUNK_QA_FILE_FORMAT
     from tessera.operators.formats import chunk_files, chunk_qa_files
     from tessera.operators.generate import generate_qa
-    from tessera.sources.sinks import write_files
+    from tessera.sources.sinks import qualified, write_files
 
+    source = qualified(spark, in_dir)
     root = out_dir.rstrip("/")
 
     def per_batch(chunks: DataFrame, batch_id: int) -> None:
@@ -89,8 +90,8 @@ def stream_documents_to_qa(spark: SparkSession, in_dir: str, out_dir: str, check
         qa.write.mode("overwrite").parquet(f"{root}/qa/batch_id={batch_id}")
         if save_individual:
             qa_stored = spark.read.parquet(f"{root}/qa/batch_id={batch_id}")
-            write_files(chunk_files(stored, CHUNK_FILE_FORMAT, prefix_col="path"), f"{root}/files")
-            write_files(chunk_qa_files(qa_stored, CHUNK_QA_FILE_FORMAT, prefix_col="path"), f"{root}/files")
+            write_files(chunk_files(stored, CHUNK_FILE_FORMAT, prefix_col="path", root=source), f"{root}/files")
+            write_files(chunk_qa_files(qa_stored, CHUNK_QA_FILE_FORMAT, prefix_col="path", root=source), f"{root}/files")
 
     return stream_text_files(spark, in_dir, f"{root}/chunks", checkpoint, size, overlap, per_batch, glob,
                              available_now)

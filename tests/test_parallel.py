@@ -1,21 +1,16 @@
-from tessera.plans.parallel import broadcast_if_bounded, spread
+from tessera.plans.parallel import SPREAD, spread
 
 
-def test_spread_only_when_too_few_partitions(spark):
-    many = spark.range(0, 100, 1, 16)
-    assert spread(many, "id", min_partitions=8) is many
+def test_spread_only_where_asked(spark):
     one = spark.range(0, 100, 1, 1).selectExpr("id", "id % 3 as k")
-    out = spread(one, ["k", "id"], min_partitions=6)
-    assert out.rdd.getNumPartitions() == 6 and out.count() == 100
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(k" in plan
-
-
-def test_broadcast_if_bounded(spark):
-    small = spark.range(10)
-    _, b = broadcast_if_bounded(small, row_bytes=100, limit=10_000)
-    assert b
-    _, b = broadcast_if_bounded(small, row_bytes=100, limit=500)
-    assert not b
-    _, b = broadcast_if_bounded(small, row_bytes=100, limit=10_000, rows=1_000)
-    assert not b
+    before = spark.conf.get(SPREAD, None)
+    spark.conf.unset(SPREAD)
+    try:
+        assert spread(one, "id") is one
+        out = spread(one, ["k", "id"], partitions=6)
+        assert out.rdd.getNumPartitions() == 6 and out.count() == 100
+        assert "hashpartitioning(k" in out._jdf.queryExecution().executedPlan().toString()
+        spark.conf.set(SPREAD, "5")
+        assert spread(one).rdd.getNumPartitions() == 5
+    finally:
+        spark.conf.set(SPREAD, before) if before else spark.conf.unset(SPREAD)
