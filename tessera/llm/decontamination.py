@@ -103,7 +103,8 @@ def within_radius(prints: DataFrame, items: DataFrame, radius: int = RADIUS) ->
     index = (items.select("item", F.col("print").alias("item_print"), F.explode(blocks("print")).alias("b"))
              .select("item", "item_print", "b.block", F.explode(F.transform(near, lambda m: m.bitwiseXOR(F.col("b.value")))).alias("value")))
     probes = prints.select("print").distinct().select("print", F.explode(blocks("print")).alias("b")).select("print", "b.block", "b.value")
-    close = probes.join(index, ["block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
+    # the index grows with the benchmark and the probes with the corpus: neither is broadcast
+    close = probes.join(index.hint("merge"), ["block", "value"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
     return close.select("print", "item").distinct()
 
 

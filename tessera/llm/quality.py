@@ -32,7 +32,7 @@ from tessera.llm.common import free_name, stage
 
 MOST_LABELLED = 16_000
 MOST_POOL = 8_000
-VOCABULARY = 1 << 16
+VOCABULARY = 1 << 15
 LEAST_DOCS = 5
 ROUNDS = 2
 SURE = 0.95  # a calibrated probability from which a view may label
@@ -97,7 +97,7 @@ class View:
 
     def fit(self, rows: DataFrame) -> None:
         """rows: the view's features, label and weight."""
-        self.model = LogisticRegression(featuresCol=self.name, labelCol="label", weightCol="weight", maxIter=30, regParam=self.penalty,
+        self.model = LogisticRegression(featuresCol=self.name, labelCol="label", weightCol="weight", maxIter=20, regParam=self.penalty,
                                         elasticNetParam=1.0 if self.sparse else 0.0,
                                         rawPredictionCol=f"{self.name}_raw", probabilityCol=f"{self.name}_p", predictionCol=f"{self.name}_y").fit(rows)
 
@@ -107,15 +107,38 @@ class View:
 
     def calibrate(self, held: DataFrame) -> None:
         """Platt scaling on held-out labelled rows."""
-        rows = VectorAssembler(inputCols=[f"{self.name}_m"], outputCol="m").transform(held)
-        fitted = LogisticRegression(featuresCol="m", labelCol="good", regParam=1e-3, maxIter=50).fit(rows)
-        self.platt = (float(fitted.coefficients[0]), float(fitted.intercept))
+        (slope,), bias = small_logistic(held, [F.col(f"{self.name}_m")])
+        self.platt = (slope, bias)
 
     def logit(self) -> Column:
         a, b = self.platt
         return F.col(f"{self.name}_m") * a + b
 
 
+def small_logistic(rows: DataFrame, inputs: list[Column], ridge: float = 1e-3) -> tuple[list[float], float]:
+    """Weights and bias of a logistic regression of ``good`` on one or two figures
+    over the held-out rows (at most MOST_LABELLED / HELD_OUT or so, two or three
+    doubles each): Newton's method on the driver."""
+    import numpy as np
+
+    got = np.array([tuple(r) for r in rows.select("good", *inputs).collect()], dtype=float)
+    x = np.column_stack([got[:, 1:], np.ones(len(got))])
+    scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
+    x, y, w = x / scale, got[:, 0], np.zeros(x.shape[1])
+    pull = np.full(x.shape[1], ridge)
+    pull[-1] = 1e-9
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+        slope = x.T @ (p - y) / len(y) + pull * w
+        bend = (x * (p * (1 - p))[:, None]).T @ x / len(y) + np.diag(pull)
+        step = np.linalg.solve(bend, slope)
+        w -= step / max(1.0, np.abs(step).max() / 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    w = w / scale
+    return [float(v) for v in w[:-1]], float(w[-1])
+
+
 def _probability(logit: Column) -> Column:
     return 1 / (1 + F.exp(-logit))
 
@@ -190,10 +213,9 @@ def co_train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABEL
             pseudo[other.name] = stage(sure.orderBy(F.desc("sure"), "doc_id").limit(quota).select("doc_id", F.round("p").alias("label")), "pseudo")
     held_rows = ready.filter(held)
     for v in views:
-        held_rows = v.margin(held_rows).withColumn(f"{v.name}_l", v.logit())
-    both = VectorAssembler(inputCols=[f"{v.name}_l" for v in views], outputCol="both").transform(held_rows)
-    mix = LogisticRegression(featuresCol="both", labelCol="good", regParam=1e-3, maxIter=50).fit(both)
-    return CoTrained(views, [float(x) for x in mix.coefficients], float(mix.intercept))
+        held_rows = v.margin(held_rows)
+    weights, bias = small_logistic(held_rows, [v.logit() for v in views])
+    return CoTrained(views, weights, bias)
 
 
 def scores(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
