@@ -32,7 +32,7 @@ from tessera.llm.common import free_name, stage
 
 MOST_LABELLED = 16_000
 MOST_POOL = 8_000
-VOCABULARY = 1 << 15
+VOCABULARY = 1 << 14
 LEAST_DOCS = 5
 ROUNDS = 2
 SURE = 0.95  # a calibrated probability from which a view may label
