@@ -22,13 +22,14 @@ document gets that kind's score (1.0 without any label); an empty table gives an
 empty result; extra columns pass through ``keep_good`` and are ignored by ``scores``."""
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import free_name, stage
+from tessera.session import scratch_path
 
 MOST_LABELLED = 16_000
 MOST_POOL = 8_000
@@ -97,9 +98,14 @@ class View:
 
     def fit(self, rows: DataFrame) -> None:
         """rows: the view's features, label and weight."""
-        self.model = LogisticRegression(featuresCol=self.name, labelCol="label", weightCol="weight", maxIter=20, regParam=self.penalty,
-                                        elasticNetParam=1.0 if self.sparse else 0.0,
-                                        rawPredictionCol=f"{self.name}_raw", probabilityCol=f"{self.name}_p", predictionCol=f"{self.name}_y").fit(rows)
+        fitted = LogisticRegression(featuresCol=self.name, labelCol="label", weightCol="weight", maxIter=20, regParam=self.penalty,
+                                    elasticNetParam=1.0 if self.sparse else 0.0, rawPredictionCol=f"{self.name}_raw",
+                                    probabilityCol=f"{self.name}_p", predictionCol=f"{self.name}_y").fit(rows)
+        # read back from the shared folder, the model is its figures alone: a fitted one
+        # carries its training rows' plan and session into every task
+        path = scratch_path(rows.sparkSession, self.name)
+        fitted.write().save(path)
+        self.model = LogisticRegressionModel.load(path)
 
     def margin(self, rows: DataFrame) -> DataFrame:
         raw = self.model.transform(rows)

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -34,6 +35,8 @@ def made(rng, n):
 
 @pytest.fixture(scope="module")
 def judged(spark):
+    # a session that has observed metrics cannot be serialized with a model's tasks
+    spark.range(3).observe(Observation("seen"), F.count("*").alias("n")).collect()
     texts, kinds = made(random.Random(5), 900)
     docs = docs_frame(spark, [*texts, None, "", texts[0]], [*range(900), 900, 901, None])
     labels = spark.createDataFrame([(i, int(kinds[i] != "junk"), int(kinds[i] == "toxic")) for i in range(450)], LABELS)
