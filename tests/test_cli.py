@@ -37,5 +37,8 @@ def test_api_surface_imports():
 
 
 def test_parser_scale_flags():
-    a = build_parser().parse_args(["--file", "docs/", "--no-save-individual", "--no-datapoint-files"])
-    assert a.no_save_individual and a.no_datapoint_files
+    a = build_parser().parse_args(["--file", "docs/"])
+    assert not a.save_individual and not a.datapoint_files and a.run is None
+    a = build_parser().parse_args(["--file", "docs/", "--save-individual", "--datapoint-files", "--run", "r", "--preset", "local",
+                                   "--temperature", "0.2", "--top-p", "0.5", "--no-do-sample"])
+    assert a.save_individual and a.datapoint_files and (a.run, a.preset, a.temperature, a.top_p, a.do_sample) == ("r", "local", 0.2, 0.5, False)

@@ -84,3 +84,25 @@ def test_drop_failed(spark):
     assert qa.count() == 2
     kept = gn.drop_failed(qa).collect()
     assert [r.chunk_index for r in kept] == [0]
+
+
+def test_batches_null_contexts_and_bisection(spark):
+    class Counting:
+        def generate(self, prompts, **_):
+            assert len(prompts) <= 4
+            if any("boom" in p for p in prompts):
+                raise RuntimeError("model error")
+            return [f"of {len(prompts)}" for _ in prompts]
+
+    texts = ["t"] * 9 + ["boom", None]
+    qa = gn.generate_qa(_chunks(spark, texts).coalesce(1), Counting, n_questions=1, batch_size=4).collect()
+    by = {r.chunk_index: r for r in qa}
+    assert len(by) == 11 and by[10].error == "no context" and "model error" in by[9].error
+    assert {by[i].question for i in range(8)} == {"of 4"} and by[8].error is None
+
+
+def test_presets():
+    local, api = gn.local_preset(temperature=0.1, do_sample=False), gn.api_preset("m", top_p=0.5)
+    assert local.answer_options == {"max_new_tokens": 200, "temperature": 0.1, "top_p": 0.9, "do_sample": False}
+    assert local.question_options == {"max_new_tokens": 2048} and local.question_template.startswith("Based on the following Arabic text, generate one")
+    assert api.question_options == api.answer_options == {"max_tokens": 2048, "temperature": 0.7, "top_p": 0.5, "n": 1, "model": "m"}

@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tessera.plans.catalog import QUERIES
 from tessera.plans.oracle_check import TABLES, rows_key
 
 SF = "/root/testdata/sf0.001"
@@ -21,7 +22,8 @@ def con():
 
 
 def test_every_query_has_oracle():
-    missing = set(queries()) - set(oracle_sql())
+    assert set(QUERIES) <= set(queries())
+    missing = set(QUERIES) - set(oracle_sql())
     assert missing == set(), missing
 
 
@@ -35,7 +37,7 @@ SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "stri
                  "boolean": "BOOLEAN", "float": "FLOAT"}
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     df = queries()[name](spark, SF)
     srows = [tuple(r) for r in df.collect()]

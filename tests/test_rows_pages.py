@@ -37,7 +37,7 @@ def test_dataset_chunks_and_validation(spark):
     got = sorted((r.real_index, r.chunk) for r in rw.dataset_chunks(df).collect())
     assert [g[0] for g in got] == [0, 4]
     assert got[1][1] == tx.DATASET_CHUNK_HEADER + "1234567890" + tx.DATASET_CHUNK_FOOTER
-    with pytest.raises(ValueError, match="Available columns"):
+    with pytest.raises(ValueError, match="it has real_index, text"):
         rw.dataset_chunks(df, text_col="body")
     # non-string text columns are skipped, not cast
     nums = spark.createDataFrame([(0, 12345678901)], "real_index long, text long")
@@ -77,3 +77,33 @@ def test_pages_from_text_layer(spark):
     assert got == [(1, "p one"), (2, "p two"), (3, ""), (4, "p four")]
     joined = pg.join_pages(pg.pages_from_text_layer(df, ["doc"]), ["doc"], max_pages=2).first().text
     assert "=== PAGE 2 ===" in joined and "p four" not in joined
+
+
+def test_dense_numbers_of_two_million_rows(spark):
+    df = spark.range(0, 2_000_000, 1, 8).selectExpr("xxhash64(id) as k", "id")
+    r = rw.zip_index(df, "n", ["k", "id"]).selectExpr("count(distinct n) as d", "min(n) as a", "max(n) as b").first()
+    assert (r.d, r.a, r.b) == (2_000_000, 0, 1_999_999)
+
+
+def _expected(rows):
+    return [(n, i) for n, (i, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json", "csv"])
+def test_positions_over_unequal_files_and_filters(spark, tmp_out, fmt):
+    sizes = (3, 997, 100, 1)
+    start = 0
+    for k, n in enumerate(sizes):
+        spark.range(start, start + n).selectExpr("id", "if(id % 2 = 0, 'train', 'test') as split").coalesce(1).write.format(fmt).option(
+            "header", True).mode("append").save(f"{tmp_out}/{fmt}/part={k}")
+        start += n
+    reader = spark.read.option("header", True).option("inferSchema", True).format(fmt)
+    df = reader.load(f"{tmp_out}/{fmt}").select("id", "split")
+    rows = [(i, i % 2) for i in range(start)]
+    got = sorted((r.real_index, r.id) for r in rw.with_row_index(df).collect())
+    assert got == _expected(rows)
+    half = rw.with_row_index(df.filter("split = 'train'"))
+    assert sorted((r.real_index, r.id) for r in half.collect()) == _expected([x for x in rows if x[1] == 0])
+    assert rw.slice_rows(half, 0, 10).count() == 10
+    if fmt == "parquet":
+        assert sorted((r.real_index, r.id) for r in rw.with_row_index(df, bare_scan=True).collect()) == _expected(rows)

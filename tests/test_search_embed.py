@@ -24,8 +24,8 @@ def brute(q, c, k):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [64 * 1024 * 1024, 200])
-def test_top_k_matches_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("block_rows", [2048, 7])
+def test_top_k_matches_brute_force(spark, block_rows):
     rng = np.random.default_rng(3)
     corpus = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(300)]
     corpus[5] = (5, [0.0] * 8)                       # zero vector: excluded
@@ -34,7 +34,7 @@ def test_top_k_matches_brute_force(spark, block_bytes):
     queries.append((2000, corpus[9][1]))
     c = _vecs(spark, corpus).repartition(4)
     q = _vecs(spark, queries)
-    got = se.top_k(q, c, k=5, block_bytes=block_bytes).collect()
+    got = se.top_k(q, c, k=5, block_rows=block_rows).collect()
     res = {}
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         res.setdefault(r.query_id, []).append(r.vec_id)
@@ -55,6 +55,31 @@ def test_top_k_edge_cases(spark):
     assert se.top_k(empty, c, k=5).count() == 0
 
 
+def test_top_k_null_nan_and_string_ids(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", None), ("d", [float("nan"), 1.0]), ("e", [None, 1.0]), ("f", [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<float>")
+    got = {}
+    for r in se.top_k(df, df, k=2).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {"a": ["b", "a"], "b": ["b", "a"], "f": ["f", "b"]}
+
+
+def test_top_k_single_takes_one_query(spark):
+    c = _vecs(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0])])
+    with pytest.raises(ValueError, match="several"):
+        se.top_k_single(c, c)
+
+
+def test_encoder_gets_the_token_limit(spark):
+    class Enc:
+        def encode(self, texts, max_tokens):
+            return np.array([[min(len(t.split()), max_tokens)] for t in texts])
+
+    df = spark.createDataFrame([("w " * 600,), ("w w",)], "chunk string")
+    assert sorted(r.embedding[0] for r in em.embed(df, Enc).collect()) == [2.0, 512.0]
+    assert sorted(r.embedding[0] for r in em.embed(df, Enc, max_tokens=1).collect()) == [1.0, 1.0]
+
+
 def test_top_k_single_and_cosine(spark):
     c = _vecs(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, [0.0, 0.0])])
     q = spark.createDataFrame([([2.0, 0.1],)], "embedding array<float>")
@@ -98,14 +123,14 @@ from hypothesis import strategies as st  # noqa: E402
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(seed=st.integers(0, 10_000), n=st.integers(1, 60), nq=st.integers(1, 12), k=st.integers(1, 8),
-       parts=st.integers(1, 5), block_bytes=st.sampled_from([100, 1_000, 64 * 1024 * 1024]))
-def test_top_k_property(spark, seed, n, nq, k, parts, block_bytes):
+       parts=st.integers(1, 5), block_rows=st.sampled_from([1, 10, 2048]))
+def test_top_k_property(spark, seed, n, nq, k, parts, block_rows):
     rng = np.random.default_rng(seed)
     # small integer coordinates make exact ties common
     corpus = [(i, rng.integers(-2, 3, size=4).astype(np.float32).tolist()) for i in range(n)]
     queries = [(100 + i, rng.integers(-2, 3, size=4).astype(np.float32).tolist()) for i in range(nq)]
     got = se.top_k(_vecs(spark, queries), _vecs(spark, corpus).repartition(parts), k=k,
-                   block_bytes=block_bytes).collect()
+                   block_rows=block_rows).collect()
     res = {}
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         res.setdefault(r.query_id, []).append((r.vec_id, r.score))

@@ -10,7 +10,6 @@ from tessera.operators import embed as em
 from tessera.operators import generate as gn
 from tessera.plans import flows
 from tessera.sources import sinks as sk
-from tests import pyref
 
 
 def _read_json_dir(path):
@@ -61,8 +60,8 @@ def test_document_flow_end_to_end(spark, tmp_out):
         with open(os.path.join(src, n), "w", encoding="utf-8") as f:
             f.write(t)
     out = flows.build_from_documents(spark, src, os.path.join(tmp_out, "out"), gn.FirstSentenceGenerator,
-                                     lambda: em.HashingEncoder(16), n_questions=2)
-    expected_chunks = sum(len(pyref.chunks(pyref.clean_txt(t))) for t in texts.values())
+                                     lambda: em.HashingEncoder(16), n_questions=2, save_individual=True, datapoint_files=True)
+    expected_chunks = 3 + 1  # 1,680 characters and the banner's title in windows of 1000; one window for the short text
     assert out["summary"]["text_chunks"] == expected_chunks
     assert out["summary"]["qa_pairs"] == 2 * expected_chunks
     assert out["summary"]["embeddings"] == expected_chunks
@@ -90,3 +89,66 @@ def test_table_flow_slice(spark, tmp_out):
     assert ids == ["dataset_2_question_0", "dataset_4_question_0", "dataset_5_question_0"]
     assert os.path.exists(os.path.join(out["individual"], "file_chunk_000004.txt"))
     assert os.path.exists(os.path.join(out["individual"], "file_chunk_000004_qa_00.json"))
+
+
+def _inputs(root, files):
+    for name, body in files.items():
+        p = os.path.join(root, name)
+        os.makedirs(os.path.dirname(p), exist_ok=True)
+        with open(p, "wb") as f:
+            f.write(body)
+    return root
+
+
+def test_same_named_documents_stay_apart(spark, tmp_out):
+    src = _inputs(f"{tmp_out}/in", {"a/r.txt": b"Text of a. " * 5, "b/r.txt": b"Text of b. " * 5})
+    out = flows.build_from_documents(spark, src, f"{tmp_out}/out", gn.FirstSentenceGenerator, n_questions=1, save_individual=True,
+                                     datapoint_files=True, run="one")
+    for d in ("a", "b"):
+        body = open(os.path.join(out["individual"], d, "r.txt", "chunk_0000.txt"), encoding="utf-8").read()
+        assert f"Text of {d}." in body
+    assert len(os.listdir(out["alpaca_datapoints"])) >= 2
+
+
+def test_unreadable_inputs_are_reported(spark, tmp_out):
+    src = _inputs(f"{tmp_out}/in", {"x.md": b"?", "p.PDF": b"boom", "q.pdf": b"page", "t.TXT": b"Some text here."})
+
+    def factory():
+        def extract(data):
+            if data == b"boom":
+                raise RuntimeError("broken")
+            return [data.decode()]
+        return extract
+
+    out = flows.build_from_documents(spark, src, f"{tmp_out}/out", pdf_extractor_factory=factory)
+    assert out["input_errors"] == 2 and out["summary"]["text_chunks"] == 2
+    errors = {os.path.basename(r.path): r.error for r in spark.read.parquet(out["input_errors_parquet"]).collect()}
+    assert errors.keys() == {"x.md", "p.PDF"} and "broken" in errors["p.PDF"]
+    import pytest
+
+    with pytest.raises(ValueError, match="no PDF extractor"):
+        flows.build_from_documents(spark, f"{src}/q.pdf", f"{tmp_out}/o2")
+
+
+def test_a_named_run_resumes(spark, tmp_out):
+    rows = [(i, f"row number {i} has some text.") for i in range(6)]
+    spark.createDataFrame(rows, "id long, text string").coalesce(1).write.parquet(f"{tmp_out}/t.parquet")
+    args = dict(generator_factory=gn.FirstSentenceGenerator, n_questions=2, output_format="json", run="mine")
+    first = flows.build_from_table(spark, f"{tmp_out}/t.parquet", f"{tmp_out}/o", max_samples=4, **args)
+    assert first["summary"]["qa_pairs"] == 8
+
+    class Never:
+        def generate(self, prompts, **_):
+            if any(f"number {i} " in p for p in prompts for i in range(4)):
+                raise RuntimeError("asked again")
+            return ["x"] * len(prompts)
+
+    second = flows.build_from_table(spark, f"{tmp_out}/t.parquet", f"{tmp_out}/o", **(args | {"generator_factory": Never}))
+    assert second["summary"]["qa_pairs"] == 12 and second["errors"] == 0
+    ids = [r["id"] for r in _read_json_dir(second["instructions_json"])]
+    assert len(set(ids)) == len(ids) == 12
+
+
+def test_paths_without_a_scheme_are_qualified(spark):
+    assert sk.qualified(spark, "/some/where") == "file:/some/where"
+    assert sk.qualified(spark, "rel").startswith("file:/")

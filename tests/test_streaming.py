@@ -53,7 +53,8 @@ def test_stream_documents_to_qa(spark, tmp_out):
     os.makedirs(src)
     with open(os.path.join(src, "book.txt"), "w") as f:
         f.write("One sentence here. " * 150)
-    inc.stream_documents_to_qa(spark, src, out, ckpt, FirstSentenceGenerator, n_questions=2).awaitTermination()
+    inc.stream_documents_to_qa(spark, src, out, ckpt, FirstSentenceGenerator, n_questions=2,
+                               save_individual=True).awaitTermination()
     chunks = spark.read.parquet(f"{out}/chunks").count()
     qa = spark.read.parquet(f"{out}/qa")
     assert chunks > 1 and qa.count() == 2 * chunks
