@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import free_name, stage
 from tessera.session import scratch_path
 
-MOST_LABELLED = 16_000
-MOST_POOL = 8_000
-VOCABULARY = 1 << 14
+MOST_LABELLED = 10_000
+MOST_POOL = 5_000
+VOCABULARY = 1 << 13
 LEAST_DOCS = 5
 ROUNDS = 2
 SURE = 0.95  # a calibrated probability from which a view may label
@@ -98,7 +98,7 @@ class View:
 
     def fit(self, rows: DataFrame) -> None:
         """rows: the view's features, label and weight."""
-        fitted = LogisticRegression(featuresCol=self.name, labelCol="label", weightCol="weight", maxIter=20, regParam=self.penalty,
+        fitted = LogisticRegression(featuresCol=self.name, labelCol="label", weightCol="weight", maxIter=15, regParam=self.penalty,
                                     elasticNetParam=1.0 if self.sparse else 0.0, rawPredictionCol=f"{self.name}_raw",
                                     probabilityCol=f"{self.name}_p", predictionCol=f"{self.name}_y").fit(rows)
         # read back from the shared folder, the model is its figures alone: a fitted one
