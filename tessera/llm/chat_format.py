@@ -21,6 +21,8 @@ ids are one tree (kept as the smallest long); an empty table gives an empty resu
 value of the result, so it must fit in one row; only its pointers are joined."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,27 +67,29 @@ def chosen_paths(messages: DataFrame, per_tree: int | None = None) -> DataFrame:
     known = ids.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     first = ids.join(known, ["tree", "parent"], "left").select(
         "tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), "score")
-    # jumps[k]: up = the 2^k-th ancestor (null beyond the root), score = that of the 2^k messages from the node on
-    jumps = [stage(first, "jump")]
-    now = -1
-    while True:
-        step = jumps[-1]
-        above = step.select("tree", F.col("node").alias("up"), F.col("up").alias("further"), F.col("score").alias("more"))
-        wider = step.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("further").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
-        wider = stage(wider, "jump")
-        before, now = now, wider.filter("up is not null").count()
-        jumps.append(wider)
-        if not now or now == before:  # the same count again: only circles are left
+    # jumps[k]: up = the 2^k-th ancestor where there is one, score = that of the 2^k messages from the
+    # node on; ended: nodes whose pointer has left the root, with the score of their whole path
+    reached = stage(first, "jump")
+    jumps, ended = [reached.filter("up is not null")], [reached.filter("up is null")]
+    now = jumps[0].count()
+    while now:
+        at_level = reduce(DataFrame.unionAll, [jumps[-1], *ended])
+        above = at_level.select("tree", F.col("node").alias("up"), F.col("up").alias("further"), F.col("score").alias("more"))
+        wider = stage(jumps[-1].join(above, ["tree", "up"]).select(
+            "tree", "node", F.col("further").alias("up"), (F.col("score") + F.col("more")).alias("score")), "jump")
+        ended.append(wider.filter("up is null"))
+        jumps.append(wider.filter("up is not null"))
+        before, now = now, jumps[-1].count()
+        if now == before:  # only circles are left
             break
-    totals = jumps[-1].filter("up is null").select("tree", F.col("node").alias("leaf"), F.col("score").alias("total"))
-    parents = jumps[0].filter("up is not null").select("tree", F.col("up").alias("leaf")).distinct()
+    totals = reduce(DataFrame.unionAll, ended).select("tree", F.col("node").alias("leaf"), F.col("score").alias("total"))
+    parents = jumps[0].select("tree", F.col("up").alias("leaf")).distinct()
     leaves = totals.join(parents, ["tree", "leaf"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "leaf"))
     ranked = leaves.select("tree", "leaf", rank.alias("rank"))
     paths = ranked if per_tree is None else ranked.filter(F.col("rank") <= per_tree)
     paths = paths.select("tree", "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("depth"))
-    for k in reversed(range(len(jumps) - 1)):  # every message so far, and the one 2^k above it
+    for k in reversed(range(len(jumps))):  # every message so far, and the one 2^k above it
         further = F.struct(F.col("up").alias("node"), (F.col("depth") + (1 << k)).alias("depth"))
         both = F.filter(F.array(F.struct("node", "depth"), further), lambda x: x["node"].isNotNull())
         paths = (paths.join(jumps[k].select("tree", "node", "up"), ["tree", "node"], "left")
