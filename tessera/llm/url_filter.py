@@ -13,7 +13,8 @@ Only SQL functions and Spark ML. Defined cases: a null URL or one without ``://`
 has empty host and path and is judged by its features like any other; repeated
 rows come out each; with no labelled URL of either kind every verdict is allow
 unless a rule says otherwise; an empty table gives an empty result; extra columns
-pass through."""
+pass through, but for those named like a result column (host, path, rule, verdict,
+block_score), which give way to it."""
 from __future__ import annotations
 
 from functools import reduce
