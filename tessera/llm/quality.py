@@ -1,7 +1,7 @@
 """Quality classifier by co-training.
 
 Two views of a document are judged apart. The text view sees which words occur (a
-vocabulary from the sample, binary, normalised); the page view sees source, language
+every word of at least ``LEAST_DOCS`` sampled documents, hashed into ``COLUMNS`` columns, binary, normalised); the page view sees source, language
 and layout figures (length, lines, word lengths, shares of capitals, digits, signs
 and distinct words) and no word. Both are logistic regressions (the text view's
 sparse, so that a few telling words carry it), first fitted on
@@ -23,17 +23,18 @@ empty result; extra columns pass through ``keep_good`` and are ignored by ``scor
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, Normalizer, VectorAssembler
+from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import free_name, stage
 from tessera.session import scratch_path
 
-MOST_LABELLED = 10_000
-MOST_POOL = 5_000
-VOCABULARY = 1 << 13
+MOST_LABELLED = 16_000
+MOST_POOL = 8_000
+COLUMNS = 1 << 18  # bounds the model, not the words: none is cut for being rarer than others
 LEAST_DOCS = 5
 ROUNDS = 2
 SURE = 0.95  # a calibrated probability from which a view may label
@@ -98,7 +99,7 @@ class View:
 
     def fit(self, rows: DataFrame) -> None:
         """rows: the view's features, label and weight."""
-        fitted = LogisticRegression(featuresCol=self.name, labelCol="label", weightCol="weight", maxIter=15, regParam=self.penalty,
+        fitted = LogisticRegression(featuresCol=self.name, labelCol="label", weightCol="weight", maxIter=30, regParam=self.penalty,
                                     elasticNetParam=1.0 if self.sparse else 0.0, rawPredictionCol=f"{self.name}_raw",
                                     probabilityCol=f"{self.name}_p", predictionCol=f"{self.name}_y").fit(rows)
         # read back from the shared folder, the model is its figures alone: a fitted one
@@ -150,11 +151,12 @@ def _probability(logit: Column) -> Column:
 
 
 def _text_view(sample: DataFrame) -> View:
-    words = CountVectorizer(inputCol="terms", outputCol="counts", binary=True, vocabSize=VOCABULARY, minDF=LEAST_DOCS)
+    words = HashingTF(inputCol="terms", outputCol="hashed", numFeatures=COLUMNS, binary=True)
     least = min(LEAST_DOCS, max(1, sample.count()))
-    model = words.setMinDF(least).fit(sample) if sample.filter(F.size("terms") > 0).count() else None
+    in_docs = IDF(inputCol="hashed", outputCol="idf").fit(words.transform(sample)).docFreq
+    often = ElementwiseProduct(inputCol="hashed", outputCol="counts", scalingVec=Vectors.dense([float(n >= least) for n in in_docs]))
     unit = Normalizer(inputCol="counts", outputCol="text_view", p=2.0)
-    return View("text_view", lambda df: unit.transform(model.transform(df)).drop("counts"), 3e-3, sparse=True)
+    return View("text_view", lambda df: unit.transform(often.transform(words.transform(df))).drop("hashed", "counts"), 3e-3, sparse=True)
 
 
 def _page_view() -> View:

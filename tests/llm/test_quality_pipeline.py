@@ -7,7 +7,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm.quality import keep_good, labels_of, scores
+from tessera.llm.quality import _text_view, keep_good, labels_of, scores, with_views
 
 from .helpers import docs_frame
 from .test_decontamination import brute as brute_leaks
@@ -66,6 +66,14 @@ def test_keep_good_passes_rows_through(spark, judged):
     assert rows == {i: t for i, t in before.items() if got[i]["score"] >= 0.5}
 
 
+def test_no_word_is_cut_for_being_rarer_than_others(spark):
+    common = " ".join(f"w{i}" for i in range(9000))
+    docs = docs_frame(spark, [common] * 8 + ["telling"] * 5 + ["seldom"] * 4)
+    sample = with_views(docs)
+    got = {r["doc_id"]: r["text_view"].numNonzeros() for r in _text_view(sample).prepare(sample).select("doc_id", "text_view").collect()}
+    assert got[0] > 8800 and got[8] == 1 and got[16] == 0
+
+
 def test_labels_of_one_kind_nulls_and_empty(spark):
     docs = docs_frame(spark, ["a b", "c", None])
     one = spark.createDataFrame([(0, 1, 0), (0, 1, None), (1, None, 1), (None, 0, 0)], LABELS)
