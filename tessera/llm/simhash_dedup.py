@@ -57,17 +57,24 @@ def simhash(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long)."""
+def _printed(slim: DataFrame, shingle: int) -> DataFrame:
+    """Longs and, last, a binary text -> the longs and fp."""
+    names = slim.columns[:-1]
+
     def hashed(batches):
         import pyarrow as pa
 
         for batch in batches:
-            fps = [simhash(t.as_py(), shingle) for t in batch.column(1)]
+            fps = [simhash(t.as_py(), shingle) for t in batch.column(len(names))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x - (x >> 63 << 64) for x in fps], pa.int64())], ["doc_id", "fp"])
+                [*batch.columns[:-1], pa.array([x - (x >> 63 << 64) for x in fps], pa.int64())], [*names, "fp"])
+
+    return ship(slim).mapInArrow(hashed, ", ".join(f"`{c}` long" for c in [*names, "fp"]))
 
-    return ship(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(hashed, "doc_id long, fp long")
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and fp (the fingerprint's 64 bits as a signed long)."""
+    return _printed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), shingle)
 
 
 def _split(values, lo, hi, bit):
@@ -214,12 +221,25 @@ def hex_fingerprint(fp):
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents without near-duplicates: of each component the one with
-    the smallest doc_id stays (of rows that repeat it the one with the least text; a document without
-    a doc_id stays, as nothing can name it)."""
-    named = docs.filter("doc_id is not null")
-    keep = near_duplicates(named, shingle, radius).filter("doc_id = component_id").select("doc_id").distinct()
-    (nth,) = free_name(docs, "nth")
-    one = named.join(keep, "doc_id", "left_semi").withColumn(
-        nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(nth) == 1).select(docs.columns)
-    return one.unionAll(docs.filter("doc_id is null"))
+    """The documents without near-duplicates: of each component one row stays, the one with
+    the smallest doc_id and of several such rows the one with the least text. Rows without a
+    doc_id link like others and are reduced alike, one of each component, apart from the named."""
+    id_, mark, mark_2, root, few, salt, nth, *same_keys = free_name(docs, "id", "mark", "mark_2", "root", "few", "salt", "nth", "k0", "k1", "k2")
+    text = F.coalesce("text", F.lit(""))
+    marked = docs.withColumns({id_: F.col("doc_id").cast("long"), mark: F.xxhash64(text), mark_2: F.xxhash64(F.lit(1), text)})
+    keys = [id_, mark, mark_2]
+    prints = stage(_printed(marked.select(*keys, F.col("text").cast("binary").alias("text")), shingle), "fingerprints")
+    roots = connected_components(trie_links(stage(prints.select("fp").distinct(), "distinct"), radius)).toDF("fp", root)
+    placed = stage(prints.join(roots, "fp", "left").withColumn(root, F.coalesce(root, "fp")).groupBy(*keys, root).agg(F.count("*").alias("n")), "placed")
+    # named rows and rows without a doc_id each have a least one
+    least = placed.groupBy(root, F.col(id_).isNull().alias("unnamed")).agg(F.min(id_).alias("least"))
+    first = placed.withColumn("unnamed", F.col(id_).isNull()).join(least, [root, "unnamed"]).filter(F.col(id_).eqNullSafe(F.col("least")))
+    alone = first.groupBy(root, "unnamed").agg((F.sum("n") == 1).alias(few))
+    first = stage(first.join(alone, [root, "unnamed"]).select(*(F.col(k).alias(s) for k, s in zip(keys, same_keys, strict=True)), root, few), "first")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(s)) for k, s in zip(keys, same_keys, strict=True)))
+    single = marked.join(first.filter(few), same, "left_semi")
+    rest = marked.join(first.filter(~F.col(few)).drop(few), same).withColumn(salt, F.monotonically_increasing_id() % 64)
+    unnamed = F.col(id_).isNull()
+    for part in ([root, unnamed, salt], [root, unnamed]):  # a group of many equal rows is first reduced in parts
+        rest = rest.withColumn(nth, F.row_number().over(Window.partitionBy(*part).orderBy("text"))).filter(F.col(nth) == 1).drop(nth)
+    return single.select(docs.columns).unionAll(rest.select(docs.columns))

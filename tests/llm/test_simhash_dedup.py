@@ -127,5 +127,16 @@ def test_query_against_brute_force(spark, tmp_path):
     assert keep_one(df).columns == df.columns
 
 
+def test_one_row_of_each_component(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(60)) for k in "abcd")
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c.upper()), (7, c), *[(None, d)] * 50]
+    df = docs_frame(spark, [t for _, t in rows], [i for i, _ in rows], extra="1 as id;2 as mark;3 as root;4 as k0").repartition(4)
+    got = keep_one(df)
+    assert got.columns == df.columns
+    want = [(3, a), (5, b), (7, c.upper()), (None, d)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_empty(spark):
     assert near_duplicates(docs_frame(spark, [])).collect() == []
