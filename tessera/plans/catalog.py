@@ -558,6 +558,15 @@ def q_pdf_pages(spark, sf_dir):
     return pages.select(_file_id(), "page_num", "text")
 
 
+@query("pdf_pages_all")
+def q_pdf_pages_all(spark, sf_dir):
+    """Every document as a .pdf or .PDF file, in a folder of its own."""
+    path = scratch_path(spark, "documents-pdf")
+    suffix = F.when(F.col("doc_id") % 2 == 0, "pdf").otherwise("PDF")
+    sk.write_files(_form_feeds(spark, sf_dir).select(F.concat(F.format_string("sub/doc_%d.", "doc_id"), suffix).alias("file_name"), F.col("text").alias("body")), path)
+    return rd.read_pdf_pages(spark, path, _form_feed_extractor).select(_file_id(), "page_num", "text")
+
+
 @query("split_by_extension")
 def q_split_by_extension(spark, sf_dir):
     parts = rd.split_by_extension(rd.read_binary_files(spark, _mixed_files(spark, sf_dir)))

@@ -232,6 +232,7 @@ LINES = """SELECT doc_id, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS page_
 FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL"""
 ORACLE["pages_text_layer"] = LINES + ")"
 ORACLE["pdf_pages"] = LINES + " AND doc_id % 4 < 2)"
+ORACLE["pdf_pages_all"] = ORACLE["pages_text_layer"]
 ORACLE["split_by_extension"] = """SELECT ['pdf', 'pdf', 'txt', 'unsupported'][doc_id % 4 + 1] AS kind, doc_id FROM documents"""
 ORACLE["sink_json"] = f"WITH {QA_CTE} SELECT * FROM qa"
 ORACLE["sink_csv"] = ORACLE["sink_json"]
