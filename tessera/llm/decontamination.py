@@ -27,8 +27,8 @@ from tessera.llm.common import free_name, stage, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BLOCK_ERRORS = 4  # radius 19, used up to RADIUS
-RADIUS = 16
+BLOCK_ERRORS = 4
+RADIUS = 4 * (BLOCK_ERRORS + 1) - 1  # all that the block indexes are complete to
 NO_ID = -(1 << 63)
 #: Up to so many distinct benchmark shingles (16 bytes each) are broadcast;
 #: beyond, Spark joins by shuffle.

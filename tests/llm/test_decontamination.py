@@ -92,6 +92,29 @@ def test_all_fingerprints_within_the_radius(spark):
     assert got == {(signed(p), i) for p in prints for i, b in enumerate(base) if (p ^ b).bit_count() <= RADIUS}
 
 
+def test_edited_windows_beyond_sixteen_bits_are_found(spark):
+    import numpy as np
+
+    def print_of(hashes):
+        bits = (hashes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+        return 2 * bits.sum(axis=0) > len(hashes)
+
+    import xxhash
+    rng, items, texts = random.Random(12), [], []
+    n, k = 59, 5  # edge words replaced: (n - 4 - k) / (n - 4 + k) = 0.83
+    for _ in range(20_000):
+        words = [f"{rng.getrandbits(40):x}" for _ in range(n + k)]
+        hashes = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in words], dtype=np.uint64)
+        if (print_of(hashes[:n]) != print_of(np.concatenate([hashes[n:], hashes[k:n]]))).sum() in (17, 18, 19):
+            items.append((len(items), " ".join(words[:n])))
+            texts.append(" ".join(["before", "it", *words[n:], *words[k:n], "after"]))
+            if len(items) == 5:
+                break
+    assert len(items) == 5
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in leaked_pairs(docs_frame(spark, texts), spark.createDataFrame(items, BENCH)).collect()}
+    assert got.keys() == {(i, i) for i in range(5)} and all(0.8 <= v <= 0.85 for v in got.values())
+
+
 def test_simhash_counts_words(spark):
     import xxhash
 
