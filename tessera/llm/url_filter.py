@@ -5,9 +5,9 @@ labels, parameters, and statistics of its host's suffix over the labelled URLs
 (how common it is, and how its labels lean, smoothed). The trees are trained from
 labelled URLs; the labels may come from a table or, where there is none, from
 ``seed_labels``: hosts that hold a listed term are to be blocked, and of the other
-hosts those without a rule are taken as allowed. At most ``MOST_LABELLED`` rows,
-chosen by the hash of the URL, are used for the fit (a documented bound); every
-URL is judged.
+hosts those without a rule are taken as allowed. The suffix statistics count all
+labelled URLs, by the suffix itself; at most ``MOST_LABELLED`` rows, chosen by the hash
+of the URL, are given to the trees (a documented bound); every URL is judged.
 
 Only SQL functions and Spark ML. Defined cases: a null URL or one without ``://``
 has empty host and path and is judged by its features like any other; repeated
@@ -33,7 +33,6 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 #: Terms of hosts taken as labelled ``block``.
 SEED_TERMS = ("casino", "poker", "bets", "pills", "pharma", "viagra", "spam", "ads-", "track", "lottery", "loan", "porn")
 MOST_LABELLED = 40_000
-SUFFIXES = 1024  # suffixes are hashed into so many rows, which bounds the broadcast
 ALPHABET = LOWER + "0123456789-._~/?#=&%:+"
 
 
@@ -93,12 +92,10 @@ def lexical_features(url: Column, host: Column, path: Column) -> dict[str, Colum
 
 
 def with_features(urls: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Add host, path and the features; the suffix is kept as its bucket."""
+    """Add host, path and the features; the suffix is kept."""
     df = urls.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     feats = lexical_features(F.col("url"), F.col("host"), F.col("path"))
-    suffix = F.substring_index("host", ".", -1)
-    df = df.select("*", *(c.cast("double").alias(k) for k, c in feats.items()),
-                   F.pmod(F.xxhash64(suffix), F.lit(SUFFIXES)).cast("int").alias("bucket"))
+    df = df.select("*", *(c.cast("double").alias(k) for k, c in feats.items()), F.substring_index("host", ".", -1).alias("suffix"))
     return df, list(feats)
 
 
@@ -111,17 +108,17 @@ def seed_labels(featured: DataFrame, terms=SEED_TERMS, rules=RULES) -> DataFrame
 
 
 def train(labelled: DataFrame, names: list[str], most: int = MOST_LABELLED, trees: int = 12, depth: int = 4):
-    """(model, suffix statistics) from rows with features, bucket and label 0.0 or
-    1.0; None if only one label occurs. The model and the statistics see the
-    same bounded sample, chosen by the hash of the URL."""
+    """(model, suffix statistics, assembler) from rows with features, suffix and label 0.0
+    or 1.0; None if only one label occurs. The statistics count all labelled rows, the
+    trees see a bounded sample of them, chosen by the hash of the URL."""
     total = labelled.filter("label is not null").count()
     cut = min(1.0, most / max(total, 1))
     share = F.pmod(F.xxhash64("url", F.lit(7)), F.lit(1 << 20)) < int(cut * (1 << 20))
-    sample = stage(labelled.filter("label is not null").filter(share).select("url", "bucket", "label", *names), "urls")
+    sample = stage(labelled.filter("label is not null").filter(share).select("url", "suffix", "label", *names), "urls")
     found = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(found) < 2:
         return None
-    stats = suffix_statistics(sample)
+    stats = suffix_statistics(labelled.filter("label is not null"))
     weight = F.when(F.col("label") == 1.0, sum(found.values()) / (2 * found[1.0])).otherwise(sum(found.values()) / (2 * found[0.0]))
     assembler = VectorAssembler(inputCols=[*names, "suffix_share", "suffix_lean"], outputCol="features")
     ready = assembler.transform(_with_suffix(sample, stats).withColumn("weight", weight)).select("features", "label", "weight")
@@ -129,15 +126,17 @@ def train(labelled: DataFrame, names: list[str], most: int = MOST_LABELLED, tree
     return model, stats, assembler
 
 
-def suffix_statistics(sample: DataFrame) -> DataFrame:
-    """At most SUFFIXES rows: share of all labelled URLs and smoothed log-odds of block."""
-    n = F.count("*")
-    return stage(sample.groupBy("bucket").agg(n.alias("n"), F.sum("label").alias("bad")).select(
-        "bucket", F.log1p("n").alias("suffix_share"), F.log((F.col("bad") + 1) / (F.col("n") - F.col("bad") + 1)).alias("suffix_lean")), "suffixes")
+def suffix_statistics(labelled: DataFrame) -> DataFrame:
+    """For each suffix of the labelled URLs its share of them and its smoothed log-odds of block, as rates."""
+    counted = stage(labelled.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("bad")), "suffixes")
+    total = counted.agg(F.sum("n")).first()[0]
+    return counted.select("suffix", (F.col("n") / F.lit(total)).alias("suffix_share"),
+                          F.log((F.col("bad") + 1) / (F.col("n") - F.col("bad") + 1)).alias("suffix_lean"))
 
 
 def _with_suffix(df: DataFrame, stats: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(stats), "bucket", "left").fillna(0.0, ["suffix_share", "suffix_lean"])
+    # one row a suffix: Spark broadcasts them where the stored table is small, and splits hot suffixes where not
+    return df.join(stats, "suffix", "left").fillna(0.0, ["suffix_share", "suffix_lean"])
 
 
 def judge_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, most: int = MOST_LABELLED) -> DataFrame:

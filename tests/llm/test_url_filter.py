@@ -75,6 +75,18 @@ def test_unseen_spam_hosts_and_bounded_sample(spark):
     assert judge_urls(pages(spark, new), labels=labels).filter("verdict = 'block'").count() >= 30
 
 
+def test_suffix_statistics_count_all_labelled_urls(spark):
+    import math
+
+    data = made_urls(random.Random(8), 1500) + [(f"http://a{i}.rare{i}/x", float(i % 2)) for i in range(1200)]
+    featured, names = with_features(spark.createDataFrame(data, "url string, label double"))
+    _, stats, _ = train(featured, names, most=300, trees=2)
+    rows = {r["suffix"]: r for r in stats.collect()}
+    assert rows.keys() == {"com"} | {f"rare{i}" for i in range(1200)}
+    assert abs(rows["com"]["suffix_share"] - 1500 / 2700) < 1e-9
+    assert all(abs(rows[f"rare{i}"]["suffix_lean"] - math.log(2) * (1 if i % 2 else -1)) < 1e-9 for i in range(1200))
+
+
 def test_one_kind_of_label_and_empty(spark):
     only_good = judge_urls(pages(spark, ["http://a.example.com/x", "http://b.net/x"])).collect()
     assert sorted(r["verdict"] for r in only_good) == ["allow", "block"]
