@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stage
+from tessera.session import scratch_path
 
 SLOTS = 4096
 STRIPES = 64  # a slot's records are numbered in so many parts
@@ -122,10 +123,32 @@ def place(recs: DataFrame, mapping: dict[int, int], version: int = 1) -> DataFra
     return numbered.withColumn("slot", (F.col("start") + F.col("nth") - 1).cast("long")).drop("nth", "start", "stripe")
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
+def edited_map(spark: SparkSession, path: str, sizes: dict[int, int], shards: int, slots: int = SLOTS, earlier: str | None = None) -> int:
+    """Store the next version of the map under ``path`` and return its number: the first
+    one, or the latest stored under ``earlier`` grown to more shards, else rebalanced."""
+    if earlier is None:
+        store_map(spark, path, first_map(sizes, shards, slots), 1)
+        return 1
+    mapping = load_map(spark, earlier)
+    version, before = spark.read.parquet(earlier).agg(F.max("version")).first()[0] + 1, max(mapping.values()) + 1
+    if len(mapping) != slots or before > shards:
+        raise ValueError(f"the map of {len(mapping)} slots and {before} shards cannot be edited to {slots} slots and {shards} shards")
+    if before == shards:
+        mapping = rebalanced(mapping, sizes, shards)
+    for n in range(before, shards):
+        mapping = grown(mapping, sizes, n)
+    store_map(spark, path, mapping, version)
+    return version
+
+
+def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS, path: str | None = None, earlier: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: not this
-    law), virtual_slot, version."""
+    law), virtual_slot, version. The map's version is stored under ``path`` (the shared
+    folder by default) and read from there; ``earlier`` is the folder of a map to edit."""
+    spark = docs.sparkSession
+    path = path or earlier or scratch_path(spark, "shard-map")
     recs = stage(records(docs, slots), "records")
-    placed = place(recs, first_map(slot_bytes(recs), shards, slots))
+    version = edited_map(spark, path, slot_bytes(recs), shards, slots, earlier)
+    placed = place(recs, load_map(spark, path, version), version)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "version")

@@ -70,5 +70,17 @@ def test_stored_versions(spark, tmp_path):
     assert {after[d] for d in after if after[d] != before[d]} <= {3} and 3 in after.values()
 
 
+def test_documents_follow_the_stored_map(spark, tmp_path):
+    docs, path = docs_frame(spark, ["a" * n for n in range(300)]), f"{tmp_path}/map"
+    one = {r["doc_id"]: r for r in shard_documents(docs, 3, path=path).collect()}
+    two = {r["doc_id"]: r for r in shard_documents(docs, 4, earlier=path).collect()}
+    three = {r["doc_id"]: r for r in shard_documents(docs, 4, earlier=path).collect()}
+    for version, rows in enumerate((one, two, three), 1):
+        mapping = load_map(spark, path, version)
+        assert all((r["version"], r["shard"]) == (version, mapping[r["virtual_slot"]]) for r in rows.values())
+    assert {two[d]["shard"] for d in one if one[d]["shard"] != two[d]["shard"]} == {3}
+    assert max(loads(load_map(spark, path), slot_bytes(stage(records(docs), "r")), 4)) <= 1.1 * sum(r["size"] for r in one.values()) / 4
+
+
 def test_empty(spark):
     assert shard_documents(docs_frame(spark, [])).collect() == []
