@@ -188,13 +188,28 @@ class CoTrained:
                          _probability(self.views[1].logit()).alias("page_score"), _probability(both).alias("score"))
 
 
+def _dealt(sample: DataFrame, seen: dict) -> tuple[DataFrame, str, str]:
+    """The sample and the conditions of its rows that are fitted and that calibrate. A kind
+    whose rows all fell on one side has its first row by hash dealt to the other; where a
+    kind has one row only, all labelled rows do both."""
+    for kind in (0.0, 1.0):
+        held, rest = seen.get((kind, True), 0), seen.get((kind, False), 0)
+        if held + rest < 2:
+            return sample, "good is not null", "good is not null"
+        if not held or not rest:
+            moved = sample.filter(F.col("good") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").first()["doc_id"]
+            sample = sample.withColumn("fold", F.when(F.col("doc_id") == moved, F.lit(1 if held else 0)).otherwise(F.col("fold")))
+    return sample, "good is not null and fold <> 0", "good is not null and fold = 0"
+
+
 def co_train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL, rounds: int = ROUNDS):
     """A CoTrained model, or the score of all documents (a float) where the labels know one kind only."""
     sample = _draw(docs, labels, most_labelled, most_pool)
-    seen = {(r["good"], r["fold"] == 0): r["n"] for r in sample.groupBy("good", "fold").agg(F.count("*").alias("n")).collect()}
+    seen = {(r["good"], r["held"]): r["n"] for r in sample.groupBy("good", (F.col("fold") == 0).alias("held")).agg(F.count("*").alias("n")).collect()}
     kinds = {g for g, _ in seen if g is not None}
-    if len(kinds) < 2 or len({g for g, held in seen if g is not None and held}) < 2 or len({g for g, held in seen if g is not None and not held}) < 2:
-        return min(kinds) if len(kinds) == 1 else 1.0
+    if len(kinds) < 2:
+        return min(kinds) if kinds else 1.0
+    sample, fitted, held = _dealt(sample, seen)
     views = [_text_view(sample), _page_view()]
     ready = sample
     for v in views:
@@ -202,10 +217,9 @@ def co_train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABEL
     ready = stage(ready.select("doc_id", "good", "fold", "text_view", "page_view"), "views")
     # pseudo[view]: what the OTHER view has labelled for it
     pseudo = {v.name: None for v in views}
-    held = "good is not null and fold = 0"
     for turn in range(rounds + 1):
         for v in views:
-            rows = ready.filter("good is not null and fold <> 0").select("doc_id", v.name, F.col("good").alias("label"), F.lit(1.0).alias("weight"))
+            rows = ready.filter(fitted).select("doc_id", v.name, F.col("good").alias("label"), F.lit(1.0).alias("weight"))
             if pseudo[v.name] is not None:
                 more = ready.join(pseudo[v.name], "doc_id").select("doc_id", v.name, "label", F.lit(0.5).alias("weight"))
                 rows = rows.unionAll(more)

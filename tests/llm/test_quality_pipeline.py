@@ -85,6 +85,19 @@ def test_labels_of_one_kind_nulls_and_empty(spark):
     assert scores(docs_frame(spark, []), one).collect() == [] == keep_good(docs_frame(spark, []), one).collect()
 
 
+def test_few_labels_of_a_kind_are_still_learnt(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(WORDS, k=60)) for _ in range(60)] + [" | ".join(rng.choices(WORDS, k=60)).upper() for _ in range(60)]
+    docs = docs_frame(spark, texts)
+    held = {r["id"] for r in spark.range(60, 120).filter("pmod(xxhash64(id, 3), 4) = 0").collect()}
+    fitted = sorted(set(range(60, 120)) - held)
+    for bad in (fitted[:2], sorted(held)[:2], fitted[:1]):  # none held out, none fitted, one row only
+        labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(i, 0, 0) for i in bad], LABELS)
+        got = {r["doc_id"]: r["score"] for r in scores(docs, labels, rounds=0).collect()}
+        assert len(set(got.values())) > 1
+        assert np.mean([got[i] for i in range(60)]) > np.mean([got[i] for i in range(60, 120)])
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     rng = random.Random(11)
     passage = " ".join(f"p{i}" for i in range(70))
