@@ -23,9 +23,8 @@ empty result; extra columns pass through ``keep_good`` and are ignored by ``scor
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer, VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,7 +153,8 @@ def _text_view(sample: DataFrame) -> View:
     words = HashingTF(inputCol="terms", outputCol="hashed", numFeatures=COLUMNS, binary=True)
     least = min(LEAST_DOCS, max(1, sample.count()))
     in_docs = IDF(inputCol="hashed", outputCol="idf").fit(words.transform(sample)).docFreq
-    often = ElementwiseProduct(inputCol="hashed", outputCol="counts", scalingVec=Vectors.dense([float(n >= least) for n in in_docs]))
+    # the fit's vectors on the driver are as long as the columns in use
+    often = VectorSlicer(inputCol="hashed", outputCol="counts", indices=[i for i, n in enumerate(in_docs) if n >= least] or [0])
     unit = Normalizer(inputCol="counts", outputCol="text_view", p=2.0)
     return View("text_view", lambda df: unit.transform(often.transform(words.transform(df))).drop("hashed", "counts"), 3e-3, sparse=True)
 
