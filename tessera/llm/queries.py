@@ -15,6 +15,7 @@ from tessera.llm.packing import pack_documents
 from tessera.llm.quality import scores
 from tessera.llm.sharding import shard_documents
 from tessera.llm.simhash_dedup import hex_fingerprint, near_duplicates
+from tessera.llm.spelling import spelling_variants
 from tessera.llm.substring_dedup import drop_repeats
 from tessera.llm.token_counts import context_table, length_histogram
 from tessera.llm.url_filter import judge_urls
@@ -77,7 +78,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the corpus with its more frequent near word and where such forms end."""
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_url_filter, op2_sharding, op3_substring_dedup, op4_chat_format, op5_decontamination, op6_simhash_dedup,
-        op7_token_counts, op8_merkle_fingerprints, op9_best_fit_packing, op10_quality_classifier)}
+        op7_token_counts, op8_merkle_fingerprints, op9_best_fit_packing, op10_quality_classifier, op11_spelling_variants)}
