@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.chat_format import digest, format_conversations
 from tessera.llm.common import table, words_of
 from tessera.llm.decontamination import leaked_pairs
+from tessera.llm.importance import resample
 from tessera.llm.merkle import fingerprint_edits
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality import scores
@@ -83,7 +84,12 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document, drawn towards the benchmark's texts."""
+    return resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_url_filter, op2_sharding, op3_substring_dedup, op4_chat_format, op5_decontamination, op6_simhash_dedup,
-        op7_token_counts, op8_merkle_fingerprints, op9_best_fit_packing, op10_quality_classifier, op11_spelling_variants)}
+        op7_token_counts, op8_merkle_fingerprints, op9_best_fit_packing, op10_quality_classifier, op11_spelling_variants, op12_importance_resampling)}
