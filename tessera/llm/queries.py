@@ -18,6 +18,7 @@ from tessera.llm.sharding import shard_documents
 from tessera.llm.simhash_dedup import hex_fingerprint, near_duplicates
 from tessera.llm.spelling import spelling_variants
 from tessera.llm.substring_dedup import drop_repeats
+from tessera.llm.suffix_levels import cut_repeats
 from tessera.llm.token_counts import context_table, length_histogram
 from tessera.llm.url_filter import judge_urls
 
@@ -89,7 +90,13 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left of every document once repeated 50-byte strings are cut."""
+    cut = cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_url_filter, op2_sharding, op3_substring_dedup, op4_chat_format, op5_decontamination, op6_simhash_dedup,
-        op7_token_counts, op8_merkle_fingerprints, op9_best_fit_packing, op10_quality_classifier, op11_spelling_variants, op12_importance_resampling)}
+        op7_token_counts, op8_merkle_fingerprints, op9_best_fit_packing, op10_quality_classifier, op11_spelling_variants, op12_importance_resampling, op13_suffix_dedup)}
