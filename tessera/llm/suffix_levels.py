@@ -186,6 +186,7 @@ def candidates(docs: DataFrame, cuts: list[int], buckets: int, window: int = WIN
 
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         import xxhash
 
         repeated, often = (np.frombuffer(x, dtype=np.uint8) for x in shared.value)
@@ -194,7 +195,7 @@ def candidates(docs: DataFrame, cuts: list[int], buckets: int, window: int = WIN
             return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
 
         for batch in batches:
-            batch = batch.take(pa.compute.sort_indices(batch.column(0)))  # the smallest doc of a segment comes first
+            batch = batch.take(pc.sort_indices(batch.column(0)))  # the smallest doc of a segment comes first
             docs_, marks, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             first: dict[bytes, int] = {}
             known: dict[tuple, list] = {}
