@@ -136,8 +136,10 @@ def generate_qa(chunks: DataFrame, generator_factory: Callable[[], object], text
                 index_col: str = "real_index", n_questions: int = DEFAULT_QUESTIONS_PER_CHUNK,
                 question_template: str = QUESTION_TEMPLATE_API, answer_template: str = ANSWER_TEMPLATE,
                 question_options: dict | None = None, answer_options: dict | None = None,
-                keep: list[str] | None = None, batch_size: int = DEFAULT_PROMPT_BATCH) -> DataFrame:
+                keep: list[str] | None = None, batch_size: int = DEFAULT_PROMPT_BATCH, wanted: str | None = None) -> DataFrame:
     """QA rows (keep..., id, question, answer, context, question_index, chunk_index, error).
+    ``wanted`` names a column with the question indexes to ask for each chunk (array of
+    int) in place of all ``n_questions``.
 
     Each context goes to Python once; the ``n_questions`` rows per chunk are made
     there. Non-deterministic model calls: materialise the result (write it)
@@ -146,18 +148,20 @@ def generate_qa(chunks: DataFrame, generator_factory: Callable[[], object], text
     qo = dict(QUESTION_OPTIONS if question_options is None else question_options)
     ao = dict(ANSWER_OPTIONS if answer_options is None else answer_options)
     keep = list(keep or [])
-    src = chunks.select(*keep, F.col(index_col).cast("long").alias("chunk_index"), F.col(text_col).alias("context"))
+    indexes = F.col(wanted) if wanted else F.array(*(F.lit(i) for i in range(max(0, n_questions)))).cast("array<int>")
+    src = chunks.select(*keep, F.col(index_col).cast("long").alias("chunk_index"), F.col(text_col).alias("context"), indexes.alias("question_indexes"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keep)
     schema = (schema + ", " if schema else "") + QA_SCHEMA
-    fan = max(0, n_questions)
+    asking = wanted is not None or n_questions > 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gen = generator_factory() if fan else None
+        gen = generator_factory() if asking else None
         for pdf in batches:
             if gen is None or len(pdf) == 0:
                 continue
-            rows = pdf.loc[pdf.index.repeat(fan)].reset_index(drop=True)
-            index = list(range(fan)) * len(pdf)
+            each = [list(x) for x in pdf["question_indexes"]]
+            rows = pdf.loc[pdf.index.repeat([len(x) for x in each])].reset_index(drop=True)
+            index = [i for x in each for i in x]
             contexts = [c if isinstance(c, str) else None for c in rows["context"]]
             questions, qerr = _call_some(gen, [None if c is None else question_template + TEXT_MARKER + c for c in contexts], qo, batch_size)
             answers, aerr = _call_some(gen, [None if c is None else answer_template + TEXT_MARKER + c + QUESTION_MARKER + q

@@ -17,6 +17,7 @@ from tessera.operators import combine as cb
 from tessera.operators import embed as em
 from tessera.operators import formats as fm
 from tessera.operators import generate as gn
+from tessera.operators import journal as jn
 from tessera.operators import pages as pg
 from tessera.operators import rows as rw
 from tessera.operators import search as se
@@ -327,6 +328,23 @@ def q_resume_anti(spark, sf_dir):
     return resume_anti(documents(spark, sf_dir).select("doc_id", "source"), done, ["doc_id"])
 
 
+class OddLengthsFail(gn.FirstSentenceGenerator):
+    """The stand-in model on a bad day: contexts of odd length fail."""
+
+    def generate(self, prompts, **options):
+        if any(len(p.split(gn.TEXT_MARKER, 1)[1].split(gn.QUESTION_MARKER)[0]) % 2 for p in prompts):
+            raise RuntimeError("odd length")
+        return super().generate(prompts, **options)
+
+
+@query("generate_resume")
+def q_generate_resume(spark, sf_dir):
+    """A run that fails on some rows and its successor: run tells who answered."""
+    chunks, path = _stored(_table_chunks(spark, sf_dir), "resume-chunks"), scratch_path(spark, "journal")
+    jn.generate_journalled(chunks, OddLengthsFail, path, ["real_index"], n_questions=3)
+    return jn.generate_journalled(chunks, gn.FirstSentenceGenerator, path, ["real_index"], n_questions=3, with_run=True)
+
+
 @query("union_sources")
 def q_union_sources(spark, sf_dir):
     docs = documents(spark, sf_dir).select(F.lit("documents").alias("src"), "doc_id", "text")

@@ -19,34 +19,25 @@ from tessera.operators import chunk as ch
 from tessera.operators import embed as em
 from tessera.operators import formats as fm
 from tessera.operators import generate as gn
+from tessera.operators import journal as jn
 from tessera.operators import pages as pg
 from tessera.operators import rows as rw
 from tessera.operators import stats as st
 from tessera.plans.parallel import spread
 from tessera.sources import readers as rd
 from tessera.sources import sinks as sk
-from tessera.streaming.incremental import resume_anti, with_progress
+from tessera.streaming.incremental import with_progress
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-
-
-def _generated(spark: SparkSession, chunks: DataFrame, path: str, keys: list[str], keep: list[str], generator_factory,
+def _generated(spark: SparkSession, chunks: DataFrame, root: str, base: str, keys: list[str], keep: list[str], generator_factory,
                n_questions: int, index_col: str, preset: gn.Preset | None, model_partitions: int | None) -> DataFrame:
-    """The stored QA rows under ``path``. Chunks that already have rows there (an
-    earlier run of the same name) are not sent to the model again."""
-    todo = chunks
-    if _exists(spark, f"{path}/_SUCCESS"):
-        done = spark.read.parquet(path).withColumnRenamed("chunk_index", index_col).select(*keys).distinct()
-        todo = resume_anti(chunks, done, keys)
+    """The stored QA rows of a run. Every answer is journalled by the task that asks; a run of the
+    same name asks only for what no earlier one has answered, failed rows included."""
     options = {} if preset is None else dict(question_template=preset.question_template, question_options=preset.question_options,
                                              answer_options=preset.answer_options)
-    new = gn.generate_qa(spread(todo, keys, model_partitions), generator_factory or (lambda: None), index_col=index_col,
-                         n_questions=n_questions, keep=keep, **options)
-    new.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    qa = jn.generate_journalled(chunks, generator_factory or (lambda: None), f"{root}/{base}_journal", keys=keys, index_col=index_col,
+                                n_questions=n_questions, keep=keep, partitions=model_partitions, **options)
+    return sk.materialize(qa, f"{root}/{base}_qa_raw.parquet")
 
 
 def _tail(spark: SparkSession, chunks: DataFrame, out_dir: str, index_col: str, keep: list[str],
@@ -59,7 +50,7 @@ def _tail(spark: SparkSession, chunks: DataFrame, out_dir: str, index_col: str,
     keys = keep + [index_col]
     observed, progress = with_progress(chunks, "chunks", "chunk")  # running totals, reported at the end
     chunks = sk.materialize(observed, f"{root}/{base}_chunks.parquet")
-    qa = _generated(spark, chunks, f"{root}/{base}_qa_raw.parquet", keys, keep, generator_factory, n_questions,
+    qa = _generated(spark, chunks, root, base, keys, keep, generator_factory, n_questions,
                     index_col, preset, model_partitions)
     emb = None
     if encoder_factory is not None:
@@ -117,8 +108,8 @@ def build_from_documents(spark: SparkSession, path: str, out_dir: str,
     """TXT and PDF files under ``path`` -> chunks -> QA -> vectors -> exports.
     Chunks are keyed by (path, chunk_index); ids use the chunk index, and the QA
     rows keep the path. Files that cannot be read are listed under ``input_errors``;
-    a single file that cannot be read is an error. ``run`` names the outputs: a
-    second call of the same name resumes, asking the model only for chunks without rows."""
+    a single file that cannot be read is an error. ``run`` names the outputs: a second
+    call of the same name resumes, asking the model only for what has no answer yet."""
     rd.check_document_path(spark, path)
     base = run or sk.timestamped_base()
     docs, errors = document_texts(spark, path, f"{out_dir.rstrip('/')}/{base}_pages.parquet", max_pages, pdf_extractor_factory)

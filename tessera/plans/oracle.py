@@ -129,6 +129,10 @@ ORACLE["generate_qa"] = f"""WITH {TCHUNKS_CTE}
 SELECT printf('dataset_%d_question_%d', real_index, question_index) AS id, {_first_sentence('chunk')} || '?' AS question,
        {_first_sentence('chunk')} AS answer, chunk AS context, question_index, real_index AS chunk_index,
        CAST(NULL AS VARCHAR) AS error FROM tfan"""
+ORACLE["generate_resume"] = f"""WITH {TCHUNKS_CTE}
+SELECT printf('dataset_%d_question_%d', real_index, question_index) AS id, {_first_sentence('chunk')} || '?' AS question,
+       {_first_sentence('chunk')} AS answer, chunk AS context, question_index, real_index AS chunk_index,
+       CAST(NULL AS VARCHAR) AS error, CAST(1 + length(chunk) % 2 AS BIGINT) AS run FROM tfan"""
 ORACLE["join_chunk_qa"] = f"""WITH RECURSIVE {DOC_CHUNKS}
 SELECT doc_id, chunk_index, CAST(q AS INTEGER) AS question_index, CAST(length(chunk) AS INTEGER) AS chunk_chars
 FROM (SELECT *, unnest(range(3)) AS q FROM chunks)"""
