@@ -39,6 +39,11 @@ def asked_key(context, question_template: str, answer_template: str, question_op
     return F.sha2(F.concat(F.lit(frame + "\x00"), F.coalesce(F.concat(F.lit("="), c), F.lit(""))), 256)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def _runs(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the runs in a journal."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

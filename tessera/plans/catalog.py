@@ -25,6 +25,7 @@ from tessera.operators import stats as stt
 from tessera.plans.parallel import spread
 from tessera.plans.standins import load, pages_from_documents, qa_pairs_from_conversations
 from tessera.session import scratch_path
+from tessera.sources import quarantine as qr
 from tessera.sources import readers as rd
 from tessera.sources import sinks as sk
 from tessera.sources.sinks import materialize
@@ -328,6 +329,11 @@ def q_resume_anti(spark, sf_dir):
     return resume_anti(documents(spark, sf_dir).select("doc_id", "source"), done, ["doc_id"])
 
 
+def _by_folder(spark, files, fmt):
+    """Text parts of a .jsonl folder are JSON lines, whatever Spark names them."""
+    return qr.read_lenient(spark, files, "json" if ".jsonl/" in files[0] else fmt)
+
+
 class OddLengthsFail(gn.FirstSentenceGenerator):
     """The stand-in model on a bad day: contexts of odd length fail."""
 
@@ -353,6 +359,28 @@ def q_union_sources(spark, sf_dir):
     return cb.union_sources([docs, bench])
 
 
+@query("union_with_errors")
+def q_union_with_errors(spark, sf_dir):
+    """All documents from three files of different columns and types, one of them with a malformed
+    line for every document, and a file that is no Parquet: the good rows, and what was put aside."""
+    root = scratch_path(spark, "union-errors")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "n_chars")
+    third = F.pmod(F.col("doc_id"), F.lit(3))
+    line = F.to_json(F.struct("doc_id", "text"))
+    lines = docs.filter(third == 0).select(line.alias("value")).union(docs.select(F.concat(F.lit('{"doc_id": '), "doc_id", F.lit(', "text": '))))
+    lines.write.text(f"{root}/some.jsonl")
+    docs.filter(third == 1).select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars")).write.parquet(f"{root}/wide.parquet")
+    docs.filter(third == 2).select(F.col("n_chars").cast("int").alias("n_chars"), "text", "doc_id").write.parquet(f"{root}/other.parquet")
+    docs.select(F.to_json(F.struct("text")).alias("value")).write.text(f"{root}/no.parquet")
+    inputs = [f"{root}/some.jsonl/*.txt", f"{root}/wide.parquet", f"{root}/no.parquet/*.txt", f"{root}/other.parquet"]
+    good, wrong = qr.read_quarantined(spark, inputs[:2] + inputs[3:], f"{root}/read", ["text"], "auto", _by_folder)
+    none, broken = qr.read_quarantined(spark, inputs[2:3], f"{root}/broken", ["text"], "parquet")
+    rows = good.unionByName(none, allowMissingColumns=True).select(F.lit("row").alias("kind"), "doc_id", "text", "n_chars")
+    aside = wrong.unionByName(broken.select("path", "kind", "record", "error").dropDuplicates(["kind"]))
+    return rows.unionByName(aside.select("kind", F.regexp_extract("record", r"(\d+)", 1).cast("long").alias("doc_id"),
+                                         F.col("record").alias("text"), F.lit(None).cast("double").alias("n_chars")))
+
+
 @query("union_missing_cols")
 def q_union_missing_cols(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")

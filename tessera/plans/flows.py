@@ -25,6 +25,7 @@ from tessera.operators import rows as rw
 from tessera.operators import stats as st
 from tessera.plans.parallel import spread
 from tessera.sources import readers as rd
+from tessera.sources import quarantine as qr
 from tessera.sources import sinks as sk
 from tessera.streaming.incremental import with_progress
 
@@ -154,3 +155,27 @@ def build_from_table(spark: SparkSession, source: str, out_dir: str, text_col: s
     return _tail(spark, chunks, out_dir, "real_index", [], generator_factory, encoder_factory, n_questions,
                  output_format, save_individual, names[0], names[1], source, batch_size, datapoint_files, run, preset,
                  model_partitions)
+
+
+def build_from_tables(spark: SparkSession, sources: list[str], out_dir: str, text_col: str = "text", file_type: str = "auto",
+                      run: str | None = None, generator_factory: Callable | None = None, encoder_factory: Callable | None = None,
+                      n_questions: int = gn.DEFAULT_QUESTIONS_PER_CHUNK, output_format: str = "all", save_individual: bool = False,
+                      batch_size: int = em.DEFAULT_BATCH_SIZE, datapoint_files: bool = False, preset: gn.Preset | None = None,
+                      model_partitions: int | None = None) -> dict:
+    """Several tables of text as one: their rows in the order of the stored copy -> dataset chunks -> QA ->
+    vectors -> exports. A source, a file of it or a record that cannot be read is listed under
+    ``input_errors`` and the rest goes on; where nothing can be read, that is an error. A second call
+    with the same ``run`` reads the stored rows again, so their positions stay."""
+    base = run or sk.timestamped_base()
+    root = out_dir.rstrip("/")
+    rows_at, errors_at = f"{root}/{base}_rows.parquet", f"{root}/{base}_input_errors.parquet"
+    if not jn.exists(spark, f"{rows_at}/_SUCCESS"):
+        rows, errors = qr.read_quarantined(spark, sources, f"{root}/{base}_inputs", [text_col], file_type)
+        errors = sk.materialize(errors, errors_at)
+        if rows.isEmpty() and (first := errors.first()):
+            raise ValueError(f"nothing could be read; {first['path']}: {first['error']}")
+        sk.materialize(rows, rows_at)
+    chunks = table_chunks(spark.read.parquet(rows_at), text_col, bare_scan=True)
+    out = _tail(spark, chunks, out_dir, "real_index", [], generator_factory, encoder_factory, n_questions, output_format, save_individual,
+                tx.TABLE_CHUNK_FILE_FORMAT, tx.TABLE_CHUNK_QA_FILE_FORMAT, ", ".join(sources), batch_size, datapoint_files, base, preset, model_partitions)
+    return out | {"input_errors": spark.read.parquet(errors_at).count(), "input_errors_parquet": errors_at}

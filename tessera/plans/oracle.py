@@ -140,6 +140,9 @@ ORACLE["resume_anti"] = """SELECT doc_id, source FROM documents d
 WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"""
 ORACLE["union_sources"] = """SELECT 'documents' AS src, doc_id, text FROM documents
 UNION ALL SELECT 'benchmark' AS src, item_id AS doc_id, text FROM benchmark"""
+ORACLE["union_with_errors"] = """SELECT 'row' AS kind, doc_id, text, CASE WHEN doc_id % 3 <> 0 THEN CAST(n_chars AS DOUBLE) END AS n_chars FROM documents
+UNION ALL SELECT 'record' AS kind, doc_id, '{"doc_id": ' || doc_id || ', "text": ' AS text, CAST(NULL AS DOUBLE) AS n_chars FROM documents
+UNION ALL SELECT 'input' AS kind, NULL AS doc_id, NULL AS text, NULL AS n_chars"""
 ORACLE["union_missing_cols"] = """SELECT doc_id, item_id, lang, text FROM (
   SELECT doc_id, text, lang FROM documents UNION ALL BY NAME SELECT item_id, text FROM benchmark)"""
 ORACLE["qa_stats"] = f"""WITH {QA_CTE}
