@@ -16,8 +16,8 @@ windows are compared byte by byte; the document with the smallest doc_id keeps i
 Prefilter. A first pass counts anchors over the whole corpus in ``CELLS`` cells; a segment
 whose anchor comes once is in one document only and is left out. The cells are broadcast as
 bits (``CELLS`` / 8 = 32 MiB; a sketch that is too narrow only lets more segments through).
-Segments that repeat inside an Arrow batch are judged there, so a passage found in a third of
-all documents sends one row a batch. An anchor found ``HOT`` times or more (a common phrase in
+Segments that repeat inside ``PART`` bytes of one task are judged there, so a passage found in a
+third of all documents sends one row a part. An anchor found ``HOT`` times or more (a common phrase in
 ever new surroundings) is not kept together: its windows are dealt one by one, by their bytes.
 
 Defined cases: a null text is empty and stays null in ``kept``; texts shorter than a window are
@@ -40,6 +40,7 @@ CELLS = 1 << 28
 BITMAP = 32768  # bits of one bitmap_construct_agg value
 HOT = 1 << 16
 PIECE = 1 << 20
+PART = 1 << 23  # bytes of text whose segments one task holds at a time
 RUN = 1024  # windows of a segment at most
 BATCHES = 4
 BUCKET_BYTES = 1 << 24  # of a batch's text for one bucket
@@ -97,10 +98,10 @@ class Segments:
         return self.hashes[self.place[which][:, None] + np.arange(self.reach)].argmin(axis=1)
 
 
-def _blocks(column) -> Iterator[tuple[int, int]]:
+def _blocks(column, limit: int) -> Iterator[tuple[int, int]]:
     import pyarrow.compute as pc
 
-    return text_blocks([range(n or 0) for n in pc.binary_length(column).to_pylist()])
+    return text_blocks([range(n or 0) for n in pc.binary_length(column).to_pylist()], limit)
 
 
 def anchor_cells(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: int = CELLS, hot: int = HOT) -> DataFrame:
@@ -111,7 +112,7 @@ def anchor_cells(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cells:
 
         for batch in batches:
             found = []
-            for i, j in _blocks(batch.column(0)):
+            for i, j in _blocks(batch.column(0), PIECE):
                 s = Segments([t.as_py() for t in batch.column(0)[i:j]], window, gram)
                 order = np.lexsort((s.key, s.text))
                 key, text = s.key[order], s.text[order]
@@ -171,7 +172,7 @@ def _ranges(by_row: dict) -> list:
 
 def candidates(docs: DataFrame, cuts: list[int], buckets: int, window: int = WINDOW, gram: int = GRAM, cells: int = CELLS, hot: int = HOT) -> DataFrame:
     """Rows (batch, bucket, body) of segments that may repeat, and, with batch -1, rows (doc,
-    mark, ranges) of what a smaller doc_id of the same Arrow batch is known to hold.
+    mark, ranges) of what a smaller doc_id of the same part is known to hold.
     docs: doc, mark (tells rows of one doc apart), text. ``cuts``: the doc that ends each batch but the last."""
     maps = {name: bytearray(cells // 8) for name in ("repeated", "hot")}
     for row in anchor_cells(docs, window, gram, cells, hot).toLocalIterator():  # 2 * cells / 8 bytes at most
@@ -194,13 +195,18 @@ def candidates(docs: DataFrame, cuts: list[int], buckets: int, window: int = WIN
         def reached(bits, cell):
             return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
 
-        for batch in batches:
-            batch = batch.take(pc.sort_indices(batch.column(0)))  # the smallest doc of a segment comes first
+        def parts():
+            for batch in batches:
+                batch = batch.take(pc.sort_indices(batch.column(0)))  # the smallest doc of a segment comes first
+                for i, j in _blocks(batch.column(2), PART):
+                    yield batch.slice(i, j - i)
+
+        for batch in parts():
             docs_, marks, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             first: dict[bytes, int] = {}
             known: dict[tuple, list] = {}
             out: dict[tuple, list] = {}
-            for i, j in _blocks(texts):
+            for i, j in _blocks(texts, PIECE):
                 s = Segments([t.as_py() for t in texts[i:j]], window, gram)
                 cell = (s.key & np.uint64(cells - 1)).astype(np.int64)
                 hit = np.flatnonzero(reached(repeated, cell))
