@@ -1,74 +1,104 @@
 """Quality classifier by co-training.
 
-Two views of a document are judged apart. The text view sees which words occur (a
-every word of at least ``LEAST_DOCS`` sampled documents, hashed into ``COLUMNS`` columns, binary, normalised); the page view sees source, language
-and layout figures (length, lines, word lengths, shares of capitals, digits, signs
-and distinct words) and no word. Both are logistic regressions (the text view's
-sparse, so that a few telling words carry it), first fitted on
-labelled rows. In each round a view labels the pool rows it is surest of,
-and these join the other view's training rows. Held-out labelled rows then calibrate
-each view (Platt scaling) and weigh both into one score, and every document is scored.
-
-The good are labelled quality 1 and not toxic. The fit uses at most ``MOST_LABELLED``
-labelled and ``MOST_POOL`` unlabelled documents, chosen by a hash of doc_id
-and text (documented bounds); vocabulary and models are bounded by parameters; all
-documents are scored over their whole texts.
-
-Spark SQL and Spark ML only. Defined cases: null text is empty; null source,
-language or length have values of their own; a null quality is no label, a null
-toxic is 0; of repeated labels the worst counts; a null doc_id is scored but never
-sampled; repeated rows are scored each; with labels of only one kind every
+Two views of a document are judged apart. The text view sees which words occur (hashed into
+``COLUMNS`` columns, each once a document); the page view sees source, language and layout
+figures (length, lines, word lengths, shares of capitals, digits, signs and distinct words) and
+no word. Both are one-pass log-odds models: an aggregation counts, over all rows that train a view,
+in how many good and bad documents each column, or each quantile bin of a figure, occurs. The text
+view keeps what is significant (a likelihood ratio of ``SIGNIFICANT`` deviations) and has two figures, the sum of
+a document's log-odds and the two worst of them, so that one telling word counts in a long text.
+
+In each round a view judges the whole corpus, and the rows that it is sure of, good or bad by a calibrated
+threshold for each, train the other view with half weight. Held-out labelled rows calibrate each view
+(Platt scaling) and weigh both into one score; then every document is scored.
+
+The good are labelled quality 1 and not toxic. Labels come from at most ``MOST_LABELLED`` labelled
+documents, those first by a hash of doc_id (a documented bound: they are broadcast); all other
+counts and judgements cover all documents and whole texts. The words of a document are stored once as column
+numbers in the shared folder, and every round reads those. The driver sees the summed counts (``COLUMNS`` rows), and
+one pair of margins for each held-out doc_id (MOST_LABELLED / HELD_OUT or so).
+
+Defined cases: null text is empty; null source, language or length have values of their own; a null quality
+is no label, a null toxic is 0; of repeated labels the worst counts; a null doc_id is scored and never
+labelled; repeated rows are scored each, and count each; a score of exactly 0.5 is kept; a very
+long text is one row's work, its columns are bounded by ``COLUMNS``; with labels of only one kind every
 document gets that kind's score (1.0 without any label); an empty table gives an
 empty result; extra columns pass through ``keep_good`` and are ignored by ``scores``."""
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, VectorAssembler, VectorSlicer
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import free_name, stage
-from tessera.session import scratch_path
+from tessera.llm.common import free_name, ship, stage
 
 MOST_LABELLED = 16_000
-MOST_POOL = 8_000
 COLUMNS = 1 << 18  # bounds the model, not the words: none is cut for being rarer than others
-LEAST_DOCS = 5
+SIGNIFICANT = 3.0
 ROUNDS = 2
 SURE = 0.95  # a calibrated probability from which a view may label
-SHARE_A_ROUND = 0.25  # of the pool, the surest rows, at most
+PSEUDO_WEIGHT = 0.5
 SOURCES = 64  # sources and languages are hashed into so many flags
-UNIT = 1 << 20
+BINS = 32  # of a layout figure, at most; each has ROWS_PER_BIN labelled rows or so
+ROWS_PER_BIN = 20
 HELD_OUT = 4  # one labelled row in four calibrates
 SIGNS = "|$%&*#@~^<>{}[]()=+_\\/!?;:\"'"
+FIGURES = 8
 
-LAYOUT = ["chars", "lines", "line_chars", "word_chars", "capitals", "digits", "signs", "distinct"]
 
+def _layout(text: Column) -> list[Column]:
+    """chars, lines, shares of capitals, digits and signs."""
+    n = F.greatest(F.char_length(text), F.lit(1))
 
-def _terms(text: Column) -> Column:
-    """Lower-case words without full stops and commas."""
-    return F.split(F.lower(text), "[\\s.,]+")
+    def share(chars):
+        return 1 - F.char_length(F.translate(text, chars, "")) / n
 
+    return [F.char_length(text), F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1,
+            share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("0123456789"), share(SIGNS)]
 
-def with_views(docs: DataFrame) -> DataFrame:
-    """Add terms, the layout figures and flags (array of two hashed names); text becomes
-    non-null. Expects doc_id, text, lang, source."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.withColumn("text", text).withColumn("terms", _terms(F.col("text")))
-    n, words = F.greatest(F.char_length("text"), F.lit(1)), F.greatest(F.size("terms"), F.lit(1))
 
-    def share(chars):
-        return 1 - F.char_length(F.translate("text", chars, "")) / n
-
-    lines = n - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    figures = {
-        "chars": F.log1p(F.char_length("text")), "lines": F.log1p(lines), "line_chars": F.log1p(n / lines), "word_chars": F.log1p(n / words),
-        "capitals": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digits": share("0123456789"), "signs": share(SIGNS),
-        "distinct": F.size(F.array_distinct("terms")) / words,
-    }
+def word_columns(text: str):
+    """(number of words, of distinct ones, their columns): lower-cased, parted by white space, full stops and commas."""
+    from zlib import crc32
+
+    import numpy as np
+
+    words = text.lower().replace(".", " ").replace(",", " ").split()
+    distinct = set(words)
+    return len(words), len(distinct), np.unique(np.fromiter((crc32(w.encode()) for w in distinct), dtype=np.uint32, count=len(distinct)) & np.uint32(COLUMNS - 1))
+
+
+def _each(batch):
+    """(columns, figures, flags) of each row of an Arrow batch that starts with text, five layout figures and the flags."""
+    import numpy as np
+
+    layout = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 6)]) if batch.num_rows else np.zeros((0, 5))
+    flags = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (6, 7)]) if batch.num_rows else np.zeros((0, 2))
+    for r in range(batch.num_rows):
+        n_words, n_distinct, columns = word_columns(batch.column(0)[r].as_py())
+        chars, lines, *shares = layout[r]
+        n, words = max(chars, 1.0), max(n_words, 1)
+        yield columns, [np.log1p(chars), np.log1p(lines), np.log1p(n / lines), np.log1p(n / words), *shares, n_distinct / words], flags[r]
+
+
+def _inputs() -> list[Column]:
+    text = F.coalesce("text", F.lit(""))
     flag = [F.pmod(F.xxhash64(F.lit(name), F.coalesce(F.col(name).cast("string"), F.lit("\x00"))), F.lit(SOURCES)).cast("int") for name in ("source", "lang")]
-    return df.select("*", *(c.cast("double").alias(k) for k, c in figures.items()), F.array(*flag).alias("flags"))
+    return [text.alias("in0"), *(c.cast("double").alias(f"in{i + 1}") for i, c in enumerate(_layout(text))), *(c.alias(f"in{i + 6}") for i, c in enumerate(flag))]
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """(doc_id, columns, figures, flags): columns as little-endian 32-bit integers, FIGURES doubles, two flags."""
+    def rows(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = list(_each(batch))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(8), pa.array([c.astype("<u4").tobytes() for c, _, _ in found], pa.binary()), pa.array([f for _, f, _ in found], pa.list_(pa.float64())),
+                 pa.array([x.tolist() for *_, x in found], pa.list_(pa.int32()))], ["doc_id", "columns", "figures", "flags"])
+
+    return ship(docs).select(*_inputs(), F.col("doc_id").cast("long")).mapInArrow(rows, "doc_id long, columns binary, figures array<double>, flags array<int>")
 
 
 def labels_of(labels: DataFrame) -> DataFrame:
@@ -77,57 +107,103 @@ def labels_of(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(good.alias("good"))
 
 
-def _draw(docs: DataFrame, labels: DataFrame, most_labelled: int, most_pool: int) -> DataFrame:
-    """The bounded sample: labelled rows, and pool rows with a null good; u: a hash in [0, UNIT)."""
-    known = labels_of(labels)
-    n_known, n_docs = known.count(), docs.count()
-    cut_known, cut_pool = (int(UNIT * min(1.0, most / max(n, 1))) for most, n in ((most_labelled, n_known), (most_pool, n_docs)))
-    u = F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(UNIT))
-    drawn = docs.select("doc_id", "text", "lang", "source").filter("doc_id is not null").withColumn("u", u)
-    drawn = drawn.filter(F.col("u") < max(cut_known, cut_pool)).dropDuplicates(["doc_id"])
-    drawn = drawn.join(known, "doc_id", "left").filter(F.when(F.col("good").isNull(), F.col("u") < cut_pool).otherwise(F.col("u") < cut_known))
-    return stage(with_views(drawn).drop("text").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(HELD_OUT))), "sample")
-
-
-class View:
-    """One view's features and its logistic regression."""
-
-    def __init__(self, name: str, prepare, penalty: float, sparse: bool):
-        self.name, self.prepare, self.penalty, self.sparse = name, prepare, penalty, sparse
-        self.model, self.platt = None, (1.0, 0.0)
-
-    def fit(self, rows: DataFrame) -> None:
-        """rows: the view's features, label and weight."""
-        fitted = LogisticRegression(featuresCol=self.name, labelCol="label", weightCol="weight", maxIter=30, regParam=self.penalty,
-                                    elasticNetParam=1.0 if self.sparse else 0.0, rawPredictionCol=f"{self.name}_raw",
-                                    probabilityCol=f"{self.name}_p", predictionCol=f"{self.name}_y").fit(rows)
-        # read back from the shared folder, the model is its figures alone: a fitted one
-        # carries its training rows' plan and session into every task
-        path = scratch_path(rows.sparkSession, self.name)
-        fitted.write().save(path)
-        self.model = LogisticRegressionModel.load(path)
-
-    def margin(self, rows: DataFrame) -> DataFrame:
-        raw = self.model.transform(rows)
-        return raw.withColumn(f"{self.name}_m", vector_to_array(f"{self.name}_raw")[1]).drop(f"{self.name}_raw", f"{self.name}_p", f"{self.name}_y")
-
-    def calibrate(self, held: DataFrame) -> None:
-        """Platt scaling on held-out labelled rows."""
-        (slope,), bias = small_logistic(held, [F.col(f"{self.name}_m")])
-        self.platt = (slope, bias)
-
-    def logit(self) -> Column:
-        a, b = self.platt
-        return F.col(f"{self.name}_m") * a + b
-
-
-def small_logistic(rows: DataFrame, inputs: list[Column], ridge: float = 1e-3) -> tuple[list[float], float]:
-    """Weights and bias of a logistic regression of ``good`` on one or two figures
-    over the held-out rows (at most MOST_LABELLED / HELD_OUT or so, two or three
-    doubles each): Newton's method on the driver."""
+class Model:
+    """Log-odds of both views as arrays, and their calibration."""
+
+    def __init__(self, words, edges: list, bins):
+        self.words, self.edges, self.bins = words, edges, bins
+        self.text, self.page, self.both = ([1.0, 1.0], 0.0), ([1.0], 0.0), ([1.0, 1.0], 0.0)
+
+    def margins(self, columns, figures, flags) -> tuple[float, float, float]:
+        """Sum and two worst of the words' log-odds, and the page view's sum."""
+        import numpy as np
+
+        odds = self.words[columns]
+        worst = np.partition(odds, 1)[:2] if len(odds) > 2 else odds
+        return float(odds.sum()), float(np.minimum(worst, 0).sum()), float(sum(self.bins[c] for c in self.cells(figures, flags)))
+
+    def cells(self, figures, flags) -> list[int]:
+        """Places of a document's bins in one row of all bins."""
+        from bisect import bisect_right
+
+        return [k * BINS + bisect_right(e, f) for k, (e, f) in enumerate(zip(self.edges, figures, strict=True))] + [
+            FIGURES * BINS + k * SOURCES + int(x) for k, x in enumerate(flags)]
+
+    def logits(self, sums: float, worst: float, page: float) -> tuple[float, float, float]:
+        (a, b), c = self.text
+        (d,), e = self.page
+        (u, v), w = self.both
+        text, page = a * sums + b * worst + c, d * page + e
+        return text, page, u * text + v * page + w
+
+
+def _odds(good, bad, least: float):
+    """Smoothed log-odds of counts by class; 0 where the signed root of the likelihood ratio (good and bad
+    alike against apart) is under ``least``, a number of standard deviations."""
+    import numpy as np
+
+    def surprise(seen, expected):
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+
+    both, total = good[1] + bad[1], max(good[0] + bad[0], 1e-9)
+    ratio = sum(surprise(seen, both * n / total) + surprise(n - seen, n - both * n / total) for n, seen in (good, bad))
+    odds = np.log((good[1] + 0.5) / (good[0] + 1)) - np.log((bad[1] + 0.5) / (bad[0] + 1))
+    return np.where(2 * ratio >= least * least, odds, 0.0)
+
+
+def _counted(rows: DataFrame, edges: list, judge: Model | None):
+    """Weighted counts ((n, by column) of good and of bad) for the text view and for the page view, over all
+    rows that train them: labelled ones, and with ``judge`` those that its other view is sure of."""
+    import numpy as np
+
+    width, pages = COLUMNS, FIGURES * BINS + 2 * SOURCES
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(judge)
+    frame = Model(None, edges, None)
+    sure = float(np.log(SURE / (1 - SURE)))
+
+    def count(batches):
+        import pyarrow as pa
+
+        # one row for all documents, then one for each column; by class
+        text, page = np.zeros((2, width + 1)), np.zeros((2, pages + 1))
+        model = shared.value
+        for batch in batches:
+            good = batch.column(3).to_pylist()
+            for r, g in enumerate(good):
+                columns = np.frombuffer(batch.column(0)[r].as_py(), "<u4")
+                figures, flags = batch.column(1)[r].as_py(), batch.column(2)[r].as_py()
+                if g is not None:
+                    to = [(text, int(g), 1.0), (page, int(g), 1.0)]
+                elif model is None:
+                    continue
+                else:
+                    by_text, by_page, _ = model.logits(*model.margins(columns, figures, flags))
+                    to = [(view, int(p > 0), PSEUDO_WEIGHT) for view, p in ((text, by_page), (page, by_text)) if abs(p) >= sure]
+                for view, kind, weight in to:
+                    view[kind, 0] += weight
+                    view[kind, (columns if view is text else np.array(frame.cells(figures, flags))) + 1] += weight
+        out = [(view, kind, np.flatnonzero(table[kind]), table[kind]) for view, table in enumerate((text, page)) for kind in (0, 1)]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([np.full(len(at), 2 * view + kind, dtype=np.int32) for view, kind, at, _ in out])),
+            pa.array(np.concatenate([at for *_, at, _ in out]).astype(np.int32)), pa.array(np.concatenate([t[at] for *_, at, t in out]))], ["part", "place", "n"])
+
+    sums = (ship(rows).select("columns", "figures", "flags", "trains").mapInArrow(count, "part int, place int, n double")
+            .groupBy("part", "place").agg(F.sum("n").alias("n")).toArrow())  # 2 * (COLUMNS + pages + 2) rows at most
+    part, place, n = (sums.column(k).to_numpy() for k in range(3))
+    tables = []
+    for k, size in ((0, width), (1, width), (2, pages), (3, pages)):
+        t = np.zeros(size + 1)
+        t[place[part == k]] = n[part == k]
+        tables.append((t[0], t[1:]))
+    return tables
+
+
+def fit_logistic(rows, ridge: float = 1e-3) -> tuple[list[float], float]:
+    """Weights and bias of a logistic regression of the first column on the others: Newton's method."""
     import numpy as np
 
-    got = np.array([tuple(r) for r in rows.select("good", *inputs).collect()], dtype=float)
+    got = np.array(rows, dtype=float)
     x = np.column_stack([got[:, 1:], np.ones(len(got))])
     scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
     x, y, w = x / scale, got[:, 0], np.zeros(x.shape[1])
@@ -145,120 +221,108 @@ def small_logistic(rows: DataFrame, inputs: list[Column], ridge: float = 1e-3) -
     return [float(v) for v in w[:-1]], float(w[-1])
 
 
-def _probability(logit: Column) -> Column:
-    return 1 / (1 + F.exp(-logit))
+def _held_margins(rows: DataFrame, model: Model) -> list[tuple]:
+    """(good, sum, worst, page) for each held-out doc_id, at most about MOST_LABELLED / HELD_OUT rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
+    def judged(batches):
+        import numpy as np
+        import pyarrow as pa
 
-def _text_view(sample: DataFrame) -> View:
-    words = HashingTF(inputCol="terms", outputCol="hashed", numFeatures=COLUMNS, binary=True)
-    least = min(LEAST_DOCS, max(1, sample.count()))
-    in_docs = IDF(inputCol="hashed", outputCol="idf").fit(words.transform(sample)).docFreq
-    # the fit's vectors on the driver are as long as the columns in use
-    often = VectorSlicer(inputCol="hashed", outputCol="counts", indices=[i for i, n in enumerate(in_docs) if n >= least] or [0])
-    unit = Normalizer(inputCol="counts", outputCol="text_view", p=2.0)
-    return View("text_view", lambda df: unit.transform(often.transform(words.transform(df))).drop("hashed", "counts"), 3e-3, sparse=True)
+        for batch in batches:
+            got = [shared.value.margins(np.frombuffer(c.as_py(), "<u4"), f.as_py(), x.as_py())
+                   for c, f, x in zip(batch.column(0), batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(4), *(pa.array([g[k] for g in got], pa.float64()) for k in range(3))],
+                                             ["doc_id", "good", "m0", "m1", "m2"])
 
+    m = rows.select("columns", "figures", "flags", "doc_id", "good").mapInArrow(judged, "doc_id long, good double, m0 double, m1 double, m2 double")
+    return [tuple(r)[1:] for r in m.groupBy("doc_id").agg(*(F.avg(c).alias(c) for c in ("good", "m0", "m1", "m2"))).orderBy("doc_id").collect()]
 
-def _page_view() -> View:
-    # squares let a linear model mark both ends of a figure as odd
-    inputs = [*LAYOUT, *(f"{c}_2" for c in LAYOUT)]
-    assembler = VectorAssembler(inputCols=[*inputs, "flag_set"], outputCol="page_view")
 
-    def prepare(df):
-        flags = F.transform(F.sequence(F.lit(0), F.lit(SOURCES - 1)), lambda i: F.exists("flags", lambda f: f == i).cast("double"))
-        df = df.withColumns({f"{c}_2": F.col(c) * F.col(c) for c in LAYOUT}).withColumn("flag_set", array_to_vector(flags))
-        return assembler.transform(df).drop(*(f"{c}_2" for c in LAYOUT), "flag_set")
+def _calibrated(rows: DataFrame, model: Model) -> Model:
+    held = _held_margins(rows, model)
+    model.text = fit_logistic([(g, s, w) for g, s, w, _ in held])
+    model.page = fit_logistic([(g, p) for g, _, _, p in held])
+    model.both = ([1.0, 1.0], 0.0)
+    logits = [model.logits(s, w, p) for _, s, w, p in held]
+    model.both = fit_logistic([(g, t, p) for (g, *_), (t, p, _) in zip(held, logits, strict=True)])
+    return model
 
-    return View("page_view", prepare, 1e-3, sparse=False)
 
-
-class CoTrained:
-    """Both fitted views and the weights that combine them."""
-
-    def __init__(self, views: list[View], weights: list[float], bias: float):
-        self.views, self.weights, self.bias = views, weights, bias
-
-    def score(self, docs: DataFrame) -> DataFrame:
-        """docs (doc_id, text, lang, source, ...) with text_score, page_score and score."""
-        df = with_views(docs)
-        for v in self.views:
-            df = v.margin(v.prepare(df)).drop(v.name)
-        both = sum((v.logit() * w for v, w in zip(self.views, self.weights, strict=True)), F.lit(self.bias))
-        return df.select(*docs.columns, _probability(self.views[0].logit()).alias("text_score"),
-                         _probability(self.views[1].logit()).alias("page_score"), _probability(both).alias("score"))
-
-
-def _dealt(sample: DataFrame, seen: dict) -> tuple[DataFrame, str, str]:
-    """The sample and the conditions of its rows that are fitted and that calibrate. A kind
-    whose rows all fell on one side has its first row by hash dealt to the other; where a
-    kind has one row only, all labelled rows do both."""
+def _dealt(rows: DataFrame, seen: dict) -> tuple[Column, Column]:
+    """Conditions of the labelled rows that are fitted and that calibrate. A kind whose rows all fell on
+    one side has its first doc_id by hash dealt to the other; where a kind has one row only, all
+    labelled rows do both."""
+    known, held = F.col("good").isNotNull(), F.col("fold") == 0
     for kind in (0.0, 1.0):
-        held, rest = seen.get((kind, True), 0), seen.get((kind, False), 0)
-        if held + rest < 2:
-            return sample, "good is not null", "good is not null"
-        if not held or not rest:
-            moved = sample.filter(F.col("good") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").first()["doc_id"]
-            sample = sample.withColumn("fold", F.when(F.col("doc_id") == moved, F.lit(1 if held else 0)).otherwise(F.col("fold")))
-    return sample, "good is not null and fold <> 0", "good is not null and fold = 0"
-
-
-def co_train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL, rounds: int = ROUNDS):
-    """A CoTrained model, or the score of all documents (a float) where the labels know one kind only."""
-    sample = _draw(docs, labels, most_labelled, most_pool)
-    seen = {(r["good"], r["held"]): r["n"] for r in sample.groupBy("good", (F.col("fold") == 0).alias("held")).agg(F.count("*").alias("n")).collect()}
-    kinds = {g for g, _ in seen if g is not None}
+        out, rest = seen.get((kind, True), 0), seen.get((kind, False), 0)
+        if out + rest < 2:
+            return known, known
+        if not out or not rest:
+            moved = rows.filter(F.col("good") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").first()["doc_id"]
+            held = F.when(F.col("doc_id") == moved, F.lit(not out)).otherwise(held)
+    return known & ~held, known & held
+
+
+def co_train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, rounds: int = ROUNDS, significant: float = SIGNIFICANT):
+    """A Model, or the score of all documents (a float) where the labels know one kind only."""
+    known = stage(labels_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled), "labels")  # small enough to broadcast: most_labelled rows of two numbers
+    rows = stage(features(docs).join(F.broadcast(known), "doc_id", "left").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(HELD_OUT))), "features")
+    seen = {(r["good"], r["held"]): r["n"] for r in rows.filter("good is not null").groupBy("good", (F.col("fold") == 0).alias("held"))
+            .agg(F.count_distinct("doc_id").alias("n")).collect()}
+    kinds = {g for g, _ in seen}
     if len(kinds) < 2:
         return min(kinds) if kinds else 1.0
-    sample, fitted, held = _dealt(sample, seen)
-    views = [_text_view(sample), _page_view()]
-    ready = sample
-    for v in views:
-        ready = v.prepare(ready)
-    ready = stage(ready.select("doc_id", "good", "fold", "text_view", "page_view"), "views")
-    # pseudo[view]: what the OTHER view has labelled for it
-    pseudo = {v.name: None for v in views}
-    for turn in range(rounds + 1):
-        for v in views:
-            rows = ready.filter(fitted).select("doc_id", v.name, F.col("good").alias("label"), F.lit(1.0).alias("weight"))
-            if pseudo[v.name] is not None:
-                more = ready.join(pseudo[v.name], "doc_id").select("doc_id", v.name, "label", F.lit(0.5).alias("weight"))
-                rows = rows.unionAll(more)
-            v.fit(rows)
-            v.calibrate(v.margin(ready.filter(held)))
-        if turn == rounds:
-            break
-        pool = ready.filter("good is null")
-        for v, other in zip(views, reversed(views), strict=True):
-            p = v.margin(pool).select("doc_id", _probability(v.logit()).alias("p"))
-            sure = p.withColumn("sure", F.greatest("p", 1 - F.col("p"))).filter(F.col("sure") >= SURE)
-            quota = int(most_pool * SHARE_A_ROUND * (turn + 1))
-            pseudo[other.name] = stage(sure.orderBy(F.desc("sure"), "doc_id").limit(quota).select("doc_id", F.round("p").alias("label")), "pseudo")
-    held_rows = ready.filter(held)
-    for v in views:
-        held_rows = v.margin(held_rows)
-    weights, bias = small_logistic(held_rows, [v.logit() for v in views])
-    return CoTrained(views, weights, bias)
+    fitted, held = _dealt(rows, seen)
+    rows = rows.withColumn("trains", F.when(fitted, F.col("good")))
+    bins = max(2, min(BINS, sum(seen.values()) // ROWS_PER_BIN))
+    cuts = [k / bins for k in range(1, bins)]
+    edges = rows.filter(fitted).agg(*(F.percentile_approx(F.col("figures")[k], cuts, 10_000).alias(f"f{k}") for k in range(FIGURES))).first()
+    edges = [sorted(set(e)) for e in edges]
+    # labelled rows that are held out neither train nor are judged
+    pool = rows.filter(F.col("trains").isNotNull() | F.col("good").isNull())
+    model = None
+    for _ in range(rounds + 1):
+        text_bad, text_good, page_bad, page_good = _counted(pool, edges, model)
+        model = _calibrated(rows.filter(held), Model(_odds(text_good, text_bad, significant), edges, _odds(page_good, page_bad, 0.0)))
+    return model
+
+
+def scored(docs: DataFrame, model: Model, names: list[str]) -> DataFrame:
+    """docs with the scores of the text view, the page view and both, under three names."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            logits = np.array([shared.value.logits(*shared.value.margins(*f)) for f in _each(batch)]).reshape(-1, 3)
+            p = 1 / (1 + np.exp(-np.clip(logits, -700, 700)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(8, batch.num_columns)), *(pa.array(p[:, k]) for k in range(3))],
+                                             [*batch.schema.names[8:], *names])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names of the input never meet those of the helpers
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    seen = plain.withColumns({c: F.col(at[c]) for c in ("text", "source", "lang")})
+    return ship(seen).select(*_inputs(), *plain.columns).mapInArrow(judge, schema)
+
+
+def _scored(docs: DataFrame, names: list[str], labels: DataFrame, **fit) -> DataFrame:
+    model = co_train(docs.select("doc_id", "text", "lang", "source"), labels, **fit)
+    if isinstance(model, float):
+        return docs.select("*", *(F.lit(model).alias(c) for c in names))
+    return scored(docs, model, names)
 
 
 def scores(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
     """doc_id, text_score, page_score, score and keep (score at least 0.5) for each row."""
-    slim = docs.select("doc_id", "text", "lang", "source")
-    return _scored(slim, slim, labels, **fit).select("doc_id", "text_score", "page_score", "score", (F.col("score") >= 0.5).alias("keep"))
-
-
-def _scored(docs: DataFrame, sample_from: DataFrame, labels: DataFrame, **fit) -> DataFrame:
-    model = co_train(sample_from, labels, **fit)
-    if isinstance(model, float):
-        return docs.select("*", *(F.lit(model).alias(c) for c in ("text_score", "page_score", "score")))
-    return model.score(docs)
+    got = _scored(docs.select("doc_id", "text", "lang", "source"), ["text_score", "page_score", "score"], labels, **fit)
+    return got.select("doc_id", "text_score", "page_score", "score", (F.col("score") >= 0.5).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
     """The documents, with all columns and unchanged, that score at least 0.5."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source")]
-    hidden = free_name(docs, *(f"extra_{i}" for i in range(len(others) + 1)))
-    plain = docs.select("doc_id", "text", "lang", "source", *(F.col(f"`{c}`").alias(h) for c, h in zip(others, hidden, strict=False)),
-                        F.col("text").isNull().alias(hidden[-1]))
-    scored = _scored(plain, plain, labels, **fit).filter("score >= 0.5").withColumn("text", F.when(~F.col(hidden[-1]), F.col("text")))
-    back = dict(zip(others, hidden, strict=False))
-    return scored.select(*(F.col(back.get(c, c)).alias(c) for c in docs.columns))
+    names = free_name(docs, "text_score", "page_score", "score")
+    return _scored(docs, names, labels, **fit).filter(F.col(names[2]) >= 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -7,7 +7,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm.quality import _text_view, keep_good, labels_of, scores, with_views
+from tessera.llm.quality import COLUMNS, co_train, features, keep_good, labels_of, scores, word_columns
 
 from .helpers import docs_frame
 from .test_decontamination import brute as brute_leaks
@@ -68,10 +68,30 @@ def test_keep_good_passes_rows_through(spark, judged):
 
 def test_no_word_is_cut_for_being_rarer_than_others(spark):
     common = " ".join(f"w{i}" for i in range(9000))
-    docs = docs_frame(spark, [common] * 8 + ["telling"] * 5 + ["seldom"] * 4)
-    sample = with_views(docs)
-    got = {r["doc_id"]: r["text_view"].numNonzeros() for r in _text_view(sample).prepare(sample).select("doc_id", "text_view").collect()}
-    assert got[0] > 8800 and got[8] == 1 and got[16] == 0
+    docs = docs_frame(spark, [common] * 8 + ["telling"] * 5 + ["Seldom, seldom."] * 4)
+    got = {r["doc_id"]: np.frombuffer(r["columns"], "<u4") for r in features(docs).collect()}
+    assert len(got[0]) > 8800 and len(got[8]) == 1 == len(got[16]) and max(got[0]) < COLUMNS
+
+
+def test_the_whole_corpus_is_judged_each_round(spark):
+    """A word that only unlabelled rows have is learnt from the page view's sure judgements."""
+    rng = random.Random(9)
+    rows = [(" ".join(rng.choices(WORDS, k=60)), 1) for _ in range(300)] + [(" | ".join(rng.choices(WORDS, k=60)).upper(), 0) for _ in range(300)]
+    texts = [t if i % 2 == 0 or good else t + " spamword" for i, (t, good) in enumerate(rows)]
+    docs = docs_frame(spark, texts)
+    labels = spark.createDataFrame([(i, good, 0) for i, (_, good) in enumerate(rows) if i % 2 == 0], LABELS)
+    (_, _, column), plain = word_columns("spamword"), co_train(docs, labels, rounds=0)
+    assert plain.words[column[0]] == 0 and co_train(docs, labels, rounds=2).words[column[0]] < -2
+
+
+def test_ties_repeats_and_a_very_long_text(spark):
+    rng = random.Random(10)
+    good, bad = " ".join(rng.choices(WORDS, k=80)), " | ".join(WORDS[:60]).upper()
+    long = " ".join(rng.choices(WORDS, k=400_000))
+    docs = docs_frame(spark, [good] * 30 + [bad] * 30 + [long, long + " |" * 400_000], [*range(60), 60, 60])
+    labels = spark.createDataFrame([(i, int(i < 30), 0) for i in range(0, 60, 2)], LABELS)
+    got = scores(docs, labels).collect()
+    assert len(got) == 62 and len({r["score"] for r in got if r["doc_id"] < 30}) == 1
 
 
 def test_labels_of_one_kind_nulls_and_empty(spark):
@@ -145,7 +165,7 @@ def test_pipeline_is_registered():
     import __spark_entry__
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in __spark_entry__.oracle_sql()
-    assert all(any(q.startswith(f"op{n}_") for q in __spark_entry__.queries()) for n in range(1, 11))
+    assert all(any(q.startswith(f"op{n}_") for q in __spark_entry__.queries()) for n in range(1, 14))
 
 
 def test_pipeline_run_on_small_tables(spark):
