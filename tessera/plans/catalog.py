@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.functions.decode import decode_text
 from tessera.operators import chunk as ch
+from tessera.operators import chunk_blocks as cbl
 from tessera.operators import combine as cb
 from tessera.operators import embed as em
 from tessera.operators import formats as fm
@@ -73,6 +74,12 @@ def q_chunk_text(spark, sf_dir):
     return ch.chunk_text(documents(spark, sf_dir, True).select("doc_id", "text"))
 
 
+@query("chunk_blocks")
+def q_chunk_blocks(spark, sf_dir):
+    """The chunks of chunk_text, each text in blocks of 32,768 characters."""
+    return cbl.chunk_text_blocks(documents(spark, sf_dir).select("doc_id", "text"), block_chars=1 << 15)
+
+
 @query("chunk_small")
 def q_chunk_small(spark, sf_dir):
     return ch.chunk_text(documents(spark, sf_dir, True).select("doc_id", "text"), size=300, overlap=50)

@@ -26,6 +26,7 @@ SELECT split_part(doc_id, '|', 2) AS source, count(*) AS n_chunks, round(avg(len
 FROM chunks GROUP BY 1"""
 
 ORACLE["chunk_text"] = f"WITH RECURSIVE {chunks_cte('documents', 1000, 200)} SELECT * FROM chunks"
+ORACLE["chunk_blocks"] = ORACLE["chunk_text"]
 ORACLE["chunk_small"] = f"WITH RECURSIVE {chunks_cte('documents', 300, 50)} SELECT * FROM chunks"
 ORACLE["chunk_overlap_ge_size"] = f"WITH RECURSIVE {chunks_cte('documents', 50, 60)} SELECT * FROM chunks"
 
