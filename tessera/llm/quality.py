@@ -112,7 +112,7 @@ class Model:
 
     def __init__(self, words, edges: list, bins):
         self.words, self.edges, self.bins = words, edges, bins
-        self.text, self.page, self.both = ([1.0, 1.0], 0.0), ([1.0], 0.0), ([1.0, 1.0], 0.0)
+        self.text, self.page, self.both = ([1.0, 1.0], 0.0), ([1.0], 0.0), ([1.0, 1.0, 0.0], 0.0)
 
     def margins(self, columns, figures, flags) -> tuple[float, float, float]:
         """Sum and two worst of the words' log-odds, and the page view's sum."""
@@ -132,9 +132,9 @@ class Model:
     def logits(self, sums: float, worst: float, page: float) -> tuple[float, float, float]:
         (a, b), c = self.text
         (d,), e = self.page
-        (u, v), w = self.both
+        (u, v, m), w = self.both
         text, page = a * sums + b * worst + c, d * page + e
-        return text, page, u * text + v * page + w
+        return text, page, u * text + v * page + m * min(text, page) + w
 
 
 def _odds(good, bad, least: float):
@@ -243,9 +243,9 @@ def _calibrated(rows: DataFrame, model: Model) -> Model:
     held = _held_margins(rows, model)
     model.text = fit_logistic([(g, s, w) for g, s, w, _ in held])
     model.page = fit_logistic([(g, p) for g, _, _, p in held])
-    model.both = ([1.0, 1.0], 0.0)
-    logits = [model.logits(s, w, p) for _, s, w, p in held]
-    model.both = fit_logistic([(g, t, p) for (g, *_), (t, p, _) in zip(held, logits, strict=True)])
+    logits = [model.logits(s, w, p)[:2] for _, s, w, p in held]
+    # what one view alone can see makes a document bad: the worse view counts for itself
+    model.both = fit_logistic([(g, t, p, min(t, p)) for (g, *_), (t, p) in zip(held, logits, strict=True)])
     return model
 
 
