@@ -43,7 +43,7 @@ PIECE = 1 << 20
 PART = 1 << 23  # bytes of text whose segments a task holds at a time
 RUN = 1024  # windows of a segment at most
 BATCHES = 4
-BUCKET_BYTES = 1 << 24  # of a batch's text for one bucket
+BUCKET_BYTES = 1 << 22  # of a batch's text for one bucket
 NO_ID = (1 << 63) - 1
 HITS = "doc long, mark long, ranges binary"
 LEVEL = "bucket int, body binary"
@@ -136,7 +136,7 @@ def pack(columns: list, texts: list[bytes]) -> bytes:
 
     head = np.array([len(texts), len(columns)], dtype="<i8").tobytes()
     body = head + b"".join(np.array(c, dtype="<i8").tobytes() for c in [*columns, list(map(len, texts))]) + b"".join(texts)
-    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+    return len(body).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(body, asbytes=True)
 
 
 def unpack(value: bytes) -> tuple[list[list[int]], list[bytes]]:
