@@ -4,7 +4,7 @@
 * ``top_k_single``: one query vector against a corpus; ``TakeOrderedAndProject``.
 * ``top_k``: many queries against a corpus without materialising pairs. Queries and
   corpus are packed into blocks of about ``BLOCK_ROWS`` unit vectors; an equi-join
-  brings every query block to every corpus block, and each pair of blocks is one
+  on the cells of a grid brings every query block to every corpus block, and each pair of blocks is one
   matrix product (numpy, Arrow batches) that keeps the k best per query. The final
   ranking runs over k candidates per query and corpus block (``WindowGroupLimit``).
   Nothing goes through the driver, and all sizes take the same way.
@@ -23,6 +23,7 @@ from tessera.session import ensure_on_executors
 
 DEFAULT_TOP_K = 5
 BLOCK_ROWS = 2048
+CELL_BLOCKS = 4  # blocks of a side that one cell of the grid holds at most
 
 
 def _c(c) -> Column:
@@ -106,9 +107,14 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_TOP_K, id_col:
     ensure_on_executors(queries.sparkSession)
     qid = query_id_col or id_col
     qs, q_blocks = _packed(queries, qid, vec_col, block_rows, "q")
-    cs, _ = _packed(corpus, id_col, vec_col, block_rows, "c")
-    sent = cs.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    pairs = qs.join(sent, "q_block").select("q_ids", "q_vectors", "c_ids", "c_vectors")
+    cs, c_blocks = _packed(corpus, id_col, vec_col, block_rows, "c")
+    # a grid of tasks: each side is copied along its own axis alone, and few queries still meet
+    # every corpus block in a task of its own
+    side = min(CELL_BLOCKS, q_blocks)
+    rows, cols = -(-q_blocks // side), -(-c_blocks // side)
+    q_sent = qs.withColumn("row", F.pmod("q_block", F.lit(rows))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
+    c_sent = cs.withColumn("col", F.pmod("c_block", F.lit(cols))).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    pairs = q_sent.join(c_sent, ["row", "col"]).select("q_ids", "q_vectors", "c_ids", "c_vectors")
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, qid), (corpus, id_col))]
 
     def best(batches):

@@ -22,6 +22,7 @@ from tessera.operators import journal as jn
 from tessera.operators import pages as pg
 from tessera.operators import rows as rw
 from tessera.operators import search as se
+from tessera.operators import search_pruned as sp
 from tessera.operators import stats as stt
 from tessera.plans.parallel import spread
 from tessera.plans.standins import load, pages_from_documents, qa_pairs_from_conversations
@@ -517,6 +518,13 @@ def q_topk_batch(spark, sf_dir):
     return se.top_k(v, v, k=5).withColumn("score", F.round("score", 6))
 
 
+@query("topk_pruned")
+def q_topk_pruned(spark, sf_dir):
+    """The result of topk_batch by blocks around pivots."""
+    v = _vectors(spark, sf_dir)
+    return sp.top_k_pruned(v, v, k=5, block_rows=256)[0].withColumn("score", F.round("score", 6))
+
+
 @query("page_chunks")
 def q_page_chunks(spark, sf_dir):
     """Document path with pages: non-blank pages joined with their banners,

@@ -218,6 +218,7 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
              vec_id, score FROM s)
 SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5"""
 
+ORACLE["topk_pruned"] = ORACLE["topk_batch"]
 ORACLE["page_chunks"] = f"""WITH RECURSIVE {PAGES_CTE}, {JOINED}, {chunks_cte('joined', 1000, 200)}
 SELECT * FROM chunks"""
 
