@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.chat_format import digest, format_conversations
-from tessera.llm.common import table, words_of
+from tessera.llm.common import stage, table, words_of
 from tessera.llm.decontamination import leaked_pairs
 from tessera.llm.importance import resample
 from tessera.llm.merkle import fingerprint_edits
@@ -62,7 +62,8 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact token length histogram of all documents with its suffix sums."""
-    return context_table(length_histogram(table(spark, sf_dir, "documents")))
+    # stored: the table reads the histogram three times, the documents are encoded once
+    return context_table(stage(length_histogram(table(spark, sf_dir, "documents")), "lengths"))
 
 
 def op8_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
