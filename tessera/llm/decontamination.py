@@ -14,7 +14,8 @@ Only SQL functions. Words are compared in lower case. Items of fewer than five w
 are one shingle. Defined cases: null or blank items and texts match nothing;
 windows are clipped at the ends of a document; items with the same words count
 as the one with the smallest item_id; rows that repeat doc_id and text give their pairs once;
-a null doc_id is carried as null; empty tables give an empty result; extra columns are
+a null doc_id is carried as null; a very long text is one row, of which only the spans around
+shared shingles go on; a similarity of exactly 0.8 counts; empty tables give an empty result; extra columns are
 ignored, and kept by ``drop_contaminated``."""
 from __future__ import annotations
 

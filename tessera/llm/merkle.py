@@ -12,7 +12,7 @@ each as the first 12 hex digits and the length in code points. Likeness is the
 share of leaf text that two fingerprints have in common: total length of common
 leaves over that of all (a repeated leaf counts once); 1.0 for two empty texts.
 
-Only SQL functions. Defined cases: null text is the empty text, with no leaf;
+Only SQL functions. Defined cases: a very long text is one row with as many leaves as it has; null text is the empty text, with no leaf;
 rows equal in doc_id and text are one document in the neighbour order, and each
 comes out; a null doc_id comes last, as the smallest long (which is kept for it);
 a single document is its own next; an empty table gives an empty result."""

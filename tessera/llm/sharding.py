@@ -10,7 +10,9 @@ far as single records allow.
 
 Only SQL functions; the map's fixed number of rows is all the driver sees.
 Defined cases: null text has no bytes and checksum 0; a null doc_id is hashed by
-its text alone; repeated rows share a slot and are numbered apart; an empty table
+its text alone; repeated rows share a slot and are numbered apart (many of them make that
+slot large); a very long text is one record, which no shard splits; slots of equal size go by number,
+to the first of the shards with equal bytes that has the fewest slots; an empty table
 gives an empty result; extra columns are ignored."""
 from __future__ import annotations
 

@@ -10,7 +10,8 @@ task walks its small subtries bit by bit. Links inside a task shrink to a
 spanning forest before they are shuffled; components follow by stars.
 
 Defined cases: null or blank text has fingerprint 0, linked like any other; texts
-of fewer words than a shingle are one shingle; repeated shingles count each;
+of fewer words than a shingle are one shingle; a bit set in exactly half the shingles is 0; a very
+long text is read in blocks by one task; repeated shingles count each;
 repeated rows come out each; a null doc_id is in its component but never names
 it; an empty table gives an empty result; extra columns are ignored."""
 from __future__ import annotations

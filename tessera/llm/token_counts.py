@@ -6,7 +6,8 @@ context limit, totals, quantiles and what truncation at that limit would leave.
 The sums run in two levels (blocks of lengths, then inside a block), so no task
 gets the whole histogram.
 
-Defined cases: null or blank text has length 0; repeated rows count each; an
+Defined cases: null or blank text has length 0; a very long text is encoded word by word; a quantile
+that falls on a step takes the shorter length; repeated rows count each; an
 empty table gives an empty histogram; only the text column is read."""
 from __future__ import annotations
 

@@ -10,7 +10,8 @@ labelled URLs, by the suffix itself; at most ``MOST_LABELLED`` rows, chosen by t
 of the URL, are given to the trees (a documented bound); every URL is judged.
 
 Only SQL functions and Spark ML. Defined cases: a null URL or one without ``://``
-has empty host and path and is judged by its features like any other; repeated
+has empty host and path and is judged by its features like any other; a block score of exactly
+0.5 allows; a very long URL is a row like any other; repeated
 rows come out each; with no labelled URL of either kind every verdict is allow
 unless a rule says otherwise; an empty table gives an empty result; extra columns
 pass through, but for those named like a result column (host, path, rule, verdict,

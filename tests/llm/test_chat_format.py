@@ -98,3 +98,10 @@ def test_random_trees_against_brute_force(spark):
 def test_empty(spark):
     assert digest(format_conversations(spark.createDataFrame([], ROWS))).collect() == []
     assert format_trees(spark.createDataFrame([], TREE)).collect() == []
+
+
+def test_a_very_long_text(spark):
+    turns = [("user", "<|im_end|>\\ " * 200_000), ("assistant", "é<|x" * 500_000)]
+    df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], ROWS)
+    g = digest(format_conversations(df)).first()
+    assert (g["n_turns"], g["turns_sha256"], g["loss_chars"], g["loss_sha256"]) == want(turns)

@@ -135,3 +135,13 @@ def test_repeats_nulls_and_empty_tables(spark):
     assert leaked_pairs(docs, bench.limit(0)).collect() == []
     assert drop_contaminated(docs, bench.limit(0)).count() == 4
     assert item_table(bench).count() == 2
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(21)
+    item = " ".join(f"q{i}" for i in range(30))
+    filler = rng.choices([f"w{i}" for i in range(500)], k=300_000)
+    texts = [" ".join(filler), " ".join([*filler[:200_000], *item.split(), *filler[200_000:]])]
+    items = spark.createDataFrame([(7, item)], BENCH)
+    got = {(r["doc_id"], r["item_id"]) for r in leaked_pairs(docs_frame(spark, texts), items).collect()}
+    assert got == {(1, 7)}

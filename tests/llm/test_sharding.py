@@ -84,3 +84,14 @@ def test_documents_follow_the_stored_map(spark, tmp_path):
 
 def test_empty(spark):
     assert shard_documents(docs_frame(spark, [])).collect() == []
+
+
+def test_a_very_long_text_and_slots_of_equal_size(spark):
+    long = "é" * 3_000_000
+    rows = shard_documents(docs_frame(spark, [long, *("same size" for _ in range(400))], range(401))).collect()
+    by = {r["doc_id"]: r for r in rows}
+    assert by[0]["size"] == 6_000_008 and by[0]["text_crc32"] == zlib.crc32(long.encode())
+    # the long text's slot fills a shard; all others share the rest
+    assert sum(r["shard"] == by[0]["shard"] for r in rows) <= 3
+    equal = first_map({}, 4, 8)
+    assert [equal[s] for s in range(8)] == [0, 1, 2, 3, 0, 1, 2, 3]
