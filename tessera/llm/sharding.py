@@ -1,7 +1,7 @@
 """Sharding over fixed virtual slots.
 
-A record's slot is a hash of its doc_id and text checksum, modulo a fixed number of
-slots (4096). Bytes are aggregated per slot, and a stored, versioned map says
+A record's slot is a hash of its doc_id and text checksum (and, where rows repeat both, of a
+number below their count), modulo a fixed number of slots (4096). Bytes are aggregated per slot, and a stored, versioned map says
 which shard a slot belongs to. The first version deals slots out by falling size,
 each to the shard with the fewest bytes; ``rebalanced`` moves as few slots as bring
 the sizes close again; ``grown`` moves slots only into an added shard. Records
@@ -10,8 +10,8 @@ far as single records allow.
 
 Only SQL functions; the map's fixed number of rows is all the driver sees.
 Defined cases: null text has no bytes and checksum 0; a null doc_id is hashed by
-its text alone; repeated rows share a slot and are numbered apart (many of them make that
-slot large); a very long text is one record, which no shard splits; slots of equal size go by number,
+its text alone; rows that repeat doc_id and text are spread over the slots and are numbered
+apart; a very long text is one record, which no shard splits; slots of equal size go by number,
 to the first of the shards with equal bytes that has the fewest slots; an empty table
 gives an empty result; extra columns are ignored."""
 from __future__ import annotations
@@ -30,11 +30,16 @@ STRIPES = 64  # a slot's records are numbered in so many parts
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot, stripe for each row."""
+    """doc_id, size, text_crc32, virtual_slot, stripe for each row. Rows that repeat doc_id and checksum
+    also hash a stored random number below their count, so that they spread over slots."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    sized = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return sized.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int")).withColumn(
-        "stripe", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(STRIPES)).cast("int"))
+    rows = stage(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+                             F.xxhash64(F.monotonically_increasing_id()).alias("u")), "rows")
+    often = rows.groupBy(F.col("doc_id").alias("same_id"), F.col("text_crc32").alias("same_crc")).agg(F.count("*").alias("n")).filter("n > 1")
+    joined = rows.join(often, F.col("doc_id").eqNullSafe(F.col("same_id")) & (F.col("text_crc32") == F.col("same_crc")), "left")
+    place = F.when(F.col("n").isNull(), F.xxhash64("doc_id", "text_crc32")).otherwise(F.xxhash64("doc_id", "text_crc32", F.pmod("u", "n")))
+    return joined.select("doc_id", "size", "text_crc32", F.pmod(place, F.lit(slots)).cast("int").alias("virtual_slot"),
+                         F.pmod("u", F.lit(STRIPES)).cast("int").alias("stripe"))
 
 
 def slot_bytes(recs: DataFrame) -> dict[int, int]:

@@ -95,3 +95,17 @@ def test_a_very_long_text_and_slots_of_equal_size(spark):
     assert sum(r["shard"] == by[0]["shard"] for r in rows) <= 3
     equal = first_map({}, 4, 8)
     assert [equal[s] for s in range(8)] == [0, 1, 2, 3, 0, 1, 2, 3]
+
+
+def test_repeated_rows_keep_the_sizes_equal(spark):
+    rng = random.Random(8)
+    for texts, ids in (([("x" * rng.randint(0, 300)) for _ in range(4000)] + ["hot " * 30] * 2000, [*range(4000), *[None] * 2000]),
+                       (["hot " * 30] * 3000, [7] * 3000)):
+        rows = shard_documents(docs_frame(spark, texts, ids)).collect()
+        sizes = defaultdict(int)
+        for r in rows:
+            sizes[r["shard"]] += r["size"]
+        largest = max(r["size"] for r in rows)
+        assert len(rows) == len(texts) and len(sizes) == 24
+        assert max(sizes.values()) - min(sizes.values()) <= largest + 0.02 * sum(sizes.values()) / 24
+        assert sorted(r["size"] for r in rows) == sorted(len(t) + 8 for t in texts)
