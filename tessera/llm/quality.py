@@ -75,7 +75,7 @@ def _each(batch):
     layout = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 6)]) if batch.num_rows else np.zeros((0, 5))
     flags = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (6, 7)]) if batch.num_rows else np.zeros((0, 2))
     for r in range(batch.num_rows):
-        n_words, n_distinct, columns = word_columns(batch.column(0)[r].as_py())
+        n_words, n_distinct, columns = word_columns(batch.column(0)[r].as_py() or "")
         chars, lines, *shares = layout[r]
         n, words = max(chars, 1.0), max(n_words, 1)
         yield columns, [np.log1p(chars), np.log1p(lines), np.log1p(n / lines), np.log1p(n / words), *shares, n_distinct / words], flags[r]
@@ -84,7 +84,7 @@ def _each(batch):
 def _inputs() -> list[Column]:
     text = F.coalesce("text", F.lit(""))
     flag = [F.pmod(F.xxhash64(F.lit(name), F.coalesce(F.col(name).cast("string"), F.lit("\x00"))), F.lit(SOURCES)).cast("int") for name in ("source", "lang")]
-    return [text.alias("in0"), *(c.cast("double").alias(f"in{i + 1}") for i, c in enumerate(_layout(text))), *(c.alias(f"in{i + 6}") for i, c in enumerate(flag))]
+    return [F.col("text").alias("in0"), *(c.cast("double").alias(f"in{i + 1}") for i, c in enumerate(_layout(text))), *(c.alias(f"in{i + 6}") for i, c in enumerate(flag))]
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -93,10 +93,10 @@ def features(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            found = list(_each(batch))
+            found = [(c.astype("<u4").tobytes(), f, x.tolist()) for c, f, x in _each(batch)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(8), pa.array([c.astype("<u4").tobytes() for c, _, _ in found], pa.binary()), pa.array([f for _, f, _ in found], pa.list_(pa.float64())),
-                 pa.array([x.tolist() for *_, x in found], pa.list_(pa.int32()))], ["doc_id", "columns", "figures", "flags"])
+                [batch.column(8), pa.array([c for c, _, _ in found], pa.binary()), pa.array([f for _, f, _ in found], pa.list_(pa.float64())),
+                 pa.array([x for *_, x in found], pa.list_(pa.int32()))], ["doc_id", "columns", "figures", "flags"])
 
     return ship(docs).select(*_inputs(), F.col("doc_id").cast("long")).mapInArrow(rows, "doc_id long, columns binary, figures array<double>, flags array<int>")
 
@@ -288,8 +288,9 @@ def co_train(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABEL
     return model
 
 
-def scored(docs: DataFrame, model: Model, names: list[str]) -> DataFrame:
-    """docs with the scores of the text view, the page view and both, under three names."""
+def scored(docs: DataFrame, model: Model, names: list[str], keep: list[str] | None = None) -> DataFrame:
+    """docs (all columns, or ``keep``) with the scores of the text view, the page view and both, under three names."""
+    keep = docs.columns if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
@@ -299,26 +300,28 @@ def scored(docs: DataFrame, model: Model, names: list[str]) -> DataFrame:
         for batch in batches:
             logits = np.array([shared.value.logits(*shared.value.margins(*f)) for f in _each(batch)]).reshape(-1, 3)
             p = 1 / (1 + np.exp(-np.clip(logits, -700, 700)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(8, batch.num_columns)), *(pa.array(p[:, k]) for k in range(3))],
-                                             [*batch.schema.names[8:], *names])
+            # the text goes to Python once
+            rest = iter(range(8, batch.num_columns))
+            yield pa.RecordBatch.from_arrays([*(batch.column(0 if c == "text" else next(rest)) for c in keep), *(pa.array(p[:, k]) for k in range(3))], [*keep, *names])
 
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+    fields = {f.name: f for f in docs.schema.fields}
+    schema = T.StructType([*(fields[c] for c in keep), *(T.StructField(n, T.DoubleType()) for n in names)])
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names of the input never meet those of the helpers
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     seen = plain.withColumns({c: F.col(at[c]) for c in ("text", "source", "lang")})
-    return ship(seen).select(*_inputs(), *plain.columns).mapInArrow(judge, schema)
+    return ship(seen).select(*_inputs(), *(at[c] for c in keep if c != "text")).mapInArrow(judge, schema)
 
 
-def _scored(docs: DataFrame, names: list[str], labels: DataFrame, **fit) -> DataFrame:
+def _scored(docs: DataFrame, names: list[str], labels: DataFrame, keep: list[str] | None = None, **fit) -> DataFrame:
     model = co_train(docs.select("doc_id", "text", "lang", "source"), labels, **fit)
     if isinstance(model, float):
-        return docs.select("*", *(F.lit(model).alias(c) for c in names))
-    return scored(docs, model, names)
+        return docs.select(*(F.col(f"`{c}`") for c in (keep or docs.columns)), *(F.lit(model).alias(c) for c in names))
+    return scored(docs, model, names, keep)
 
 
 def scores(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
     """doc_id, text_score, page_score, score and keep (score at least 0.5) for each row."""
-    got = _scored(docs.select("doc_id", "text", "lang", "source"), ["text_score", "page_score", "score"], labels, **fit)
+    got = _scored(docs.select("doc_id", "text", "lang", "source"), ["text_score", "page_score", "score"], labels, ["doc_id"], **fit)
     return got.select("doc_id", "text_score", "page_score", "score", (F.col("score") >= 0.5).alias("keep"))
 
 
