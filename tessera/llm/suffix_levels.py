@@ -16,8 +16,8 @@ windows are compared byte by byte; the document with the smallest doc_id keeps i
 Prefilter. A first pass counts anchors over the whole corpus in ``CELLS`` cells; a segment
 whose anchor comes once is in one document only and is left out. The cells are broadcast as
 bits (``CELLS`` / 8 = 32 MiB; a sketch that is too narrow only lets more segments through).
-Segments that repeat inside an Arrow batch are judged there, by 128 bits of hash, so a passage found in a
-third of all documents sends one row a batch. An anchor found ``HOT`` times or more (a common phrase in
+Segments that a task has sent for a smaller doc_id (by 128 bits of hash; the last ``REMEMBERED`` or
+so) are judged there, so a passage found in a third of all documents sends few rows a task. An anchor found ``HOT`` times or more (a common phrase in
 ever new surroundings) is not kept together: its windows are dealt one by one, by their bytes.
 
 Defined cases: a null text is empty and stays null in ``kept``; texts shorter than a window are
@@ -40,7 +40,8 @@ CELLS = 1 << 28
 BITMAP = 32768  # bits of one bitmap_construct_agg value
 HOT = 1 << 16
 PIECE = 1 << 20
-PART = 1 << 23  # bytes of text whose segments a task holds at a time
+REMEMBERED = 400_000  # segments that a task knows to be sent
+PART = 1 << 22  # bytes of text whose segments a task holds at a time
 RUN = 1024  # windows of a segment at most
 BATCHES = 4
 BUCKET_BYTES = 1 << 22  # of a batch's text for one bucket
@@ -172,7 +173,7 @@ def _ranges(by_row: dict) -> list:
 
 def candidates(docs: DataFrame, cuts: list[int], buckets: int, window: int = WINDOW, gram: int = GRAM, cells: int = CELLS, hot: int = HOT) -> DataFrame:
     """Rows (batch, bucket, body) of segments that may repeat, and, with batch -1, rows (doc,
-    mark, ranges) of what a smaller doc_id of the same Arrow batch is known to hold.
+    mark, ranges) of what a smaller doc_id met by the same task is known to hold.
     docs: doc, mark (tells rows of one doc apart), text. ``cuts``: the doc that ends each batch but the last."""
     maps = {name: bytearray(cells // 8) for name in ("repeated", "hot")}
     for row in anchor_cells(docs, window, gram, cells, hot).toLocalIterator():  # 2 * cells / 8 bytes at most
@@ -187,7 +188,6 @@ def candidates(docs: DataFrame, cuts: list[int], buckets: int, window: int = WIN
 
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
         import xxhash
 
         repeated, often = (np.frombuffer(x, dtype=np.uint8) for x in shared.value)
@@ -196,11 +196,12 @@ def candidates(docs: DataFrame, cuts: list[int], buckets: int, window: int = WIN
             return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
 
         def parts():
+            first: dict[int, int] = {}  # 128-bit hash of a segment -> its smallest doc so far
             for batch in batches:
-                batch = batch.take(pc.sort_indices(batch.column(0)))  # the smallest doc of a segment comes first
-                first: dict[int, int] = {}  # 128-bit hash of a segment -> its smallest doc
                 for i, j in _blocks(batch.column(2), PART):
                     yield batch.slice(i, j - i), first
+                    if len(first) > REMEMBERED:  # forgetting only sends more segments on
+                        first.clear()
 
         for batch, first in parts():
             docs_, marks, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
@@ -221,13 +222,14 @@ def candidates(docs: DataFrame, cuts: list[int], buckets: int, window: int = WIN
                             bucket, anchor = xxhash.xxh64_intdigest(text) % buckets, int(s.hashes[place + k:place + k + s.reach].argmin())
                         else:
                             text, where = s.data[place:place + n + window - 1], at
-                        if first.setdefault(xxhash.xxh3_128_intdigest(text), doc) < doc:
+                        if first.setdefault(h := xxhash.xxh3_128_intdigest(text), doc) < doc:
                             ranges = known.setdefault((doc, marks[row]), [])
                             if ranges and ranges[-1][1] >= where:
                                 ranges[-1] = (ranges[-1][0], where + len(text))
                             else:
                                 ranges.append((where, where + len(text)))
                         else:
+                            first[h] = doc
                             out.setdefault((bisect_left(cuts, doc), bucket), []).append((doc, marks[row], where, anchor, text))
             keys = sorted(out)
             rows = [list(zip(*out[k], strict=True)) for k in keys]
