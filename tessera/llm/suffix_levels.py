@@ -31,19 +31,20 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_name, ship, stage, text_blocks
+from tessera.llm.common import arrow_batches, free_name, ship, stage, text_blocks
 from tessera.llm.substring_dedup import _sliding_min, run_hashes
 
 WINDOW = 50
 GRAM = 16
 CELLS = 1 << 28
-BITMAP = 32768  # bits of one bitmap_construct_agg value
+BITMAP = 1 << 16  # cells of one block
 HOT = 1 << 16
 PIECE = 1 << 20
 REMEMBERED = 400_000  # segments that a task knows to be sent
 PART = 1 << 22  # bytes of text whose segments a task holds at a time
 RUN = 1024  # windows of a segment at most
 BATCHES = 4
+BATCH_BYTES = 1 << 24  # of an Arrow batch of texts
 BUCKET_BYTES = 1 << 22  # of a batch's text for one bucket
 NO_ID = (1 << 63) - 1
 HITS = "doc long, mark long, ranges binary"
@@ -106,7 +107,8 @@ def _blocks(column, limit: int) -> Iterator[tuple[int, int]]:
 
 
 def anchor_cells(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: int = CELLS, hot: int = HOT) -> DataFrame:
-    """(block, repeated, hot): bitmaps of the cells that two documents or ``hot`` documents reach."""
+    """(block, repeated, hot): bitmaps of the cells that two documents or ``hot`` documents reach.
+    Tasks send the cells of a batch of texts block by block, sorted; a block is added up row by row."""
     def counted(batches):
         import numpy as np
         import pyarrow as pa
@@ -119,15 +121,36 @@ def anchor_cells(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cells:
                 key, text = s.key[order], s.text[order]
                 new = np.ones(len(key), dtype=bool)  # an anchor counts once a text
                 new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-                found.append((key[new] & np.uint64(cells - 1)).astype(np.int32))
-            cell, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int32), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int32))], ["cell", "n"])
+                found.append((key[new] & np.uint64(cells - 1)).astype(np.int64))
+            cell, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+            heads = np.flatnonzero(np.diff(cell // BITMAP, prepend=-1))
+            ends = np.append(heads[1:], len(cell))
+            places, counts = (cell % BITMAP).astype("<u2").tobytes(), n.astype("<u4").tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((cell[heads] // BITMAP).astype(np.int32)), pa.array([places[2 * a:2 * b] for a, b in zip(heads, ends, strict=True)], pa.binary()),
+                 pa.array([counts[4 * a:4 * b] for a, b in zip(heads, ends, strict=True)], pa.binary())], ["block", "places", "counts"])
+
+    def added(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def bitmaps(block, total):
+            some = [np.packbits(total >= n, bitorder="little").tobytes() if (total >= n).any() else None for n in (2, hot)]
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([x], pa.binary()) for x in some)], ["block", "repeated", "hot"])
+
+        current, total = None, np.zeros(BITMAP, dtype=np.int64)
+        for batch in batches:
+            for block, places, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != current:
+                    if current is not None:
+                        yield bitmaps(current, total)
+                    current, total = block, np.zeros(BITMAP, dtype=np.int64)
+                total[np.frombuffer(places, "<u2")] += np.frombuffer(counts, "<u4")  # a place comes once a row
+        if current is not None:
+            yield bitmaps(current, total)
 
-    rows = ship(docs).select(F.col("text").cast("binary")).mapInArrow(counted, "cell int, n int")
-    reached = rows.groupBy("cell").agg(F.sum("n").alias("n")).filter("n >= 2")
-    return reached.groupBy(F.expr(f"cell div {BITMAP}").alias("block")).agg(
-        F.expr(f"bitmap_construct_agg(cell % {BITMAP})").alias("repeated"),
-        F.expr(f"bitmap_construct_agg(cell % {BITMAP}) FILTER (WHERE n >= {hot})").alias("hot"))
+    rows = ship(docs).select(F.col("text").cast("binary")).mapInArrow(counted, "block int, places binary, counts binary")
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(added, "block int, repeated binary, hot binary").filter("repeated is not null")
 
 
 def pack(columns: list, texts: list[bytes]) -> bytes:
@@ -176,7 +199,7 @@ def candidates(docs: DataFrame, cuts: list[int], buckets: int, window: int = WIN
     mark, ranges) of what a smaller doc_id met by the same task is known to hold.
     docs: doc, mark (tells rows of one doc apart), text. ``cuts``: the doc that ends each batch but the last."""
     maps = {name: bytearray(cells // 8) for name in ("repeated", "hot")}
-    for row in anchor_cells(docs, window, gram, cells, hot).toLocalIterator():  # 2 * cells / 8 bytes at most
+    for row in stage(anchor_cells(docs, window, gram, cells, hot), "cells").toLocalIterator():  # 2 * cells / 8 bytes at most
         at = row["block"] * BITMAP // 8
         for name, bits in maps.items():
             if row[name]:
@@ -368,7 +391,8 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
     known = docs.agg(F.percentile_approx(F.when(F.col("doc") != NO_ID, F.col("doc")), cut, 10_000).alias("cuts"),
                      F.sum(F.octet_length("text")).alias("size")).first()
     buckets = max(8, -(-(known["size"] or 0) // (batches * bucket_bytes)))
-    found = stage(candidates(docs, sorted(set(known["cuts"] or [])), buckets, window, gram, cells, hot), "segments")
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        found = stage(candidates(docs, sorted(set(known["cuts"] or [])), buckets, window, gram, cells, hot), "segments")
     results = [found.filter("batch = -1").select("doc", "mark", "ranges")]
     levels: list[tuple[int, DataFrame]] = []  # (batches in it, table), largest first
     last = len(set(known["cuts"] or []))
