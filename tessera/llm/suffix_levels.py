@@ -3,8 +3,9 @@
 Documents come in batches of rising doc_id. A batch gets a sparse suffix array, which is
 merge-scanned against the arrays of the levels before it for long matches; then it becomes
 a level itself, and two levels of equal size are merged into one of double size before the
-next batch comes. Levels are tables in the shared folder, so a lost executor repeats
-one batch's task, and a batch meets at most log2(batches) + 1 of them.
+next batch comes, so a batch meets at most log2(batches) + 1 of them. The family is kept bucket
+by bucket: a task takes a bucket's batches in order, so segments are shuffled once, and a lost
+executor repeats its buckets from the segments stored in the shared folder.
 
 Suffixes. Of the ``GRAM``-byte runs inside a window of ``WINDOW`` bytes, the one with the least
 hash is its anchor: equal windows have equal anchors. Consecutive windows with one
@@ -46,10 +47,9 @@ RUN = 1024  # windows of a segment at most
 BATCHES = 4
 BATCH_BYTES = 1 << 24  # of an Arrow batch of texts
 BUCKET_BYTES = 1 << 22  # of a batch's text for one bucket
+MIN_BUCKETS = 64
 NO_ID = (1 << 63) - 1
 HITS = "doc long, mark long, ranges binary"
-LEVEL = "bucket int, body binary"
-FOUND = "doc long, mark long, ranges binary, bucket int, body binary"
 
 
 def _values():
@@ -293,94 +293,89 @@ def merge_scan(batch: list, levels: list[list], gram: int) -> Iterator[tuple[lis
         i = j
 
 
-def _level(rows: list[tuple[bytes, bytes, int]], bucket: int) -> list:
-    import pyarrow as pa
-
-    bodies = [pack([[len(text) - len(suffix) for suffix, text, _ in rows], [doc for *_, doc in rows]], [text for _, text, _ in rows])] if rows else []
-    return [pa.array([bucket] * len(bodies), pa.int32()), pa.array(bodies, pa.binary())]
-
-
-def _array_of(body: bytes) -> list[tuple[bytes, bytes, int]]:
-    """A stored level of one bucket: its rows are in the order of their suffixes."""
-    (anchors, docs), texts = unpack(body)
-    return [(t[a:], t, d) for t, a, d in zip(texts, anchors, docs, strict=True)]
+def scan_batch(bodies: list[bytes], levels: list[list], window: int, gram: int) -> tuple[dict, list]:
+    """What a batch repeats of itself or of the levels, as {(doc, mark): ranges}, and its own rows for the index."""
+    places: dict[bytes, list] = {}
+    anchor_of: dict[bytes, int] = {}
+    for b in bodies:
+        (docs, marks, ats, anchors), texts = unpack(b)
+        anchor_of.update(zip(texts, anchors, strict=True))
+        for text, *place in zip(texts, docs, marks, ats, strict=True):
+            places.setdefault(text, []).append(tuple(place))
+    least = {text: min(p)[0] for text, p in places.items()}
+    hits: dict[tuple, list] = {}
+    fresh = []
+    for members, others in merge_scan(suffix_array([(t, anchor_of[t], d) for t, d in least.items()]), levels, gram):
+        if len(members) + len(others) == 1:
+            fresh += members
+            continue
+        stored_texts = {text for _, text, _ in others}
+        whole = [m for m in members if m[1] in stored_texts]
+        for _, text, doc in whole:  # a level has it: nothing to compare, nothing new for the index
+            for d, mark, at in places[text]:
+                if d == doc:
+                    hits.setdefault((d, mark), []).append((at, at + len(text)))
+        members = [m for m in members if m[1] not in stored_texts] if whole else members
+        holder: dict[bytes, int] = {}
+        for _, text, doc in others if members else ():
+            for k in range(len(text) - window + 1):
+                w = text[k:k + window]
+                if holder.get(w, NO_ID) >= doc:
+                    holder[w] = doc
+        kept = []
+        for member in sorted(members, key=lambda m: m[2]):
+            _, text, doc = member
+            covered = [k for k in range(len(text) - window + 1) if holder.setdefault(text[k:k + window], doc) < doc]
+            if len(covered) < len(text) - window + 1:
+                kept.append(member)  # a segment that is covered whole adds nothing to the index
+            if covered:
+                for d, mark, at in places[text]:
+                    if d == doc:
+                        hits.setdefault((d, mark), []).extend(spans([at + k for k in covered], window))
+        fresh += sorted(kept)
+    for text, found in places.items():
+        for d, mark, at in found:
+            if d > least[text]:
+                hits.setdefault((d, mark), []).append((at, at + len(text)))
+    return hits, fresh
 
 
-def add_batch(batch: DataFrame, levels: list[DataFrame], window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """FOUND rows: what the batch (bucket, body) repeats of itself or of the levels, and its own new level."""
-    def scan(key, group):
-        import pyarrow as pa
+def merge_levels(a: list, b: list) -> list:
+    """One level of two: sorted arrays merged, a text kept once for its smallest doc_id."""
+    import heapq
 
-        bucket = key[0].as_py()
-        which, bodies = group["level"].to_pylist(), group["body"].to_pylist()
-        stored = [_array_of(b) for w, b in zip(which, bodies, strict=True) if w >= 0]
-        places: dict[bytes, list] = {}
-        anchor_of: dict[bytes, int] = {}
-        for b in (b for w, b in zip(which, bodies, strict=True) if w < 0):
-            (docs, marks, ats, anchors), texts = unpack(b)
-            anchor_of.update(zip(texts, anchors, strict=True))
-            for text, *place in zip(texts, docs, marks, ats, strict=True):
-                places.setdefault(text, []).append(tuple(place))
-        least = {text: min(p)[0] for text, p in places.items()}
-        hits: dict[tuple, list] = {}
-        fresh = []
-        for members, others in merge_scan(suffix_array([(t, anchor_of[t], d) for t, d in least.items()]), stored, gram):
-            if len(members) + len(others) == 1:
-                fresh += members
-                continue
-            stored_texts = {text for _, text, _ in others}
-            whole = [m for m in members if m[1] in stored_texts]
-            for _, text, doc in whole:  # a level has it: nothing to compare, nothing new for the index
-                for d, mark, at in places[text]:
-                    if d == doc:
-                        hits.setdefault((d, mark), []).append((at, at + len(text)))
-            members = [m for m in members if m[1] not in stored_texts] if whole else members
-            holder: dict[bytes, int] = {}
-            for _, text, doc in others if members else ():
-                for k in range(len(text) - window + 1):
-                    w = text[k:k + window]
-                    if holder.get(w, NO_ID) >= doc:
-                        holder[w] = doc
-            kept = []
-            for member in sorted(members, key=lambda m: m[2]):
-                _, text, doc = member
-                covered = [k for k in range(len(text) - window + 1) if holder.setdefault(text[k:k + window], doc) < doc]
-                if len(covered) < len(text) - window + 1:
-                    kept.append(member)  # a segment that is covered whole adds nothing to the index
-                if covered:
-                    for d, mark, at in places[text]:
-                        if d == doc:
-                            hits.setdefault((d, mark), []).extend(spans([at + k for k in covered], window))
-            fresh += sorted(kept)
-        for text, found in places.items():
-            for d, mark, at in found:
-                if d > least[text]:
-                    hits.setdefault((d, mark), []).append((at, at + len(text)))
-        new = _level(fresh, bucket)
-        n, m = len(hits), len(new[0])
-        found, names = _ranges(hits), ["doc", "mark", "ranges", "bucket", "body"]
-        return pa.table([pa.concat_arrays([a, pa.nulls(m, a.type)]) for a in found] + [pa.concat_arrays([pa.nulls(n, a.type), a]) for a in new], names=names)
+    rows: list[tuple] = []
+    for row in heapq.merge(a, b):
+        if not rows or rows[-1][:2] != row[:2]:
+            rows.append(row)
+    return rows
 
-    rows = batch.select("bucket", "body", F.lit(-1).alias("level"))
-    for k, level in enumerate(levels):
-        rows = rows.union(level.select("bucket", "body", F.lit(k).alias("level")))
-    return ship(rows).groupBy("bucket").applyInArrow(scan, FOUND)
 
+def index_family(bodies: dict[int, list[bytes]], window: int, gram: int) -> Iterator[dict]:
+    """Hits of one batch after the other, each scanned against the levels before it, then made a level itself."""
+    levels: list[tuple[int, list]] = []  # (batches in it, rows), largest first
+    last = max(bodies)
+    for batch in sorted(bodies):
+        while len(levels) > 1 and levels[-1][0] == levels[-2][0]:
+            (_, b), (n, a) = levels.pop(), levels.pop()
+            levels.append((2 * n, merge_levels(a, b)))
+        hits, fresh = scan_batch(bodies[batch], [rows for _, rows in levels], window, gram)
+        yield hits
+        if batch < last:  # nothing comes after the last batch
+            levels.append((1, fresh))
 
-def merge_levels(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One level of two: sorted arrays merged, a text kept once for its smallest doc_id."""
-    def merged(key, group):
-        import heapq
 
+def scan_batches(found: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc, mark, ranges) of the segments (batch, bucket, body), each bucket's batches in one task."""
+    def scan(key, group):
         import pyarrow as pa
 
-        rows: list[tuple] = []
-        for row in heapq.merge(*(_array_of(x) for x in group["body"].to_pylist())):
-            if not rows or rows[-1][:2] != row[:2]:
-                rows.append(row)
-        return pa.table(_level(rows, key[0].as_py()), names=["bucket", "body"])
+        bodies: dict[int, list] = {}
+        for batch, body in zip(group["batch"].to_pylist(), group["body"].to_pylist(), strict=True):
+            bodies.setdefault(batch, []).append(body)
+        return pa.concat_tables([pa.table(_ranges(hits), names=["doc", "mark", "ranges"]) for hits in index_family(bodies, window, gram)])
 
-    return ship(a.union(b)).groupBy("bucket").applyInArrow(merged, LEVEL)
+    return ship(found).groupBy("bucket").applyInArrow(scan, HITS)
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, cells: int = CELLS, hot: int = HOT,
@@ -390,23 +385,11 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
     cut = [k / batches for k in range(1, batches)]
     known = docs.agg(F.percentile_approx(F.when(F.col("doc") != NO_ID, F.col("doc")), cut, 10_000).alias("cuts"),
                      F.sum(F.octet_length("text")).alias("size")).first()
-    buckets = max(8, -(-(known["size"] or 0) // (batches * bucket_bytes)))
+    buckets = max(MIN_BUCKETS, -(-(known["size"] or 0) // (batches * bucket_bytes)))
     with arrow_batches(docs.sparkSession, BATCH_BYTES):
         found = stage(candidates(docs, sorted(set(known["cuts"] or [])), buckets, window, gram, cells, hot), "segments")
-    results = [found.filter("batch = -1").select("doc", "mark", "ranges")]
-    levels: list[tuple[int, DataFrame]] = []  # (batches in it, table), largest first
-    last = len(set(known["cuts"] or []))
-    for k in range(last + 1):
-        while len(levels) > 1 and levels[-1][0] == levels[-2][0]:
-            (_, b), (n, a) = levels.pop(), levels.pop()
-            levels.append((2 * n, stage(merge_levels(a, b), "level")))
-        step = stage(add_batch(found.filter(F.col("batch") == k).select("bucket", "body"), [t for _, t in levels], window, gram), "scan")
-        results.append(step.filter("doc is not null").select("doc", "mark", "ranges"))
-        levels.append((1, step.filter("body is not null").select("bucket", "body")))
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionAll(r)
-    return out
+    return found.filter("batch = -1").select("doc", "mark", "ranges").unionAll(
+        stage(scan_batches(found.filter("batch >= 0").select("batch", "bucket", "body"), window, gram), "ranges"))
 
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **sizes) -> DataFrame:

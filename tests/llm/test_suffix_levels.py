@@ -75,13 +75,20 @@ def test_sizes_change_nothing(spark, sizes):
     assert rows(digest(out.drop("N_spans").withColumnRenamed("_n_spans", "n_spans"))) == brute(list(enumerate(texts)))
 
 
-def test_levels_merge_geometrically(spark, monkeypatch):
-    merges = []
-    real = sl.merge_levels
-    monkeypatch.setattr(sl, "merge_levels", lambda a, b: (merges.append(1), real(a, b))[1])
+def test_many_batches(spark):
     texts = corpus(random.Random(15), 20)
     assert rows(digest(sl.cut_repeats(docs_frame(spark, texts), batches=8))) == brute(list(enumerate(texts)))
-    assert len(merges) == 4  # 1+1, 1+1, 2+2, 1+1: the eighth batch meets levels of 4, 2 and 1
+
+
+def test_levels_merge_geometrically(monkeypatch):
+    merges, met = [], []
+    real, scan = sl.merge_levels, sl.merge_scan
+    monkeypatch.setattr(sl, "merge_levels", lambda a, b: (merges.append((len(a), len(b))), real(a, b))[1])
+    monkeypatch.setattr(sl, "merge_scan", lambda batch, levels, gram: (met.append([len(x) for x in levels]), scan(batch, levels, gram))[1])
+    bodies = {k: [sl.pack([[k], [0], [0], [0]], [b"%03d" % k + b"-" * 60])] for k in range(8)}
+    assert [len(hits) for hits in sl.index_family(bodies, 50, 16)] == [0] * 8
+    assert merges == [(1, 1), (1, 1), (2, 2), (1, 1)]
+    assert met == [[], [1], [2], [2, 1], [4], [4, 1], [4, 2], [4, 2, 1]]
 
 
 def test_merge_scan_walks_all_levels():
