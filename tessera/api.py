@@ -34,5 +34,6 @@ from tessera.sources.readers import (check_document_path, dataset_info, detect_f
                                      read_text_files, split_by_extension)
 from tessera.sources.sinks import (export_qa, materialize, write_csv, write_embeddings,  # noqa: F401
                                    write_files, write_json)
+from tessera.sources.split_csv import csv_records, read_csv_split  # noqa: F401
 from tessera.streaming.incremental import (resume_anti, running_qa_stats, stream_documents_to_qa,  # noqa: F401
                                            stream_text_files, with_progress)

@@ -31,6 +31,7 @@ from tessera.sources import quarantine as qr
 from tessera.sources import readers as rd
 from tessera.sources import sinks as sk
 from tessera.sources.sinks import materialize
+from tessera.sources.split_csv import read_csv_split
 from tessera.streaming import incremental as inc
 from tessera.streaming.incremental import resume_anti
 
@@ -220,6 +221,15 @@ def q_scan_csv(spark, sf_dir):
     return _doc_cols(rd.read_table(spark, path))
 
 
+@query("scan_csv_split")
+def q_scan_csv_split(spark, sf_dir):
+    path = scratch_path(spark, "documents-csv") + "/documents.csv"
+    (documents(spark, sf_dir).withColumn("text", F.replace("text", F.lit(" "), F.lit("\n"))).write.mode("overwrite")
+     .csv(path, header=True, escape='"', quote='"', ignoreLeadingWhiteSpace=False,
+          ignoreTrailingWhiteSpace=False))
+    return _doc_cols(read_csv_split(spark, path, "doc_id long, text string, lang string, source string, n_chars long"))
+
+
 @query("scan_json")
 def q_scan_json(spark, sf_dir):
     path = scratch_path(spark, "documents-json") + "/documents.jsonl"

@@ -74,6 +74,7 @@ SELECT doc_id, pages_total, pages_with_text, CAST(length(text) AS BIGINT) AS tot
 DOC_COLS = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 ORACLE["scan_parquet"] = DOC_COLS
 ORACLE["scan_csv"] = DOC_COLS
+ORACLE["scan_csv_split"] = DOC_COLS.replace("text", "replace(text, ' ', chr(10)) AS text")
 ORACLE["scan_json"] = DOC_COLS
 ORACLE["scan_named_split"] = DOC_COLS + " WHERE lang = 'en'"
 ORACLE["scan_txt"] = f"SELECT doc_id, {clean_txt('text')} AS text FROM documents"
