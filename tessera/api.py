@@ -11,7 +11,7 @@ from tessera.operators.chunk import (chunk_by_sentences, chunk_text, explode_par
                                      explode_sentences)
 from tessera.operators.chunk_blocks import chunk_text_blocks  # noqa: F401
 from tessera.operators.combine import read_many, union_missing_cols, union_sources  # noqa: F401
-from tessera.operators.embed import HashingEncoder, embed, embedding_dim, mean_pool  # noqa: F401
+from tessera.operators.embed import HashingEncoder, embed, embedding_dim, mean_pool, padding_report  # noqa: F401
 from tessera.operators.formats import (alpaca_datapoint_files, chunk_files, chunk_qa_files,  # noqa: F401
                                        qa_pair_files, to_alpaca, to_chat, to_instruction,
                                        to_instruction_with_id)

@@ -492,6 +492,13 @@ def q_embed_hashing(spark, sf_dir):
             .filter(F.col("value") != 0).withColumn("value", F.col("value").cast("double")))
 
 
+@query("embed_token_budget")
+def q_embed_token_budget(spark, sf_dir):
+    vec = em.embed(_doc_chunks(spark, sf_dir), lambda: em.HashingEncoder(64), text_col="chunk", token_budget=4096)
+    return (vec.select("doc_id", "chunk_index", F.posexplode("embedding").alias("dim", "value"))
+            .filter(F.col("value") != 0).withColumn("value", F.col("value").cast("double")))
+
+
 @query("mean_pool")
 def q_mean_pool(spark, sf_dir):
     tokens = _vectors(spark, sf_dir).select(

@@ -198,6 +198,7 @@ ORACLE["embed_hashing"] = f"""WITH RECURSIVE {DOC_CHUNKS},
 toks AS (SELECT doc_id, chunk_index, unnest(string_split_regex(chunk, {lit(WS_CLASS + '+')})) AS w FROM chunks),
 b AS (SELECT doc_id, chunk_index, CAST(('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS INTEGER) AS dim FROM toks WHERE w <> '')
 SELECT doc_id, chunk_index, dim, CAST(count(*) AS DOUBLE) AS value FROM b GROUP BY doc_id, chunk_index, dim"""
+ORACLE["embed_token_budget"] = ORACLE["embed_hashing"]
 ORACLE["mean_pool"] = """WITH t AS (SELECT label AS key, CASE WHEN embedding[1] >= 0 THEN 1 ELSE 0 END AS mask,
   unnest(embedding) AS v, unnest(range(len(embedding))) AS dim FROM embeddings)
 SELECT key, CAST(dim AS INTEGER) AS dim, round(sum(CAST(v AS DOUBLE) * mask) / greatest(sum(mask), 1e-9), 6) AS value
