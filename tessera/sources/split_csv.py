@@ -124,6 +124,10 @@ def csv_records(spark: SparkSession, path: str, header: bool = True) -> DataFram
     return whole.withColumn("record", F.regexp_replace("record", "\r$", "")).filter("record <> ''")
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def read_csv_split(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """A table of CSV files with a header and quoted fields that may hold line ends: the rows of
     ``read_table``, with a task for each split of a file. Columns are strings without a schema; a schema
@@ -136,6 +140,6 @@ def read_csv_split(spark: SparkSession, path: str, schema: T.StructType | str |
         if sorted(given.names) != sorted(columns):
             raise ValueError(f"the file has the columns {', '.join(columns)}, the schema {', '.join(given.names)}")
         wanted = given
-    by_place = T.StructType([wanted[c] for c in columns])
-    parsed = F.from_csv("record", by_place.simpleString()[len("struct<"):-1].replace(":", " "), {"quote": QUOTE, "escape": QUOTE, "multiLine": "true"})
+    by_place = ", ".join(f"{_quoted(c)} {wanted[c].dataType.simpleString()}" for c in columns)
+    parsed = F.from_csv("record", by_place, {"quote": QUOTE, "escape": QUOTE, "multiLine": "true"})
     return csv_records(spark, path).select(parsed.alias("row")).select(*[F.col("row")[c].alias(c) for c in wanted.names])

@@ -58,3 +58,10 @@ def test_header_only_and_open_end(spark, tmp_path):
     assert sc.read_csv_split(spark, str(tmp_path)).collect() == []
     (tmp_path / "b.csv").write_text('id,text,note\n1,"never closed,2\n')
     assert [r.record for r in sc.csv_records(spark, f"{tmp_path}/b.csv").collect()] == ['1,"never closed,2']
+
+
+def test_any_column_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('my id:x,"a, b",`c.d`\n1,"p\nq",r\n')
+    df = sc.read_csv_split(spark, str(tmp_path))
+    assert df.columns == ["my id:x", "a, b", "`c.d`"]
+    assert [tuple(r) for r in df.collect()] == [("1", "p\nq", "r")]
