@@ -23,6 +23,8 @@ from tessera.session import ensure_on_executors
 DEFAULT_BATCH_SIZE = 32
 MAX_TOKENS = 512
 LOOKAHEAD = 4096  # texts that wait to be batched by length
+SLICE_BATCHES = 32  # batches of fixed size whose vectors leave together
+CACHED_TOKENS = 1 << 16  # that HashingEncoder remembers
 POOL_EPS = 1e-9
 
 
@@ -62,19 +64,27 @@ def embed(df: DataFrame, encoder_factory: Callable[[], object], text_col: str =
         model = encoder_factory()
         limit = {"max_tokens": max_tokens} if "max_tokens" in inspect.signature(model.encode).parameters else {}
         for texts in it:
-            values = texts.tolist()
-            out = [None] * len(values)
-            idx = [i for i, t in enumerate(values) if t is not None]
-            for part in _parts(model, values, idx, batch_size, max_tokens, token_budget, lookahead):
-                vecs = np.asarray(model.encode([values[i] for i in part], **limit), dtype=np.float32)
-                for j, i in enumerate(part):
-                    out[i] = vecs[j]
-            yield pd.Series(out, dtype=object)
+            for values in _slices(texts, lookahead if token_budget is not None else batch_size * SLICE_BATCHES):
+                out = [None] * len(values)
+                idx = [i for i, t in enumerate(values) if t is not None]
+                for part in _parts(model, values, idx, batch_size, max_tokens, token_budget, lookahead):
+                    vecs = np.asarray(model.encode([values[i] for i in part], **limit), dtype=np.float32)
+                    for j, i in enumerate(part):
+                        out[i] = vecs[j]
+                yield pd.Series(out, dtype=object)
 
     # a model call: never duplicated or moved by the optimizer
     return df.withColumn(out_col, enc.asNondeterministic()(F.col(text_col)))
 
 
+def _slices(texts: pd.Series, limit: int) -> Iterator[list]:
+    """The texts in slices of ``limit`` that are not null, so vectors leave Python before the whole Arrow batch has its own."""
+    ends = np.flatnonzero(texts.notna().to_numpy())[limit - 1::limit] + 1
+    for lo, hi in zip([0, *ends.tolist()], [*ends.tolist(), len(texts)], strict=True):
+        if lo < hi or not len(texts):
+            yield texts.iloc[lo:hi].tolist()
+
+
 def _parts(model, values: list, idx: list[int], batch_size: int, max_tokens: int, token_budget: int | None, lookahead: int) -> Iterator[list[int]]:
     """Batches of the places ``idx`` of texts in ``values``."""
     if token_budget is None:
@@ -121,7 +131,7 @@ class HashingEncoder:
         b = self._bucket.get(tok)
         if b is None:
             b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % self.dim
-            if len(self._bucket) < 1_000_000:
+            if len(self._bucket) < CACHED_TOKENS:
                 self._bucket[tok] = b
         return b
 

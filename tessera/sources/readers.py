@@ -22,6 +22,10 @@ from tessera.functions.text import clean_txt, preview
 from tessera.operators.rows import with_row_index
 from tessera.session import ensure_on_executors
 
+#: Bytes of files that one task reads.
+TASK_BYTES = 1 << 24
+TASKS_PER_CORE = 4
+PAGES_CHARS = 1 << 20  # of pages that leave together
 #: Suffix (or explicit type) -> Spark reader.
 READERS = {"csv": "csv", "json": "json", "jsonl": "json", "parquet": "parquet"}
 
@@ -79,7 +83,14 @@ def read_binary_files(spark: SparkSession, path: str, glob: str | None = None,
         r = r.option("pathGlobFilter", glob)
     if recursive:
         r = r.option("recursiveFileLookup", "true")
-    return r.load(path)
+    return _in_few_tasks(r.load(path))
+
+
+def _in_few_tasks(files: DataFrame) -> DataFrame:
+    """The same rows in tasks of about ``TASK_BYTES``, at least some for each core. Spark counts 4 MB for opening a file, so
+    a scan of small files has a task for every few of them, and scheduling those takes longer than reading."""
+    size = int(str(files._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    return files.coalesce(max(TASKS_PER_CORE * files.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
 
 
 def read_text_files(spark: SparkSession, path: str, glob: str | None = "*.[tT][xX][tT]",
@@ -111,27 +122,29 @@ def read_pdf_pages(spark: SparkSession, path: str, extractor_factory: Callable[[
     schema = "path string, page_num int, text string" + ", error string" * with_errors
     names = ["path", "page_num", "text"] + ["error"] * with_errors
 
+    def frame(rows):
+        return pd.DataFrame([r[:len(names)] for r in rows], columns=names).astype({"page_num": "Int32"})
+
     def run(batches):
         extract = extractor_factory()
         for pdf in batches:
+            rows, held = [], 0
             for p, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows, failure = [], None
                 try:
                     for i, text in enumerate(extract(bytes(content)), start=1):
                         if max_pages and i > max_pages:
                             break
                         rows.append((p, i, text or "", None))
-                        if len(rows) >= 256:  # a long file leaves in parts
-                            yield pd.DataFrame([r[:len(names)] for r in rows], columns=names)
-                            rows = []
+                        held += len(rows[-1][2])
+                        if len(rows) >= 256 or held >= PAGES_CHARS:  # a long file leaves in parts
+                            yield frame(rows)
+                            rows, held = [], 0
                 except Exception as e:  # noqa: BLE001 - reported with its file
                     if not with_errors:
                         raise
-                    failure = repr(e)
-                out = pd.DataFrame([r[:len(names)] for r in rows], columns=names)
-                yield out
-                if failure:
-                    yield pd.DataFrame({"path": [p], "page_num": pd.array([None], dtype="Int32"), "text": [None], "error": [failure]})
+                    rows.append((p, None, None, repr(e)))
+            if rows:
+                yield frame(rows)
 
     return files.mapInPandas(run, schema)
 

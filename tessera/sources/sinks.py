@@ -62,13 +62,15 @@ def _file_writer(base: str):
         else:
             filesystem, root = pafs.LocalFileSystem(), base
         filesystem.create_dir(root, recursive=True)
+        made = root.rstrip("/")  # the folder made last: files of one folder mostly come together
         for pdf in batches:
             sizes = []
             for name, body in zip(pdf["file_name"], pdf["body"]):
                 data = (body or "").encode("utf-8")
                 target = f"{root.rstrip('/')}/{name}"
-                if "/" in name:
-                    filesystem.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                if (folder := target.rsplit("/", 1)[0]) != made:
+                    filesystem.create_dir(folder, recursive=True)
+                    made = folder
                 # same name, same bytes: a retried task rewrites identical files
                 with filesystem.open_output_stream(target) as out:
                     out.write(data)

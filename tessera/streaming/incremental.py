@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.chunk import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE, chunk_text
-from tessera.sources.readers import text_files_frame
+from tessera.sources.readers import TASKS_PER_CORE, text_files_frame
 
 
+MIN_TASKS = 64  # of a micro-batch with as many files
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -44,7 +45,8 @@ def stream_text_files(spark: SparkSession, in_dir: str, out_dir: str, checkpoint
     failure. Returns the started query."""
     files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", glob)
              .option("recursiveFileLookup", "true").load(in_dir))
-    docs = text_files_frame(files)
+    # a batch of many small files is few tasks, as in read_binary_files
+    docs = text_files_frame(files.coalesce(max(MIN_TASKS, TASKS_PER_CORE * spark.sparkContext.defaultParallelism)))
     chunks = chunk_text(docs, text_col="text", size=size, overlap=overlap, keep=["path"])
 
     def sink(batch: DataFrame, batch_id: int) -> None:
