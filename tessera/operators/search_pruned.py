@@ -10,7 +10,8 @@ found so far in its cell, where blocks come by falling bound. Scores, ties and r
 all about as far apart.
 
 The grid has rows of query blocks and columns of corpus blocks; either side is copied along its
-own axis alone, and a cell holds at most ``CELL_BLOCKS`` blocks of each. Pivots (``PIVOTS`` vectors, the first by a hash of
+own axis alone, and a cell holds at most about ``CELL_BYTES`` of each (never under ``CELL_BLOCKS`` blocks): copies are
+``GRID_SIDE`` a vector until the input outgrows that many cells a side, and one more for each further ``CELL_BYTES``. Pivots (``PIVOTS`` vectors, the first by a hash of
 their ids) go through the driver and are broadcast.
 
 Defined cases: as in ``search.top_k``; corpus vectors that repeat are found each; with fewer corpus
@@ -26,6 +27,8 @@ from tessera.operators.search import BLOCK_ROWS, CELL_BLOCKS, DEFAULT_TOP_K, _ba
 from tessera.session import ensure_on_executors, scratch_path
 
 PIVOTS = 256
+CELL_BYTES = 1 << 24  # of vectors of a side that one cell of the grid holds
+GRID_SIDE = 8  # cells of a side at least, so all tasks have some
 SLACK = 1e-9  # angles are rounded: a bound is widened by so much
 
 
@@ -73,8 +76,15 @@ def _blocks(vectors: DataFrame, pivots: np.ndarray, block_rows: int, name: str)
     return _stored(packed.select("pivot", F.xxhash64("pivot", "part").alias("block"), "radius", F.col("r.i").alias("ids"), F.col("r.v").alias("vectors")), f"{name}-blocks")
 
 
+def _first(score: np.ndarray, ids: np.ndarray, k: int):
+    """The k first of each row: score falling, then id falling."""
+    order = np.argsort(ids, axis=1, kind="stable")[:, ::-1]
+    order = np.take_along_axis(order, np.argsort(-np.take_along_axis(score, order, axis=1), axis=1, kind="stable")[:, :k], axis=1)
+    return np.take_along_axis(score, order, axis=1), np.take_along_axis(ids, order, axis=1)
+
+
 def _best(q, c, k: int, bounds, floor: float):
-    """(rows, pairs, skipped) of one query block (ids, matrix) against corpus blocks by falling bound."""
+    """(scores, ids, floor, skipped) of one query block (ids, matrix) against corpus blocks by falling bound: the k best of each query."""
     order = np.argsort(-np.asarray(bounds), kind="stable")
     score, ids, skipped = None, None, 0
     for n in order:
@@ -86,6 +96,8 @@ def _best(q, c, k: int, bounds, floor: float):
         found = np.asarray(c_ids)[len(matrix) - 1 - place]
         score = s if score is None else np.concatenate([score, s], axis=1)
         ids = found if ids is None else np.concatenate([ids, found], axis=1)
+        if score.shape[1] > k:
+            score, ids = _first(score, ids, k)
         if score.shape[1] >= k:  # the worst query's k-th score so far
             floor = max(floor, float(np.partition(score, -k, axis=1)[:, -k].min()) - SLACK)
     return score, ids, floor, skipped
@@ -115,7 +127,7 @@ def _cells(queries: DataFrame, corpus: DataFrame, pivots: np.ndarray, k: int, ki
 
 
 def top_k_pruned(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_TOP_K, id_col: str = "vec_id", vec_col: str = "embedding",
-                 query_id_col: str | None = None, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS, cell_blocks: int = CELL_BLOCKS) -> tuple[DataFrame, DataFrame]:
+                 query_id_col: str | None = None, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS, cell_blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(result, saved): result as ``search.top_k``'s (query_id, rank, id, score); saved one row (pairs, skipped, share) of
     block pairs that the grid left out."""
     spark = queries.sparkSession
@@ -129,15 +141,16 @@ def top_k_pruned(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_TOP_K,
         return empty, spark.sql("select 0L as pairs, 0L as skipped, 0.0D as share")
     qs = _blocks(_unit(queries, qid, vec_col), points, block_rows, "queries")
     cs = _blocks(c_unit, points, block_rows, "corpus")
-    # home round: a pivot's query blocks against its corpus blocks (as many as one cell holds) give the floors
+    # home round: a pivot's query blocks against its corpus blocks (a few) give the floors
     rank = F.row_number().over(Window.partitionBy("pivot").orderBy("block"))
-    homes = cs.withColumn("n", rank).filter(F.col("n") <= cell_blocks).drop("n")
+    homes = cs.withColumn("n", rank).filter(F.col("n") <= (cell_blocks or CELL_BLOCKS)).drop("n")
     home = _stored(_cells(qs.select("*", F.lit(-2.0).alias("floor"), F.col("pivot").alias("row"), F.col("block").alias("col")),
                           homes.join(qs.select("pivot", F.col("block").alias("col")), "pivot").select(*cs.columns, F.col("pivot").alias("row"), "col"),
                           points, k, kinds, id_col), "home")
     floors = home.filter("block is not null").select("block", "floor")
     n_q, n_c = qs.count(), cs.count()
-    rows, cols = max(1, -(-n_q // cell_blocks)), max(1, -(-n_c // cell_blocks))
+    held = cell_blocks or max(CELL_BLOCKS, CELL_BYTES // (8 * points.shape[1] * block_rows))
+    rows, cols = (max(1, -(-n // held), min(n, GRID_SIDE)) for n in (n_q, n_c))
     every_q = qs.join(floors, "block", "left").fillna(-2.0, ["floor"])
     q_sent = every_q.withColumn("row", F.pmod(F.xxhash64("block"), F.lit(rows)).cast("int")).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
     c_sent = cs.withColumn("col", F.pmod(F.xxhash64("block"), F.lit(cols)).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from tessera.operators import search as se
+from tessera.operators import search_pruned as sp
 from tessera.operators.search_pruned import top_k_pruned
 
 
@@ -52,3 +53,34 @@ def test_empty_sides_and_wrong_dimensions(spark):
     assert top_k_pruned(none, c)[0].collect() == [] == top_k_pruned(c, none)[0].collect()
     with pytest.raises(Exception, match="dimensions"):
         top_k_pruned(frame(spark, [[1, 0, 0]]), c)[0].collect()
+
+
+def test_copies_of_a_vector_are_bounded(spark, monkeypatch):
+    """Few vectors in many small blocks are copied GRID_SIDE times, not once for every few blocks."""
+    sent = []
+    cells = sp._cells
+
+    def seen(queries, corpus, *rest):
+        sent.append((queries, corpus))
+        return cells(queries, corpus, *rest)
+
+    monkeypatch.setattr(sp, "_cells", seen)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(300)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sp.top_k_pruned(v, v, k=3, block_rows=2, pivots=64)[0].collect()
+    want = se.top_k(v, v, k=3).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == sorted((r["query_id"], r["rank"], r["vec_id"]) for r in want)
+    for side in sent[1]:
+        assert side.groupBy("block").count().agg({"count": "max"}).first()[0] <= sp.GRID_SIDE
+
+
+def test_a_cell_keeps_k_of_each_query():
+    rng = np.random.default_rng(6)
+    c = [(np.arange(20 * b, 20 * b + 20)[::-1], np.round(rng.normal(size=(20, 2)))) for b in range(7)]
+    q = ([0, 1, 2], np.round(rng.normal(size=(3, 2))))
+    score, ids, _, skipped = sp._best(q, c, 4, [1.0] * 7, -2.0)
+    assert score.shape == ids.shape == (3, 4) and skipped == 0
+    for r in range(3):
+        every = sorted(((float(q[1][r] @ v), int(i)) for b_ids, m in c for i, v in zip(b_ids, m, strict=True)), reverse=True)[:4]
+        assert [(float(s), int(i)) for s, i in zip(score[r], ids[r], strict=True)] == every
