@@ -19,15 +19,21 @@ Rows, columns and defined cases are those of ``chunk.chunk_text``: null and blan
 ``chunk_index`` counts the chunks of a text that are not blank."""
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import SENTENCE_TERMINATORS, chunk_clean
-from tessera.operators.chunk import BOUNDARY_LOOKAHEAD, BOUNDARY_LOOKBACK, DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE
+from tessera.operators.chunk import BOUNDARY_LOOKAHEAD, BOUNDARY_LOOKBACK, DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE, OUT_BYTES, ROW_BYTES
 from tessera.session import ensure_on_executors, scratch_path
 
 BLOCK_CHARS = 1 << 20
+MANY_TASKS = 128
+TASK_CHARS = 1 << 24  # that a task cuts, once there are MANY_TASKS
 
 
 def _codes(text: str):
@@ -44,9 +50,15 @@ class Block:
         import numpy as np
 
         self.length, self.rest, self.size, self.overlap = length, rest, size, overlap
-        codes = _codes(part)
-        self.after = np.flatnonzero(np.isin(codes, _codes(SENTENCE_TERMINATORS))) + 1
-        self.dark = np.concatenate([[0], np.cumsum(codes != ord(" "))])
+        self.codes = _codes(part)
+        self.after = np.flatnonzero(np.isin(self.codes, _codes(SENTENCE_TERMINATORS))) + 1
+
+    @cached_property
+    def dark(self):
+        """Characters before each place that are not spaces."""
+        import numpy as np
+
+        return np.concatenate([[0], np.cumsum(self.codes != ord(" "))])
 
     def ends(self, starts):
         """Where the windows that start at ``starts`` end (not cut at the end of the text)."""
@@ -91,16 +103,17 @@ class Block:
         return (np.concatenate([to[:entries], beyond]) - self.length,
                 np.concatenate([chunks[:entries], np.zeros(len(beyond), dtype=np.int64)]))
 
-    def walk(self, entry: int) -> list[tuple[int, int]]:
+    def walk(self, entry: int) -> Iterator[tuple[int, int]]:
         """(start, end) of the windows that start in the block, from its entry on."""
-        import numpy as np
-
-        out, start = [], entry
+        after, start = self.after.tolist(), entry
         while start < min(self.length, self.rest):
-            end = int(self.ends(np.array([start]))[0])
-            out.append((start, end))
+            end = start + self.size
+            if end < self.rest:
+                k = bisect_right(after, min(end + BOUNDARY_LOOKAHEAD, self.rest)) - 1
+                if k >= 0 and after[k] > max(end - BOUNDARY_LOOKBACK, start, start + self.size // 2):
+                    end = after[k]
+            yield start, end
             start = max(start + 1, end - self.overlap)
-        return out
 
 
 def _blocks(df: DataFrame, text_col: str, keep: list[str], size: int, block_chars: int) -> DataFrame:
@@ -110,16 +123,30 @@ def _blocks(df: DataFrame, text_col: str, keep: list[str], size: int, block_char
     def cut(batches):
         import pyarrow as pa
 
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
+            rows, held = [], 0
+
+            def flush(rows=rows, batch=batch, kinds=kinds):
+                at, *numbers, parts = zip(*rows, strict=True)
+                at = pa.array(at, pa.int64())
+                out = pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), *(pa.array(c, k) for c, k in zip(numbers, kinds, strict=True)),
+                     pa.array(parts, batch.schema.field(1).type), batch.column(2).take(at)], ["rid", "block", "first", "length", "total", "part", "kept"])
+                rows.clear()
+                return out
+
             for row in range(batch.num_rows):
                 text = batch.column(1)[row].as_py()
-                total = len(text)
+                total, each = len(text), batch.column(2).slice(row, 1).nbytes
                 for block, first in enumerate(range(0, total, block_chars)):
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(row, 1), pa.array([block], pa.int32()), pa.array([first], pa.int64()),
-                         pa.array([min(block_chars, total - first)], pa.int64()), pa.array([total], pa.int64()),
-                         pa.array([text[first:first + block_chars + ahead]], batch.schema.field(1).type), batch.column(2).slice(row, 1)],
-                        ["rid", "block", "first", "length", "total", "part", "kept"])
+                    rows.append((row, block, first, min(block_chars, total - first), total, text[first:first + block_chars + ahead]))
+                    held += ROW_BYTES + len(rows[-1][-1]) + each
+                    if held >= OUT_BYTES:
+                        yield flush()
+                        held = 0
+            if rows:
+                yield flush()
 
     kept = F.struct(*(F.col(c) for c in keep)) if keep else F.struct(F.lit(None).cast("int").alias("none"))
     src = df.select(F.monotonically_increasing_id().alias("rid"), chunk_clean(F.col(text_col)).alias("part"), kept.alias("kept")).filter("part <> ''")
@@ -170,25 +197,43 @@ def chunk_text_blocks(df: DataFrame, text_col: str = "text", size: int = DEFAULT
     keep = [c for c in (keep if keep is not None else df.columns) if c != text_col]
     ensure_on_executors(df.sparkSession)
     blocks = _blocks(df, text_col, keep, size, block_chars)
-    tasks = max(1, -(-(blocks.agg(F.sum("length")).first()[0] or 0) // block_chars))
+    chars = blocks.agg(F.sum("length")).first()[0] or 0
+    # a task a block, up to MANY_TASKS; beyond that tasks grow with the characters, however small the blocks
+    tasks = max(1, min(-(-chars // block_chars), max(MANY_TASKS, -(-chars // TASK_CHARS))))
     dealt = blocks.repartition(tasks, "rid", "block")
-    found = entries(dealt, size, overlap)
-    joined = blocks.join(found, ["rid", "block"], "left").repartition(tasks, "rid", "block").select(
+    found = entries(dealt, size, overlap).repartition(tasks, "rid", "block").hint("shuffle_hash")
+    joined = dealt.join(found, ["rid", "block"], "left").select(
         "length", "total", "first", "part", F.coalesce("entry", F.lit(0)).alias("entry"), F.coalesce("chunks_before", F.lit(0)).alias("before"), "kept")
 
     def chunks(batches):
         import pyarrow as pa
 
         for batch in batches:
+            rows, held = [], 0
+
+            def flush(rows=rows, batch=batch):
+                at, *numbers, cut = zip(*rows, strict=True)
+                out = pa.RecordBatch.from_arrays(
+                    [*(pa.array(c, pa.int32()) for c in numbers), pa.array(cut, batch.schema.field(3).type), batch.column(6).take(pa.array(at, pa.int64()))],
+                    ["chunk_index", "chunk_start", "chunk_end", "chunk", "kept"])
+                rows.clear()
+                return out
+
             for r in range(batch.num_rows):
-                length, total, first, part, entry, before = (batch.column(k)[r].as_py() for k in range(6))
-                spans = Block(part, length, total - first, size, overlap).walk(entry)
-                cut = [(a, min(b, total - first), part[a:b].strip(" ")) for a, b in spans]
-                cut = [c for c in cut if c[2]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(before, before + len(cut)), pa.int32()), pa.array([first + a for a, _, _ in cut], pa.int32()),
-                     pa.array([first + b for _, b, _ in cut], pa.int32()), pa.array([c for *_, c in cut], batch.schema.field(3).type),
-                     batch.column(6).take(pa.array([r] * len(cut), pa.int64()))], ["chunk_index", "chunk_start", "chunk_end", "chunk", "kept"])
+                length, total, first, part, entry, index = (batch.column(k)[r].as_py() for k in range(6))
+                each = batch.column(6).slice(r, 1).nbytes
+                for a, b in Block(part, length, total - first, size, overlap).walk(entry):
+                    chunk = part[a:b].strip(" ")
+                    if not chunk:
+                        continue
+                    rows.append((r, index, first + a, first + min(b, total - first), chunk))
+                    index += 1
+                    held += ROW_BYTES + len(chunk) + each
+                    if held >= OUT_BYTES:
+                        yield flush()
+                        held = 0
+            if rows:
+                yield flush()
 
     schema = T.StructType([*(T.StructField(c, T.IntegerType()) for c in ("chunk_index", "chunk_start", "chunk_end")), T.StructField("chunk", T.StringType()),
                            T.StructField("kept", blocks.schema["kept"].dataType)])

@@ -62,3 +62,11 @@ def test_empty_and_bad_sizes(spark):
     assert chunk_text_blocks(df).collect() == [] and chunk_text_blocks(df).columns == chunk_text(df).columns
     with pytest.raises(ValueError):
         chunk_text_blocks(df, size=0)
+
+
+def test_many_small_blocks_are_not_a_task_each(spark):
+    text = "Some words of a sentence that goes on. " * 500
+    df = spark.createDataFrame([(i, text) for i in range(9)], "id long, text string").repartition(3)
+    got = chunk_text_blocks(df, size=100, overlap=20, block_chars=500)
+    assert got.rdd.getNumPartitions() <= 128  # 351 blocks
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, chunk_text(df, size=100, overlap=20).collect()))
