@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_name, ship, stage
+from tessera.llm.common import arrow_batches, free_name, ship, stage
 from tessera.llm.components import connected_components
 
 SHINGLE = 3
@@ -29,6 +29,7 @@ RADIUS = 2
 STEP = 4
 LEAF = 512
 SEED = 42
+BATCH_BYTES = 1 << 22  # of an Arrow batch of texts
 
 
 def simhash(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -209,7 +210,8 @@ def trie_links(prints: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> Dat
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest doc_id of all
     documents reachable through links)."""
-    prints = stage(fingerprints(docs, shingle), "fingerprints")
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        prints = stage(fingerprints(docs, shingle), "fingerprints")
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = connected_components(trie_links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -229,7 +231,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     text = F.coalesce("text", F.lit(""))
     marked = docs.withColumns({id_: F.col("doc_id").cast("long"), mark: F.xxhash64(text), mark_2: F.xxhash64(F.lit(1), text)})
     keys = [id_, mark, mark_2]
-    prints = stage(_printed(marked.select(*keys, F.col("text").cast("binary").alias("text")), shingle), "fingerprints")
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        prints = stage(_printed(marked.select(*keys, F.col("text").cast("binary").alias("text")), shingle), "fingerprints")
     roots = connected_components(trie_links(stage(prints.select("fp").distinct(), "distinct"), radius)).toDF("fp", root)
     placed = stage(prints.join(roots, "fp", "left").withColumn(root, F.coalesce(root, "fp")).groupBy(*keys, root).agg(F.count("*").alias("n")), "placed")
     # named rows and rows without a doc_id each have a least one

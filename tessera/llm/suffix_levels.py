@@ -41,11 +41,11 @@ CELLS = 1 << 28
 BITMAP = 1 << 16  # cells of one block
 HOT = 1 << 16
 PIECE = 1 << 20
-REMEMBERED = 400_000  # segments that a task knows to be sent
-PART = 1 << 22  # bytes of text whose segments a task holds at a time
+REMEMBERED = 200_000  # segments that a task knows to be sent
+PART = 1 << 21  # bytes of text whose segments a task holds at a time
 RUN = 1024  # windows of a segment at most
 BATCHES = 4
-BATCH_BYTES = 1 << 24  # of an Arrow batch of texts
+BATCH_BYTES = 1 << 22  # of an Arrow batch of texts
 BUCKET_BYTES = 1 << 22  # of a batch's text for one bucket
 MIN_BUCKETS = 64
 NO_ID = (1 << 63) - 1
