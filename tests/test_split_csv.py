@@ -65,3 +65,12 @@ def test_any_column_name(spark, tmp_path):
     df = sc.read_csv_split(spark, str(tmp_path))
     assert df.columns == ["my id:x", "a, b", "`c.d`"]
     assert [tuple(r) for r in df.collect()] == [("1", "p\nq", "r")]
+
+
+def test_lines_cross_to_python_once(spark, tmp_path, small_splits):
+    write(f"{tmp_path}/a.csv", [(i, "line\nend" * 30, "u") for i in range(9)])
+    df = sc.read_csv_split(spark, str(tmp_path))
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert rows(df) == sorted((str(i), "line\nend" * 30, "u") for i in range(9))
+    named = sc.csv_records(spark, str(tmp_path))
+    assert named.select("file").distinct().count() == 1 and named.count() == 9
