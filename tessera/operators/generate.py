@@ -136,10 +136,12 @@ def generate_qa(chunks: DataFrame, generator_factory: Callable[[], object], text
                 index_col: str = "real_index", n_questions: int = DEFAULT_QUESTIONS_PER_CHUNK,
                 question_template: str = QUESTION_TEMPLATE_API, answer_template: str = ANSWER_TEMPLATE,
                 question_options: dict | None = None, answer_options: dict | None = None,
-                keep: list[str] | None = None, batch_size: int = DEFAULT_PROMPT_BATCH, wanted: str | None = None) -> DataFrame:
+                keep: list[str] | None = None, batch_size: int = DEFAULT_PROMPT_BATCH, wanted: str | None = None,
+                with_context: bool = True) -> DataFrame:
     """QA rows (keep..., id, question, answer, context, question_index, chunk_index, error).
     ``wanted`` names a column with the question indexes to ask for each chunk (array of
-    int) in place of all ``n_questions``.
+    int) in place of all ``n_questions``; ``with_context=False`` leaves the context out of the rows, so that it
+    does not travel back from Python for each question.
 
     Each context goes to Python once; the ``n_questions`` rows per chunk are made
     there. Non-deterministic model calls: materialise the result (write it)
@@ -151,7 +153,7 @@ def generate_qa(chunks: DataFrame, generator_factory: Callable[[], object], text
     indexes = F.col(wanted) if wanted else F.array(*(F.lit(i) for i in range(max(0, n_questions)))).cast("array<int>")
     src = chunks.select(*keep, F.col(index_col).cast("long").alias("chunk_index"), F.col(text_col).alias("context"), indexes.alias("question_indexes"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keep)
-    schema = (schema + ", " if schema else "") + QA_SCHEMA
+    schema = (schema + ", " if schema else "") + (QA_SCHEMA if with_context else QA_SCHEMA.replace("context string, ", ""))
     asking = wanted is not None or n_questions > 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,7 +171,7 @@ def generate_qa(chunks: DataFrame, generator_factory: Callable[[], object], text
             yield pd.DataFrame({
                 **{k: rows[k] for k in keep},
                 "id": [QA_ID_FORMAT % (ci, qi) for ci, qi in zip(rows["chunk_index"], index, strict=True)],
-                "question": questions, "answer": answers, "context": contexts,
+                "question": questions, "answer": answers, **({"context": contexts} if with_context else {}),
                 "question_index": pd.array(index, dtype="int32"),
                 "chunk_index": rows["chunk_index"].astype("int64"),
                 "error": [q or a for q, a in zip(qerr, aerr, strict=True)]})

@@ -56,9 +56,12 @@ def _runs(spark: SparkSession, path: str) -> list[int]:
 
 def read_journal(spark: SparkSession, path: str, schema) -> DataFrame:
     """All rows of all runs, those of a run that died included (no _SUCCESS is asked for), with the run's number."""
-    out = spark.createDataFrame([], schema).withColumn(RUN, F.lit(0).cast("long"))
+    out = None
     for n in _runs(spark, path):
-        out = out.unionByName(spark.read.schema(schema).parquet(f"{path}/{RUN}={n}").withColumn(RUN, F.lit(n).cast("long")))
+        run = spark.read.schema(schema).parquet(f"{path}/{RUN}={n}").withColumn(RUN, F.lit(n).cast("long"))
+        out = run if out is None else out.unionByName(run)
+    if out is None:  # no rows, and no task in Python to make them
+        out = spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields), F.lit(0).cast("long").alias(RUN))
     return out
 
 
@@ -103,9 +106,10 @@ def generate_journalled(chunks: DataFrame, generator_factory: Callable[[], objec
 
     def answers(rows: DataFrame, wanted: str | None) -> DataFrame:
         return gn.generate_qa(rows, generator_factory, text_col=text_col, index_col=index_col, n_questions=n_questions, question_template=question_template,
-                              answer_template=answer_template, question_options=qo, answer_options=ao, keep=[*keep, ASKED], batch_size=batch_size, wanted=wanted)
+                              answer_template=answer_template, question_options=qo, answer_options=ao, keep=[*keep, ASKED], batch_size=batch_size, wanted=wanted,
+                              with_context=False)  # contexts stay with the chunks; the journal holds what the model said
 
-    schema = answers(tagged, None).drop("context").schema
+    schema = answers(tagged, None).schema
     back = dict(zip(names, keys, strict=True))
 
     def successes():
@@ -118,8 +122,7 @@ def generate_journalled(chunks: DataFrame, generator_factory: Callable[[], objec
         # dealt by key: a task that runs again asks the same
         dealt = todo.repartition(tasks, *keys, ASKED)
         number = max(_runs(spark, path), default=0) + 1
-        # contexts stay with the chunks; the journal holds what the model said
-        (answers(dealt, "wanted").drop("context").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        (answers(dealt, "wanted").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
          .parquet(f"{path}/{RUN}={number}"))
     said = merged(read_journal(spark, path, schema).filter(F.col("question_index") < n_questions), names)
     mine = tagged.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col(ASKED), F.col(text_col).alias("context"))

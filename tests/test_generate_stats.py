@@ -106,3 +106,11 @@ def test_presets():
     assert local.answer_options == {"max_new_tokens": 200, "temperature": 0.1, "top_p": 0.9, "do_sample": False}
     assert local.question_options == {"max_new_tokens": 2048} and local.question_template.startswith("Based on the following Arabic text, generate one")
     assert api.question_options == api.answer_options == {"max_tokens": 2048, "temperature": 0.7, "top_p": 0.5, "n": 1, "model": "m"}
+
+
+def test_contexts_need_not_travel_back(spark):
+    c = _chunks(spark, ["alpha text.", "boom text."])
+    whole = gn.generate_qa(c, FlakyGenerator, n_questions=2)
+    lean = gn.generate_qa(c, FlakyGenerator, n_questions=2, with_context=False)
+    assert lean.columns == [x for x in whole.columns if x != "context"]
+    assert sorted(map(str, lean.collect())) == sorted(map(str, whole.drop("context").collect()))

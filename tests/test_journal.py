@@ -106,3 +106,10 @@ def test_defined_cases(spark, tmp_out):
     path = f"{tmp_out}/a/run=1"
     spark.read.parquet(path).write.mode("append").parquet(path)
     assert len(run(spark, chunks, f"{tmp_out}/a", Recording(log_dir(tmp_out, "two"))).collect()) == 8 and asked(f"{tmp_out}/two") == []
+
+
+def test_no_python_to_read_an_empty_journal(spark, tmp_out):
+    schema = spark.createDataFrame([], "chunk_index long, answer string").schema
+    none = jn.read_journal(spark, f"{tmp_out}/none", schema)
+    assert none.columns == ["chunk_index", "answer", "run"] and none.collect() == []
+    assert "ExistingRDD" not in none._jdf.queryExecution().toString()
