@@ -237,10 +237,18 @@ def q_scan_json(spark, sf_dir):
     return _doc_cols(rd.read_table(spark, path))
 
 
+FOLDERS = 64  # that files of documents are dealt over: they are made and listed side by side
+
+
+def _dealt(name: F.Column) -> F.Column:
+    """A file name of a document, in one of ``FOLDERS`` folders."""
+    return F.concat(F.format_string("%02d/", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDERS))), name).alias("file_name")
+
+
 def _write_txt_files(spark, sf_dir) -> str:
-    """Each document as its own UTF-8 .txt file ``doc_<id>.txt`` in the shared scratch folder."""
+    """Each document as its own UTF-8 .txt file ``<folder>/doc_<id>.txt`` in the shared scratch folder."""
     path = scratch_path(spark, "documents-txt")
-    files = documents(spark, sf_dir, True).select(F.format_string("doc_%d.txt", "doc_id").alias("file_name"),
+    files = documents(spark, sf_dir, True).select(_dealt(F.format_string("doc_%d.txt", "doc_id")),
                                                   F.col("text").alias("body"))
     sk.write_files(files, path)
     return path
@@ -617,7 +625,7 @@ def _mixed_files(spark, sf_dir) -> str:
     """One file a document: .pdf, .PDF, .txt or .md by doc_id."""
     path = scratch_path(spark, "documents-mixed")
     suffix = F.element_at(F.array(*map(F.lit, ("pdf", "PDF", "txt", "md"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    files = _form_feeds(spark, sf_dir).select(F.concat(F.format_string("sub/doc_%d.", "doc_id"), suffix).alias("file_name"), F.col("text").alias("body"))
+    files = _form_feeds(spark, sf_dir).select(_dealt(F.concat(F.format_string("doc_%d.", "doc_id"), suffix)), F.col("text").alias("body"))
     sk.write_files(files, path)
     return path
 
@@ -641,7 +649,7 @@ def q_pdf_pages_all(spark, sf_dir):
     """Every document as a .pdf or .PDF file, in a folder of its own."""
     path = scratch_path(spark, "documents-pdf")
     suffix = F.when(F.col("doc_id") % 2 == 0, "pdf").otherwise("PDF")
-    sk.write_files(_form_feeds(spark, sf_dir).select(F.concat(F.format_string("sub/doc_%d.", "doc_id"), suffix).alias("file_name"), F.col("text").alias("body")), path)
+    sk.write_files(_form_feeds(spark, sf_dir).select(_dealt(F.concat(F.format_string("doc_%d.", "doc_id"), suffix)), F.col("text").alias("body")), path)
     return rd.read_pdf_pages(spark, path, _form_feed_extractor).select(_file_id(), "page_num", "text")
 
 

@@ -4,7 +4,7 @@
   unknown extensions read as CSV);
 * named datasets: a catalog table or a path, one split chosen by an equality
   filter on the split column, so partition pruning applies;
-* text files: ``binaryFile`` scan, native decode cascade, text cleaning;
+* text files: listed and read by tasks, native decode cascade, text cleaning;
 * PDF pages: a plug-in extractor run by ``mapInPandas`` (no codec built in).
 """
 from __future__ import annotations
@@ -21,10 +21,8 @@ from tessera.functions.decode import decode_text
 from tessera.functions.text import clean_txt, preview
 from tessera.operators.rows import with_row_index
 from tessera.session import ensure_on_executors
+from tessera.sources.listing import TASK_BYTES, TASKS_PER_CORE, list_files, read_files
 
-#: Bytes of files that one task reads.
-TASK_BYTES = 1 << 24
-TASKS_PER_CORE = 4
 PAGES_CHARS = 1 << 20  # of pages that leave together
 #: Suffix (or explicit type) -> Spark reader.
 READERS = {"csv": "csv", "json": "json", "jsonl": "json", "parquet": "parquet"}
@@ -78,6 +76,10 @@ def read_named(spark: SparkSession, name: str, split: str | None = "train",
 
 def read_binary_files(spark: SparkSession, path: str, glob: str | None = None,
                       recursive: bool = True) -> DataFrame:
+    """One row per file: (path, modificationTime, length, content), as of now. A folder is listed and read by
+    tasks (``sources.listing``), what they cannot list by Spark's own scan."""
+    if recursive and (listed := list_files(spark, path, glob)) is not None:
+        return read_files(listed)
     r = spark.read.format("binaryFile")
     if glob:
         r = r.option("pathGlobFilter", glob)

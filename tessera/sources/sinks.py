@@ -18,6 +18,8 @@ from tessera.operators import formats as fm
 from tessera.operators.stats import metadata
 from tessera.session import ensure_on_executors
 
+FOLDERS_KEPT = 1024  # folders that a writer knows it has made
+
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """JSON lines, UTF-8, nulls written as null (not dropped)."""
@@ -62,15 +64,17 @@ def _file_writer(base: str):
         else:
             filesystem, root = pafs.LocalFileSystem(), base
         filesystem.create_dir(root, recursive=True)
-        made = root.rstrip("/")  # the folder made last: files of one folder mostly come together
+        made = {root.rstrip("/")}  # folders made of late
         for pdf in batches:
             sizes = []
             for name, body in zip(pdf["file_name"], pdf["body"]):
                 data = (body or "").encode("utf-8")
                 target = f"{root.rstrip('/')}/{name}"
-                if (folder := target.rsplit("/", 1)[0]) != made:
+                if (folder := target.rsplit("/", 1)[0]) not in made:
                     filesystem.create_dir(folder, recursive=True)
-                    made = folder
+                    if len(made) >= FOLDERS_KEPT:
+                        made.clear()
+                    made.add(folder)
                 # same name, same bytes: a retried task rewrites identical files
                 with filesystem.open_output_stream(target) as out:
                     out.write(data)
