@@ -1,9 +1,12 @@
 """Incremental processing: resume by key, progress metrics, and a Structured
 Streaming job that chunks new text files and saves chunks/QA per micro-batch.
 
-The stream reuses the batch column functions unchanged; the file source with
-a checkpoint picks up only files not seen before, which replaces the
-reference's per-chunk save callback and its manual start-index resume."""
+The stream reuses the batch column functions unchanged; each micro-batch takes only
+files that no earlier one has taken, which replaces the reference's per-chunk save
+callback and its manual start-index resume. Which files a batch takes stands in a table
+beside the checkpoint: tasks list the folder and join it with that table, so the driver
+holds no file names (Spark's file source holds all that it ever saw, and lists those of a
+batch one by one)."""
 from __future__ import annotations
 
 from typing import Callable
@@ -12,6 +15,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.chunk import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE, chunk_text
+from tessera.operators.journal import exists
+from tessera.sources.listing import FILES, can_list, list_files, read_files
 from tessera.sources.readers import TASKS_PER_CORE, text_files_frame
 
 
@@ -43,23 +48,49 @@ def stream_text_files(spark: SparkSession, in_dir: str, out_dir: str, checkpoint
     ``per_batch(chunks, batch_id)`` may add more sinks (QA generation, files);
     it must be idempotent per batch id, since a batch is replayed after a
     failure. Returns the started query."""
-    files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", "true").load(in_dir))
-    # a batch of many small files is few tasks, as in read_binary_files
-    docs = text_files_frame(files.coalesce(max(MIN_TASKS, TASKS_PER_CORE * spark.sparkContext.defaultParallelism)))
-    chunks = chunk_text(docs, text_col="text", size=size, overlap=overlap, keep=["path"])
+    state, root = checkpoint.rstrip("/"), out_dir.rstrip("/")
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
+    def sink(docs: DataFrame, batch_id: int) -> None:
         # overwrite this batch's own folder: replaying the batch is harmless
-        batch.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
+        out = f"{root}/batch_id={batch_id}"
+        chunk_text(docs, text_col="text", size=size, overlap=overlap, keep=["path"]).write.mode("overwrite").parquet(out)
         if per_batch is not None:
-            per_batch(batch, batch_id)
-
-    w = chunks.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+            per_batch(spark.read.parquet(out), batch_id)
+
+    # a state that Spark's file source began goes on with it
+    if can_list(spark, in_dir, glob) and not exists(spark, f"{state}/sources"):
+        w = _new_files_stream(spark, in_dir, glob, f"{state}/files", sink).option("checkpointLocation", f"{state}/batches")
+    else:
+        files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", glob)
+                 .option("recursiveFileLookup", "true").load(in_dir))
+        # a batch of many small files is few tasks, as in read_binary_files
+        docs = text_files_frame(files.coalesce(max(MIN_TASKS, TASKS_PER_CORE * spark.sparkContext.defaultParallelism)))
+        w = docs.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
+def _new_files_stream(spark: SparkSession, in_dir: str, glob: str, taken: str, sink: Callable[[DataFrame, int], None]):
+    """A stream whose batches give ``sink`` the documents of files that none before has taken; a batch without any does
+    nothing. Spark's clock source counts the batches; what a batch takes is stored first, so a replay takes the same."""
+    def batch(_: DataFrame, batch_id: int) -> None:
+        mine = f"{taken}/batch_id={batch_id}"
+        if not exists(spark, f"{mine}/_SUCCESS"):
+            new = list_files(spark, in_dir, glob)
+            if new is None:
+                raise FileNotFoundError(f"no folder to list at {in_dir}")
+            if exists(spark, taken):
+                before = spark.read.schema(f"{FILES}, batch_id long").parquet(taken).filter(F.col("batch_id") < batch_id)
+                new = resume_anti(new, before, ["path"])
+            if new.isEmpty():
+                return
+            new.write.mode("overwrite").parquet(mine)
+        sink(text_files_frame(read_files(spark.read.schema(FILES).parquet(mine))), batch_id)
+
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+    return ticks.writeStream.foreachBatch(batch)
+
+
 def running_qa_stats(qa_stream: DataFrame, type_col: str = "question_type") -> DataFrame:
     """Streaming A1/A2: counts per question type and mean lengths, updated per
     micro-batch (run with outputMode 'complete')."""

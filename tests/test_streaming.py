@@ -64,3 +64,38 @@ def test_stream_documents_to_qa(spark, tmp_out):
     assert qa.filter("question LIKE '%?'").count() == 2 * chunks
     assert os.path.exists(os.path.join(out, "files", "book.txt", "chunk_0000.txt"))
     assert os.path.exists(os.path.join(out, "files", "book.txt", "chunk_0000_qa_01.json"))
+
+
+def test_a_stream_knows_its_files_from_a_table(spark, tmp_path):
+    """What a batch takes is stored first and a replay takes the same; nothing new writes nothing."""
+    (tmp_path / "in").mkdir()
+    src, out, state = (str(tmp_path / d) for d in ("in", "out", "state"))
+    for k in range(40):
+        (tmp_path / "in" / f"{k}.txt").write_text(f"text number {k}. " * 3)
+    inc.stream_text_files(spark, src, out, state).awaitTermination()
+    taken = spark.read.parquet(f"{state}/files")
+    assert taken.count() == 40 and {r.batch_id for r in taken.select("batch_id").distinct().collect()} == {0}
+    inc.stream_text_files(spark, src, out, state).awaitTermination()  # a batch without new files
+    assert not (tmp_path / "out" / "batch_id=1").exists()
+    (tmp_path / "in" / "late.txt").write_text("late text.")
+    spark.createDataFrame([(f"file:{src}/0.txt", 1)], "path string, length long").selectExpr("path", "timestamp_seconds(0) as modificationTime", "length") \
+        .write.parquet(f"{state}/files/batch_id=2")  # as a run that failed after it had stored what it takes
+    inc.stream_text_files(spark, src, out, state).awaitTermination()
+    assert [os.path.basename(r.path) for r in spark.read.parquet(f"{out}/batch_id=2").collect()] == ["0.txt"]
+    inc.stream_text_files(spark, src, out, state).awaitTermination()
+    assert [os.path.basename(r.path) for r in spark.read.parquet(f"{out}/batch_id=3").collect()] == ["late.txt"]
+
+
+def test_a_state_of_the_file_source_goes_on(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    src, out, state = (str(tmp_path / d) for d in ("in", "out", "state"))
+    (tmp_path / "in" / "a.txt").write_text("first text.")
+    can = inc.can_list
+    inc.can_list = lambda *a: False
+    try:
+        inc.stream_text_files(spark, src, out, state).awaitTermination()
+    finally:
+        inc.can_list = can
+    (tmp_path / "in" / "b.txt").write_text("second text.")
+    inc.stream_text_files(spark, src, out, state).awaitTermination()
+    assert sorted((r.batch_id, os.path.basename(r.path)) for r in spark.read.parquet(out).collect()) == [(0, "a.txt"), (1, "b.txt")]
