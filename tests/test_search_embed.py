@@ -64,6 +64,51 @@ def test_top_k_null_nan_and_string_ids(spark):
     assert got == {"a": ["b", "a"], "b": ["b", "a"], "f": ["f", "b"]}
 
 
+def test_no_side_is_copied_for_the_grid(spark):
+    """Either side is shuffled as it is: nothing copies its blocks, however many meet."""
+    rng = np.random.default_rng(4)
+    c = _vecs(spark, [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(120)])
+    q = _vecs(spark, [(500 + i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(90)])
+    plan = se.top_k(q, c, k=3, block_rows=4)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "CartesianProduct" in plan
+
+
+@pytest.mark.parametrize("kind", ["double", "int", "decimal(9,2)"])
+def test_top_k_of_other_numbers_and_null_ids(spark, kind):
+    rows = [(1, [1, 0]), (None, [1, 0]), (3, [2, 1]), (4, [0, 7]), (5, [0, 0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<int>").withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
+    got = {}
+    for r in se.top_k(df.filter("vec_id is not null"), df, k=3, block_rows=2).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {1: [1, None, 3], 3: [3, 1, None], 4: [4, 3, 1]}
+
+
+def test_a_task_sends_only_scores_that_can_rank():
+    """The first k are always among them, ties by the place in a block; few besides."""
+    rng = np.random.default_rng(8)
+    best, sent, every, n = se._Best(6, 4), [], [], 0
+    for b in range(40):
+        s = np.round(rng.normal(size=(6, 30)), 1)
+        rows, cols = best.add(s)
+        assert max(np.bincount(rows, minlength=6)) <= 4
+        n += len(rows)
+        sent += [(r, s[r, c], b, c) for r, c in zip(rows.tolist(), cols.tolist(), strict=True)]
+        every += [(r, s[r, c], b, c) for r in range(6) for c in range(30)]
+    # any order of the blocks may break ties between them: here blocks rise or fall, columns rise
+    for sign in (1, -1):
+        for r in range(6):
+            first = [sorted((x[1:] for x in rows if x[0] == r), key=lambda x: (-x[0], sign * x[1], x[2]))[:4] for rows in (sent, every)]
+            assert first[0] == first[1]
+    assert n < 6 * 4 * 40 / 2
+
+
+def test_top_k_refuses_other_dimensions(spark):
+    with pytest.raises(Exception, match="dimensions"):
+        se.top_k(_vecs(spark, [(1, [1.0, 0.0, 0.0])]), _vecs(spark, [(1, [1.0, 0.0])])).collect()
+    with pytest.raises(Exception, match="dimensions"):
+        se.top_k(*[_vecs(spark, [(1, [1.0, 0.0, 0.0]), (2, [1.0, 1.0])])] * 2).collect()
+
+
 def test_top_k_single_takes_one_query(spark):
     c = _vecs(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0])])
     with pytest.raises(ValueError, match="several"):
